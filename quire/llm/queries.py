@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_trie, language_id, packing, toxicity
+from quire.llm import bpe_trie, language_id, near_dedup, packing, toxicity
 from quire.llm.tables import read
 
 
@@ -20,6 +20,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(read(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_toxicity, op8_bpe_trie, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op5_toxicity, op7_near_dedup, op8_bpe_trie, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
