@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_trie, language_id, near_dedup, packing, toxicity
+from quire.llm import bpe_trie, language_id, near_dedup, packing, secret_scan, toxicity
 from quire.llm.tables import read
 
 
@@ -14,6 +14,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.findings(read(spark, sf_dir, "documents"), model)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -34,7 +39,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_toxicity, op7_near_dedup, op8_bpe_trie, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op5_toxicity, op7_near_dedup, op8_bpe_trie, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
