@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe_trie, language_id, near_dedup, packing, secret_scan, toxicity
+from quire.llm import bpe_trie, html_extract, language_id, near_dedup, packing, secret_scan, toxicity
 from quire.llm.tables import read
 
 
@@ -38,8 +38,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(docs, language_id.train(docs))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op5_toxicity, op7_near_dedup, op8_bpe_trie, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op5_toxicity, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
