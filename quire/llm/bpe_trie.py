@@ -34,7 +34,7 @@ from quire.llm.tables import text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker remembers between batches; then it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Longer words aren't remembered, so that the memory has a bound.
 LONGEST_REMEMBERED = 64
 #: Bytes of text handled at once.
@@ -68,9 +68,11 @@ class TrieEncoder:
             raise ValueError(f"{path}: a BPE vocabulary with an end-of-word suffix and no decoder is needed")
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.tokens = {i: s for s, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: s for s, i in self.special.items()}
+        named = self.ids | self.special
+        self.names = [""] * (max(named.values()) + 1)
+        for s, i in named.items():
+            self.names[i] = s
         self.inner = {s: i for s, i in self.ids.items() if not s.endswith(self.end)}
         self.final = {s[: -len(self.end)]: i for s, i in self.ids.items() if s.endswith(self.end) and s != self.end}
         self.inner_sizes, self.final_sizes = self._sizes(self.inner), self._sizes(self.final)
@@ -86,7 +88,6 @@ class TrieEncoder:
         self.symbols = {b: s for b, s in enumerate(symbols)}
         self.fits: dict[tuple[int, int], bool] = {}
         self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, str] = {}
         self.split = regex.compile(_SPLIT).findall
         self.white = regex.compile(f"[{_WHITE}]+").split
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -163,19 +164,15 @@ class TrieEncoder:
             return self.split(chunk)
         return _LATIN.findall(chunk)
 
-    def _learn(self, chunks: set[str], into: tuple[dict[str, bytes], dict[str, str]]) -> None:
-        symbols, names, (ids_of, text_of) = self.symbols, self.tokens, into
+    def _learn(self, chunks: set[str], into: dict[str, bytes]) -> None:
+        symbols = self.symbols
         plain = {c for c in chunks if c.isascii() and c.isalpha()}
         spelled = {c: [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(symbols) for p in self._pieces(c)] for c in chunks - plain}
-        tokens = dict(self.walk(plain.union(*spelled.values())))
+        tokens = {w: array("I", ids) for w, ids in self.walk(plain.union(*spelled.values()))}
         for chunk in plain:
-            ids = tokens[chunk]
-            ids_of[chunk] = array("I", ids).tobytes()
-            text_of[chunk] = " ".join([names[i] for i in ids])
+            into[chunk] = tokens[chunk].tobytes()
         for chunk, words in spelled.items():
-            ids = [i for w in words for i in tokens[w]]
-            ids_of[chunk] = array("I", ids).tobytes()
-            text_of[chunk] = " ".join([names[i] for i in ids])
+            into[chunk] = b"".join([tokens[w].tobytes() for w in words])
 
     def _chunks(self, text: str) -> list[str]:
         if not text.isascii():
@@ -187,8 +184,8 @@ class TrieEncoder:
             return [c for c in self.white(text) if c]
         return text.split()
 
-    def encode(self, texts: list[str], decoded: bool = True) -> list[tuple[bytes, str | None]]:
-        """Each text's ids as little-endian unsigned 32-bit integers, and its decoded text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         special, plain = self.specials, []
         for text in texts:
             if special and "<|" in text and special.search(text):
@@ -201,20 +198,20 @@ class TrieEncoder:
                 plain.append(self._chunks(text))
         if len(self.ids_of) > REMEMBERED:
             self.ids_of.clear()
-            self.text_of.clear()
-        if len(self.fits) > 4 * REMEMBERED:
+        if len(self.fits) > REMEMBERED:
             self.fits.clear()
-        new = set().union(*plain).difference(self.ids_of)
+        ids_of = self.ids_of
+        new = set().union(*plain).difference(ids_of)
         once = {c for c in new if not isinstance(c, str) or len(c) > LONGEST_REMEMBERED}
-        self._learn(new - once, (self.ids_of, self.text_of))
-        ids_of, text_of = self.ids_of, self.text_of
+        self._learn(new - once, ids_of)
         if once:
-            ids_of, text_of = ChainMap({}, ids_of), ChainMap({}, text_of)
-            self._learn({c for c in once if isinstance(c, str)}, (ids_of, text_of))
-            for m in once:
-                if not isinstance(m, str):
-                    ids_of[m], text_of[m] = struct.pack("<I", self.special[m[0]]), m[0]
-        return [(b"".join(map(ids_of.__getitem__, chunks)), " ".join(map(text_of.__getitem__, chunks)) if decoded else None) for chunks in plain]
+            ids_of = ChainMap({m: struct.pack("<I", self.special[m[0]]) for m in once if not isinstance(m, str)}, ids_of)
+            self._learn({c for c in once if isinstance(c, str)}, ids_of)
+        return [b"".join(map(ids_of.__getitem__, chunks)) for chunks in plain]
+
+    def decode(self, ids: bytes) -> str:
+        """The tokens of little-endian 32-bit ids, as a vocabulary without a decoder joins them."""
+        return " ".join(map(self.names.__getitem__, array("I", ids)))
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
@@ -265,10 +262,10 @@ def encode(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
         own = encoder(path)
         for part in slices(batches, "__text"):
             got = own.encode(part.column("__text").to_pylist())
-            flat = np.frombuffer(b"".join(ids for ids, _ in got), dtype="<u4").astype("i4")
-            ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in got)], dtype="i4")
+            flat = np.frombuffer(b"".join(got), dtype="<u4").astype("i4")
+            ends = np.cumsum([0, *(len(ids) // 4 for ids in got)], dtype="i4")
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), ids, pa.array([d for _, d in got], pa.string())], names=[*keys, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), ids, pa.array(map(own.decode, got), pa.string())], names=[*keys, "ids", "decoded"])
 
     return rows.mapInArrow(run, f"{types}, ids array<int>, decoded string")
 
@@ -287,7 +284,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part in slices(batches, "__text"):
             got = own.encode(part.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(ids) // 4 for ids, _ in got], pa.int64()), pa.array([sha256(ids).hexdigest() for ids, _ in got]), pa.array([sha256(text.encode()).hexdigest() for _, text in got])],
+                [part.column("doc_id"), pa.array([len(ids) // 4 for ids in got], pa.int64()), pa.array([sha256(ids).hexdigest() for ids in got], pa.string()), pa.array([sha256(own.decode(ids).encode()).hexdigest() for ids in got], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

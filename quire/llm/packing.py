@@ -134,8 +134,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
 
         for part in slices(batches, "__text"):
             key_type = part.column("__key").type
-            encoded = own.encode(part.column("__text").to_pylist(), decoded=False)
-            pieces = [p for k, (ids, _) in zip(part.column("__key").to_pylist(), encoded) for p in packer.add(k, ids + end)]
+            encoded = own.encode(part.column("__text").to_pylist())
+            pieces = [p for k, ids in zip(part.column("__key").to_pylist(), encoded) for p in packer.add(k, ids + end)]
             if pieces:
                 yield batch_of(pieces)
         if pieces := list(packer.close()):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe_trie, html_extract, language_id, near_dedup, packing, secret_scan, toxicity
+from quire.llm import bpe_trie, html_extract, language_id, near_dedup, packing, secret_scan, toxicity, transport_stream, va_search
 from quire.llm.tables import read
 
 
@@ -19,12 +20,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(read(spark, sf_dir, "documents"), model)
 
 
+def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.describe(transport_stream.store(read(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.classify(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op6_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op5_toxicity, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_transport_stream, op5_toxicity, op6_va_search, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
