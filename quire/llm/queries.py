@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_trie, html_extract, language_id, near_dedup, packing, secret_scan, toxicity, transport_stream, va_search
+from quire.llm import bpe_trie, html_extract, language_id, near_dedup, packing, pii_bootstrap, secret_scan, toxicity, transport_stream, va_search
 from quire.llm.tables import read
 
 
@@ -24,6 +24,10 @@ def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.describe(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.digests(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -52,7 +56,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_transport_stream, op5_toxicity, op6_va_search, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_transport_stream, op4_pii_bootstrap, op5_toxicity, op6_va_search, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
