@@ -1,0 +1,151 @@
+"""Operators with trained models, by held-out accuracy and on odd input; and the pipeline."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+
+from quire.llm import html_extract, language_id, queries, secret_scan, toxicity
+
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, None, None), (2, "", "en"), (3, " 12 !?", "en"), (4, "the house " * 30_000, None), (4, "the house " * 30_000, None), (None, "la casa", "es")]
+    return spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "doc_id long, text string, lang string, lang_pred string, score string, source string")
+
+
+def test_forward_sums_all_segmentations():
+    table = {p: (q,) for p, q in {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.1, "ab": 0.15, "▁ab": 0.05, "ba": 0.2}.items()}
+    model = language_id.Model(["x"], table, 3)
+
+    def brute(text):
+        return 1.0 if not text else sum(table.get(text[:n], (language_id.UNKNOWN if n == 1 else 0,))[0] * brute(text[n:]) for n in range(1, 4) if n <= len(text))
+
+    for word in ("a", "ab", "abba", "abc", "bab" * 4):
+        assert math.isclose(model.word(word)[0], math.log(brute("▁" + word)), rel_tol=1e-9)
+        assert math.isclose(model._long("▁" + word)[0], math.log(brute("▁" + word)), rel_tol=1e-9)
+    assert math.isfinite(model.word("ab" * 5000)[0])
+
+
+def test_expected_counts_fill_the_word():
+    counts = language_id.expected_counts([("abab", 2.0)], {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.1, "ab": 0.15}, 3)
+    assert math.isclose(sum(len(p) * n for p, n in counts.items()), 2 * len("▁abab"))
+
+
+def test_language_by_held_out_accuracy(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs)
+    rows = language_id.predictions(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+    found = language_id.identify(odd, model).collect()
+    assert len(found) == 6
+    assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in found if r["doc_id"] in (1, 2, 3)} == {(i, "und", 0.0) for i in (1, 2, 3)}
+    assert all(r["lang_pred"] == "en" for r in found if r["doc_id"] == 4)
+    assert language_id.accepted(odd, model).columns == odd.columns and language_id.accepted(odd, model).count() == 3
+    assert language_id.identify(odd.limit(0), model).count() == 0
+
+
+def test_language_without_training_rows(odd):
+    model = language_id.train(odd.limit(0))
+    assert {r["lang_pred"] for r in language_id.identify(odd, model).collect()} == {"und"}
+
+
+def test_toxicity(spark, odd):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = "pmod(doc_id, 3) = 0"
+    model = toxicity.train(docs, labels.where(f"NOT {held}"))
+    rows = toxicity.classify(docs.select("doc_id", "text"), model).join(labels.where(held), "doc_id").select("toxic", "is_toxic").collect()
+    toxic, clean = [r for r in rows if r["toxic"]], [r for r in rows if not r["toxic"]]
+    assert sum(r["is_toxic"] for r in toxic) >= 0.75 * len(toxic)
+    assert sum(r["is_toxic"] for r in clean) <= 0.02 * len(clean)
+    found = toxicity.classify(odd, model)
+    assert found.count() == 6 and found.where("doc_id in (1, 2) and is_toxic").count() == 0
+    assert toxicity.accepted(odd, model).columns == odd.columns
+
+
+def test_toxicity_without_labels(spark, odd):
+    labels = spark.createDataFrame([(4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(odd, labels)
+    assert toxicity.accepted(odd, model).count() == odd.count()
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.labelled_findings(spark))
+
+
+def test_forest_as_columns_agrees_with_the_model(spark, forest):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    rows = secret_scan.labelled_findings(spark, 400)
+    found = secret_scan.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
+    numbers = rows.select("label", *[c.alias(n) for n, c in found.items()])
+    scored = forest.transform(VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(numbers))
+    own = secret_scan.forest_score(forest, {n: F.col(n) for n in secret_scan.FEATURES})
+    out = scored.select("label", vector_to_array("probability")[1].alias("p"), own.alias("q")).collect()
+    assert all(abs(r["p"] - r["q"]) < 1e-9 for r in out)
+    assert sum((r["p"] >= 0.5) == (r["label"] == 1) for r in out) >= 0.97 * len(out)
+
+
+def test_secrets(spark, forest):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'x token = "{key}" y', f"commit {key} y", "card 4845168114407329 z", None, "", f'TOKEN*** = "{key.upper()}"%%% token = "{key}"', "plain words " * 20_000, "file my_long_variable_name_2 z"]
+    docs = spark.createDataFrame([(i, t, "src1", 0 if t is None else len(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long, findings string")
+    found = sorted((r["doc_id"], r["start"], r["value"]) for r in secret_scan.findings(docs, forest).collect())
+    assert found == [(0, 11, key), (5, 12, key.upper()), (5, 68, key)]
+    kept = {r["doc_id"]: r for r in secret_scan.masked(docs, forest).collect()}
+    assert kept[0]["text"] == 'x token = "<SECRET>" y' and kept[0]["n_chars"] == 22 and kept[5]["text"] == 'TOKEN*** = "<SECRET>"%%% token = "<SECRET>"'
+    assert all(kept[i]["text"] == texts[i] for i in (1, 2, 3, 4, 6, 7)) and secret_scan.masked(docs, forest).columns == docs.columns
+    assert secret_scan.findings(docs.limit(0), forest).count() == 0
+
+
+def test_secrets_of_a_table(spark):
+    import re
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {(r["doc_id"], r["start"]) for r in queries.op2_secret_scan(spark, SF).collect()}
+    assert found == {(i, m.start()) for i, t in texts.items() for m in re.finditer("[0-9a-fA-F]{40}", t)}
+
+
+def test_main_text(spark):
+    import html as entities
+    import re
+
+    def plain(page):
+        parts = re.split(r"</?p>|</?h1>", re.search("<article>(.*?)</article>", page, re.S)[1])
+        return "\n".join(x for x in (re.sub(r"\s+", " ", entities.unescape(re.sub("</?b>|<br>", " ", p))).strip() for p in parts) if x)
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op10_html_extract(spark, SF).collect():
+        assert r["text"] == plain(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_main_text_of_odd_pages(spark):
+    page = '<div id="cookie-notice">We use cookies.</div><header><h1>Site</h1></header><div class="sidebar"><p>Popular posts here, today.</p></div><div class="content"><h2>Real title</h2><p>First paragraph of the &amp; story, with enough text to be found, clearly.</p><ul><li>one  item</li></ul></div><div class="comments"><p>I disagree, strongly, with this text.</p></div><footer>(c)</footer>'
+    rows = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (3, "u", page, "x"), (3, "u", page, "x"), (4, "u", "<p>word, " * 30_000, "x"), (5, None, "only text", "x")], "page_id long, url string, html string, text string")
+    found = [(r["page_id"], r["text"]) for r in html_extract.extract(rows).collect()]
+    assert len(found) == 6
+    assert dict(found)[1] == dict(found)[2] == "" and dict(found)[5] == "only text"
+    assert dict(found)[3] == "Real title\nFirst paragraph of the & story, with enough text to be found, clearly.\none item"
+    assert dict(found)[4].count("\n") == 29_999
+    assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF).cache()
+        assert kept.columns == columns and 0 < kept.count() <= before
+        docs, before = kept, kept.count()
+    assert docs.where("text rlike '[0-9a-f]{40}'").count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.select("doc_id").distinct().count() == before
+    assert corpus_pipeline.run(spark, SF).count() == pieces.count()
