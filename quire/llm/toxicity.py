@@ -25,10 +25,10 @@ from quire.llm.tables import kept, sample_share, text_or_empty
 #: Bounds of the training sample, by class, and of the features.
 POSITIVES, NEGATIVES, FEATURES = 3000, 5000, 2048
 FOLDS = 3
-#: A feature's least number of documents, and least z score of its log odds.
-LEAST_DOCUMENTS, LEAST_Z = 4, 3.5
+#: A feature's least number of documents, and least log-likelihood ratio of its shares of toxic and other ones; by chance one in 150,000 has it.
+LEAST_DOCUMENTS, LEAST_RATIO = 4, 20.0
 #: Lengths of word beginnings that are features.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7)
 REMEMBERED = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -47,6 +47,12 @@ def word_features(word: str) -> tuple[str, ...]:
     return (word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n))
 
 
+def document_features(words: set[str]) -> set[str]:
+    """Features of a document's words; a beginning that two different words share is a feature of its own, marked ``+``."""
+    counts = Counter(f for w in words for f in word_features(w))
+    return {*counts, *(f"{f}+" for f, n in counts.items() if n > 1)}
+
+
 @dataclass
 class Model:
     features: dict[str, int]
@@ -156,15 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]]
         for part in parts:
             counts = {0: Counter(), 1: Counter()}
             for toxic, text in zip(part["toxic"], part["text"]):
-                counts[int(toxic > 0)].update({f for w in set(_WORDS.findall(text.lower())) for f in word_features(w)})
+                counts[int(toxic > 0)].update(document_features(set(_WORDS.findall(text.lower()))))
             both = counts[0] + counts[1]
             yield pd.DataFrame({"feature": list(both), "clean": [counts[0][f] for f in both], "toxic": [counts[1][f] for f in both]})
 
-    p, q = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(p / (sizes[1] + 1 - p)) - F.log(q / (sizes[0] + 1 - q))
-    z = F.abs(odds) / F.sqrt(1 / p + 1 / q)
+    share = sizes[1] / (sizes[0] + sizes[1])
+    both = F.col("toxic") + F.col("clean")
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), both * share) + part(F.col("clean"), both * (1 - share)))
     strong = sample.mapInPandas(frequencies, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    strong = strong.where((F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS) & (z >= LEAST_Z)).orderBy(z.desc(), "feature").limit(FEATURES)
+    strong = strong.where((both >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "feature").limit(FEATURES)
     features = {r["feature"]: i for i, r in enumerate(sorted(strong.collect(), key=lambda r: r["feature"]))}
     groups = list(terms.values())
 
@@ -174,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]]
             for key, toxic, text in zip(part["key"], part["toxic"], part["text"]):
                 words = set(_WORDS.findall(text.lower()))
                 own = [int(toxic > 0 and not words.isdisjoint(g)) for g in groups]
-                rows.append((key, sorted({features[f] for w in words for f in word_features(w) if f in features}), [*own, int(toxic > 0 and not any(own)), int(toxic > 0)]))
+                rows.append((key, sorted(features[f] for f in document_features(words) if f in features), [*own, int(toxic > 0 and not any(own)), int(toxic > 0)]))
             yield pd.DataFrame(rows, columns=["key", "found", "labels"])
 
     rows = sample.mapInPandas(describe, "key long, found array<int>, labels array<int>").collect()
@@ -191,23 +198,25 @@ def predictor(model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        known: dict[str, tuple[int, ...]] = {}
-        get = model.features.get
+        known: dict[str, tuple[str, ...]] = {}
+        features = model.features
+        used = {f.removesuffix("+") for f in features}
         for batch in batches:
             found = []
             for text in batch:
                 words = set(_WORDS.findall(text.lower())) if text else ()
-                own: set[int] = set()
+                hits: list[str] = []
                 for w in words:
-                    numbers = known.get(w)
-                    if numbers is None:
-                        numbers = tuple(i for f in word_features(w) if (i := get(f)) is not None)
+                    own = known.get(w)
+                    if own is None:
+                        own = tuple(f for f in word_features(w) if f in used)
                         if len(known) > REMEMBERED:
                             known.clear()
-                        known[w] = numbers
-                    if numbers:
-                        own.update(numbers)
-                found.append(np.fromiter(sorted(own), "i8", len(own)))
+                        known[w] = own
+                    hits += own
+                counts = Counter(hits)
+                numbers = [features[f] for f in (*counts, *(f"{f}+" for f, n in counts.items() if n > 1)) if f in features]
+                found.append(np.array(sorted(numbers), "i8"))
             scores = model.probabilities(found) if len(found) else np.zeros((0, len(model.categories)))
             yield pd.DataFrame({"probabilities": list(scores), "toxic": scores[:, -1] >= model.threshold})
 
