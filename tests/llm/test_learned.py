@@ -97,7 +97,7 @@ def test_secrets(spark, forest):
     texts = [f'x token = "{key}" y', f"commit {key} y", "card 4845168114407329 z", None, "", f'TOKEN*** = "{key.upper()}"%%% token = "{key}"', "plain words " * 20_000, "file my_long_variable_name_2 z"]
     docs = spark.createDataFrame([(i, t, "src1", 0 if t is None else len(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long, findings string")
     found = sorted((r["doc_id"], r["start"], r["value"]) for r in secret_scan.findings(docs, forest).collect())
-    assert found == [(0, 11, key), (5, 12, key.upper()), (5, 68, key)]
+    assert found == [(0, 11, key), (5, 12, key.upper()), (5, texts[5].index(key), key)]
     kept = {r["doc_id"]: r for r in secret_scan.masked(docs, forest).collect()}
     assert kept[0]["text"] == 'x token = "<SECRET>" y' and kept[0]["n_chars"] == 22 and kept[5]["text"] == 'TOKEN*** = "<SECRET>"%%% token = "<SECRET>"'
     assert all(kept[i]["text"] == texts[i] for i in (1, 2, 3, 4, 6, 7)) and secret_scan.masked(docs, forest).columns == docs.columns
@@ -148,4 +148,5 @@ def test_pipeline(spark):
     assert docs.where("text rlike '[0-9a-f]{40}'").count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == before
-    assert corpus_pipeline.run(spark, SF).count() == pieces.count()
+    tokens = lambda df: sorted((r["doc_id"], r["n"]) for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())  # noqa: E731  where documents are cut depends on their order
+    assert tokens(corpus_pipeline.run(spark, SF)) == tokens(pieces)
