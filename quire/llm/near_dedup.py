@@ -19,7 +19,10 @@ Then: equal texts are one node; nodes that agree in all values of a band share
 a bucket; in each bucket members are compared with leaders, exactly, on the
 whole texts; verified links give components. A bucket whose members are still in
 several components gets further leaders from its lesser components until all
-members of different components have been compared, so no bucket is cut short.
+members of different components have been compared, so no bucket is cut short;
+buckets of bounded size do so in one round, for the pairs whose 4-bit signatures
+don't rule the similarity out. A bucket's leader is its member with the most
+bucket mates, mostly the text that the others were copied from.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_trie import slices
@@ -39,6 +42,10 @@ from quire.llm.tables import kept, text_or_empty
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 7) ** 32 = 0.9995.
 BANDS, ROWS = 32, 7
+#: Buckets up to this size compare all members of their different components in one round; larger ones by leaders.
+SMALL = 1024
+#: Of 4-bit signatures of 224 components, pairs at 0.8 differ in 42 on average, in more than this with probability 0.003.
+DIFFERENT = 58
 #: Text handled at once in numpy.
 SLICE_BYTES = 1 << 20
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -151,6 +158,25 @@ def bands(values, number: int = BANDS):
     return key.view("i8")
 
 
+def packed(values):
+    """Four bits of each component, sixteen to a 64-bit number."""
+    import numpy as np
+
+    nibbles = (mix(values.view("u8") * np.uint64(_GOLDEN)) >> np.uint64(60)).reshape(len(values), -1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype="u8") * np.uint64(4)), axis=2).view("i8")
+
+
+def differences(left: Column, right: Column, numbers: int = BANDS * ROWS // 16) -> Column:
+    """In how many components two packed signatures differ."""
+    total = F.lit(0)
+    for i in range(numbers):
+        x = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def _buffer(column: pa.Array):
     """An Arrow string column's bytes and offsets, from zero."""
     import numpy as np
@@ -161,7 +187,7 @@ def _buffer(column: pa.Array):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, keys``: a document's text digest and band keys (null without a word). No shuffle."""
+    """``doc_id, digest, keys, bits``: a document's text digest, its band keys and packed signature (null without a word). No shuffle."""
     rows = docs.select("doc_id", F.unhex(F.md5(text_or_empty().cast("binary"))).alias("digest"), F.lower(text_or_empty()).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +199,14 @@ def signed(docs: DataFrame) -> DataFrame:
                 keys, counts = shingles(*_buffer(some.column("text")))
                 values = signatures(keys, counts, some.num_rows)
                 none = ~np.isfinite(values[:, 0])
-                flat = pa.array(bands(values).reshape(-1))
-                ends = pa.array(np.arange(some.num_rows + 1, dtype="i4") * BANDS)
-                lists = pa.ListArray.from_arrays(ends, flat)
-                lists = lists if not none.any() else pc.if_else(pa.array(none), pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("digest"), lists], names=["doc_id", "digest", "keys"])
+                lists = []
+                for numbers in (bands(values), packed(values)):
+                    ends = pa.array(np.arange(some.num_rows + 1, dtype="i4") * numbers.shape[1])
+                    whole = pa.ListArray.from_arrays(ends, pa.array(numbers.reshape(-1)))
+                    lists.append(pc.if_else(pa.array(none), pa.scalar(None, whole.type), whole) if none.any() else whole)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("digest"), *lists], names=["doc_id", "digest", "keys", "bits"])
 
-    return rows.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, keys array<long>, bits array<long>")
 
 
 def similarity(left: list[str], right: list[str]):
@@ -217,13 +244,14 @@ def components(links: DataFrame) -> DataFrame:
     root's own root; the number of rounds grows with the logarithm of a chain.
     """
     edges = kept(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))))
+    # links mostly lead to the least node of a component, so that these roots are the last ones already
     roots = kept(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root")))
     while True:
-        near = edges.join(roots, edges["x"] == roots["node"]).groupBy(F.col("y").alias("at")).agg(F.min("root").alias("least"))
-        lower = kept(roots.join(kept(near), F.col("node") == F.col("at"), "left").select("node", "root", F.least("root", "least").alias("low")))
-        jump = lower.select(F.col("node").alias("at"), F.col("low").alias("over"))
-        new = kept(lower.join(jump, F.col("low") == F.col("at"), "left").select("node", "root", F.least("low", "over").alias("new")))
-        changed = new.where(F.col("root") != F.col("new")).limit(1).count()
+        near = edges.join(roots, edges["x"] == roots["node"]).groupBy(F.col("y").alias("at")).agg(F.min("root").alias("near"))
+        lower = roots.join(near, F.col("node") == F.col("at")).select("node", "root", F.least("root", "near").alias("low"))
+        over = roots.select(F.col("node").alias("at"), F.col("root").alias("over"))
+        new = kept(lower.join(over, F.col("low") == F.col("at")).select("node", "root", F.least("low", "over").alias("new")))
+        changed = not new.where(F.col("root") != F.col("new")).isEmpty()
         roots = new.select("node", F.col("new").alias("root"))
         if not changed:
             return roots
@@ -232,41 +260,56 @@ def components(links: DataFrame) -> DataFrame:
 def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
     """Components of near duplicates: ``node, root`` for each node with a link.
 
-    ``nodes(node, keys)``; ``texts_of`` gives ``node, text`` for a table of
+    ``nodes(node, keys, bits)``; ``texts_of`` gives ``node, text`` for a table of
     nodes. All of these may be large; neither they nor links or components pass
     through the driver.
     """
     entries = nodes.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
-    leaders = kept(entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "leader"))
+    sizes = kept(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     # all members of buckets of two and more
-    entries = kept(entries.join(leaders, "key").select("key", "node", "leader"))
-    texts = kept(texts_of(entries.select("node").distinct()))
+    entries = kept(entries.join(sizes, "key").select("key", "node", "n"))
+    mates = kept(entries.groupBy("node").agg(F.sum("n").alias("mates")))
+    leaders = kept(entries.join(mates, "node").groupBy("key").agg(F.max_by("node", F.struct("mates", "node")).alias("leader")))
+    texts = kept(texts_of(mates.select("node")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
         return kept(pairs.join(left, "a").join(right, "b").where(F.pandas_udf(similarities, "double")("s", "t") >= least).select("a", "b"))
 
-    pairs = kept(entries.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    first = entries.join(leaders, "key").where(F.col("node") != F.col("leader"))
+    pairs = kept(first.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
     links = verified(pairs)
     led = leaders.select("key", F.col("leader").alias("node"))
     entries = entries.select("key", "node")
+    small_done = False
     while True:
         roots = components(links)
         state = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         sizes = kept(state.groupBy("key", "root").agg(F.count("*").alias("n")))
-        several = kept(sizes.groupBy("key").agg(F.count("*").alias("c"), F.max_by("root", F.struct("n", "root")).alias("main")).where(F.col("c") > 1).select("key", "main"))
+        several = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("c"), F.max_by("root", F.struct("n", "root")).alias("main")).where(F.col("c") > 1)
+        if small_done:
+            several = several.where(F.col("n") > SMALL)
+        several = kept(several.select("key", "main", "n"))
         open_state = kept(state.join(several, "key"))
-        # one more leader for each lesser component of a bucket: a member that hasn't been one
-        rest = open_state.where(F.col("root") != F.col("main")).join(led, ["key", "node"], "left_anti")
+        # one more leader for each lesser component of a large bucket: a member that hasn't been one
+        rest = open_state.where((F.col("n") > SMALL) & (F.col("root") != F.col("main"))).join(led, ["key", "node"], "left_anti")
         more = kept(rest.groupBy("key", "root").agg(F.min("node").alias("leader")))
-        if not more.limit(1).count():
+        found = open_state.select("key", "node", F.col("root").alias("other")).join(more, "key").where(F.col("other") != F.col("root")).select("leader", "node")
+        if not small_done:
+            # a bucket of bounded size compares its different components' members at once
+            few = kept(open_state.where(F.col("n") <= SMALL).join(nodes.select("node", "bits"), "node"))
+            other = few.select(F.col("key").alias("other_key"), F.col("node").alias("leader"), F.col("root").alias("other"), F.col("bits").alias("other_bits"))
+            apart = (F.col("node") > F.col("leader")) & (F.col("root") != F.col("other")) & (differences(F.col("bits"), F.col("other_bits")) <= DIFFERENT)
+            found = found.unionByName(few.join(other, (F.col("key") == F.col("other_key")) & apart).select("leader", "node"))
+        elif more.isEmpty():
             return roots
-        led = kept(led.unionByName(more.select("key", F.col("leader").alias("node"))))
-        found = open_state.select("key", "node", F.col("root").alias("other")).join(more, "key").where(F.col("other") != F.col("root"))
+        led = led.unionByName(more.select("key", F.col("leader").alias("node")))
         found = found.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         new = kept(found.join(pairs, ["a", "b"], "left_anti"))
-        pairs = kept(pairs.unionByName(new))
-        links = kept(links.unionByName(verified(new)))
+        more_links = verified(new)
+        if more.isEmpty() and more_links.isEmpty():
+            return roots
+        pairs, links, small_done = pairs.unionByName(new), kept(links.unionByName(more_links)), True
 
 
 def _digest():
@@ -275,7 +318,7 @@ def _digest():
 
 def _known(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``node, class_id, copies, class_texts`` for each text, and ``class_id, node`` of each class's own document."""
-    groups = kept(signed(docs).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
+    groups = kept(signed(docs).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     groups = groups.withColumnRenamed("digest", "node")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -283,7 +326,7 @@ def _known(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         rows = docs.select("doc_id", _digest().alias("node"), text_or_empty().alias("text"))
         return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("own")), "left_semi").select("node", "text").dropDuplicates(["node"])
 
-    roots = linked(groups.where(F.col("keys").isNotNull()).select("node", "keys"), texts_of, least)
+    roots = linked(groups.where(F.col("keys").isNotNull()).select("node", "keys", "bits"), texts_of, least)
     named = kept(groups.select("node", "rep", "copies").join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root")))
     heads = kept(named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("head"), F.count("*").alias("class_texts")))
     known = kept(named.join(heads, "root").select("node", F.col("head.rep").alias("class_id"), "copies", "class_texts"))
