@@ -21,7 +21,7 @@ whole texts; verified links give components. A bucket whose members are still in
 several components gets further leaders from its lesser components until all
 members of different components have been compared, so no bucket is cut short;
 buckets of bounded size do so in one round, for the pairs whose 4-bit signatures
-don't rule the similarity out. A bucket's leader is its member with the most
+don't rule the similarity out, each pair in the first bucket that it shares. A bucket's leader is its member with the most
 bucket mates, mostly the text that the others were copied from.
 """
 
@@ -297,9 +297,11 @@ def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least:
         found = open_state.select("key", "node", F.col("root").alias("other")).join(more, "key").where(F.col("other") != F.col("root")).select("leader", "node")
         if not small_done:
             # a bucket of bounded size compares its different components' members at once
-            few = kept(open_state.where(F.col("n") <= SMALL).join(nodes.select("node", "bits"), "node"))
-            other = few.select(F.col("key").alias("other_key"), F.col("node").alias("leader"), F.col("root").alias("other"), F.col("bits").alias("other_bits"))
+            few = kept(open_state.where(F.col("n") <= SMALL).join(nodes.select("node", "bits", "keys"), "node"))
+            other = few.select(F.col("key").alias("other_key"), F.col("node").alias("leader"), F.col("root").alias("other"), F.col("bits").alias("other_bits"), F.col("keys").alias("other_keys"))
             apart = (F.col("node") > F.col("leader")) & (F.col("root") != F.col("other")) & (differences(F.col("bits"), F.col("other_bits")) <= DIFFERENT)
+            # a pair meets in the first of the buckets that it shares; if that is a large one, leaders see to it
+            apart &= F.get(F.array_intersect("keys", "other_keys"), F.lit(0)) == F.col("key")
             found = found.unionByName(few.join(other, (F.col("key") == F.col("other_key")) & apart).select("leader", "node"))
         elif more.isEmpty():
             return roots
