@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens that could be identifiers: runs without white space that hold two digits or an at sign,
 #: and runs of digits with the separators of numbers between them.
-_TOKEN = re.compile(r"[+(]?[0-9][0-9().\x20-]{2,24}[0-9]|[^\s\"'<>|,;]*(?:[0-9][^\s\"'<>|,;]*[0-9]|@)[^\s\"'<>|,;]*")
+_TOKEN = re.compile(r"[+(]?[0-9][0-9().\x20-]{2,24}[0-9]|([^\s\"'<>|,;]+)")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = "\"'.,;:!?()[]{}<>*#$%&|=`"
 _DIGITS = re.compile("[0-9]")
@@ -124,15 +125,21 @@ def candidates(text: str, own: list[tuple[int, int, int]]) -> list[tuple[int, in
     """Tokens that could be identifiers: base entities with their kind, others that don't touch one with kind -1."""
     if not _DIGITS.search(text) and "@" not in text:
         return []
-    out, taken = list(own), sorted((s, e) for _, s, e in own)
+    out, reach = list(own), []  # base entities by start, each with the furthest end up to it
+    for s, e in sorted((s, e) for _, s, e in own):
+        reach.append((s, max(e, reach[-1][1] if reach else 0)))
     for m in _TOKEN.finditer(text):
+        if m[1] and "@" not in m[1] and len(_DIGITS.findall(m[1])) < 2:
+            continue
         start, end = m.span()
         while start < end and text[start] in _EDGES and text[start] != "(":
             start += 1
         while start < end and text[end - 1] in _EDGES:
             end -= 1
-        if end - start >= 4 and not any(s < end and start < e for s, e in taken):
-            out.append((-1, start, end))
+        if end - start >= 4:
+            before = bisect_left(reach, (end,))
+            if not before or reach[before - 1][1] <= start:
+                out.append((-1, start, end))
     return out
 
 
