@@ -29,7 +29,7 @@ FOLDS = 3
 LEAST_DOCUMENTS, LEAST_RATIO = 4, 20.0
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 7)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 #: Categories that a toxic document also belongs to if it has one of these
