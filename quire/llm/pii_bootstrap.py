@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction (operator 4).
 
 Regular expressions find the base entities. These are seeds: the words around
-them, with the entity's shape, induce lexical patterns, and every other token
-with such a context and shape is an instance of a pattern. Patterns and
-instances form a graph on which Spark scores both sides in turn: a pattern by
-how many of its instances are believed to be of its kind, an instance by the
-patterns that found it. Instances of high-confidence patterns are added.
+them induce lexical patterns, and every other token with such a context is an
+instance of a pattern, whatever its form. How plausible its form is for the
+pattern's kind is a score of its own, which weighs what the patterns say.
+Patterns and instances form a graph on which Spark scores both sides in turn: a
+pattern by how many of its instances are believed to be of its kind, an
+instance by the patterns that found it. Instances of high-confidence patterns
+are added.
 """
 
 from __future__ import annotations
@@ -34,9 +36,14 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens that could be identifiers: runs without white space that hold two digits or an at sign,
-#: and runs of digits with the separators of numbers between them.
-_TOKEN = re.compile(r"[+(]?[0-9][0-9().\x20-]{2,24}[0-9]|([^\s\"'<>|,;]+)")
+#: Runs of digits with the separators of numbers between them.
+_NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20-]{2,24}[0-9](?!\w|[:@/_-]\w)")
+#: Tokens that could be identifiers: such numbers, account numbers in groups of four, and runs
+#: without white space; of these only those that hold two digits or an at sign.
+_TOKEN = re.compile(_NUMBER.pattern + r"|(?=(?:[A-Z\x20]{0,12}[0-9]){8})[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?(?!\w)|([^\s\"'<>|,;]+)")
+_ADDRESS6 = re.compile(r"(?=.*::|(?:[^:]*:){4})[0-9a-f:.]+(?:%\w+|/[0-9]+)?")
+_ACCOUNT = re.compile(r"[a-z]{2}[0-9]{2}[a-z0-9]{11,30}")
+_DATE = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = "\"'.,;:!?()[]{}<>*#$%&|=`"
 _DIGITS = re.compile("[0-9]")
@@ -92,18 +99,30 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def shape(token: str) -> str:
-    """A token's kind of form, which a context must share with its seeds: unseen identifiers differ in detail."""
-    digits = sum(map(str.isdigit, token))
+def plausible(token: str) -> list[tuple[int, float]]:
+    """The kinds that a token's form allows (as numbers), with how well it suits each; unseen identifiers differ in detail from the seeds.
+
+    Below ``LEAST_BELIEF`` the form rules a token out, but it still counts against a context.
+    """
+    token = token.lower()
     if "@" in token:
-        return "at"
+        return [(0, 1.0)]
+    digits = sum(map(str.isdigit, token))
+    letters = any(map(str.isalpha, token))
+    if _ADDRESS6.fullmatch(token):
+        return [(1, 1.0)]
+    if _DATE.fullmatch(token):
+        return [(2, 0.3), (3, 0.3)]
     if token.startswith("+"):
-        return "plus"
-    if any(map(str.isalpha, token)):
-        return "mixed"
-    if token.count(".") > 1:
-        return "dotted"
-    return "long number" if digits > 12 else "number" if digits > 6 else "short number"
+        return [(3, 1.0 if digits > 4 and not letters else 0.9 if digits > 4 else 0.5)]
+    if token.count(".") > 1 and not letters and " " not in token and "-" not in token:
+        return [(1, 1.0 if token.count(".") == 3 else 0.5), *([(3, 0.9)] if 6 < digits < 13 and token.count(".") != 3 else [])]
+    if letters:
+        whole = "".join(filter(str.isalnum, token))
+        card = 1.0 if _ACCOUNT.fullmatch(whole) else 0.9 if digits > 4 and 8 <= len(whole) <= 34 else 0.5
+        return [(2, card), (3, 0.9 if 3 < digits < 16 and token[0] in "(0123456789" and 7 <= len(whole) <= 20 and not token.isalnum() else 0.5)]
+    out = [(2, 1.0 if 11 < digits < 20 else 0.9 if digits > 6 else 0.5)]
+    return [*out, (3, 1.0 if digits > 6 else 0.5)] if digits < 13 else [*out, (3, 0.9)] if digits < 16 else out
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -121,6 +140,32 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of tokens that could be identifiers, in linear time.
+
+    A number that begins within a run, after a mark as in ``tel:030 1234567`` or
+    as the run's only digit, and goes on beyond it is a token of its own.
+    """
+    at = 0
+    while m := _TOKEN.search(text, at):
+        start, at = m.span()
+        if not m[1]:
+            yield start, at
+            continue
+        digits = _DIGITS.findall(m[1])
+        if digits:
+            own = text.index(digits[0], start)
+            own -= own > start and text[own - 1] in "+("
+            if own > start and (len(digits) < 2 or text[own - 1] in ":=#"):
+                n = _NUMBER.match(text, own)
+                if n and n.end() > at:
+                    at = n.end()
+                    yield n.span()
+                    continue
+        if len(digits) > 1 or "@" in m[1]:
+            yield start, at
+
+
 def candidates(text: str, own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Tokens that could be identifiers: base entities with their kind, others that don't touch one with kind -1."""
     if not _DIGITS.search(text) and "@" not in text:
@@ -128,11 +173,9 @@ def candidates(text: str, own: list[tuple[int, int, int]]) -> list[tuple[int, in
     out, reach = list(own), []  # base entities by start, each with the furthest end up to it
     for s, e in sorted((s, e) for _, s, e in own):
         reach.append((s, max(e, reach[-1][1] if reach else 0)))
-    for m in _TOKEN.finditer(text):
-        if m[1] and "@" not in m[1] and len(_DIGITS.findall(m[1])) < 2:
-            continue
-        start, end = m.span()
-        while start < end and text[start] in _EDGES and text[start] != "(":
+    for start, end in tokens(text):
+        whole = ")" in text[start:end]  # only then is an opening bracket the number's own
+        while start < end and text[start] in _EDGES and not (text[start] == "(" and whole and text[start + 1 : start + 2].isdigit()):
             start += 1
         while start < end and text[end - 1] in _EDGES:
             end -= 1
@@ -143,16 +186,27 @@ def candidates(text: str, own: list[tuple[int, int, int]]) -> list[tuple[int, in
     return out
 
 
+def edges_of(text: str, own: list[tuple[int, int, int]]) -> Iterator[dict]:
+    """A text's edges between contexts and candidates, one for each kind that the candidate's form allows; a base entity is wholly of its kind."""
+    for kind, s, e in candidates(text, own):
+        fits = dict(plausible(text[s:e]))
+        if kind >= 0:
+            fits[kind] = 1.0
+        for c in contexts(text, s, e):
+            for of, fit in fits.items():
+                yield {"kind": kind, "of": of, "fit": fit, "start": s, "end": e, "instance": text[s:e].lower(), "pattern": c}
+
+
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``row, doc_id, found`` (base spans) and ``edges``: kind, start, end, instance, pattern."""
+    """One row per row of ``docs``: ``row, doc_id, found`` (base spans) and ``edges``: kind, of, fit, start, end, instance, pattern."""
     rows = docs.select(F.col("doc_id").alias("__key"), text_or_empty().alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    edge = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("pattern", pa.string())])
+    edge = pa.struct([("kind", pa.int32()), ("of", pa.int32()), ("fit", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("pattern", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
@@ -160,33 +214,34 @@ def scanned(docs: DataFrame) -> DataFrame:
             for text in part.column("__text").to_pylist():
                 own = base(text)
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-                edges.append([{"kind": k, "start": s, "end": e, "instance": text[s:e].lower(), "pattern": f"{c}{shape(text[s:e])}"} for k, s, e in candidates(text, own) for c in contexts(text, s, e)])
+                edges.append(list(edges_of(text, own)))
             yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(found, pa.list_(span)), pa.array(edges, pa.list_(edge))], names=["doc_id", "found", "edges"])
 
     out = "array<struct<kind:int,start:int,end:int>>"
-    return rows.mapInArrow(run, f"doc_id {kind}, found {out}, edges array<struct<kind:int,start:int,end:int,instance:string,pattern:string>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, found {out}, edges array<struct<kind:int,of:int,fit:double,start:int,end:int,instance:string,pattern:string>>")
 
 
 def bootstrapped(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``instance, kind``: identifiers that high-confidence patterns found.
 
-    ``edges(kind, instance, pattern)``, kind -1 where no base entity is. An edge
-    counts once, however many documents repeat it. Both scores are computed by
+    ``edges(kind, of, fit, instance, pattern)``, kind -1 where no base entity is,
+    ``fit`` how plausible the instance's form is for the kind ``of``. A context is
+    a pattern of each kind that it has seeds of, over the instances that can be of
+    that kind. An edge counts once, however many documents repeat it. Both scores are computed by
     partial sums, so a pattern that holds a third of all edges is no burden.
     """
-    graph = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    # only patterns with enough seeds of one kind can ever count: the rest of the graph falls away here
-    seeds = graph.where(F.col("kind") >= 0).groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    able = kept(seeds.groupBy("pattern").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("of"), F.max("n").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern", "of"))
-    graph = kept(graph.join(able, "pattern"))
-    belief = kept(graph.groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0).otherwise(PRIOR)).alias("belief"), F.max("kind").alias("kind")))
+    graph = edges.groupBy("pattern", "of", "instance").agg(F.max("kind").alias("kind"), F.max("fit").alias("fit"))
+    # only patterns with enough seeds of their kind can ever count: the rest of the graph falls away here
+    able = kept(graph.where(F.col("kind") == F.col("of")).groupBy("pattern", "of").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern", "of"))
+    graph = kept(graph.join(able, ["pattern", "of"]))
+    belief = kept(graph.groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0).otherwise(PRIOR)).alias("belief"), F.max("kind").alias("kind"), F.max("fit").alias("fit")))
     scores = None
     for _ in range(rounds):
         judged = graph.select("pattern", "instance", "of").join(belief, ["instance", "of"])
-        # believed instances over all, with a doubt for each pattern; wrong kinds count against it
-        scores = kept(judged.groupBy("pattern", "of").agg((F.sum(F.greatest("belief", F.lit(0.0))) / (F.count("*") + 0.5)).alias("score")))
-        heard = judged.join(scores, ["pattern", "of"]).groupBy("instance", "of", "kind").agg((1 - F.exp(F.sum(F.log(F.lit(1.0001) - F.least("score", F.lit(1.0)))))).alias("heard"))
-        belief = kept(heard.select("instance", "of", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0).otherwise(F.col("heard") * F.lit(0.95)).alias("belief"), "kind"))
+        # believed instances over all, each as far as its form allows, with a doubt for each pattern; wrong kinds count against it
+        scores = kept(judged.groupBy("pattern", "of").agg((F.sum(F.greatest("belief", F.lit(0.0))) / (F.sum("fit") + 0.5)).alias("score")))
+        heard = judged.join(scores, ["pattern", "of"]).groupBy("instance", "of", "kind", "fit").agg((1 - F.exp(F.sum(F.log(F.lit(1.0001) - F.least("score", F.lit(1.0)))))).alias("heard"))
+        belief = kept(heard.select("instance", "of", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0).otherwise(F.col("heard") * F.lit(0.95) * F.col("fit")).alias("belief"), "kind", "fit"))
     sure = judged.select("pattern", "instance", "of").join(scores.where(F.col("score") >= LEAST_SCORE), ["pattern", "of"]).select("instance", "of").distinct()
     return sure.join(belief.where((F.col("kind") < 0) & (F.col("belief") >= LEAST_BELIEF)), ["instance", "of"]).groupBy("instance").agg(F.max_by("of", "belief").alias("of"))
 
@@ -200,7 +255,7 @@ def extract(docs: DataFrame) -> DataFrame:
     """
     rows = kept(scanned(docs).withColumn("row", F.monotonically_increasing_id()))
     edges = rows.select("row", F.explode("edges").alias("e")).select("row", "e.*")
-    new = kept(bootstrapped(edges.select("kind", "instance", "pattern")))
+    new = kept(bootstrapped(edges.select("kind", "of", "fit", "instance", "pattern")))
     spans = edges.where(F.col("kind") < 0).select("row", "start", "end", "instance").distinct().join(new, "instance")
     added = kept(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("of").alias("kind"), "start", "end"))).alias("added")))
     nothing = F.array().cast("array<struct<kind:int,start:int,end:int>>")

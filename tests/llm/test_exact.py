@@ -255,5 +255,27 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found[200]["spans"] == found[201]["spans"] == found[202]["spans"] == ""
 
 
+def test_contexts_find_identifiers_of_other_forms(spark):
+    seeds = lambda i: (f"Please {('call', 'dial')[i % 2]} me at +1 ({100 + i}) 555-{1000 + i} soon", f"the host address 10.0.{i}.7 answers", f"paid by card {card(i)} today")
+
+    def card(i):
+        return next(n for k in range(10) if pii_bootstrap.luhn(n := f"4{i:03}00000000{i:03}{k}"))
+
+    unseen = {  # none has a seed's form
+        "Please call me at (555) 123-4567": "phone:18:32", "Please dial me at 030 1234567": "phone:18:29", "Please dial me at 1234567890 soon": "phone:18:28",
+        "the host address 2001:db8::8a2e:370:7334 answers": "ip:17:40", "paid by card DE89370400440532013000 today": "card:13:35", "paid by card DE89 3704 0044 0532 0130 00 today": "card:13:40",
+    }
+    rows = [(i, " . ".join(seeds(i))) for i in range(40)] + [(100 + i, t) for i, t in enumerate(unseen)] + [(200, "Please call me at 10:30 today, a sum of 1234567890123")]
+    found = {r["doc_id"]: r["spans"] for r in pii_bootstrap.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[100 + i] for i in range(len(unseen))] == list(unseen.values())
+    assert found[200] == "" and found[0].count(":") == 6
+
+
+def test_identifier_tokens():
+    tokens = lambda text: [text[s:e] for _, s, e in pii_bootstrap.candidates(text, [])]
+    assert tokens("tel:030 1234567, #1 800 555 0199 and (name7@host)") == ["030 1234567", "1 800 555 0199", "name7@host"]
+    assert tokens("7536784127813050 4845168114407329") == ["7536784127813050", "4845168114407329"]
+
+
 def test_personal_data_of_odd_documents(odd):
     assert pii_bootstrap.digests(odd).count() == odd.count()
