@@ -5,8 +5,10 @@ root. Per path, text length and punctuation are summed and divided by the
 number of blocks, which gives two ratios. Paths are smoothed with their
 relatives (the share of the path that they have in common is the weight), the
 two ratios are fused by their product, and paths above the page's threshold are
-content. What HTML itself marks as something else (navigation, forms, asides,
-and blocks that their class or id names as such) isn't.
+content. Text within links doesn't count for a path, but in an article it does.
+What HTML itself marks as something else (navigation, forms, asides, and blocks
+that their class or id names as such) isn't content; a class or id alone never
+takes out an article, nor what holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -24,21 +26,21 @@ from quire.llm.tables import text_or_empty
 
 #: Share of the mean fused ratio, weighted by text, from which a path is content.
 THRESHOLD = 0.2
-#: Share of a block's text within links from which it is a menu.
-LINKED = 0.6
+#: Share of the page's text from which a class or id doesn't make an element something else.
+MOST = 0.5
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_BESIDE = frozenset("nav header footer aside form menu dialog button figcaption head".split())
+_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object select".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+_BESIDE = frozenset("nav header footer aside form menu dialog button head".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the same or a related kind.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl div article section main body td th blockquote".split())
-#: Words in a class or id that name what is beside the article.
+#: Words that are a class or id, or its leading part, and name what is beside the article; tags mark articles, too ("tag-python").
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widget)(?:$|[\s_-])",
+    r"(?:^|\s)(?:(?:site|global|main|primary|left|right)[_-])?(?:(header)|ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags?(?=$|\s|[_-](?:list|links|cloud)\b)|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
@@ -51,7 +53,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
     """A page's blocks in order: path, whether it is beside the article, text, characters within links."""
     out: list[tuple[tuple[str, ...], bool, str, int]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, beside the article, step of the path
+    stack: list[tuple[str, bool, str, int]] = []  # tag, beside the article, step of the path, number if named as beside it
+    named: list[list] = []  # of elements named so: text, whether an article is around and within it
+    within: list[int] = []  # their numbers, from the root
+    ours: list[tuple[int, ...]] = []  # by block
+    articles = 0
     parts: list[str] = []
     linked = links = 0
     at, beside = 0, 0
@@ -61,14 +67,20 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((tuple(step for _, _, step in stack), beside > 0, text, linked))
+                out.append((tuple(step for _, _, step, _ in stack), beside > 0, text, linked))
+                ours.append(tuple(within))
+                for i in within:
+                    named[i][0] += len(text)
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal beside
         while len(stack) > to:
-            beside -= stack.pop()[1]
+            _, off, _, number = stack.pop()
+            beside -= off
+            if number >= 0:
+                within.pop()
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -117,25 +129,38 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     break
         names = " ".join(filter(None, (x for found in _NAMED.findall(m[3]) for x in found))) if m[3] else ""
         # an article may have a header of its own: its heading is the article's
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        off = (tag in _BESIDE and not (tag == "header" and inside)) or (tag not in ("html", "body", "article", "main") and bool(names and _NAMES.search(names))) or bool(m[3] and _HIDDEN.search(m[3]))
+        inside = any(t in ("article", "main") for t, _, _, _ in stack)
+        if tag in ("article", "main"):
+            articles += 1
+            for i in within:
+                named[i][2] = True
+        name = _NAMES.search(names) if names and tag not in ("html", "body", "article", "main") else None
+        off = (tag in _BESIDE and not (tag == "header" and inside)) or bool(m[3] and _HIDDEN.search(m[3]))
         if not m[3].endswith("/") or tag not in ("path",):
-            stack.append((tag, off, f"{tag}.{names}" if names and tag in ("div", "section", "td", "ul") else tag))
+            number = -1
+            if name and not (name[1] and (inside or re.fullmatch("h[1-6]", tag))):
+                number = len(named)
+                named.append([0, inside, False])
+                within.append(number)
+            stack.append((tag, off, f"{tag}.{names}" if names and tag in ("div", "section", "td", "ul") else tag, number))
             beside += off
     flush()
-    return out
+    # a name doesn't count around an article, nor on what holds most of the text where no article is marked outside of it
+    whole = sum(len(text) for _, off, text, _ in out if not off)
+    wrong = {i for i, (n, inner, around) in enumerate(named) if around or (n > MOST * whole and (inner or not articles))}
+    return [(path, off or any(i not in wrong for i in numbers), text, link) for (path, off, text, link), numbers in zip(out, ours)]
 
 
 def content(html: str, threshold: float = THRESHOLD) -> list[str]:
     """The texts of a page's content blocks, in page order."""
-    found = [(path, text, link) for path, beside, text, link in blocks(html) if not beside and link <= LINKED * len(text)]
+    found = [(path, text, link) for path, beside, text, link in blocks(html) if not beside]
     if not found:
         return []
     sums: dict[tuple[str, ...], list[float]] = {}
     for path, text, link in found:
         own = sums.setdefault(path, [0.0, 0.0, 0.0])
         own[0] += 1
-        own[1] += len(text) - link
+        own[1] += len(text) if any(tag.split(".")[0] in ("article", "main") for tag in path) else len(text) - link
         own[2] += len(_PUNCTUATION.findall(text))
     length = {p: n / k for p, (k, n, _) in sums.items()}
     marks = {p: n / k for p, (k, _, n) in sums.items()}

@@ -151,6 +151,16 @@ def test_main_text_of_odd_pages(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+def test_main_text_keeps_whole_articles():
+    prose = "This is a long paragraph of the story, with enough text, and marks, to be found."
+    for wrapper in ("content has-sidebar", "post tag-python", "elementor-widget", "sidebar"):
+        assert html_extract.content(f'<nav>Home</nav><div class="{wrapper}"><h2 class="section-header">Title</h2><p>{prose}</p><p>{prose}</p></div><footer>(c)</footer>') == ["Title", prose, prose]
+    assert html_extract.content(f'<div class="sidebar"><article><p>{prose}</p></article></div><div class="comments"><p>{prose * 3}</p></div>') == [prose]
+    page = f'<article><h2><a href="/p">A linked title</a></h2><p>{prose}</p><figure><img src="x"><figcaption>The caption of it.</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><ul><li><a href="/1">First reference</a></li><li><a href="/2">Second reference</a></li></ul><div class="share">Share this</div></article>'
+    assert html_extract.content(page) == ["A linked title", prose, "The caption of it.", "So x=1 holds.", "First reference", "Second reference"]
+    assert html_extract.content(f'<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul><div><h1><a href="/p">Title</a></h1><p>{prose}</p></div>') == ["Title", prose]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
