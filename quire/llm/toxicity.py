@@ -119,27 +119,33 @@ def fit_chain(found: list[list[int]], labels, n_features: int, folds: int = FOLD
     return weights, earlier[:, -1]
 
 
-def best_threshold(scores, truth) -> float:
-    """The threshold with the best F1 on out-of-fold scores; in the middle of the gap that it falls in."""
+def best_threshold(scores, truth, weights=None) -> float:
+    """The threshold with the best F1 on out-of-fold scores; in the middle of the gap that it falls in.
+
+    ``weights`` say how many documents each row stands for, one if not given.
+    """
     import numpy as np
 
     order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + truth.sum())
+    each = np.ones(len(scores)) if weights is None else np.asarray(weights, "f8")
+    s, hits = scores[order], np.cumsum((each * truth)[order])
+    f1 = 2 * hits / (np.cumsum(each[order]) + (each * truth).sum())
     f1[:-1][s[:-1] == s[1:]] = 0  # a tie can't be divided
     at = int(f1.argmax())
     return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0)) / 2)
 
 
 def label_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
-    """A bounded sample of labelled documents: ``key, toxic, text``. A document labelled twice is toxic if one label says so."""
+    """A bounded sample of labelled documents: ``key, toxic, weight, text``, where a row stands for ``weight`` labelled documents of its class. A document labelled twice is toxic if one label says so."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chosen = F.lit(False)
+    chosen, weight = F.lit(False), F.lit(1.0)
     for value, bound in ((1, positives), (0, negatives)):
-        chosen |= (F.col("toxic") == value) & sample_share(F.col("doc_id"), 0.95 * bound / max(1, sizes.get(value, 1)))
-    sample = known.where(chosen).limit(positives + negatives)  # the bound that allows the broadcast
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").alias("key"), "toxic", "text")
+        share = 0.95 * bound / max(1, sizes.get(value, 1))
+        chosen |= (F.col("toxic") == value) & sample_share(F.col("doc_id"), share)
+        weight = F.when(F.col("toxic") == value, 1 / min(1.0, share)).otherwise(weight) if share > 0 else weight
+    sample = known.where(chosen).withColumn("weight", weight).limit(positives + negatives)  # the bound that allows the broadcast
+    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").alias("key"), "toxic", "weight", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]] | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
@@ -154,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]]
     terms = CATEGORY_TERMS if terms is None else terms
     categories = (*terms, "coded", "toxic")
     sample = kept(label_rows(docs, labels, positives, negatives))
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    counted = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
+    sizes, stands = {r["toxic"]: r["n"] for r in counted}, {r["toxic"]: r["weight"] for r in counted}
     if not (sizes.get(0) and sizes.get(1)):
         return Model({}, [[-6.0]] + [[0.0] * k + [-6.0] for k in range(1, len(categories))], categories, 0.5)
 
@@ -166,12 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]]
             both = counts[0] + counts[1]
             yield pd.DataFrame({"feature": list(both), "clean": [counts[0][f] for f in both], "toxic": [counts[1][f] for f in both]})
 
-    share = sizes[1] / (sizes[0] + sizes[1])
-    both = F.col("toxic") + F.col("clean")
+    # classes as frequent as among all labels, in a sample of this size
+    everything = sum(sizes[k] * stands[k] for k in (0, 1))
+    scale, share = (sizes[0] + sizes[1]) / everything, sizes[1] * stands[1] / everything
+    documents = F.col("toxic") + F.col("clean")
+    toxic, clean = F.col("toxic") * (stands[1] * scale), F.col("clean") * (stands[0] * scale)
+    both = toxic + clean
     part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
-    ratio = 2 * (part(F.col("toxic"), both * share) + part(F.col("clean"), both * (1 - share)))
+    ratio = 2 * (part(toxic, both * share) + part(clean, both * (1 - share)))
     strong = sample.mapInPandas(frequencies, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    strong = strong.where((both >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "feature").limit(FEATURES)
+    strong = strong.where((documents >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO)).orderBy(ratio.desc(), "feature").limit(FEATURES)
     features = {r["feature"]: i for i, r in enumerate(sorted(strong.collect(), key=lambda r: r["feature"]))}
     groups = list(terms.values())
 
@@ -188,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]]
     rows.sort(key=lambda r: (r["key"], r["found"]))
     truth = np.array([r["labels"] for r in rows], "f4")
     weights, scores = fit_chain([r["found"] for r in rows], truth, len(features))
-    return Model(features, weights, categories, best_threshold(scores, truth[:, -1]))
+    return Model(features, weights, categories, best_threshold(scores, truth[:, -1], [stands[int(y)] for y in truth[:, -1]]))
 
 
 def predictor(model: Model):

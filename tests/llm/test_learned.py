@@ -66,6 +66,24 @@ def test_toxicity(spark, odd):
     assert toxicity.accepted(odd, model).columns == odd.columns
 
 
+def test_toxicity_threshold_with_small_and_large_caps(spark):
+    from statistics import NormalDist
+
+    import numpy as np
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'x' AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 = 0 AS int) AS toxic")
+    scores = np.array([NormalDist(2.0 if i % 10 == 0 else 0.0).inv_cdf(i * 0.6180339887 % 1 or 0.5) for i in range(4000)])
+
+    def threshold(positives, negatives):
+        rows = toxicity.label_rows(docs, labels, positives, negatives).collect()
+        return toxicity.best_threshold(scores[[r["key"] for r in rows]], np.array([r["toxic"] for r in rows], "f4"), [r["weight"] for r in rows])
+
+    whole = toxicity.best_threshold(scores, np.array([i % 10 == 0 for i in range(4000)], "f4"))
+    assert abs(threshold(5000, 5000) - whole) < 1e-9
+    assert abs(threshold(5000, 900) - whole) < 0.35
+
+
 def test_toxicity_without_labels(spark, odd):
     labels = spark.createDataFrame([(4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
