@@ -16,13 +16,18 @@ Jaccard coefficient. Points beyond the time by which all components are filled
 are never generated.
 
 Then: equal texts are one node; nodes that agree in all values of a band share
-a bucket; in each bucket members are compared with leaders, exactly, on the
-whole texts; verified links give components. A bucket whose members are still in
-several components gets further leaders from its lesser components until all
-members of different components have been compared, so no bucket is cut short;
-buckets of bounded size do so in one round, for the pairs whose 4-bit signatures
-don't rule the similarity out, each pair in the first bucket that it shares. A bucket's leader is its member with the most
-bucket mates, mostly the text that the others were copied from.
+a bucket. In two rounds every pair of a bucket is compared, exactly and on the
+whole texts, or known to be linked already:
+
+1. each bucket's members with its leader, the member with the most bucket mates
+   (mostly the text that the others were copied from); verified links give
+   components;
+2. in each bucket, the members outside its largest component with all members
+   of other components.
+
+Both rounds deal the texts out in blocks of bounded size, each of which is one
+product of shingle matrices; no pair is a row before it is a verified link, and
+buckets of all sizes are handled alike.
 """
 
 from __future__ import annotations
@@ -30,22 +35,21 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_trie import slices
-from quire.llm.tables import kept, text_or_empty
+from quire.llm.tables import dropped, kept, text_or_empty, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 7) ** 32 = 0.9995.
 BANDS, ROWS = 32, 7
-#: Buckets up to this size compare all members of their different components in one round; larger ones by leaders.
-SMALL = 1024
-#: Of 4-bit signatures of 224 components, pairs at 0.8 differ in 42 on average, in more than this with probability 0.003.
-DIFFERENT = 58
+#: Texts, and their bytes, on one side of a block of comparisons (one text at least).
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
+#: Numbers in a slice of a block's shingle matrices.
+CELLS = 1 << 22
 #: Text handled at once in numpy.
 SLICE_BYTES = 1 << 20
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -158,25 +162,6 @@ def bands(values, number: int = BANDS):
     return key.view("i8")
 
 
-def packed(values):
-    """Four bits of each component, sixteen to a 64-bit number."""
-    import numpy as np
-
-    nibbles = (mix(values.view("u8") * np.uint64(_GOLDEN)) >> np.uint64(60)).reshape(len(values), -1, 16)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype="u8") * np.uint64(4)), axis=2).view("i8")
-
-
-def differences(left: Column, right: Column, numbers: int = BANDS * ROWS // 16) -> Column:
-    """In how many components two packed signatures differ."""
-    total = F.lit(0)
-    for i in range(numbers):
-        x = F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
 def _buffer(column: pa.Array):
     """An Arrow string column's bytes and offsets, from zero."""
     import numpy as np
@@ -187,7 +172,7 @@ def _buffer(column: pa.Array):
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, keys, bits``: a document's text digest, its band keys and packed signature (null without a word). No shuffle."""
+    """``doc_id, digest, bytes, keys``: a document's text digest, size and band keys (null without a word). No shuffle."""
     rows = docs.select("doc_id", F.unhex(F.md5(text_or_empty().cast("binary"))).alias("digest"), F.lower(text_or_empty()).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,45 +181,122 @@ def signed(docs: DataFrame) -> DataFrame:
         for part in slices(batches, "text", SLICE_BYTES):
             for start in range(0, part.num_rows, 4096):
                 some = part.slice(start, 4096)
-                keys, counts = shingles(*_buffer(some.column("text")))
-                values = signatures(keys, counts, some.num_rows)
-                none = ~np.isfinite(values[:, 0])
-                lists = []
-                for numbers in (bands(values), packed(values)):
-                    ends = pa.array(np.arange(some.num_rows + 1, dtype="i4") * numbers.shape[1])
-                    whole = pa.ListArray.from_arrays(ends, pa.array(numbers.reshape(-1)))
-                    lists.append(pc.if_else(pa.array(none), pa.scalar(None, whole.type), whole) if none.any() else whole)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("digest"), *lists], names=["doc_id", "digest", "keys", "bits"])
+                values = signatures(*shingles(*_buffer(some.column("text"))), some.num_rows)
+                none, numbers = ~np.isfinite(values[:, 0]), bands(values)
+                ends = pa.array(np.arange(some.num_rows + 1, dtype="i4") * numbers.shape[1])
+                keys = pa.ListArray.from_arrays(ends, pa.array(numbers.reshape(-1)))
+                keys = pc.if_else(pa.array(none), pa.scalar(None, keys.type), keys) if none.any() else keys
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("digest"), pc.binary_length(some.column("text")).cast(pa.int64()), keys], names=["doc_id", "digest", "bytes", "keys"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, bytes long, keys array<long>")
 
-    return rows.mapInArrow(run, "doc_id long, digest binary, keys array<long>, bits array<long>")
 
+def overlaps(keys, counts, left, right):
+    """Weighted Jaccard coefficients of the texts numbered ``left`` with those numbered ``right``, as a matrix.
 
-def similarity(left: list[str], right: list[str]):
-    """Weighted Jaccard coefficients of pairs of texts, over all their shingles."""
+    ``keys`` and ``counts`` are the ``shingles`` of all texts. A shingle that
+    occurs c times is c different columns of the texts' 0/1 matrices, so that
+    their product counts what two texts have in common.
+    """
+    import numpy as np
+
+    owner = (keys >> np.uint64(48)).astype("i8")
+    rows = int(max(left.max(), right.max())) + 1
+    total = np.bincount(owner, counts, minlength=rows)
+    often = np.flatnonzero(counts > 1)
+    again = np.repeat(often, counts[often] - 1)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(counts[often] - 1) - (counts[often] - 1), counts[often] - 1) + 1
+    element = keys & np.uint64((1 << 48) - 1)
+    element = np.concatenate([element, mix(element[again] + nth.astype("u8") * np.uint64(_GOLDEN)) >> np.uint64(16)])
+    owner = np.concatenate([owner, owner[again]])
+    _, column = np.unique(element, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    # only columns that several texts have matter
+    size = np.bincount(column)
+    shared = size[column] > 1
+    owner, column = owner[shared], (np.cumsum(size > 1) - 1)[column[shared]]
+    places = []
+    for own in (left, right):
+        place = np.full(rows, -1)
+        place[own] = np.arange(len(own))
+        places.append(place[owner])
+    both, step = np.zeros((len(left), len(right)), "f8"), max(1, CELLS // (len(left) + len(right)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        low, high = np.searchsorted(column, [at, at + step])
+        sides = []
+        for own, place in zip((left, right), places):
+            here = np.flatnonzero(place[low:high] >= 0) + low
+            side = np.zeros((len(own), step), "f4")
+            side[place[here], column[here] - at] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    return both / np.maximum(total[left][:, None] + total[right][None, :] - both, 1)
+
+
+def similarity(left: list[str], right: list[str]) -> list[float]:
+    """Weighted Jaccard coefficients of pairs of texts."""
     import numpy as np
 
-    sides = []
-    for texts in (left, right):
-        column = pa.array([t.lower() for t in texts], pa.string())
-        keys, counts = shingles(*_buffer(column))
-        sides.append((keys, counts, np.bincount((keys >> np.uint64(48)).astype("i8"), counts, minlength=len(texts))))
-    (a, m, s), (b, n, t) = sides
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both = np.bincount((a[i] >> np.uint64(48)).astype("i8"), np.minimum(m[i], n[j]), minlength=len(left))
-    return both / np.maximum(s + t - both, 1)
-
-
-def similarities(left: pd.Series, right: pd.Series) -> pd.Series:
-    out, at, total = [], 0, 0
-    sizes = [len(a) + len(b) for a, b in zip(left, right)]
-    for i, n in enumerate(sizes):
-        if i > at and (total + n > SLICE_BYTES or i - at >= 4096):
-            out += similarity(left.iloc[at:i].tolist(), right.iloc[at:i].tolist()).tolist()
-            at, total = i, 0
-        total += n
-    if at < len(sizes):
-        out += similarity(left.iloc[at:].tolist(), right.iloc[at:].tolist()).tolist()
-    return pd.Series(out, dtype="float64")
+    out = []
+    for s, t in zip(left, right):
+        keys, counts = shingles(*_buffer(pa.array([s.lower(), t.lower()], pa.string())))
+        out.append(float(overlaps(keys, counts, np.array([0]), np.array([1]))[0, 0]) if len(keys) else 0.0)
+    return out
+
+
+def verified(rows: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links between the texts of each block.
+
+    ``rows(block, i, j, node, root, is_left, is_right, text)``; a block's left
+    texts are compared with its right ones of other roots. A task holds the
+    rows of a block and a slice of its matrices.
+    """
+    dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
+
+    def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        import numpy as np
+
+        left, right = np.flatnonzero(part.column("is_left").to_numpy(False)), np.flatnonzero(part.column("is_right").to_numpy(False))
+        if not len(left) or not len(right):
+            return None
+        keys, counts = shingles(*_buffer(part.column("text")))
+        if not len(keys):
+            return None
+        root = np.array(part.column("root").to_pylist(), object)
+        alike = (overlaps(keys, counts, left, right) >= least) & (root[left][:, None] != root[right][None, :])
+        i, j = np.nonzero(alike)
+        nodes = part.column("node")
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(left[i])), nodes.take(pa.array(right[j]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            ids, start = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j")))), 0
+            for at, own in enumerate(ids):
+                if own != last:
+                    if at > start:
+                        rest.append(batch.slice(start, at - start))
+                    if rest and (found := links(pa.concat_batches(rest))) is not None:
+                        yield found
+                    rest, start, last = [], at, own
+            if start < len(ids):
+                rest.append(batch.slice(start))
+        if rest and (found := links(pa.concat_batches(rest))) is not None:
+            yield found
+
+    kind = rows.schema["node"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def parts_of(texts: Column, size: Column) -> Column:
+    """In how many parts so many texts of this total size are dealt out."""
+    return F.greatest(F.ceil(texts / F.lit(BLOCK_TEXTS)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+
+
+def part_of(node: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit("part")), parts).cast("int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,75 +305,70 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the least root among a node and its neighbours, then the
     root's own root; the number of rounds grows with the logarithm of a chain.
     """
-    edges = kept(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))))
+    edges = kept(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     # links mostly lead to the least node of a component, so that these roots are the last ones already
-    roots = kept(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root")))
+    roots = kept(edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root"), F.lit(True).alias("changed")))
     while True:
         near = edges.join(roots, edges["x"] == roots["node"]).groupBy(F.col("y").alias("at")).agg(F.min("root").alias("near"))
         lower = roots.join(near, F.col("node") == F.col("at")).select("node", "root", F.least("root", "near").alias("low"))
         over = roots.select(F.col("node").alias("at"), F.col("root").alias("over"))
-        new = kept(lower.join(over, F.col("low") == F.col("at")).select("node", "root", F.least("low", "over").alias("new")))
-        changed = not new.where(F.col("root") != F.col("new")).isEmpty()
-        roots = new.select("node", F.col("new").alias("root"))
-        if not changed:
-            return roots
+        new = kept(lower.join(over, F.col("low") == F.col("at")).select("node", F.least("low", "over").alias("root"), (F.col("root") != F.least("low", "over")).alias("changed")))
+        dropped(roots)
+        roots = new
+        if roots.where("changed").isEmpty():
+            dropped(edges)
+            out = roots.drop("changed")
+            out._quire_folder = roots._quire_folder
+            return out
 
 
 def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
     """Components of near duplicates: ``node, root`` for each node with a link.
 
-    ``nodes(node, keys, bits)``; ``texts_of`` gives ``node, text`` for a table of
+    ``nodes(node, bytes, keys)``; ``texts_of`` gives ``node, text`` for a table of
     nodes. All of these may be large; neither they nor links or components pass
     through the driver.
     """
-    entries = nodes.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
-    sizes = kept(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    entries = nodes.where(F.col("keys").isNotNull()).select("node", "bytes", F.explode("keys").alias("key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # all members of buckets of two and more
-    entries = kept(entries.join(sizes, "key").select("key", "node", "n"))
-    mates = kept(entries.groupBy("node").agg(F.sum("n").alias("mates")))
-    leaders = kept(entries.join(mates, "node").groupBy("key").agg(F.max_by("node", F.struct("mates", "node")).alias("leader")))
+    entries = kept(entries.join(sizes, "key").select("key", "node", "bytes", "n"))
+    mates = kept(entries.groupBy("node").agg(F.sum("n").alias("mates"), F.first("bytes").alias("bytes")))
+    leaders = kept(entries.join(mates.select("node", "mates"), "node").groupBy("key").agg(F.max_by("node", F.struct("mates", "node")).alias("leader")))
     texts = kept(texts_of(mates.select("node")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
-        return kept(pairs.join(left, "a").join(right, "b").where(F.pandas_udf(similarities, "double")("s", "t") >= least).select("a", "b"))
-
-    first = entries.join(leaders, "key").where(F.col("node") != F.col("leader"))
-    pairs = kept(first.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
-    links = verified(pairs)
-    led = leaders.select("key", F.col("leader").alias("node"))
-    entries = entries.select("key", "node")
-    small_done = False
-    while True:
-        roots = components(links)
-        state = entries.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        sizes = kept(state.groupBy("key", "root").agg(F.count("*").alias("n")))
-        several = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("c"), F.max_by("root", F.struct("n", "root")).alias("main")).where(F.col("c") > 1)
-        if small_done:
-            several = several.where(F.col("n") > SMALL)
-        several = kept(several.select("key", "main", "n"))
-        open_state = kept(state.join(several, "key"))
-        # one more leader for each lesser component of a large bucket: a member that hasn't been one
-        rest = open_state.where((F.col("n") > SMALL) & (F.col("root") != F.col("main"))).join(led, ["key", "node"], "left_anti")
-        more = kept(rest.groupBy("key", "root").agg(F.min("node").alias("leader")))
-        found = open_state.select("key", "node", F.col("root").alias("other")).join(more, "key").where(F.col("other") != F.col("root")).select("leader", "node")
-        if not small_done:
-            # a bucket of bounded size compares its different components' members at once
-            few = kept(open_state.where(F.col("n") <= SMALL).join(nodes.select("node", "bits", "keys"), "node"))
-            other = few.select(F.col("key").alias("other_key"), F.col("node").alias("leader"), F.col("root").alias("other"), F.col("bits").alias("other_bits"), F.col("keys").alias("other_keys"))
-            apart = (F.col("node") > F.col("leader")) & (F.col("root") != F.col("other")) & (differences(F.col("bits"), F.col("other_bits")) <= DIFFERENT)
-            # a pair meets in the first of the buckets that it shares; if that is a large one, leaders see to it
-            apart &= F.get(F.array_intersect("keys", "other_keys"), F.lit(0)) == F.col("key")
-            found = found.unionByName(few.join(other, (F.col("key") == F.col("other_key")) & apart).select("leader", "node"))
-        elif more.isEmpty():
-            return roots
-        led = led.unionByName(more.select("key", F.col("leader").alias("node")))
-        found = found.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        new = kept(found.join(pairs, ["a", "b"], "left_anti"))
-        more_links = verified(new)
-        if more.isEmpty() and more_links.isEmpty():
-            return roots
-        pairs, links, small_done = pairs.unionByName(new), kept(links.unionByName(more_links)), True
+    def compared(blocks: DataFrame) -> DataFrame:
+        return kept(verified(blocks.join(texts, "node").select("block", "i", "j", "node", "root", "is_left", "is_right", F.lower("text").alias("text")), least))
+
+    # round 1: a leader stands in each block of its members
+    led = entries.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node", "bytes").distinct()
+    led = kept(led)
+    sums = led.groupBy("leader").agg(parts_of(F.count("*"), F.sum("bytes")).alias("parts"))
+    members = led.join(sums, "leader").select(F.col("leader").alias("block"), F.lit(0).alias("i"), part_of(F.col("node"), F.col("parts")).alias("j"), "node", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
+    heads = sums.select(F.col("leader").alias("block"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.col("leader").alias("node"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    links = compared(members.unionByName(heads).withColumn("root", F.col("node")))
+    dropped(led)
+    first = components(links)
+
+    # round 2: what is left of the buckets without their leaders; buckets of equal members are one
+    state = entries.join(leaders, "key").where(F.col("node") != F.col("leader")).select("key", "node", "bytes").join(first, "node", "left")
+    state = kept(state.select("key", "node", "bytes", F.coalesce("root", "node").alias("root")))
+    dropped(entries, leaders)
+    id_ = F.xxhash64("node")
+    by_root = state.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.bit_xor(id_).alias("x"), F.bit_xor(F.xxhash64(id_, F.lit(1))).alias("y"))
+    main = F.max_by(F.struct("root", "n", "size"), F.struct("n", "root"))
+    mixed = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), main.alias("main")).where(F.col("roots") > 1)
+    mixed = mixed.groupBy("x", "y", "n").agg(F.min_by(F.struct("key", "size", "main"), "key").alias("b"))
+    rights, lefts = parts_of(F.col("n"), F.col("b.size")), parts_of(F.col("n") - F.col("b.main.n"), F.col("b.size") - F.col("b.main.size"))
+    mixed = kept(mixed.select(F.col("b.key").alias("key"), F.col("b.main.root").alias("main"), rights.alias("rights"), lefts.alias("lefts")))
+    lesser, own_left, own_right = F.col("root") != F.col("main"), part_of(F.col("node"), F.col("lefts")), part_of(F.col("node"), F.col("rights"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), own_right.alias("j"), (lesser & (i == own_left)).alias("is_left"), F.lit(True).alias("is_right")))
+    as_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: lesser & (j != own_right)), lambda j: F.struct(own_left.alias("i"), j.alias("j"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right")))
+    blocks = state.join(mixed, "key").select(F.col("key").alias("block"), "node", "root", F.explode(F.concat(as_right, as_left)).alias("at")).select("block", "node", "root", "at.*")
+    more = compared(blocks)
+    roots = components(links.unionByName(more))
+    dropped(state, mixed, mates, texts, links, more, first)
+    return roots
 
 
 def _digest():
@@ -320,7 +377,7 @@ def _digest():
 
 def _known(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``node, class_id, copies, class_texts`` for each text, and ``class_id, node`` of each class's own document."""
-    groups = kept(signed(docs).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    groups = kept(signed(docs).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
     groups = groups.withColumnRenamed("digest", "node")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -328,7 +385,7 @@ def _known(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         rows = docs.select("doc_id", _digest().alias("node"), text_or_empty().alias("text"))
         return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("own")), "left_semi").select("node", "text").dropDuplicates(["node"])
 
-    roots = linked(groups.where(F.col("keys").isNotNull()).select("node", "keys", "bits"), texts_of, least)
+    roots = linked(groups.where(F.col("keys").isNotNull()).select("node", "bytes", "keys"), texts_of, least)
     named = kept(groups.select("node", "rep", "copies").join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root")))
     heads = kept(named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("head"), F.count("*").alias("class_texts")))
     known = kept(named.join(heads, "root").select("node", F.col("head.rep").alias("class_id"), "copies", "class_texts"))
@@ -351,9 +408,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class, the one with the least doc_id; columns as they are."""
+    """One row of each class, the one with the least doc_id; columns as they are, whatever their names."""
     _, heads = _known(docs, least)
+    columns, node = docs.columns, unused(docs.columns, "__node")
     heads = heads.select(F.col("class_id").alias("__rep"), F.col("node").alias("__own"))
-    rows = docs.withColumn("__node", _digest())
-    rows = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("__rep")) & (F.col("__node") == F.col("__own")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__node"]).drop("__node")
+    rows = docs.withColumn(node, _digest())
+    rows = rows.join(heads, rows["doc_id"].eqNullSafe(heads["__rep"]) & (rows[node] == heads["__own"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", node]).select(*[F.col(f"`{c}`") for c in columns])
