@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import zlib
 
 import pytest
 
@@ -17,22 +19,80 @@ def odd(spark):
     return spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "doc_id long, text string, lang string, lang_pred string, score string, source string")
 
 
-def test_forward_sums_all_segmentations():
-    table = {p: (q,) for p, q in {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.1, "ab": 0.15, "▁ab": 0.05, "ba": 0.2}.items()}
-    model = language_id.Model(["x"], table, 3)
+PIECES = {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.1, "ab": 0.15, "▁ab": 0.05, "ba": 0.2}
+
+
+def segmented(text, table, longest=3):
+    """The sum over all segmentations, one by one."""
+    return 1.0 if not text else sum(table.get(text[:n], language_id.UNKNOWN if n == 1 else 0) * segmented(text[n:], table, longest) for n in range(1, longest + 1) if n <= len(text))
 
-    def brute(text):
-        return 1.0 if not text else sum(table.get(text[:n], (language_id.UNKNOWN if n == 1 else 0,))[0] * brute(text[n:]) for n in range(1, 4) if n <= len(text))
 
-    for word in ("a", "ab", "abba", "abc", "bab" * 4):
-        assert math.isclose(model.word(word)[0], math.log(brute("▁" + word)), rel_tol=1e-9)
-        assert math.isclose(model._long("▁" + word)[0], math.log(brute("▁" + word)), rel_tol=1e-9)
-    assert math.isfinite(model.word("ab" * 5000)[0])
+def test_forward_sums_all_segmentations():
+    other = {p: q / 3 for p, q in PIECES.items()}
+    model = language_id.Model(["x", "y"], list(PIECES), [[q, other[p]] for p, q in PIECES.items()])
+    words = ["a", "ab", "abba", "abc", "bab" * 4, "ccccccccccc", "ba", "é𝔸b"]
+    for word, found in zip(words, model.scorer()(words)):
+        assert math.isclose(found[0], math.log(segmented("▁" + word, PIECES)), rel_tol=1e-9)
+        assert math.isclose(found[1], math.log(segmented("▁" + word, other)), rel_tol=1e-9)
+    long = model.scorer()(["ab" * 5000, "é" * 3000])
+    assert all(map(math.isfinite, long.reshape(-1))) and math.isclose(long[1, 0], math.log(0.1) + 3000 * math.log(language_id.UNKNOWN), rel_tol=1e-9)
+
 
+def test_expected_counts_agree_with_brute_force():
+    import numpy as np
 
-def test_expected_counts_fill_the_word():
-    counts = language_id.expected_counts([("abab", 2.0)], {"▁": 0.1, "a": 0.2, "b": 0.1, "▁a": 0.1, "ab": 0.15}, 3)
-    assert math.isclose(sum(len(p) * n for p, n in counts.items()), 2 * len("▁abab"))
+    def segmentations(text):
+        if not text:
+            yield ()
+        for n in range(1, min(3, len(text)) + 1):
+            if text[:n] in PIECES or n == 1:
+                yield from ((text[:n], *rest) for rest in segmentations(text[n:]))
+
+    words, weights, expected = ["abab", "bab", "aca", "b" * 17], [2.0, 1.0, 3.0, 1.0], dict.fromkeys(PIECES, 0.0)
+    for word, weight in zip(words, weights):
+        ways = list(segmentations("▁" + word))
+        chances = [math.prod(PIECES.get(p, language_id.UNKNOWN) for p in way) for way in ways]
+        for way, chance in zip(ways, chances):
+            for p in way:
+                if p in expected:
+                    expected[p] += weight * chance / sum(chances)
+    counts = language_id.expected_counts(words, weights, language_id.Lattice(list(PIECES)), np.array([*PIECES.values(), 0.0]))
+    assert np.allclose(counts, list(expected.values()))
+
+
+def test_language_prediction_of_the_whole_table_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.train(docs, documents=50, rounds=1)
+    tables = [{p: row[k] for p, row in zip(model.pieces, model.table)} for k in range(len(model.languages))]
+    longest, memory = max(map(len, model.pieces)), {}
+
+    def log(word, k):
+        if (word, k) not in memory:
+            text, sums = "▁" + word, [1.0]
+            for end in range(1, len(text) + 1):
+                sums.append(sum(sums[end - n] * tables[k].get(text[end - n : end], language_id.UNKNOWN if n == 1 else 0) for n in range(1, min(end, longest) + 1)))
+            memory[word, k] = math.log(sums[-1])
+        return memory[word, k]
+
+    rows = {r["doc_id"]: r for r in language_id.predictions(docs, model).collect()}
+    for r in docs.collect():
+        words = ["".join(w).lower() for w in re.findall(r"[^\W\d_]+", r["text"] or "")]
+        logs = [sum(log(w, k) for w in words) for k in range(len(tables))]
+        assert rows[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if words:
+            assert math.isclose(rows[r["doc_id"]]["score"], 1 / sum(math.exp(x - max(logs)) for x in logs), rel_tol=1e-6)
+            assert rows[r["doc_id"]]["lang_pred"] == model.languages[logs.index(max(logs))]
+        else:
+            assert rows[r["doc_id"]]["lang_pred"] == "und"
+
+
+def test_languages_know_letters_only_and_ties_go_to_the_first_name(spark):
+    model = language_id.Model(["de", "en"], ["a"], [[0.5, 0.5]])
+    docs = spark.createDataFrame([(1, "²½ Ⅷ ①", "u"), (2, "a²a", "u"), (3, "a", "u")], "doc_id long, text string, __language string")
+    found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert found[1]["lang_pred"] == "und" and found[2]["lang_pred"] == found[3]["lang_pred"] == "de" and found[3]["score"] == 0.5
+    assert found[1]["__language"] == "u" and language_id.accepted(docs, model).columns == docs.columns
+    assert language_id.letters("a²a Ⅷ b_c9d") == ["a", "a", "b", "c", "d"]
 
 
 def test_language_by_held_out_accuracy(spark, odd):
