@@ -1,32 +1,41 @@
 """Exact top-k search with vector-approximation files (operator 6).
 
 Every dimension's range is cut into cells; a vector's approximation is its row
-of cell numbers, one byte each. A scan of the approximations bounds every score
-from both sides. In the order of these bounds, best first, exact vectors are
-read until the k-th score found is above the best bound that is left.
+of cell numbers, one byte each, and stands in the file beside the exact vector.
+Three steps, none of which reads an exact vector that an earlier one ruled out:
+
+1. a scan of the approximations bounds every score from both sides; each
+   query's k-th best lower bound is what a score must reach;
+2. a second scan, with these bounds, gives the candidates whose upper bound
+   reaches it;
+3. of these, exact vectors are read in the order of their bounds, best first
+   and in growing portions, until the k-th exact score is above the best bound
+   that is left.
 
 Scores are inner products of integer vectors, so a cell's middle gives the score
 up to a slack that depends on the query alone: half a cell's width in each
 dimension, times the size of the query's component.
-
-Queries and candidates are cut into blocks of bounded size by a hash of their
-id; each block of queries meets each block of candidates once, as one task's
-matrix work, and the few best of each meeting are merged by query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries, and of candidates.
-QUERIES, CANDIDATES = 1024, 1024
-#: Cells of a dimension: one byte's worth.
-CELLS = 256
+from quire.llm.tables import dropped, kept
+
+#: Rows of a block of queries, and of candidates; a scan multiplies tiles of TILE rows.
+QUERIES, CANDIDATES, TILE = 8192, 8192, 1024
+#: Cells of a dimension.
+CELLS = 64
 SCALE = 256
+#: Exact vectors that a query reads at first, in multiples of k, and by what the next portions grow.
+PORTION, GROWTH = 4, 8
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -36,43 +45,83 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull()).where(F.coalesce(usable, F.lit(False))).select("vec_id", F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
-def _block(rows: int, size: int, salt: str) -> Column:
-    return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(max(1, ceil(rows / size)))).cast("int")
+def enough(rows: DataFrame, k: int) -> DataFrame:
+    """``rows(vec_id, v)`` without copies of a vector that can't be among anyone's k best: as others with the same score have smaller ids.
+
+    Of each vector the k + 1 least ids stay (one may be the query's own), each at most k times.
+    """
+    least = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    some = rows.groupBy("v", "vec_id").agg(F.count("*").alias("n")).withColumn("at", least).where(F.col("at") <= k + 1)
+    return some.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy")).drop("copy")
+
+
+def _block(rows: int, size: int, key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(max(1, ceil(rows / size)))).cast("int")
 
 
-def best_of_block(queries, query_ids, cells, ids, exact, low, width, k: int):
-    """Each query's best ``k`` of a block: arrays of query number, candidate number, score.
+def marks(rows: DataFrame, cells: int = CELLS) -> dict[int, list[tuple[int, int]]]:
+    """For each length of vectors, each dimension's least value and cell width. The driver gets one row for each length and dimension."""
 
-    ``cells``: approximations; ``exact(i)`` reads exact vectors; ``low`` and
-    ``width``: each dimension's first value and cell width. The bounds use
-    whole numbers below 2**53, so they are exact.
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        found: dict[int, list] = {}
+        for batch in batches:
+            own: dict[int, list] = {}
+            for v in batch.column("v").to_numpy(zero_copy_only=False):
+                own.setdefault(len(v), []).append(v)
+            for dim, some in own.items():
+                both = np.array(some, "i8").reshape(len(some), dim)
+                low, high = (both.min(axis=0), both.max(axis=0)) if dim else (both[:0], both[:0])
+                if dim in found:
+                    low, high = np.minimum(low, found[dim][0]), np.maximum(high, found[dim][1])
+                found[dim] = [low, high]
+        names = ["dim", "i", "low", "high"]
+        for dim, (low, high) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array(low[:dim], pa.int64()), pa.array(high[:dim], pa.int64())], names=names)
+
+    ends = rows.select("v").mapInArrow(extremes, "dim int, i int, low long, high long").groupBy("dim", "i").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in ends.orderBy("dim", "i").collect():
+        out.setdefault(r["dim"], []).append((r["low"], max(1, -(-(r["high"] - r["low"] + 1) // cells))))
+    return out
+
+
+def approximated(rows: DataFrame, edges: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """``rows`` with ``dim`` and ``cells``, the bytes of each vector's cell numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        own = {dim: np.array(e, "i8").T for dim, e in edges.items()}
+        for batch in batches:
+            vectors = batch.column("v").to_numpy(zero_copy_only=False)
+            cells = [((np.asarray(v) - own[len(v)][0]) // own[len(v)][1]).astype("u1").tobytes() if len(v) else b"" for v in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(map(len, vectors), pa.int32()), pa.array(cells, pa.binary())], names=["vec_id", "v", "dim", "cells"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, v array<long>, dim int, cells binary")
+
+
+def tiles(own: pd.DataFrame, other: pd.DataFrame, edges: list[tuple[int, int]]):
+    """Twice the middle scores of a block's queries and candidates, tile by tile: first query, first candidate, scores; a query's own rows are -inf.
+
+    All numbers are whole and below 2**53, so the bounds are exact.
     """
     import numpy as np
 
-    middle = 2 * (low + cells * width) + (width - 1)  # twice a cell's middle
-    about = queries @ middle.T  # twice the middle score
-    slack = np.abs(queries) @ (width - 1.0)
-    about[query_ids[:, None] == ids[None, :]] = -np.inf
-    upper = about + slack[:, None]
-    n = min(k, len(ids))
-    kth = np.partition(about, len(ids) - n, axis=1)[:, len(ids) - n] - slack  # the k-th best lower bound
-    out = []
-    for q in range(len(queries)):
-        near = np.flatnonzero((upper[q] >= kth[q]) & np.isfinite(upper[q]))
-        near = near[np.argsort(-upper[q, near], kind="stable")]
-        scores, at = np.empty(0), 0
-        while at < len(near):
-            some = near[at : at + 4 * k]
-            scores = np.concatenate([scores, exact(some) @ queries[q]])
-            at += len(some)
-            if at < len(near) and len(scores) >= k and 2 * np.partition(scores, len(scores) - k)[len(scores) - k] > upper[q, near[at]]:
-                break  # no bound that is left reaches the k-th score
-        best = np.lexsort((ids[near[: len(scores)]], -scores))[:k]
-        out.append((np.full(len(best), q), near[best], scores[best]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int),) * 3
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE) -> DataFrame:
+    low, width = np.array(edges, "f8").T
+    queries, ids = np.array(own["v"].tolist(), "f8"), other["vec_id"].to_numpy()
+    cells = np.frombuffer(b"".join(other["cells"]), "u1").reshape(len(other), len(low))
+    asked = own["vec_id"].to_numpy()
+    for c in range(0, len(ids), TILE):
+        middle = 2 * (low + cells[c : c + TILE] * width) + (width - 1)
+        for q in range(0, len(queries), TILE):
+            about = queries[q : q + TILE] @ middle.T
+            about[asked[q : q + TILE, None] == ids[None, c : c + TILE]] = -np.inf
+            yield q, c, about
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, cells: int = CELLS) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows by inner product, ties to the smaller vec_id.
 
     ``vectors(vec_id, embedding)``; a query's candidates are all rows with
@@ -83,35 +132,78 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE)
     with the least of its vectors. Scores are exact as long as they
     stay below 2**52; larger ones are refused. Extra columns are ignored.
     """
-    rows = quantised(vectors, scale).withColumn("dim", F.size("v"))
-    # one row for each dimension and vector length: the file's marks
-    marks = rows.select("dim", F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    edges: dict[int, list[tuple[int, int]]] = {}
-    for r in marks.orderBy("dim", "i").collect():
-        edges.setdefault(r["dim"], []).append((r["low"], max(1, -(-(r["high"] - r["low"] + 1) // CELLS))))
+    usable = quantised(vectors, scale)
+    edges = marks(usable, cells)
     for dim, own in edges.items():
-        if sum(max(abs(low), abs(low + width * CELLS)) ** 2 for low, width in own) >= 1 << 52:
+        if sum(max(abs(low), abs(low + width * cells)) ** 2 for low, width in own) >= 1 << 50:
             raise ValueError(f"components of vectors of length {dim} are too large for exact scores")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    sizes = [rows.count(), queries.count()]
-    blocks = max(1, ceil(sizes[1] / QUERIES))
-    chunks = max(1, ceil(sizes[0] / CANDIDATES))
-    left = queries.select("dim", _block(sizes[1], QUERIES, "q").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("cb"), "vec_id", "v")
-    right = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), _block(sizes[0], CANDIDATES, "c").alias("cb"), "vec_id", "v")
-
-    def meet(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    file = kept(approximated(enough(usable, k), edges).where(F.col("dim") > 0).withColumn("row", F.monotonically_increasing_id()))
+    queries = kept(usable.where(is_query & (F.size("v") > 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    sizes = [file.count(), queries.count()]
+    blocks, chunks = max(1, ceil(sizes[1] / QUERIES)), max(1, ceil(sizes[0] / CANDIDATES))
+    right = file.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), _block(sizes[0], CANDIDATES, "row").alias("cb"), "row", "vec_id", "cells")
+
+    def met(own: DataFrame, scan, schema: str) -> DataFrame:
+        """A scan of each block of queries with each block of approximations."""
+        names = own.columns
+        left = own.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("cb"), _block(sizes[1], QUERIES, "vec_id").alias("qb"), *names)
+        return left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInPandas(scan, schema)
+
+    def lower(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        """The k best lower bounds of a block."""
+        import numpy as np
+
+        if not len(own) or not len(other):
+            return pd.DataFrame({"query": [], "least": []})
+        best = np.full((len(own), k), -np.inf)
+        for q, _, about in tiles(own, other, edges[key[0]]):
+            both = np.concatenate([best[q : q + TILE], about], axis=1)
+            best[q : q + TILE] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        slack = np.abs(np.array(own["v"].tolist(), "f8")) @ (np.array(edges[key[0]], "f8")[:, 1] - 1)
+        some = np.isfinite(best)
+        return pd.DataFrame({"query": np.repeat(own["vec_id"].to_numpy(), some.sum(axis=1)), "least": (best - slack[:, None])[some]})
+
+    found = met(queries, lower, "query long, least double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("least")))
+    bounds = found.withColumn("n", rank).where(F.col("n") <= k).groupBy("query").agg(F.when(F.count("*") == k, F.min("least")).otherwise(float("-inf")).alias("bound"))
+    asking = queries.join(bounds, queries["vec_id"] == bounds["query"]).drop("query")
+
+    def upper(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        """The candidates of a block whose upper bound reaches the query's bound."""
         import numpy as np
 
-        if not len(own) or not len(other) or not key[0]:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        low, width = np.array(edges[key[0]], "f8").T
-        exact = np.array(other["v"].tolist(), "f8")
-        approximation = ((exact - low) // width).astype("u1")
-        asked, ids = np.array(own["v"].tolist(), "f8"), other["vec_id"].to_numpy()
-        q, c, score = best_of_block(asked, own["vec_id"].to_numpy(), approximation, ids, lambda i: exact[i], low, width, k)
-        return pd.DataFrame({"query_id": own["vec_id"].to_numpy()[q.astype(int)], "vec_id": ids[c.astype(int)], "score": score.astype("int64")})
-
-    found = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("dim", "qb", "cb")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    # the k best of a query: k rows at most come from each block
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
+        out = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))]
+        if len(own) and len(other):
+            slack = np.abs(np.array(own["v"].tolist(), "f8")) @ (np.array(edges[key[0]], "f8")[:, 1] - 1)
+            need, asked, there = own["bound"].to_numpy(), own["vec_id"].to_numpy(), other["row"].to_numpy()
+            for q, c, about in tiles(own, other, edges[key[0]]):
+                most = about + slack[q : q + TILE, None]
+                i, j = np.nonzero((most >= need[q : q + TILE, None]) & np.isfinite(most))
+                out.append((asked[q + i], there[c + j], most[i, j]))
+        query, row, most = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"query": query, "row": row, "most": most})
+
+    near = kept(met(asking, upper, "query long, row long, most double"))
+    order = Window.partitionBy("query").orderBy(F.desc("most"), "row")
+    placed = kept(near.withColumn("place", F.row_number().over(order)))
+    dropped(near)
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x)
+    start, end, done, best = 0, PORTION * k, [], None
+    while True:
+        portion = placed.where((F.col("place") > start) & (F.col("place") <= end))
+        if best is not None:  # what no longer can be among the k best isn't read
+            kth = best.groupBy("query").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+            portion = portion.join(kth, "query").where((F.col("n") < k) | (F.col("most") >= 2 * F.col("kth"))).drop("kth", "n")
+        read = portion.join(file.select("row", "vec_id", "v"), "row").join(queries.select(F.col("vec_id").alias("query"), F.col("v").alias("q")), "query")
+        read = read.select("query", "vec_id", "row", product.alias("score"))
+        read = read if best is None else read.unionByName(best)
+        ranked = read.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")))
+        new = kept(ranked.where(F.col("rank") <= k).drop("rank"))
+        dropped(*done)
+        best, done, start, end = new, [new], end, end * GROWTH
+        if placed.where(F.col("place") > start).isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")).cast("int")
+    out = kept(best.select(F.col("query").alias("query_id"), rank.alias("rank"), "vec_id", "score"))
+    dropped(best, placed, queries, file)
+    return out
