@@ -6,6 +6,8 @@ number of blocks, which gives two ratios. Paths are smoothed with their
 relatives (the share of the path that they have in common is the weight), the
 two ratios are fused by their product, and paths above the page's threshold are
 content. Text within links doesn't count for a path, but in an article it does.
+Where a page marks its articles, an article is content as a whole if its best
+path is, so that its tables, captions and lists of links stay.
 What HTML itself marks as something else (navigation, forms, asides, and blocks
 that their class or id names as such) isn't content; a class or id alone never
 takes out an article, nor what holds most of the page's text.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log1p
 
 import pandas as pd
@@ -31,8 +34,9 @@ MOST = 0.5
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg annotation annotation-xml object select".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp annotation annotation-xml select datalist desc".split())
+_TO_THE_END = frozenset("script style".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics object svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol marker mask pattern clippath lineargradient radialgradient stop filter image animate".split())
 _BESIDE = frozenset("nav header footer aside form menu dialog button head".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of the same or a related kind.
@@ -43,13 +47,60 @@ _NAMES = re.compile(
     r"(?:^|\s)(?:(?:site|global|main|primary|left|right)[_-])?(?:(header)|ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags?(?=$|\s|[_-](?:list|links|cloud)\b)|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?/a-zA-Z])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What stands between a tag's name and its end, with ends in quotes passed over.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """The tags of a page, in time linear in its length: start, end, name in lower case (empty for comments and the like), whether it closes, the rest.
+
+    What raw elements hold is part of their tag. Without a ``>`` after it a
+    ``<`` is text. Quotes that don't close are no quotes, nor are any after them.
+    """
+    at, quoted = 0, True
+    unclosed: set[str] = set()
+    while m := _OPEN.search(html, at):
+        start = m.start()
+        name = None
+        if m[0] == "<!--":
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(html)
+        else:
+            name = _NAME.match(html, start + 1)
+            from_ = name.end() if name else start + 1
+            end = _REST.match(html, from_).end() if name and quoted else -1
+            if end < 0 or end == len(html):
+                quoted = quoted and not name
+                end = html.find(">", from_)
+                if end < 0:
+                    return
+            at = end + 1
+        if not name:
+            yield start, at, "", False, ""
+            continue
+        tag, closing, rest = name[2].lower(), bool(name[1]), html[from_:end]
+        if tag in _RAW and tag not in unclosed and not closing and not rest.endswith("/"):
+            close = _closing(tag).search(html, at)
+            if close:
+                at = close.end()
+            elif tag in _TO_THE_END:
+                at = len(html)
+            else:
+                unclosed.add(tag)
+        yield start, at, tag, closing, rest
+
+
+@lru_cache(64)
+def _closing(tag: str):
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
     """A page's blocks in order: path, whether it is beside the article, text, characters within links."""
     out: list[tuple[tuple[str, ...], bool, str, int]] = []
@@ -90,20 +141,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             if links:
                 linked += len(piece)
 
-    while True:
-        m = _TAG.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in _RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+    for start, end, tag, closing, rest in tags(html):
+        text(html[at:start])
+        at = end
+        if not tag or tag in _RAW:
             continue
         if tag in _INLINE or tag == "br":
             if tag == "br":
@@ -127,7 +168,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                     pop(i)
                 elif stack[i][0] in _SCOPE and stack[i][0] not in others:
                     break
-        names = " ".join(filter(None, (x for found in _NAMED.findall(m[3]) for x in found))) if m[3] else ""
+        names = " ".join(filter(None, (x for found in _NAMED.findall(rest) for x in found))) if rest else ""
         # an article may have a header of its own: its heading is the article's
         inside = any(t in ("article", "main") for t, _, _, _ in stack)
         if tag in ("article", "main"):
@@ -135,15 +176,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             for i in within:
                 named[i][2] = True
         name = _NAMES.search(names) if names and tag not in ("html", "body", "article", "main") else None
-        off = (tag in _BESIDE and not (tag == "header" and inside)) or bool(m[3] and _HIDDEN.search(m[3]))
-        if not m[3].endswith("/") or tag not in ("path",):
-            number = -1
-            if name and not (name[1] and (inside or re.fullmatch("h[1-6]", tag))):
-                number = len(named)
-                named.append([0, inside, False])
-                within.append(number)
-            stack.append((tag, off, f"{tag}.{names}" if names and tag in ("div", "section", "td", "ul") else tag, number))
-            beside += off
+        off = (tag in _BESIDE and not (tag == "header" and inside)) or bool(rest and _HIDDEN.search(rest))
+        number = -1
+        if name and not (name[1] and (inside or re.fullmatch("h[1-6]", tag))):
+            number = len(named)
+            named.append([0, inside, False])
+            within.append(number)
+        stack.append((tag, off, f"{tag}.{names}" if names and tag in ("div", "section", "td", "ul") else tag, number))
+        beside += off
+    text(html[at:])
     flush()
     # a name doesn't count around an article, nor on what holds most of the text where no article is marked outside of it
     whole = sum(len(text) for _, off, text, _ in out if not off)
@@ -185,10 +226,15 @@ def content(html: str, threshold: float = THRESHOLD) -> list[str]:
     fused = {p: log1p(smooth(length, p)) * log1p(1 + smooth(marks, p)) for p in sums}
     whole = sum(own[1] for own in sums.values()) or 1.0
     mean = sum(fused[p] * own[1] for p, own in sums.items()) / whole
-    roots = {i: path[: i + 1] for path, _, _ in found for i, tag in enumerate(path) if tag.split(".")[0] in ("article", "main")}
-    marked = {path for path in sums if any(tag.split(".")[0] == "article" for tag in path)} or {path for path in sums if roots and any(tag.split(".")[0] == "main" for tag in path)}
-    if marked:  # the page says where its article is; within it every path stays that its ratios don't rule out
-        return [text for path, text, _ in found if path in marked and fused[path] >= 0.5 * threshold * mean]
+    # where a page says what its articles are, its ratios say which of them are content; of these every block stays
+    for mark in ("article", "main"):
+        roots = {p: p[: i + 1] for p in sums for i, step in enumerate(p) if step.split(".")[0] == mark}
+        best: dict[tuple[str, ...], float] = {}
+        for p, root in roots.items():
+            best[root] = max(best.get(root, 0.0), fused[p])
+        marked = {p for p, root in roots.items() if best[root] >= threshold * mean}
+        if marked:
+            return [text for path, text, _ in found if path in marked]
     return [text for path, text, _ in found if fused[path] >= threshold * mean]
 
 

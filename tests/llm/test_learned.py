@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 
 import pytest
@@ -239,6 +240,21 @@ def test_main_text_keeps_whole_articles():
     assert html_extract.content(f'<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul><div><h1><a href="/p">Title</a></h1><p>{prose}</p></div>') == ["Title", prose]
 
 
+def test_main_text_of_broken_and_hostile_pages():
+    prose = "A paragraph of the story, with commas, and enough of them to be its content."
+    for page in ('<a ' * 350_000, '<a "' * 250_000, '<a ">' * 200_000, "<!--" * 250_000, "<svg>" * 200_000, "<noscript>" * 100_000, "<p x='" + "a" * 1_000_000):
+        began = time.thread_time()
+        html_extract.content(page)
+        assert time.thread_time() - began < 5, page[:10]
+    assert html_extract.content("<a " * 350_000) == [("<a " * 350_000).strip()]
+    assert html_extract.content(f"<article><p>{prose}</p><select><option>x<p>{prose}</p></article>")[-1] == prose
+    assert html_extract.content(f'<article><p title="a > b">{prose}</p><p>a < b, 1<2, and c <3 d</p><p class="x>{prose}</p></article>')[1] == "a < b, 1<2, and c <3 d"
+    table = "<table><tr><td>1</td><td>2</td></tr></table>"
+    assert html_extract.content(f"<article><p>{prose}</p>{table}<svg><title>t</title><text>in a figure</text></svg><object>instead</object></article>") == [prose, "1", "2", "in a figureinstead"]
+    teaser = '<article class="teaser"><a href="/x">More</a></article>'
+    assert html_extract.content(f"<main><article><p>{prose * 4}</p></article></main><div>{teaser}{teaser}</div>") == [prose * 4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
