@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_trie import slices
-from quire.llm.tables import kept, text_or_empty
+from quire.llm.tables import dropped, kept, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: A pattern needs this score and this many different seeds; an instance this belief.
+#: A pattern needs this score and this many different instances that are believed; an instance is from this belief on.
 LEAST_SCORE, LEAST_SEEDS, LEAST_BELIEF = 0.8, 3, 0.8
 #: What unlabelled instances count against a pattern at first.
 PRIOR = 0.0
@@ -36,17 +36,23 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Runs of digits with the separators of numbers between them.
-_NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20-]{2,24}[0-9](?!\w|[:@/_-]\w)")
-#: Tokens that could be identifiers: such numbers, account numbers in groups of four, and runs
-#: without white space; of these only those that hold two digits or an at sign.
-_TOKEN = re.compile(_NUMBER.pattern + r"|(?=(?:[A-Z\x20]{0,12}[0-9]){8})[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?(?!\w)|([^\s\"'<>|,;]+)")
+#: Runs of digits with the separators of numbers between them, as far as they go, and what mustn't follow a number.
+_NUMBERS = re.compile(r"[+(]?[0-9][0-9().\x20-]*+")
+_GOES_ON = re.compile(r"\w|[:@/_-]\w")
+_SEPARATORS = "().\x20-"
+#: Account numbers in groups of four.
+_GROUPS = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?(?!\w)")
+#: Runs without white space; of these only those that hold two digits or an at sign could be identifiers.
+_RUN = re.compile(r"[^\s\"'<>|,;]+")
+#: Digits of the longest number that is an identifier; longer runs are several numbers.
+LONGEST = 19
 _ADDRESS6 = re.compile(r"(?=.*::|(?:[^:]*:){4})[0-9a-f:.]+(?:%\w+|/[0-9]+)?")
 _ACCOUNT = re.compile(r"[a-z]{2}[0-9]{2}[a-z0-9]{11,30}")
 _DATE = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = "\"'.,;:!?()[]{}<>*#$%&|=`"
 _DIGITS = re.compile("[0-9]")
+#: Characters that may stand between a span and a word of its context.
 CONTEXT = 48
 
 
@@ -121,25 +127,49 @@ def plausible(token: str) -> list[tuple[int, float]]:
         whole = "".join(filter(str.isalnum, token))
         card = 1.0 if _ACCOUNT.fullmatch(whole) else 0.9 if digits > 4 and 8 <= len(whole) <= 34 else 0.5
         return [(2, card), (3, 0.9 if 3 < digits < 16 and token[0] in "(0123456789" and 7 <= len(whole) <= 20 and not token.isalnum() else 0.5)]
-    out = [(2, 1.0 if 11 < digits < 20 else 0.9 if digits > 6 else 0.5)]
+    out = [(2, 1.0 if 11 < digits < 20 else 0.9 if 6 < digits < 20 else 0.5)]
     return [*out, (3, 1.0 if digits > 6 else 0.5)] if digits < 13 else [*out, (3, 0.9)] if digits < 16 else out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a span: two words before, one before and one after, the word before with the mark between."""
-    before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
-    left, right = _WORD.findall(before), _WORD.findall(after)
-    if not left:
-        return [f">{right[0]}"] if right else []
-    gap = before[before.rfind(left[-1]) + len(left[-1]) :].strip()[:4]
-    out = [f"{left[-1]}{gap}<"]
-    if len(left) > 1:
-        out.append(f"{left[-2]} {left[-1]}<")
+def contexts(text: str, start: int, end: int, words: list[tuple[int, int]]) -> list[str]:
+    """Lexical contexts of a span: two words before, one before and one after, the word before with the mark between.
+
+    ``words``: the spans of all the text's words; a context has whole words, each within ``CONTEXT`` characters of the next.
+    """
+    at = bisect_right(words, (start, start))
+    while at and words[at - 1][1] > start:
+        at -= 1
+    after = bisect_left(words, (end, end))
+    right = text[slice(*words[after])].lower() if after < len(words) and words[after][0] - end <= CONTEXT else ""
+    if not at or start - words[at - 1][1] > CONTEXT:
+        return [f">{right}"] if right else []
+    last = text[slice(*words[at - 1])].lower()
+    gap = text[words[at - 1][1] : start].strip()[:4].lower()
+    out = [f"{last}{gap}<"]
+    if at > 1 and words[at - 1][0] - words[at - 2][1] <= CONTEXT:
+        out.append(f"{text[slice(*words[at - 2])].lower()} {last}<")
     if right:
-        out.append(f"{left[-1]}<>{right[0]}")
+        out.append(f"{last}<>{right}")
     return out
 
 
+def numbers(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """The numbers that begin at ``at``, and where they end: one, or those between the spaces of a run with too many digits for one."""
+    m = _NUMBERS.match(text, at)
+    if not m:
+        return [], at
+    end = at + len(m[0].rstrip(_SEPARATORS))
+    whole = text[at:end]
+    if sum(map(str.isdigit, whole)) > LONGEST and " " in whole:
+        spans = [(at + p.start(), at + p.end()) for p in re.finditer("[^ ]+", whole)]
+    else:
+        spans = [(at, end)]
+    if _GOES_ON.match(text, end):
+        end = spans[-1][0]
+        spans = spans[:-1]
+    return spans, end
+
+
 def tokens(text: str) -> Iterator[tuple[int, int]]:
     """The spans of tokens that could be identifiers, in linear time.
 
@@ -147,22 +177,29 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
     as the run's only digit, and goes on beyond it is a token of its own.
     """
     at = 0
-    while m := _TOKEN.search(text, at):
+    while m := _RUN.search(text, at):
         start, at = m.span()
-        if not m[1]:
-            yield start, at
+        found, end = numbers(text, start)
+        if found:
+            yield from found
+            at = end
+            continue
+        groups = _GROUPS.match(text, start)
+        if groups and sum(map(str.isdigit, groups[0])) > 7:
+            at = groups.end()
+            yield groups.span()
             continue
-        digits = _DIGITS.findall(m[1])
+        digits = _DIGITS.findall(m[0])
         if digits:
             own = text.index(digits[0], start)
             own -= own > start and text[own - 1] in "+("
             if own > start and (len(digits) < 2 or text[own - 1] in ":=#"):
-                n = _NUMBER.match(text, own)
-                if n and n.end() > at:
-                    at = n.end()
-                    yield n.span()
+                found, end = numbers(text, own)
+                if found and end > at:
+                    at = end
+                    yield from found
                     continue
-        if len(digits) > 1 or "@" in m[1]:
+        if len(digits) > 1 or "@" in m[0]:
             yield start, at
 
 
@@ -188,11 +225,13 @@ def candidates(text: str, own: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 def edges_of(text: str, own: list[tuple[int, int, int]]) -> Iterator[dict]:
     """A text's edges between contexts and candidates, one for each kind that the candidate's form allows; a base entity is wholly of its kind."""
-    for kind, s, e in candidates(text, own):
+    found = candidates(text, own)
+    words = [m.span() for m in _WORD.finditer(text)] if found else []
+    for kind, s, e in found:
         fits = dict(plausible(text[s:e]))
         if kind >= 0:
             fits[kind] = 1.0
-        for c in contexts(text, s, e):
+        for c in contexts(text, s, e, words):
             for of, fit in fits.items():
                 yield {"kind": kind, "of": of, "fit": fit, "start": s, "end": e, "instance": text[s:e].lower(), "pattern": c}
 
@@ -225,25 +264,30 @@ def bootstrapped(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``instance, kind``: identifiers that high-confidence patterns found.
 
     ``edges(kind, of, fit, instance, pattern)``, kind -1 where no base entity is,
-    ``fit`` how plausible the instance's form is for the kind ``of``. A context is
-    a pattern of each kind that it has seeds of, over the instances that can be of
-    that kind. An edge counts once, however many documents repeat it. Both scores are computed by
+    ``fit`` how plausible the instance's form is for the kind ``of``. In each round,
+    a context is a pattern of each kind that enough of its instances are believed
+    to be of by then, so that what one round found induces patterns of the next.
+    An edge counts once, however many documents repeat it. Both scores are computed by
     partial sums, so a pattern that holds a third of all edges is no burden.
     """
-    graph = edges.groupBy("pattern", "of", "instance").agg(F.max("kind").alias("kind"), F.max("fit").alias("fit"))
-    # only patterns with enough seeds of their kind can ever count: the rest of the graph falls away here
-    able = kept(graph.where(F.col("kind") == F.col("of")).groupBy("pattern", "of").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEDS).select("pattern", "of"))
-    graph = kept(graph.join(able, ["pattern", "of"]))
-    belief = kept(graph.groupBy("instance", "of").agg(F.max(F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0).otherwise(PRIOR)).alias("belief"), F.max("kind").alias("kind"), F.max("fit").alias("fit")))
+    graph = kept(edges.groupBy("pattern", "of", "instance").agg(F.max("kind").alias("kind"), F.max("fit").alias("fit")))
+    own = F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0)
+    belief = kept(graph.groupBy("instance", "of").agg(F.max("kind").alias("kind"), F.max("fit").alias("fit")).withColumn("belief", F.coalesce(own, F.lit(PRIOR))))
     scores = None
     for _ in range(rounds):
         judged = graph.select("pattern", "instance", "of").join(belief, ["instance", "of"])
         # believed instances over all, each as far as its form allows, with a doubt for each pattern; wrong kinds count against it
-        scores = kept(judged.groupBy("pattern", "of").agg((F.sum(F.greatest("belief", F.lit(0.0))) / (F.sum("fit") + 0.5)).alias("score")))
-        heard = judged.join(scores, ["pattern", "of"]).groupBy("instance", "of", "kind", "fit").agg((1 - F.exp(F.sum(F.log(F.lit(1.0001) - F.least("score", F.lit(1.0)))))).alias("heard"))
-        belief = kept(heard.select("instance", "of", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, -1.0).otherwise(F.col("heard") * F.lit(0.95) * F.col("fit")).alias("belief"), "kind", "fit"))
-    sure = judged.select("pattern", "instance", "of").join(scores.where(F.col("score") >= LEAST_SCORE), ["pattern", "of"]).select("instance", "of").distinct()
-    return sure.join(belief.where((F.col("kind") < 0) & (F.col("belief") >= LEAST_BELIEF)), ["instance", "of"]).groupBy("instance").agg(F.max_by("of", "belief").alias("of"))
+        score = F.sum(F.greatest("belief", F.lit(0.0))) / (F.sum("fit") + 0.5)
+        enough = F.sum((F.col("belief") >= LEAST_BELIEF).cast("int")) >= LEAST_SEEDS
+        old, scores = scores, kept(judged.groupBy("pattern", "of").agg(score.alias("score"), enough.alias("enough")).where("enough").drop("enough"))
+        heard = judged.join(scores, ["pattern", "of"]).groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log(F.lit(1.0001) - F.least("score", F.lit(1.0)))))).alias("heard"))
+        before, belief = belief, kept(belief.drop("belief").join(heard, ["instance", "of"], "left").select("instance", "of", "kind", "fit", F.coalesce(own, F.col("heard") * F.lit(0.95) * F.col("fit"), F.lit(PRIOR)).alias("belief")))
+        dropped(before, *([old] if old else []))
+    found = belief.where((F.col("kind") < 0) & (F.col("belief") >= LEAST_BELIEF)).select("instance", "of", "belief")
+    sure = graph.select("pattern", "instance", "of").join(scores.where(F.col("score") >= LEAST_SCORE), ["pattern", "of"]).select("instance", "of").distinct()
+    out = kept(sure.join(found, ["instance", "of"]).groupBy("instance").agg(F.max_by("of", F.struct("belief", -F.col("of"))).alias("of")))
+    dropped(graph, belief, scores)
+    return out
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -251,11 +295,12 @@ def extract(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no span. Repeated rows get equal spans; each
     counts once in the graph. An empty table gives no rows; further columns are
-    ignored. Whole texts are read.
+    ignored, whatever their names. Whole texts are read. Of an instance with
+    equal beliefs in two kinds the first kind counts.
     """
     rows = kept(scanned(docs).withColumn("row", F.monotonically_increasing_id()))
     edges = rows.select("row", F.explode("edges").alias("e")).select("row", "e.*")
-    new = kept(bootstrapped(edges.select("kind", "of", "fit", "instance", "pattern")))
+    new = bootstrapped(edges.select("kind", "of", "fit", "instance", "pattern"))
     spans = edges.where(F.col("kind") < 0).select("row", "start", "end", "instance").distinct().join(new, "instance")
     added = kept(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("of").alias("kind"), "start", "end"))).alias("added")))
     nothing = F.array().cast("array<struct<kind:int,start:int,end:int>>")
