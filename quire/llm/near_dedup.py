@@ -341,13 +341,12 @@ def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least:
         return kept(verified(blocks.join(texts, "node").select("block", "i", "j", "node", "root", "is_left", "is_right", F.lower("text").alias("text")), least))
 
     # round 1: a leader stands in each block of its members
-    led = entries.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node", "bytes").distinct()
-    led = kept(led)
-    sums = led.groupBy("leader").agg(parts_of(F.count("*"), F.sum("bytes")).alias("parts"))
+    led = kept(entries.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node", "bytes").distinct())
+    sums = kept(led.groupBy("leader").agg(parts_of(F.count("*"), F.sum("bytes")).alias("parts")))
     members = led.join(sums, "leader").select(F.col("leader").alias("block"), F.lit(0).alias("i"), part_of(F.col("node"), F.col("parts")).alias("j"), "node", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
     heads = sums.select(F.col("leader").alias("block"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.col("leader").alias("node"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
     links = compared(members.unionByName(heads).withColumn("root", F.col("node")))
-    dropped(led)
+    dropped(led, sums)
     first = components(links)
 
     # round 2: what is left of the buckets without their leaders; buckets of equal members are one
