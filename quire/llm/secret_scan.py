@@ -1,9 +1,9 @@
 """Secret scans with a random forest that removes false positives (operator 2).
 
-Candidates are long runs of key-like characters with a digit, and quoted
-strings. A forest, trained from labelled findings, scores each candidate on its
-length, its character transitions, how much of it dictionary words cover, the
-path of its document and the words beside it. The trained trees become column
+Candidates are long runs of key-like characters, and quoted strings. A forest,
+trained from labelled findings, scores each candidate on its length, its
+character transitions (between classes, and pairs of letters as in words), how
+much of it dictionary words cover, the path of its document and the words beside it. The trained trees become column
 expressions, so that candidates are found, scored and masked in one pass over
 the text, inside the JVM, without a join or a shuffle.
 """
@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.tables import text_or_empty
+from quire.llm.tables import text_or_empty, unused
 
-#: Runs of 16 and more key characters with a digit among the first 64 (``=`` is padding at the end only, so that a
-#: glued name isn't part of its value); else what stands in quotes, without a name that is glued to it there.
+#: Runs of 16 and more key characters that have a digit, or capitals in two places, or stand after ``=`` or ``:`` (``=`` is
+#: padding at the end only, so that a glued name isn't part of its value); else what stands in quotes, without a name that
+#: is glued to it there.
 CANDIDATE = (
-    r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"""
+    r"""(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=(?:[a-z+/_-]*+[A-Z]++){2})|(?<=[=:] ?))[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"""
     r"""|(?<=["'])(?![A-Za-z][A-Za-z0-9_.-]{0,40}=[^="'])[!#-&(-~]{8,}(?=["'])|(?<==)(?<=["'][A-Za-z][A-Za-z0-9_.-]{0,40}=)[!#-&(-~]{8,}(?=["'])"""
 )
 #: Characters of context on either side.
@@ -41,7 +42,18 @@ DICTIONARY = (
     "about", "account", "address", "after", "again", "application", "array", "before", "between", "button", "change", "class", "client", "close", "color", "column", "config", "content", "context", "count", "create", "current", "data", "date", "default", "delete", "department", "description", "device", "document", "element", "email", "error", "event", "example", "field", "file", "filter", "first", "folder", "format", "from", "function", "group", "handler", "header", "height", "history", "image", "index", "info", "input", "item", "label", "last", "length", "level", "library", "light", "line", "list", "local", "long", "main", "manager", "master", "message", "method", "model", "module", "name", "network", "node", "number", "object", "order", "output", "page", "param", "parent", "password", "path", "place", "point", "port", "process", "product", "project", "query", "read", "record", "report", "request", "response", "result", "sample", "search", "server", "service", "session", "setting", "size", "source", "start", "state", "status", "string", "style", "system", "table", "target", "test", "text", "time", "title", "type", "update", "user", "value", "version", "view", "width", "window", "with", "word", "work", "write", "your",
 )
 
-FEATURES = ("length", "digits", "letters", "both_cases", "transitions", "distinct", "dictionary", "all_digits", "hexadecimal", "quoted", "path", "secret_before", "harmless_before", "assigned", "harmless_after", "vendor")
+def _word_pairs() -> str:
+    """A pattern of letters that are followed by a letter as in some dictionary word."""
+    after: dict[str, set[str]] = {}
+    for word in DICTIONARY:
+        for a, b in zip(word, word[1:]):
+            after.setdefault(a, set()).add(b)
+    return "|".join(f"{a}(?=[{''.join(sorted(own))}])" for a, own in sorted(after.items()))
+
+
+WORD_PAIRS = _word_pairs()
+
+FEATURES = ("length", "digits", "letters", "both_cases", "transitions", "pairs", "distinct", "dictionary", "all_digits", "hexadecimal", "quoted", "path", "secret_before", "harmless_before", "assigned", "harmless_after", "vendor")
 
 
 def features(value: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
@@ -56,6 +68,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
         "letters": F.length(F.regexp_replace(value, "[^A-Za-z]", "")) / n,
         "both_cases": flag(value.rlike("[a-z]") & value.rlike("[A-Z]")),
         "transitions": (F.length(classes) - 1) / n,
+        "pairs": (F.length(small) - F.length(F.regexp_replace(small, WORD_PAIRS, ""))) / n,
         "distinct": F.size(F.array_distinct(F.split(small, ""))) / n,
         "dictionary": F.lit(1.0) - F.length(F.regexp_replace(small, "|".join(DICTIONARY), "")) / n,
         "all_digits": flag(value.rlike("^[0-9]+$")),
@@ -73,12 +86,12 @@ def features(value: Column, before: Column, after: Column, path: Column) -> dict
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """Findings with labels, made by rule: ``value, before, after, path, label``.
 
-    Secrets are random strings (hexadecimal, mixed letters, or with a vendor's
-    kind of prefix) that a secret's name introduces, noise between them or not, as
+    Secrets are random strings (hexadecimal, mixed letters with and without
+    digits, or with a vendor's kind of prefix) that a secret's name introduces, noise between them or not, as
     ``name = "value"``, ``name=value`` or ``"name": "value"``, and bare strings with
     a vendor's prefix; the rest are strings that scanners report wrongly: digests,
     long numbers, identifiers made of words, placeholders, paths, versions, names
-    in quotes and harmless values of these forms.
+    in quotes, words joined by capitals and harmless values of these forms.
     """
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
     chance = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000)) / 1000.0
@@ -89,8 +102,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     noise = pick(("", "", "", "***", "%%%", "$$$", "&&&", " |"), "noise")
     name = pick((*SECRET_WORDS, "TOKEN", "API_KEY", "Secret", "PASSWORD"), "name")
     prose = F.concat_ws(" ", word("p1"), word("p2"), word("p3"))
-    kind = F.pmod(F.col("id"), F.lit(18))
-    secret = (kind < 5) | (kind == 14)
+    kind = F.pmod(F.col("id"), F.lit(20))
+    secret = (kind < 5) | kind.isin(14, 18)
     hexadecimal = F.when(chance("upper") < 0.25, F.upper(random_hex(40, "a"))).otherwise(random_hex(40, "a"))
     value = (
         F.when(kind == 0, hexadecimal)
@@ -109,6 +122,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         .when(kind == 14, F.when(chance("n") < 0.3, F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(random_mixed(60, "o"), "[^A-Za-z0-9]", ""), 1, 16)))).otherwise(F.concat(pick(("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "pk_live_", "glpat-", "npm_"), "prefix"), random_mixed(32, "o"))))
         .when(kind == 15, pick(("password", "access_token", "client_secret", "authorization", "credentials", "private_key", "content_type", "description", "secret_access_key", "refresh_token"), "own"))
         .when(kind == 16, F.concat_ws("_", word("1"), word("2")))
+        .when(kind == 18, F.substring(F.regexp_replace(random_mixed(86, "r"), "[^A-Za-z]", ""), 1, 24))
+        .when(kind == 19, F.when(chance("n") < 0.5, F.concat(word("1"), F.initcap(word("2")), F.initcap(word("3")), F.initcap(word("4")))).otherwise(F.concat(word("1"), word("2"), word("3"), F.lit("ing"))))
         .otherwise(F.concat(word("1"), pick(("-", "_"), "sep"), word("2"), F.lit("-2024"), pick(("-", "_"), "sep"), word("3")))
     )
     opening = F.concat(name, noise, F.lit(" "), pick(("=", ":", "=>", "=", ""), "eq"), noise, F.lit(" "))
@@ -120,6 +135,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         F.when(kind == 14, F.concat(prose, pick((" ", " ", ": ", " \"", "=", "\n"), "s")))
         .when(kind == 15, F.concat(prose, pick(('{"', ' "', ', "'), "s")))
         .when(kind == 16, F.concat(prose, F.lit(' {"'), word("k"), F.lit('": "')))
+        .when(kind == 19, F.concat(prose, F.lit(" "), word("k"), pick(("=", ": ", ":", " = ", " "), "s")))
         .when(kind == 17, F.concat(prose, F.lit(" "), word("k"), pick(("=", "=", ": ", '": "'), "s")))
         .when(secret & (chance("form") < 0.3), F.concat(prose, F.lit(" "), glued))
         .when(secret & (chance("form") < 0.6), F.concat(prose, F.lit(" "), keyed))
@@ -164,35 +180,36 @@ def forest_score(model, value: dict[str, Column]) -> Column:
     return total / len(trees)
 
 
-def _scanned(docs: DataFrame, model, text: str, path: str | None) -> DataFrame:
-    """``scan`` with the pieces of text between the candidates, in ``__pieces``."""
+def _scanned(docs: DataFrame, model, text: str, path: str | None) -> tuple[DataFrame, str]:
+    """``scan``, with the pieces of text between the candidates in a column whose name comes with it."""
     rows = docs.drop("findings")
+    pieces, values, place, starts = (unused(rows.columns, name) for name in ("__pieces", "__values", "__path", "__at"))
     own = [F.col(f"`{c}`") for c in rows.columns]
     body = text_or_empty(text)
     where = F.col(path).cast("string") if path and path in rows.columns else F.lit(None).cast("string")
     # nearly all texts have no candidate: they skip the rest
     has = body.rlike(CANDIDATE)
     empty = F.array().cast("array<string>")
-    rows = rows.select(*own, F.when(has, F.split(body, CANDIDATE, -1)).otherwise(empty).alias("__pieces"), F.when(has, F.regexp_extract_all(body, F.lit(CANDIDATE), 0)).otherwise(empty).alias("__values"), where.alias("__path"))
+    rows = rows.select(*own, F.when(has, F.split(body, CANDIDATE, -1)).otherwise(empty).alias(pieces), F.when(has, F.regexp_extract_all(body, F.lit(CANDIDATE), 0)).otherwise(empty).alias(values), where.alias(place))
     spans = F.aggregate(
-        F.col("__values"),
+        F.col(values),
         F.array(F.lit(0)),
-        lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(F.col("__pieces"), F.size(acc) - 1)) + F.length(v))),
+        lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get(F.col(pieces), F.size(acc) - 1)) + F.length(v))),
     )  # where each piece starts
-    rows = rows.select(*own, "__pieces", "__values", "__path", spans.alias("__at"))
+    rows = rows.select(*own, pieces, values, place, spans.alias(starts))
 
     def scored(value: Column, i: Column) -> Column:
-        before, after = F.get(F.col("__pieces"), i), F.get(F.col("__pieces"), i + 1)
+        before, after = F.get(F.col(pieces), i), F.get(F.col(pieces), i + 1)
         # contexts are of the text itself, so they reach over the candidates beside this one
         part = lambda from_, k: F.coalesce(F.get(F.col(from_), F.when(i + k >= 0, i + k)), F.lit(""))
-        near = F.right(F.concat(*[F.right(part(*x), F.lit(CONTEXT)) for k in range(WITHIN, 0, -1) for x in (("__pieces", -k), ("__values", -k))], F.right(before, F.lit(CONTEXT))), F.lit(CONTEXT))
-        far = F.left(F.concat(F.left(after, F.lit(CONTEXT)), *[F.left(part(*x), F.lit(CONTEXT)) for k in range(1, WITHIN + 1) for x in (("__values", k), ("__pieces", k + 1))]), F.lit(CONTEXT))
-        numbers = F.array(F.struct(*[c.alias(name) for name, c in features(value, near, far, F.col("__path")).items()]))
+        near = F.right(F.concat(*[F.right(part(*x), F.lit(CONTEXT)) for k in range(WITHIN, 0, -1) for x in ((pieces, -k), (values, -k))], F.right(before, F.lit(CONTEXT))), F.lit(CONTEXT))
+        far = F.left(F.concat(F.left(after, F.lit(CONTEXT)), *[F.left(part(*x), F.lit(CONTEXT)) for k in range(1, WITHIN + 1) for x in ((values, k), (pieces, k + 1))]), F.lit(CONTEXT))
+        numbers = F.array(F.struct(*[c.alias(name) for name, c in features(value, near, far, F.col(place)).items()]))
         # the numbers are computed once for each candidate, then all trees read them
         score = F.element_at(F.transform(numbers, lambda x: forest_score(model, {name: x[name] for name in FEATURES})), 1)
-        return F.struct((F.get(F.col("__at"), i) + F.length(before)).alias("start"), value.alias("value"), score.alias("score"))
+        return F.struct((F.get(F.col(starts), i) + F.length(before)).alias("start"), value.alias("value"), score.alias("score"))
 
-    return rows.select(*own, "__pieces", F.transform("__values", scored).alias("findings"))
+    return rows.select(*own, pieces, F.transform(values, scored).alias("findings")), pieces
 
 
 def scan(docs: DataFrame, model, text: str = "text", path: str | None = "source") -> DataFrame:
@@ -203,11 +220,12 @@ def scan(docs: DataFrame, model, text: str = "text", path: str | None = "source"
     so repeated rows repeat their findings; an empty table stays empty. A
     column named ``findings`` is replaced.
     """
-    return _scanned(docs, model, text, path).drop("__pieces")
+    rows, pieces = _scanned(docs, model, text, path)
+    return rows.drop(pieces)
 
 
 def findings(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
-    """The secrets that stay: ``doc_id, start, length, value, score``, one row each."""
+    """The secrets that stay, those with a score of ``threshold`` and more: ``doc_id, start, length, value, score``, one row each."""
     rows = scan(docs, model).select("doc_id", F.explode("findings").alias("f"))
     return rows.where(F.col("f.score") >= threshold).select("doc_id", F.col("f.start").cast("long").alias("start"), F.length("f.value").cast("long").alias("length"), F.col("f.value").alias("value"), F.round("f.score", 6).alias("score"))
 
@@ -215,11 +233,12 @@ def findings(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 def masked(docs: DataFrame, model, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask`` and ``n_chars`` counted anew; other columns and rows as they are."""
     columns = docs.columns
-    rows = _scanned(docs, model, "text", "source")
-    parts = F.zip_with(F.col("__pieces"), F.transform("findings", lambda f: F.when(f["score"] >= threshold, F.lit(mask)).otherwise(f["value"])), lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+    had = unused(columns, "__findings")
+    renamed = docs.withColumnsRenamed({c: had for c in columns if c.lower() == "findings"})  # that name is the scan's
+    rows, pieces = _scanned(renamed, model, "text", "source")
+    parts = F.zip_with(F.col(pieces), F.transform("findings", lambda f: F.when(f["score"] >= threshold, F.lit(mask)).otherwise(f["value"])), lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
     secret = F.exists("findings", lambda f: f["score"] >= threshold)
-    text = F.when(secret, F.array_join(parts, "")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    changed = {"text": F.when(secret, F.array_join(parts, "")).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(secret, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+        changed["n_chars"] = F.when(secret, F.length(F.array_join(parts, "")).cast("long")).otherwise(F.col("n_chars"))
+    return rows.select(*[changed.get(c, F.col(f"`{had if c.lower() == 'findings' else c}`")).alias(c) for c in columns])
