@@ -121,27 +121,85 @@ class Media:
     stream_type: int = -1
     packets: int = 0
     faults: int = 0
+    #: Elementary packets' time stamps, and the clock references (27 MHz).
     stamps: list[int] = field(default_factory=list)
+    clocks: list[int] = field(default_factory=list)
+    #: Of each program: its number, the PID of its map, and its streams as (PID, type).
+    programs: list[tuple[int, int, list[tuple[int, int]]]] = field(default_factory=list)
     #: Number of the elementary packet at each random-access point, and its offset in the payload.
     access: list[tuple[int, int]] = field(default_factory=list)
 
     def feature(self) -> str:
         shown = lambda xs: ",".join(map(str, xs))
-        return f"program={self.program};pmt={self.map_pid};pid={self.stream_pid};type={self.stream_type};packets={self.packets};pes={len(self.stamps)};pts={shown(self.stamps)};access={shown(f'{u}@{o}' for u, o in self.access)};faults={self.faults}"
+        return f"program={self.program};pmt={self.map_pid};pid={self.stream_pid};type={self.stream_type};packets={self.packets};pes={len(self.stamps)};pts={shown(self.stamps)};pcr={shown(self.clocks)};access={shown(f'{u}@{o}' for u, o in self.access)};faults={self.faults}"
+
+
+def _payload(packet: bytes) -> bytes:
+    """What a packet carries after its header and adaptation field."""
+    if not packet[3] & 0x10:
+        return b""
+    return packet[4 + (1 + packet[4] if packet[3] & 0x20 else 0) :]
+
+
+def sections(packets: list[bytes]) -> tuple[list[bytes], int]:
+    """The sections of one PID's packets, over as many packets as they take, without their CRCs; and the number of wrong ones."""
+    found, wrong, pending = [], 0, None
+
+    def close(data: bytes) -> bytes | None:
+        """Cut whole sections off; what is left is the begin of one."""
+        nonlocal wrong
+        while len(data) >= 3 and data[0] != STUFFING:
+            size = 3 + (struct.unpack_from(">H", data, 1)[0] & 0x0FFF)
+            if len(data) < size:
+                return data
+            if size < 12 or _crc(data[:size]) != 0:
+                wrong += 1
+            else:
+                found.append(data[: size - 4])
+            data = data[size:]
+        return data if data and data[0] != STUFFING else None
+
+    for packet in packets:
+        data = _payload(packet)
+        if packet[1] & 0x40 and data:  # a pointer to where a section begins
+            before, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if pending is not None:
+                wrong += close(pending + before) is not None
+            pending = close(data)
+        elif pending is not None:
+            pending = close(pending + data)
+    return found, wrong + (pending is not None)
 
 
 @lru_cache(64)
-def _section(packet: bytes, pid: int) -> tuple[bytes, int]:
-    """A table packet's section without its CRC, and 1 if the CRC is wrong."""
-    start = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    start += 1 + packet[start]
-    size = 3 + (struct.unpack_from(">H", packet, start + 1)[0] & 0x0FFF)
-    section = packet[start : start + size]
-    return section[:-4], int(len(section) != size or crc32_mpeg(section) != 0)
+def _crc(section: bytes) -> int:
+    return crc32_mpeg(section)
 
 
-def read(stream: bytes) -> Media:
-    """Parse a transport stream: tables, continuity, elementary packets, time stamps, random-access points."""
+def continued(rows):
+    """Which packets of one PID aren't repetitions, and the number of breaks in their continuity counters.
+
+    A packet may be sent twice; a packet that says so may break continuity.
+    """
+    import numpy as np
+
+    counters, carries = (rows[:, 3] & 15).astype("i4"), ((rows[:, 3] >> 4) & 1).astype("i4")
+    stated = ((rows[:, 3] & 0x20) > 0) & (rows[:, 4] > 0) & ((rows[:, 5] & 0x80) > 0)
+    again = np.zeros(len(rows), bool)
+    again[1:] = (counters[1:] == counters[:-1]) & (carries[1:] > 0) & (carries[:-1] > 0)
+    at = np.flatnonzero(again)
+    again[at] = (rows[at, 12:] == rows[at - 1, 12:]).all(axis=1)  # clock references may differ in a repetition
+    own = ~again
+    breaks = int((((counters[own][1:] - counters[own][:-1] - carries[own][1:]) & 15 != 0) & ~stated[own][1:]).sum())
+    return own, breaks
+
+
+def read(stream: bytes, program: int | None = None) -> Media:
+    """Parse a transport stream: tables, continuity, elementary packets, time stamps, clock references, random-access points.
+
+    The payload is that of the first stream of ``program``, or of the first
+    program. Of several versions of a table the last one counts.
+    """
     import numpy as np
 
     media = Media()
@@ -152,34 +210,53 @@ def read(stream: bytes) -> Media:
     good = (packets[:, 0] == SYNC) & (packets[:, 1] < 0x80)
     media.faults += int(whole - good.sum())
     pid = (packets[:, 1].astype("i4") & 0x1F) << 8 | packets[:, 2]
-    control, begins = packets[:, 3] >> 4 & 3, (packets[:, 1] & 0x40) > 0
 
-    for i in np.flatnonzero(good & (pid == PAT_PID) & begins)[:1]:
-        section, wrong = _section(packets[i].tobytes(), PAT_PID)
-        media.faults += wrong
+    def table(own_pid: int, kind: int) -> list[bytes]:
+        rows = packets[good & (pid == own_pid)]
+        if not len(rows):
+            return []
+        own, breaks = continued(rows)
+        found, wrong = sections([r.tobytes() for r in rows[own]])
+        media.faults += breaks + wrong
+        return [s for s in found if s[0] == kind and s[5] & 1]  # those that hold now
+
+    maps: dict[int, int] = {}
+    for section in table(PAT_PID, 0x00):
         for at in range(8, len(section) - 3, 4):
-            program, to = struct.unpack_from(">HH", section, at)
-            if program:
-                media.program, media.map_pid = program, to & 0x1FFF
-                break
-    for i in np.flatnonzero(good & (pid == media.map_pid) & begins)[:1]:
-        section, wrong = _section(packets[i].tobytes(), media.map_pid)
-        media.faults += wrong
-        at = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF)
-        if at + 5 <= len(section):
-            media.stream_type, to = section[at], struct.unpack_from(">H", section, at + 1)[0]
-            media.stream_pid = to & 0x1FFF
+            number, to = struct.unpack_from(">HH", section, at)
+            if number:
+                maps[number] = to & 0x1FFF
+    for map_pid in dict.fromkeys(maps.values()):
+        streams: dict[int, list[tuple[int, int]]] = {}
+        for section in table(map_pid, 0x02):
+            at, own_streams = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF), []
+            while at + 5 <= len(section):
+                kind, to, size = struct.unpack_from(">BHH", section, at)
+                own_streams.append((to & 0x1FFF, kind))
+                at += 5 + (size & 0x0FFF)
+            streams[struct.unpack_from(">H", section, 3)[0]] = own_streams
+        media.programs += [(number, map_pid, streams.get(number, [])) for number, to in maps.items() if to == map_pid]
+    chosen = [p for p in media.programs if program in (None, p[0])][:1]
+    if chosen:
+        media.program, media.map_pid, streams = chosen[0]
+        if streams:
+            media.stream_pid, media.stream_type = streams[0]
 
     own = np.flatnonzero(good & (pid == media.stream_pid))
     if media.stream_pid < 0 or not len(own):
         return media
-    rows, control, begins = packets[own], control[own], begins[own]
-    counters = (rows[:, 3] & 15).astype("i4")
+    rows = packets[own]
+    once, breaks = continued(rows)
+    media.faults += breaks
+    rows = rows[once]
+    control, begins = rows[:, 3] >> 4 & 3, (rows[:, 1] & 0x40) > 0
     carries = (control & 1).astype("i4")
-    media.faults += int(((counters[1:] - counters[:-1] - carries[1:]) & 15 != 0).sum())
     adapted = (control & 2) > 0
     size = np.where(adapted, rows[:, 4].astype("i4") + 1, 0)
     access = adapted & (size > 1) & ((rows[:, 5] & 0x40) > 0)
+    for i in np.flatnonzero(adapted & (size > 7) & ((rows[:, 5] & 0x10) > 0)):
+        base, low = struct.unpack_from(">IH", rows[i].tobytes(), 6)
+        media.clocks.append((base << 1 | low >> 15) * 300 + (low & 0x1FF))
     starts = np.where(carries > 0, np.minimum(4 + size, PACKET), PACKET)
     data = rows[np.arange(PACKET) >= starts[:, None]].tobytes()
     ends = np.cumsum(PACKET - starts)
