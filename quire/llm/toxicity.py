@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tables import kept, sample_share, text_or_empty
+from quire.llm.tables import dropped, kept, sample_share, text_or_empty, unused
 
 #: Bounds of the training sample, by class, and of the features.
 POSITIVES, NEGATIVES, FEATURES = 3000, 5000, 2048
@@ -99,8 +99,13 @@ def fit_link(x, y, steps: int = 150, penalty: float = 1e-3):
     return w, float(b)
 
 
-def fit_chain(found: list[list[int]], labels, n_features: int, folds: int = FOLDS):
-    """The chain's weights, and its out-of-fold probabilities of the last category."""
+def fit_chain(found: list[list[int]], labels, n_features: int, folds: int = FOLDS, hidden: list[list[int]] | None = None):
+    """The chain's weights, and its out-of-fold probabilities of the last category.
+
+    ``hidden``: by category, features that its link doesn't see. A category that
+    is named by words is learned from what stands beside them, so that its
+    probabilities tell later links something that its words don't.
+    """
     import numpy as np
 
     x = np.zeros((len(found), n_features), "f4")
@@ -109,6 +114,8 @@ def fit_chain(found: list[list[int]], labels, n_features: int, folds: int = FOLD
     fold, earlier, weights = np.arange(len(x)) % folds, np.zeros((len(x), 0), "f4"), []
     for k in range(labels.shape[1]):
         y, own = labels[:, k], np.concatenate([x, earlier], axis=1)
+        if hidden and k < len(hidden):
+            own[:, hidden[k]] = 0
         out = np.zeros(len(x), "f4")
         for f in range(folds):
             w, b = fit_link(own[fold != f], y[fold != f])
@@ -136,7 +143,7 @@ def best_threshold(scores, truth, weights=None) -> float:
 
 
 def label_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
-    """A bounded sample of labelled documents: ``key, toxic, weight, text``, where a row stands for ``weight`` labelled documents of its class. A document labelled twice is toxic if one label says so."""
+    """A bounded sample of labelled documents: ``key, toxic, weight, text``, where a row stands for ``weight`` labelled documents of its class. A document labelled twice is toxic if one label says so; of a repeated doc_id's texts the least counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen, weight = F.lit(False), F.lit(1.0)
@@ -145,7 +152,9 @@ def label_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, n
         chosen |= (F.col("toxic") == value) & sample_share(F.col("doc_id"), share)
         weight = F.when(F.col("toxic") == value, 1 / min(1.0, share)).otherwise(weight) if share > 0 else weight
     sample = known.where(chosen).withColumn("weight", weight).limit(positives + negatives)  # the bound that allows the broadcast
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").alias("key"), "toxic", "weight", "text")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
+    # one text for each id, so that repeated rows don't go over the bounds
+    return found.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("weight").alias("weight"), F.min("text").alias("text")).select(F.col("doc_id").alias("key"), "toxic", "weight", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]] | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
@@ -196,9 +205,11 @@ def train(docs: DataFrame, labels: DataFrame, terms: dict[str, tuple[str, ...]]
             yield pd.DataFrame(rows, columns=["key", "found", "labels"])
 
     rows = sample.mapInPandas(describe, "key long, found array<int>, labels array<int>").collect()
+    dropped(sample)
     rows.sort(key=lambda r: (r["key"], r["found"]))
     truth = np.array([r["labels"] for r in rows], "f4")
-    weights, scores = fit_chain([r["found"] for r in rows], truth, len(features))
+    hidden = [sorted({features[f] for w in own for f in (*word_features(w), *(f"{f}+" for f in word_features(w))) if f in features}) for own in groups]
+    weights, scores = fit_chain([r["found"] for r in rows], truth, len(features), hidden=hidden)
     return Model(features, weights, categories, best_threshold(scores, truth[:, -1], [stands[int(y)] for y in truth[:, -1]]))
 
 
@@ -242,11 +253,15 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     an empty one. Whole texts are read; a worker remembers ``REMEMBERED`` words.
     """
     new = [f"p_{c}" for c in model.categories]
-    rows = docs.drop(*new, "is_toxic").withColumn("__toxicity", predictor(model)(F.col(text).cast("string")))
-    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__toxicity"], *[F.col("__toxicity.probabilities")[i].alias(c) for i, c in enumerate(new)], F.col("__toxicity.toxic").alias("is_toxic"))
+    rows = docs.drop(*new, "is_toxic")
+    found = unused(rows.columns, "__toxicity")
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.withColumn(found, predictor(model)(F.col(text).cast("string")))
+    return rows.select(*own, *[F.col(f"{found}.probabilities")[i].alias(c) for i, c in enumerate(new)], F.col(f"{found}.toxic").alias("is_toxic"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Documents that aren't toxic; columns as they are."""
-    rows = docs.withColumn("__toxicity", predictor(model)(F.col("text").cast("string")))
-    return rows.where(~F.col("__toxicity.toxic")).drop("__toxicity")
+    found = unused(docs.columns, "__toxicity")
+    rows = docs.withColumn(found, predictor(model)(F.col("text").cast("string")))
+    return rows.where(~F.col(f"{found}.toxic")).drop(found)
