@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -155,6 +156,38 @@ def test_streams_show_faults():
     assert transport_stream.read(b"").payload == b"" and transport_stream.read(b"x" * 500).faults > 0
 
 
+def test_streams_as_others_may_write_them():
+    ts = transport_stream
+    payload = random.Random(2).randbytes(100_032)
+    stored = ts.write(payload)
+    packets = [stored[i : i + 188] for i in range(0, len(stored), 188)]
+    whole = ts.read(stored)
+    assert whole.clocks == [t * 300 for t in whole.stamps[:: ts.ACCESS_EVERY]] and whole.programs == [(1, ts.PMT_PID, [(ts.STREAM_PID, ts.PRIVATE_DATA)])]
+    # a packet sent twice is no fault, a break that is announced neither
+    assert ts.read(b"".join([*packets[:7], packets[6], *packets[7:]])).faults == 0
+    twice = ts.read(b"".join([*packets[:7], packets[6], packets[6], *packets[7:]]))
+    assert ts.read(b"".join([*packets[:7], packets[6], *packets[7:]])).payload == payload and twice.payload == payload
+    first = next(i for i, p in enumerate(packets[20:], 20) if p[3] & 0x20 and p[4] > 0 and p[1] & 0x40)
+    told = packets[first][:5] + bytes([packets[first][5] | 0x80]) + packets[first][6:]
+    shifted = [p[:3] + bytes([p[3] & 0xF0 | (p[3] + 5) & 15]) + p[4:] for p in [told, *packets[first + 1 :]]]
+    assert ts.read(b"".join([*packets[:first], *shifted])).faults == 0
+    assert ts.read(b"".join([*packets[:first], packets[first], *shifted[1:]])).faults == 1
+    # a map of many streams takes two packets; the table PIDs' continuity counts, too
+    streams = [(0x100, 6), *[(0x200 + i, 0x1B) for i in range(60)]]
+    body = b"".join(struct.pack(">BHH", kind, 0xE000 | pid, 0xF000) for pid, kind in streams)
+    section = struct.pack(">BHHBBBHH", 0x02, 0xB000 | (9 + len(body) + 4), 1, 0xC1, 0, 0, 0xE100, 0xF000) + body
+    section += struct.pack(">I", ts.crc32_mpeg(section))
+    data = b"\0" + section
+    parts = [data[i : i + 184].ljust(184, b"\xff") for i in range(0, len(data), 184)]
+    maps = [struct.pack(">BHB", 0x47, (0x4000 if i == 0 else 0) | ts.PMT_PID, 0x10 | i) + part for i, part in enumerate(parts)]
+    media = ts.read(b"".join([packets[0], *maps, *packets[2:]]))
+    assert len(maps) == 2 and media.programs == [(1, ts.PMT_PID, streams)] and media.payload == payload and media.faults == 0
+    assert ts.read(b"".join([packets[0], maps[0], *packets[2:]])).faults == 1
+    spoiled = maps[1][:20] + b"x" + maps[1][21:]
+    assert ts.read(b"".join([packets[0], maps[0], spoiled, *packets[2:]])).faults == 1 and ts.read(stored, program=7).payload == b""
+
+
+
 def test_media_of_odd_documents(odd):
     found = {r["doc_id"]: r for r in transport_stream.describe(transport_stream.store(odd)).collect()}
     assert found[0]["n_bytes"] == 0 and found[0]["payload_bytes"] == 64 and found[0]["payload_sha256"] == found[1]["payload_sha256"] == hashlib.sha256(bytes(64)).hexdigest()
@@ -284,6 +317,56 @@ def test_contexts_find_identifiers_of_other_forms(spark):
     assert found[200] == "" and found[0].count(":") == 6
 
 
+def test_what_a_round_finds_induces_patterns_of_the_next(spark):
+    """Account numbers near two kinds of words: only the first is near seeds, the second is near what the first found."""
+    names = [f"acct-{i}-{7000 + i}x" for i in range(4)]
+    edges = [(3, 3, 1.0, f"+1 555 000 {i:03}", "call<") for i in range(9)] + [(-1, 3, 1.0, n, "call<") for n in names] + [(-1, 3, 1.0, n, "reach<") for n in names] + [(-1, 3, 1.0, f"030 55 {i}", "reach<") for i in range(2)] + [(-1, 3, 1.0, "030 66", "other<")]
+    df = spark.createDataFrame([*edges, edges[0], edges[-1]], "kind int, of int, fit double, instance string, pattern string")
+    for rounds in (1, 2, 3, 5):
+        assert {(r["instance"], r["of"]) for r in pii_bootstrap.bootstrapped(df, rounds).collect()} == brute_bootstrap(edges, rounds)
+    assert {i for i, _ in brute_bootstrap(edges, 1)} < {i for i, _ in brute_bootstrap(edges, 5)}
+
+
+def brute_bootstrap(edges, rounds):
+    import math
+
+    graph = {}
+    for kind, of, fit, instance, pattern in edges:
+        k, f = graph.get((pattern, of, instance), (-1, 0.0))
+        graph[pattern, of, instance] = (max(k, kind), max(f, fit))
+    nodes = {}
+    for (_, of, instance), (kind, fit) in graph.items():
+        k, f = nodes.get((instance, of), (-1, 0.0))
+        nodes[instance, of] = (max(k, kind), max(f, fit))
+    sure = lambda kind, of: 1.0 if kind == of else -1.0 if kind >= 0 else None
+    belief = {n: sure(kind, n[1]) if sure(kind, n[1]) is not None else 0.0 for n, (kind, _) in nodes.items()}
+    for _ in range(rounds):
+        scores = {}
+        for p in {(p, of) for p, of, _ in graph}:
+            own = [(i, of) for q, of, i in graph if (q, of) == p]
+            if sum(belief[n] >= pii_bootstrap.LEAST_BELIEF for n in own) >= pii_bootstrap.LEAST_SEEDS:
+                scores[p] = sum(max(belief[n], 0) for n in own) / (sum(nodes[n][1] for n in own) + 0.5)
+        for n, (kind, fit) in nodes.items():
+            heard = [math.log(1.0001 - min(scores[p, of], 1)) for p, of, i in graph if (i, of) == n and (p, of) in scores]
+            belief[n] = sure(kind, n[1]) if sure(kind, n[1]) is not None else (1 - math.exp(sum(heard))) * 0.95 * fit if heard else 0.0
+    found = {}
+    for p, of, i in graph:
+        if scores.get((p, of), 0) >= pii_bootstrap.LEAST_SCORE and nodes[i, of][0] < 0 and belief[i, of] >= pii_bootstrap.LEAST_BELIEF:
+            found.setdefault(i, set()).add((belief[i, of], -of))
+    return {(i, -max(options)[1]) for i, options in found.items()}
+
+
+def test_long_numbers_and_contexts_are_whole():
+    tokens = lambda text: [text[s:e] for _, s, e in pii_bootstrap.candidates(text, [])]
+    assert tokens("id " + "7" * 40 + " end") == ["7" * 40] and tokens("1234567 " * 30) == ["1234567"] * 30
+    word, text = "w" * 60, "w" * 60 + " 12345678 " + "v" * 70
+    assert pii_bootstrap.contexts(text, 61, 69, [(0, 60), (70, 140)]) == [f"{word}<", f"{word}<>{'v' * 70}"]
+    began = time.thread_time()
+    for page in ("1 " * 200_000, "9" * 500_000 + "x", "(1" * 200_000, "+1-" * 200_000, "AB12 " * 100_000):
+        list(pii_bootstrap.edges_of(page, []))
+    assert time.thread_time() - began < 60
+
+
 def test_identifier_tokens():
     tokens = lambda text: [text[s:e] for _, s, e in pii_bootstrap.candidates(text, [])]
     assert tokens("tel:030 1234567, #1 800 555 0199 and (name7@host)") == ["030 1234567", "1 800 555 0199", "name7@host"]

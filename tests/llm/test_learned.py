@@ -198,6 +198,18 @@ def test_secrets_of_configurations(spark, forest):
     assert {t: found[i] for i, t in enumerate(texts)} == texts
 
 
+def test_secrets_without_digits_after_long_runs_and_beside_clashing_names(spark, forest):
+    letters, late = "qWxZvBnMtRpLkJhGfDsAyUiO", "k" * 70 + "9" + "Qz7" * 8
+    texts = [f"the password={letters} is", f'token: "{letters}"', "see getUserNameFromRequest and ordersHistoryListView", "=" + "a" * 100_000 + " " + "aB" * 50_000, f"x {late} y"]
+    docs = spark.createDataFrame([(i, t, *"abcdef") for i, t in enumerate(texts)] + [(0, texts[0], *"abcdef")], "doc_id long, text string, `__pieces` string, `__values` string, `__path` string, `__at` string, Findings string, source string")
+    found = sorted((r["doc_id"], r["value"]) for r in secret_scan.findings(docs, forest).collect())
+    assert [f for f in found if f[0] < 3] == [(0, letters), (0, letters), (1, letters)]
+    scanned = {r["doc_id"]: r for r in secret_scan.scan(docs.drop("Findings"), forest).collect()}
+    assert [f["value"] for f in scanned[4]["findings"]] == [late]
+    out = secret_scan.masked(docs, forest)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {tuple("abcdef")}
+
+
 def test_secrets_of_a_table(spark):
     import re
 
