@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from quire.llm.tables import text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a Python worker remembers between batches; then it starts over.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers between batches; then it forgets those that weren't met in the last half of them.
+REMEMBERED = 1_500_000
 #: Longer words aren't remembered, so that the memory has a bound.
 LONGEST_REMEMBERED = 64
 #: Bytes of text handled at once.
@@ -45,7 +45,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 #: stands between white space can be encoded on its own.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _WHITE + r"\p{L}\p{N}]+"
 #: The same for lower-case Latin-1 text.
-_LATIN = re.compile("[a-zª\xb5ºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9²³¹¼½¾a-zª\xb5ºß-öø-ÿ]+")
+_LATIN = re.compile("[a-zª\xb5ºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9²³¹¼½¾a-zª\xb5ºß-öø-ÿ]+").findall
 
 
 def _byte_symbols() -> list[str]:
@@ -86,8 +86,9 @@ class TrieEncoder:
         symbols = _byte_symbols()
         self.sizes = {i: len(s) - (len(self.end) if s.endswith(self.end) and s != self.end else 0) for s, i in self.ids.items()}
         self.symbols = {b: s for b, s in enumerate(symbols)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.ids_of: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(_SPLIT).findall
         self.white = regex.compile(f"[{_WHITE}]+").split
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -113,76 +114,81 @@ class TrieEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the text of both tokens gives just these two: no merge across the border comes first."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.fits.get(key)) is None:
             rank, ends = self.rank.get, self._edge(right, 0)
             known = self.fits[key] = not any((r := rank((a, b))) is not None and r < until_a and r <= until_b for a, until_a in self._edge(left, 1) for b, until_b in ends)
         return known
 
-    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """Depth-first over the trie of ``words`` (byte symbols): each word with its tokens."""
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Depth-first over the trie of ``words`` (byte symbols): each word with its tokens, as ``encode`` gives them."""
         states, path, sizes = [-1], "", self.sizes
-        inner, final, fits, compatible = self.inner, self.final, self.fits, self.compatible
+        inner, final, fits, compatible = self.inner.get, self.final.get, self.fits.get, self.compatible
         inner_sizes, final_sizes = self.inner_sizes.get, self.final_sizes.get
         for word in sorted(words):
             n = len(word)
             shared, most = 0, min(len(path), n - 1)
-            while shared < most and path[shared] == word[shared]:
-                shared += 1
+            if path[:most] == word[:most]:
+                shared = most
+            else:
+                while path[shared] == word[shared]:
+                    shared += 1
             del states[shared + 1 :]
+            add, get, size_of = states.append, inner, inner_sizes
             for end in range(shared + 1, n + 1):
-                vocabulary, most = (inner, inner_sizes) if end < n else (final, final_sizes)
-                for size in most(word[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
-                    token = word[end - size : end] if size <= end else ""
-                    if token in vocabulary:
-                        token = vocabulary[token]
-                        if size == end:
-                            break
-                        key = (states[end - size], token)
-                        if fits[key] if key in fits else compatible(*key):
-                            break  # just one token is compatible: the encoding of a prefix is unique
+                if end == n:
+                    get, size_of = final, final_sizes
+                for size in size_of(word[end - 3 : end], (2, 1)) if end > 2 else range(end, 0, -1):
+                    if size < end:
+                        token = get(word[end - size : end])
+                        if token is not None:
+                            fit = fits(states[end - size] << 32 | token)
+                            if fit or (fit is None and compatible(states[end - size], token)):
+                                break  # just one token is compatible: the encoding of a prefix is unique
+                    elif size == end and (token := get(word[:end])) is not None:
+                        break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-                states.append(token)
+                add(token)
             out, at = [], n
             while at:
                 token = states[at]
                 out.append(token)
                 at -= sizes[token]
-            states.pop()
+            del states[n:]
             path = word[: n - 1]
             out.reverse()
-            yield word, out
-
-    def _pieces(self, chunk: str) -> list[str]:
-        """The words of what stands between white space, after lower-casing."""
-        if len(chunk) < 2 or chunk.isalpha():
-            return [chunk]
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.split(chunk)
-        return _LATIN.findall(chunk)
+            yield word, array("I", out).tobytes()
 
-    def _learn(self, chunks: set[str], into: dict[str, bytes]) -> None:
+    def _learn(self, words: set[str], into: dict[str, bytes]) -> None:
         symbols = self.symbols
-        plain = {c for c in chunks if c.isascii() and c.isalpha()}
-        spelled = {c: [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(symbols) for p in self._pieces(c)] for c in chunks - plain}
-        tokens = {w: array("I", ids) for w, ids in self.walk(plain.union(*spelled.values()))}
-        for chunk in plain:
-            into[chunk] = tokens[chunk].tobytes()
-        for chunk, words in spelled.items():
-            into[chunk] = b"".join([tokens[w].tobytes() for w in words])
-
-    def _chunks(self, text: str) -> list[str]:
+        spelled = {w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(symbols) for w in words}
+        tokens = dict(self.walk(spelled.values()))
+        for word, own in spelled.items():
+            into[word] = tokens[own]
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text, as the file's normaliser and its split pattern give them."""
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # each character by itself: no final sigma
         text = text.lower()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split() only
-            return [c for c in self.white(text) if c]
-        return text.split()
+        if text.isascii():
+            return _LATIN(text)
+        try:
+            text.encode("latin-1")
+            return _LATIN(text)
+        except UnicodeEncodeError:
+            # only what stands between white space with other letters needs the pattern itself
+            out: list[str] = []
+            for chunk in self.white(text):
+                try:
+                    chunk.encode("latin-1")
+                    out += _LATIN(chunk)
+                except UnicodeEncodeError:
+                    out += self.split(chunk)
+            return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -191,23 +197,26 @@ class TrieEncoder:
             if special and "<|" in text and special.search(text):
                 parts, at = [], 0
                 for m in special.finditer(text):
-                    parts += [*self._chunks(text[at : m.start()]), m]
+                    parts += [*self._words(text[at : m.start()]), m]
                     at = m.end()
-                plain.append(parts + self._chunks(text[at:]))
+                plain.append(parts + self._words(text[at:]))
             else:
-                plain.append(self._chunks(text))
-        if len(self.ids_of) > REMEMBERED:
-            self.ids_of.clear()
+                plain.append(self._words(text))
+        if len(self.ids_of) > REMEMBERED // 2:
+            self.ids_of, self.older = {}, self.ids_of
         if len(self.fits) > REMEMBERED:
             self.fits.clear()
-        ids_of = self.ids_of
+        ids_of, older = self.ids_of, self.older
         new = set().union(*plain).difference(ids_of)
-        once = {c for c in new if not isinstance(c, str) or len(c) > LONGEST_REMEMBERED}
+        again = {w for w in new if w in older}
+        ids_of.update((w, older[w]) for w in again)
+        new -= again
+        once = {w for w in new if not isinstance(w, str) or len(w) > LONGEST_REMEMBERED}
         self._learn(new - once, ids_of)
         if once:
             ids_of = ChainMap({m: struct.pack("<I", self.special[m[0]]) for m in once if not isinstance(m, str)}, ids_of)
-            self._learn({c for c in once if isinstance(c, str)}, ids_of)
-        return [b"".join(map(ids_of.__getitem__, chunks)) for chunks in plain]
+            self._learn({w for w in once if isinstance(w, str)}, ids_of)
+        return [b"".join(map(ids_of.__getitem__, words)) for words in plain]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of little-endian 32-bit ids, as a vocabulary without a decoder joins them."""

@@ -7,7 +7,9 @@ of pieces is divided into ``k`` windows by differencing: each piece starts as a
 partial partition of ``k`` sums, and the two partial partitions with the widest
 spread are merged again and again, the largest sums of one with the smallest of
 the other, so that opposing imbalances cancel. If the fullest window exceeds the
-capacity, the group is divided anew into one window more.
+capacity, the group is divided anew into one window more. A sequence is padded
+to the capacity unless its length is a power of two, so what a partition's last
+group has beyond its windows becomes sequences of such lengths, without padding.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ WINDOWS = 64
 #: Share of a window that a group leaves free, so that differencing finds room.
 SLACK = 0.008
 #: Pieces cut from the rest of a document have at most this part of a window.
-PARTS = 6
+PARTS = 4
+#: The same for what remains at the end of a partition, where few pieces must fit.
+LAST_PARTS = 32
 #: The id that ends each document.
 END_ID = 2
 #: Sequences of one partition have ids from ``partition << PARTITION_BITS``.
@@ -88,13 +92,44 @@ class Packer:
 
     def close(self) -> Iterator[tuple]:
         for window in divide([len(p[1]) // 4 for p in self.group], self.capacity) if self.group else ():
-            offset = 0
-            for i in window:
-                yield (*self.group[i], self.sequence, offset)
-                offset += len(self.group[i][1]) // 4
-            self.sequence += 1
+            yield from self.filled([self.group[i] for i in window])
         self.group, self.total = [], 0
 
+    def filled(self, pieces: list[tuple]) -> Iterator[tuple]:
+        """One sequence of these pieces."""
+        offset = 0
+        for p in pieces:
+            yield (*p, self.sequence, offset)
+            offset += len(p[1]) // 4
+        self.sequence += 1
+
+    def finish(self) -> Iterator[tuple]:
+        """The last group: as many windows as it nearly fills, and sequences of powers of two for the rest."""
+        fill, left = max(1, int(self.capacity * (1 - SLACK))), self.group
+        rest = self.total % fill
+        for size in (1 << bit for bit in reversed(range(rest.bit_length())) if rest >> bit & 1):
+            own, left = cut_off(left, size)
+            yield from self.filled(own)
+        small, finer = max(1, self.capacity // LAST_PARTS), []
+        for key, ids, start, n in left:
+            finer += [(key, ids[4 * at : 4 * (at + small)], start + at, n) for at in range(0, len(ids) // 4, small)]
+        self.group = finer
+        yield from self.close()
+
+
+def cut_off(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
+    """The last ``size`` tokens of the pieces, and the pieces before them."""
+    left, own = list(pieces), []
+    while size:
+        key, ids, start, n = left.pop()
+        most = len(ids) // 4
+        if most > size:
+            left.append((key, ids[: 4 * (most - size)], start, n))
+            ids, start, most = ids[4 * (most - size) :], start + most - size, size
+        own.append((key, ids, start, n))
+        size -= most
+    return own, left
+
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
@@ -105,8 +140,8 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     packed each by itself (their pieces carry the same key). An empty table
     gives no rows. Very long texts are cut into full windows as they come.
     Columns other than ``key`` and ``text`` are ignored. A partition holds
-    the windows of its own documents, so its last group may be padded; that is
-    one window for each partition, whatever the partition's size.
+    the windows of its own documents; what its last group leaves over stands in
+    sequences whose lengths are powers of two, a dozen at most.
     """
     if capacity < 2:
         raise ValueError("capacity: 2 at least")
@@ -138,7 +173,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
             pieces = [p for k, ids in zip(part.column("__key").to_pylist(), encoded) for p in packer.add(k, ids + end)]
             if pieces:
                 yield batch_of(pieces)
-        if pieces := list(packer.close()):
+        if pieces := list(packer.finish()):
             yield batch_of(pieces)
 
     return rows.mapInArrow(run, schema)
