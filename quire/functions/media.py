@@ -55,15 +55,22 @@ def data_url(media_type: Column, body: Column) -> Column:
     return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), plain_base64(body))
 
 
+def percent_decoded(text: Column) -> Column:
+    """The bytes of percent-encoded text; a ``%`` that isn't followed by two hexadecimal digits stays."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(?:%[0-9a-fA-F]{2})++|[^%]++|%"), 0)
+    digits = F.transform(parts, lambda x: F.when(x.rlike("^%[0-9a-fA-F]"), F.replace(x, F.lit("%"), F.lit(""))).otherwise(F.hex(F.encode(x, "UTF-8"))))
+    return F.when(text.contains("%"), F.unhex(F.array_join(digits, ""))).otherwise(F.encode(text, "UTF-8"))
+
+
 def decoded(url: Column) -> Column:
     """struct<media_type, body, error> of a ``data:`` URL; its fragment doesn't count."""
     plain = F.substring_index(url, "#", 1)
-    head, body = F.regexp_extract(plain, r"(?i)^data:([^,]*),", 1), F.regexp_replace(plain, r"(?i)^data:[^,]*,", "")
+    head, body = F.regexp_extract(plain, r"(?is)^data:([^,]*),", 1), F.regexp_replace(plain, r"(?is)^data:[^,]*,", "")
     coded = head.rlike(r"(?i);[ ]*base64[ ]*$")
     kind = F.regexp_replace(head, r"(?i);[ ]*base64[ ]*$", "")
     kind = F.when(kind.startswith(";") | (kind == ""), F.lit("text/plain;charset=US-ASCII")).otherwise(kind)
-    content = F.when(coded, F.try_to_binary(F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))), F.lit("!")), r"[ \t\r\n\f]", ""), F.lit("base64")))
-    content = content.otherwise(F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B"))).cast("binary"))
+    letters = F.when(body.contains("%"), F.decode(percent_decoded(body), "ISO-8859-1")).otherwise(body)
+    content = F.when(coded, F.try_to_binary(F.regexp_replace(letters, r"[ \t\r\n\f]", ""), F.lit("base64"))).otherwise(percent_decoded(body))
     valid = plain.rlike(r"(?is)^data:[^,]*,") & content.isNotNull()
     return F.struct(F.when(valid, kind).alias("media_type"), F.when(valid, content).alias("body"), F.when(~F.coalesce(valid, F.lit(False)), F.lit("resource.data_url")).alias("error"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File stems that some systems reserve.
 RESERVED_STEMS = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 STEM_BYTES = 96
-ENTITIES = {"&quot;": '"', "&middot;": "·", "&copy;": "©", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&#39;": "'", "&amp;": "&"}
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;)"
 
 
 def _all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -18,8 +20,19 @@ def _all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """The character references that pages commonly use, decoded; ``&amp;`` last."""
-    return _all(text, list(ENTITIES.items()))
+    """Character references decoded, each once: numbers of any kind, and the names of HTML 4; others stay as they are."""
+    names = F.map_from_arrays(F.split(F.lit(" ".join([*name2codepoint, "apos"])), " "), F.split(F.lit("\x01".join([*map(chr, name2codepoint.values()), "'"])), "\x01"))
+
+    def decoded(x: Column) -> Column:
+        inner = F.regexp_replace(x, "^&|;$", "")
+        hexadecimal = F.regexp_replace(F.when(F.lower(inner).startswith("#x"), F.substring(inner, 3, 1 << 30)).otherwise(F.conv(F.substring(inner, 2, 1 << 30), 10, 16)), "^0+", "")
+        code = F.lpad(hexadecimal, 8, "0")
+        valid = (F.length(hexadecimal) <= 6) & (hexadecimal != "") & (F.upper(code) <= "0010FFFF") & ~F.upper(code).between("0000D800", "0000DFFF")
+        number = F.when(valid, F.decode(F.unhex(code), "UTF-32")).otherwise("\ufffd")
+        return F.when(inner.startswith("#"), number).otherwise(F.coalesce(F.try_element_at(names, inner), x))
+
+    found, between = F.regexp_extract_all(text, F.lit(_REFERENCE), 0), F.split(text, _REFERENCE, -1)
+    return F.when(text.contains("&"), F.array_join(F.zip_with(between, F.transform(found, decoded), lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:

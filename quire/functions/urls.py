@@ -56,10 +56,25 @@ def same_origin(left: Column, right: Column) -> Column:
     return F.coalesce(origin(left) == origin(right), F.lit(False))
 
 
+def normalized(url: Column) -> Column:
+    """A web URL with its scheme and host in lower case, without its scheme's own port and dot segments, an empty path as ``/``; others as they are."""
+
+    def use(x: Column) -> Column:
+        u, own, place = x["url"], x["scheme"], x["authority"]
+        known = F.create_map(*[F.lit(y) for pair in DEFAULT_PORTS.items() for y in pair])
+        owner = F.regexp_extract(place, r"^([^@]*@)", 1)
+        number = F.ltrim(F.regexp_extract(place, r":([0-9]*)$", 1), F.lit("0"))
+        spelled = F.when((number == "") | (number == F.try_element_at(known, own).cast("string")), F.lit("")).otherwise(F.concat(F.lit(":"), number))
+        way = F.when(path(u) == "", F.lit("/")).otherwise(_dots(path(u)))
+        whole = F.concat(own, F.lit("://"), owner, host(u), spelled, way, F.regexp_extract(u, _PARTS, 4), F.regexp_extract(u, _PARTS, 5))
+        return F.when(own.isin(*DEFAULT_PORTS) & host(u).isNotNull(), whole).otherwise(u)
+
+    return let(url, lambda u: let(F.struct(u.alias("url"), scheme(u).alias("scheme"), authority(u).alias("authority")), use))
+
+
 def page_url(url: Column) -> Column:
-    """A page's identity: http and https only, without its fragment, an empty path as ``/``; else null."""
-    rooted = lambda u: F.when(path(u) == "", F.regexp_replace(u, r"^([^:]+://[^/?#]*)", "$1/")).otherwise(u)
-    return let(without_fragment(F.trim(url)), lambda u: F.when(scheme(u).isin("http", "https") & host(u).isNotNull(), rooted(u)))
+    """A page's identity: http and https only, normalized, without its fragment; else null."""
+    return let(normalized(without_fragment(F.trim(url))), lambda u: F.when(scheme(u).isin("http", "https") & host(u).isNotNull(), u))
 
 
 def percent_encoded(text: Column) -> Column:
@@ -77,23 +92,27 @@ def _dots(p: Column) -> Column:
     return F.when(p.rlike(r"/\.\.?(/|$)"), whole).otherwise(p)
 
 
+def _encoded(ref: Column) -> Column:
+    """``percent_encoded`` but for the authority, whose letters stay as they are."""
+    place = F.regexp_extract(ref, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)", 1)
+    return F.concat(place, percent_encoded(F.substring(ref, F.length(place) + 1, F.lit(1 << 30))))
+
+
 def join(base: Column, reference: Column) -> Column:
-    """A reference resolved against a base URL: absolute, protocol-relative, rooted, relative, query or fragment only.
+    """A reference resolved against a base URL, normalized: absolute, protocol-relative, rooted, relative, query or fragment only.
 
     White space around a reference and line breaks and tabs in it are dropped,
     backslashes of web URLs are slashes; null if either side is null or the
     base has no scheme.
     """
-    ref = percent_encoded(F.regexp_replace(F.trim(F.regexp_replace(reference, r"[\t\r\n]", "")), r"\\", "/"))
+    ref = _encoded(F.regexp_replace(F.trim(F.regexp_replace(reference, r"[\t\r\n]", "")), r"\\", "/"))
     plain = F.struct(ref.alias("ref"), scheme(ref).alias("scheme"), path(ref).alias("path"), F.concat(F.regexp_extract(ref, _PARTS, 4), F.regexp_extract(ref, _PARTS, 5)).alias("rest"))
     own = F.struct(scheme(base).alias("scheme"), F.concat(scheme(base), F.lit("://"), authority(base)).alias("root"), F.when(path(base) == "", F.lit("/")).otherwise(path(base)).alias("path"), F.regexp_extract(base, _PARTS, 4).alias("query"))
 
     def use(x: Column) -> Column:
         b, r = x["b"], x["r"]
-        absolute = F.when(r["path"] == "", F.regexp_replace(r["ref"], r"^([^:]+://[^/?#]*)", "$1/")).otherwise(r["ref"])
-        return (
+        return normalized(
             F.when(b["scheme"].isNull(), F.lit(None).cast("string"))
-            .when(r["scheme"].isin(*DEFAULT_PORTS), absolute)
             .when(r["scheme"].isNotNull(), r["ref"])
             .when(r["ref"].startswith("//"), F.concat(b["scheme"], F.lit(":"), r["ref"]))
             .when(r["path"].startswith("/"), F.concat(b["root"], _dots(r["path"]), r["rest"]))

@@ -15,8 +15,12 @@ from pyspark.sql.window import Window
 
 from quire.functions import media, text, urls
 
-TOKEN = r"(?is)<!--.*?-->|<(?:script|style|textarea|xmp|noframes)(?=[\s>])[^>]*>.*?</(?:script|style|textarea|xmp|noframes)\s*>|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<![^>]*>"
-_ATTRIBUTE = r"""\s([^\s=>"'/]+)(\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?"""
+# All runs are possessive, so that tags of any length neither recurse nor are tried twice. What doesn't end goes on to
+# the end of the page; a quote that doesn't close is none.
+_TO_END = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\z|["'][^>]*+(?:>|\z))"""
+TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|xmp|noframes)(?=[\s/>]){_TO_END}.*?(?:</\1\s*+>|\z)|</?[a-z]{_TO_END}|<![^>]*+(?:>|\z)"
+_HEAD = rf"(?s)^(</?[a-zA-Z]{_TO_END})"
+_ATTRIBUTE = r"""([^\s=>"'/]++)(\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?"""
 
 # Link relations, URL attributes, metadata types, and which attribute holds which role of resource.
 REQUEST_RELATIONS = ("compression-dictionary", "dns-prefetch", "import", "manifest", "modulepreload", "preconnect", "prefetch", "preload", "prerender", "serviceworker", "subresource", "webbundle")
@@ -30,9 +34,9 @@ ROLES = {
 }
 
 
-def tokens(pages: DataFrame, html: str = "html") -> DataFrame:
+def tokens(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``page_id, pos, token, closing, tag``: one row per token of markup, in page order."""
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(TOKEN), 0)).alias("pos", "token"))
+    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(TOKEN), 0)).alias("pos", "token"))
     return rows.withColumns({"closing": F.col("token").startswith("</"), "tag": tag_of(F.col("token"))})
 
 
@@ -42,26 +46,34 @@ def tag_of(token: Column) -> Column:
 
 def head_of(token: Column) -> Column:
     """A token's start tag, without raw content."""
-    return F.regexp_extract(token, r"""(?s)^(</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>)""", 1)
+    return F.regexp_extract(token, _HEAD, 1)
+
+
+def written(token: Column) -> Column:
+    """array<struct<name, value, raw>>: all attributes in source order, also repeated ones, with their own text. Names may follow ``/`` or a quote."""
+    inner = F.regexp_replace(head_of(token), r"^</?[a-zA-Z][^\s/>]*+", "")
+    names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 1), F.lower)
+    values = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 3), lambda v: text.unescaped(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
+    return F.arrays_zip(names.alias("name"), values.alias("value"), F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 0).alias("raw"))
 
 
 def attributes(token: Column) -> Column:
     """array<struct<name, value>> in source order; of names that repeat, the first stays."""
-    head = head_of(token)
-    names = F.transform(F.regexp_extract_all(head, F.lit(_ATTRIBUTE), 1), F.lower)
-    values = F.transform(F.regexp_extract_all(head, F.lit(_ATTRIBUTE), 3), lambda v: text.unescaped(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
-    pairs = F.arrays_zip(names.alias("name"), values.alias("value"))
-    return F.filter(pairs, lambda p, i: F.array_position(names, p["name"]) == i + 1)
+    # by name and place, so that a tag of many attributes takes no time that grows with their square
+    named = F.array_sort(F.transform(written(token), lambda a, i: F.struct(a["name"].alias("name"), i.alias("i"), a["value"].alias("value"))))
+    first = lambda all_: F.filter(all_, lambda x, k: (k == 0) | (F.get(all_, k - 1)["name"] != x["name"]))
+    placed = F.array_sort(F.transform(urls.let(named, first), lambda x: F.struct(x["i"].alias("i"), x["name"].alias("name"), x["value"].alias("value"))))
+    return F.transform(placed, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
 
 
 def attribute(token: Column, name: str) -> Column:
     """The value of one attribute, or null."""
-    return F.get(F.filter(attributes(token), lambda a: a["name"] == name), F.lit(0))["value"]
+    return F.get(F.filter(written(token), lambda a: a["name"] == name), F.lit(0))["value"]
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """``page_id, pos, tag, attrs``: start tags only."""
-    return tokens(pages).where(~F.col("closing") & (F.col("tag") != "")).select("page_id", "pos", "tag", attributes(F.col("token")).alias("attrs"), "token")
+def elements(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``page_id, pos, tag, attrs``: start tags only; ``keep`` are the pages' columns that stay."""
+    return tokens(pages, keep=keep).where(~F.col("closing") & (F.col("tag") != "")).select(*keep, "pos", "tag", attributes(F.col("token")).alias("attrs"), "token")
 
 
 def first_text(html: Column, tag: str) -> Column:
@@ -86,7 +98,7 @@ def is_script_url(value: Column) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """``page_id, url, link, same_origin``: each page's links to pages, without those marked nofollow, each once."""
-    found = pages.select("page_id", "url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<a(?:rea)?\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), 0)).alias("token"))
+    found = pages.select("page_id", "url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rf"(?is)<a(?:rea)?[\s/]{_TO_END}"), 0)).alias("token"))
     found = found.select("page_id", "url", attribute(F.col("token"), "href").alias("href"), F.coalesce(attribute(F.col("token"), "rel"), F.lit("")).alias("rel"))
     found = found.where(F.col("href").isNotNull() & ~F.array_contains(F.split(F.lower("rel"), r"[ \t\n\f\r]+"), "nofollow"))
     found = found.select("page_id", "url", urls.page_url(urls.join(urls.without_fragment(F.col("url")), F.col("href"))).alias("link")).where(F.col("link").isNotNull())
@@ -95,9 +107,9 @@ def links(pages: DataFrame) -> DataFrame:
 
 def css_references(css: Column) -> Column:
     """URLs that a style sheet asks for, in order: url(), strings after @import and in image-set(); comments don't count, nor do empty ones and fragments."""
-    plain = F.regexp_replace(css, r"(?s)/\*.*?\*/", " ")
-    found = F.regexp_extract_all(plain, F.lit(r"""(?i)(url\(\s*(?:"[^"]*"|'[^']*'|[^)"'\s]*)\s*\)|@import\s+(?:"[^"]*"|'[^']*')|image-set\((?:[^()]|\([^()]*\))*\))"""), 1)
-    sets = lambda x: F.regexp_extract_all(x, F.lit(r"""(?i)(url\(\s*(?:"[^"]*"|'[^']*'|[^)"'\s]*)\s*\)|"[^"]*"|'[^']*')"""), 1)
+    plain = F.regexp_replace(css, r"(?s)/\*.*?(?:\*/|\z)", " ")
+    found = F.regexp_extract_all(plain, F.lit(r"""(?i)(url\(\s*+(?:"[^"]*+"|'[^']*+'|[^()"'\s]*+)\s*+\)|@import\s+(?:"[^"]*"|'[^']*')|image-set\((?:[^()]++|\([^()]*+\))*+\))"""), 1)
+    sets = lambda x: F.regexp_extract_all(x, F.lit(r"""(?i)(url\(\s*+(?:"[^"]*+"|'[^']*+'|[^()"'\s]*+)\s*+\)|"[^"]*"|'[^']*')"""), 1)
     flat = F.flatten(F.transform(found, lambda x: F.when(F.lower(x).startswith("image-set"), F.filter(sets(F.regexp_replace(x, r"""(?i)type\(\s*["'][^"']*["']\s*\)""", "")), lambda y: y != "")).otherwise(F.array(x))))
     bare = F.transform(flat, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"""(?i)^(?:url\(\s*|@import\s+)?["']?""", ""), r"""["']?\s*\)?$""", "")))
     return F.filter(bare, lambda x: (x != "") & ~x.startswith("#"))
@@ -105,7 +117,7 @@ def css_references(css: Column) -> Column:
 
 def srcset_references(srcset: Column) -> Column:
     """A srcset's URLs in order: a run without white space, its last commas stripped; then up to the next comma outside parentheses all is skipped."""
-    return F.regexp_extract_all(srcset, F.lit(r"[\s,]*(\S*[^\s,]),*(?=\s|$)(?:[^,(]|\([^)]*\))*(?:,|$)"), 1)
+    return F.regexp_extract_all(srcset, F.lit(r"[\s,]*(\S*[^\s,]),*(?=\s|$)(?:[^,(]++|\([^)]*+(?:\)|$))*+(?:,|$)"), 1)
 
 
 def references(pages: DataFrame, base: str = "url") -> DataFrame:
@@ -115,7 +127,7 @@ def references(pages: DataFrame, base: str = "url") -> DataFrame:
     then what the element and attribute (a link's relation) say; a style
     element's text last. ``ref_id`` counts from 0 in page order.
     """
-    own = elements(pages).join(pages.select("page_id", F.col(base).alias("base")), "page_id")
+    own = elements(pages.select("page_id", "html", F.col(base).alias("base")), keep=("page_id", "base"))
     roles = F.create_map(*[F.lit(x) for (tag, name), role in ROLES.items() for x in (f"{tag} {name}", role)])
     shown = F.create_map(*[F.lit(x) for pair in PRESENTATION.items() for x in pair])
     item = lambda role, value, local: F.struct(role.alias("role"), F.trim(value).alias("original"), F.lit(local).alias("local"))
@@ -141,7 +153,7 @@ def references(pages: DataFrame, base: str = "url") -> DataFrame:
 
 
 def _active(token: Column) -> Column:
-    """What a token holds that acts: struct<drop, events, script_urls>."""
+    """What a token holds that acts: struct<drop, events, script_urls, frames>; ``frames`` if it holds a page of its own."""
 
     def use(x: Column) -> Column:
         tag, attrs, open_ = x["tag"], x["attrs"], x["open"]
@@ -151,18 +163,20 @@ def _active(token: Column) -> Column:
         request = (tag == "link") & (link_relation(value("rel")) == "request")
         events = F.size(F.filter(attrs, lambda a: a["name"].startswith("on")))
         scripts = F.size(F.filter(attrs, lambda a: a["name"].isin(*URL_ATTRIBUTES) & is_script_url(a["value"])))
+        frames = open_ & F.exists(attrs, lambda a: a["name"] == "srcdoc")
         none = F.lit(0)
-        return F.struct((open_ & (script | (tag == "base") | refresh | request)).alias("drop"), F.when(open_, events).otherwise(none).alias("events"), F.when(open_, scripts).otherwise(none).alias("script_urls"))
+        return F.struct((open_ & (script | (tag == "base") | refresh | request)).alias("drop"), F.when(open_, events).otherwise(none).alias("events"), F.when(open_, scripts).otherwise(none).alias("script_urls"), frames.alias("frames"))
 
-    own = F.struct(tag_of(token).alias("tag"), attributes(token).alias("attrs"), (~token.startswith("</")).alias("open"))
+    own = F.struct(tag_of(token).alias("tag"), written(token).alias("attrs"), (token.startswith("<") & ~token.startswith("</") & ~token.startswith("<!")).alias("open"))
     return urls.let(own, use)
 
 
 def sanitize_report(pages: DataFrame) -> DataFrame:
     """``page_id, active_elements, event_attributes, script_urls``: what ``sanitized`` removes, one row per page."""
-    rows = pages.select("page_id", F.explode_outer(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), 0)).alias("token")).select("page_id", _active(F.col("token")).alias("f"))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return rows.groupBy("page_id").agg(F.count_if("f.drop").alias("active_elements"), total("f.events").alias("event_attributes"), total("f.script_urls").alias("script_urls"))
+    found = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), 0), _active)
+    rows = pages.select("page_id", F.when(F.col("html").contains("<"), found).alias("f"))
+    total = lambda name: F.coalesce(F.aggregate("f", F.lit(0).cast("bigint"), lambda n, x: n + x[name]), F.lit(0).cast("bigint"))
+    return rows.select("page_id", F.coalesce(F.size(F.filter("f", lambda x: x["drop"])), F.lit(0)).cast("bigint").alias("active_elements"), total("events").alias("event_attributes"), total("script_urls").alias("script_urls"))
 
 
 def rewritten(html: Column, change) -> Column:
@@ -171,18 +185,43 @@ def rewritten(html: Column, change) -> Column:
     return F.array_join(F.zip_with(between, F.transform(found, change), lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
 
 
-def sanitized(html: Column) -> Column:
-    """A page without scripts, base, refresh and request-triggering elements, event attributes and script URLs."""
+def acts(a: Column) -> Column:
+    """Whether an attribute acts: an event's, or a URL's that is a script."""
+    return a["name"].startswith("on") | (a["name"].isin(*URL_ATTRIBUTES) & is_script_url(a["value"]))
+
+
+def rebuilt(token: Column, attrs: Column) -> Column:
+    """A start tag with these attributes (``written``), each as it is in ``raw``; what follows the tag within its token stays."""
+    head = head_of(token)
+    name = F.regexp_extract(head, r"^(<[a-zA-Z][^\s/>]*+)", 1)
+    end = F.when(head.rlike(r"""(?:[\s"']|^<[a-zA-Z][^\s/>]*+)/>$"""), F.lit("/>")).otherwise(F.lit(">"))
+    return F.concat(name, F.array_join(F.transform(attrs, lambda a: F.concat(F.lit(" "), a["raw"])), ""), end, F.substring(token, F.length(head) + 1, F.lit(1 << 30)))
+
+
+def attribute_text(value: Column) -> Column:
+    """A value as it stands between double quotes."""
+    return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+
+
+def sanitized(html: Column, nested: int = 1) -> Column:
+    """A page without scripts, base, refresh and request-triggering elements, event attributes and script URLs.
+
+    Pages within ``srcdoc`` attributes are sanitized as well, ``nested`` levels
+    deep; deeper ones are removed.
+    """
 
     def quiet(token: Column) -> Column:
-        # attributes go one by one, from the tag's own text, so that the others stay as written
-        head = head_of(token)
-        less = F.regexp_replace(head, r"""(?i)\son[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", "")
-        less = F.regexp_replace(less, r"""(?i)\s(?:action|cite|data|formaction|href|poster|src|xlink:href)\s*=\s*("\s*j\s*a\s*v\s*a\s*s\s*c\s*r\s*i\s*p\s*t\s*:[^"]*"|'\s*j\s*a\s*v\s*a\s*s\s*c\s*r\s*i\s*p\s*t\s*:[^']*'|javascript:[^\s>]+)""", "")
-        return F.concat(less, F.substring(token, F.length(head) + 1, F.lit(1 << 30)))
+        def kept(a: Column) -> Column:
+            if not nested:
+                return a
+            inner = F.concat(F.lit('srcdoc="'), attribute_text(sanitized(a["value"], nested - 1)), F.lit('"'))
+            return F.struct(a["name"].alias("name"), a["value"].alias("value"), F.when(a["name"] == "srcdoc", inner).otherwise(a["raw"]).alias("raw"))
+
+        left = F.filter(written(token), lambda a: ~acts(a) & ((a["name"] != "srcdoc") if not nested else F.lit(True)))
+        return rebuilt(token, F.transform(left, kept))
 
     def change(token: Column) -> Column:
-        return urls.let(_active(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).otherwise(token))
+        return urls.let(_active(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).when(f["frames"], quiet(token)).otherwise(token))
 
     return rewritten(html, change)
 

@@ -25,7 +25,9 @@ def test_nulls_stay_null_or_have_their_default(spark):
 
 
 def test_page_url(spark):
-    assert values(spark, ["https://h", "http://h/a#b", "ftp://h/", "mailto:x", " https://H.example/Q?x#y "], urls.page_url) == ["https://h/", "http://h/a", None, None, "https://H.example/Q?x"]
+    assert values(spark, ["https://h", "http://h/a#b", "ftp://h/", "mailto:x", " https://H.example/Q?x#y ", "HTTP://EX.com:80/a/../b", "https://u:p@h:0443/./x?q", "http://h:8080", "http://münchen.de/é", "http://[::1]:80/"], urls.page_url) == ["https://h/", "http://h/a", None, None, "https://h.example/Q?x", "http://ex.com/b", "https://u:p@h/x?q", "http://h:8080/", "http://münchen.de/é", "http://[::1]/"]
+    joined = lambda x: urls.join(F.lit("http://a.example/x/y"), x)
+    assert values(spark, ["HTTP://münchen.DE:80/é/./b", "//H/ä", "HTTPS://x"], joined) == ["http://münchen.de/%C3%A9/b", "http://h/%C3%A4", "https://x/"]
 
 
 def test_file_stem_is_bounded_and_portable(spark):
@@ -59,6 +61,50 @@ def test_sanitized_pages(spark):
     assert values(spark, html, pages.sanitized) == ["<p class=a>t</p>", "<a>x</a>", "ok", "", "no markup < 3", '<script type="application/ld+json">{}</script>', "z"]
 
 
+ATTACKS = {
+    "<svg/onload=alert(1)>": "<svg>",
+    '<a href="x"onclick="y()">t</a>': '<a href="x">t</a>',
+    '<a href="&#106;avascript:x()">t</a>': "<a>t</a>",
+    '<a href="&#x6A;ava&#10;script:x()" title=a>t</a>': "<a title=a>t</a>",
+    "<p on-x=1 onclick>t</p>": "<p>t</p>",
+    "<img src=x onerror=alert(1)//>": "<img src=x>",
+    '<iframe srcdoc="<script>x()</script><p onclick=&quot;y()&quot;>a &amp;amp; b</p>"></iframe>': '<iframe srcdoc="<p>a &amp;amp; b</p>"></iframe>',
+    "<iframe srcdoc='<iframe srcdoc=\"<iframe srcdoc=1></iframe>\"></iframe>'></iframe>": '<iframe srcdoc="<iframe></iframe>"></iframe>',
+    "<script src=x": "",
+    "<!-- <b onclick=x>": "<!-- <b onclick=x>",
+    '<p title="<b onclick=x>">t</p>': '<p title="<b onclick=x>">t</p>',
+    "<br onclick=x />": "<br/>",
+    "a <b": "a <b",
+    "<SCRIPT\n>x</SCRIPT >y": "y",
+}
+
+
+def test_sanitizing_leaves_nothing_that_acts(spark):
+    found = values(spark, list(ATTACKS), pages.sanitized)
+    assert dict(zip(ATTACKS, found)) == ATTACKS
+    # what is clean stays, and what was sanitized is clean
+    assert values(spark, found, pages.sanitized) == found
+
+
+def test_tags_of_any_length(spark):
+    long = ["<p x=" + "a" * 1_000_000 + ">t", "<b" + " x='1'" * 200_000 + ">t", "<a " * 300_000, '<a "' * 250_000, "<!--" * 250_000, "<script>" * 100_000, "<b before a long text " * 40_000, "<a href='" * 100_000]
+    sets = ["a.png 1x, " * 50_000, "(" * 200_000, "x (" + "a" * 200_000]
+    rows = spark.createDataFrame([(i, "https://h/", x) for i, x in enumerate(long)], "page_id long, url string, html string")
+    assert rows.select(F.length(pages.sanitized(F.col("html"))).alias("n")).agg(F.min("n")).first()[0] >= 0
+    assert pages.sanitize_report(rows).count() == len(long) and pages.links(rows).count() >= 0
+    assert [len(x) for x in values(spark, sets, pages.srcset_references)][0] == 50_000
+    assert len(values(spark, ["image-set(" + "(a)" * 100_000 + ")", "url(" * 100_000, "/*" * 100_000], pages.css_references)) == 3
+
+
+def test_character_references(spark):
+    assert values(spark, ["&amp;lt;", "&#106;&#x6A;&#x1F600;&#0;&#xD800;&#99999999999;", "&eacute;&nope;&apos; & x &", "plain", "&#106avascript"], text.unescaped) == ["&lt;", "jj😀\ufffd\ufffd\ufffd", "é&nope;' & x &", "plain", "javascript"]
+
+
+def test_data_urls_keep_their_bytes(spark):
+    found = values(spark, ["data:image/png,%89PNG%FF", "data:,a%zz%4", "data:;base64,AA%3D%3D", "data:,é"], media.decoded)
+    assert [bytes(x["body"]) for x in found] == [b"\x89PNG\xff", b"a%zz%4", b"\0", "é".encode()]
+
+
 def test_references_of_empty_and_null_pages(spark):
     rows = spark.createDataFrame([(1, "https://h/", None), (2, "https://h/", ""), (3, "https://h/", '<img src="a" src="b">')], "page_id long, url string, html string")
     assert [(r["page_id"], r["resolved"]) for r in pages.references(rows).collect()] == [(3, "https://h/a")]
