@@ -51,6 +51,18 @@ def extension(media_type: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair]), essence(media_type)), F.lit("bin"))
 
 
+def is_css(media_type: Column) -> Column:
+    return F.coalesce(essence(media_type) == "text/css", F.lit(False))
+
+
+def is_svg(media_type: Column) -> Column:
+    return F.coalesce(essence(media_type) == "image/svg+xml", F.lit(False))
+
+
+def is_html(media_type: Column) -> Column:
+    return F.coalesce(essence(media_type).isin("text/html", "application/xhtml+xml"), F.lit(False))
+
+
 def data_url(media_type: Column, body: Column) -> Column:
     return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), plain_base64(body))
 

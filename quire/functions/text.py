@@ -102,10 +102,50 @@ def longest_backtick_run(text: Column) -> Column:
 def inline_code(text: Column) -> Column:
     """Code between backticks that are longer than any inside, padded where a backtick stands at an edge."""
     ticks = F.repeat(F.lit("`"), longest_backtick_run(text) + 1)
-    pad = F.when(text.startswith("`") | text.endswith("`"), F.lit(" ")).otherwise(F.lit(""))
+    pad = F.when(text.rlike("^[` ]|[` ]$"), F.lit(" ")).otherwise(F.lit(""))
     return F.concat(ticks, pad, text, pad, ticks)
 
 
+def fenced_code(text: Column) -> Column:
+    """Code between lines of backticks, three at least, longer than any inside."""
+    fence = F.repeat(F.lit("`"), F.greatest(longest_backtick_run(text) + 1, F.lit(3)))
+    return F.concat(fence, F.lit("\n"), text, F.when(text.endswith("\n"), "").otherwise("\n"), fence)
+
+
+def markdown_destination(url: Column) -> Column:
+    """A link's target within Markdown's round brackets: percent-encoded but for what is safe there; a colon is safe in ordinary targets only."""
+    each = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"^[A-Za-z0-9._~/?#\[\]@!$&'*+,;=%:-]$") | (c == ""), c).otherwise(F.concat(F.lit("%"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)(?=.)", "$1%"))))
+    whole = F.when(url.rlike(r"^[A-Za-z0-9._~/?#\[\]@!$&'*+,;=%:-]*$"), url).otherwise(F.array_join(each, ""))
+    ordinary = F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("", "http", "https", "mailto", "tel"), F.lit(True))
+    return F.when(ordinary, whole).otherwise(F.replace(whole, F.lit(":"), F.lit("%3A")))
+
+
+def pdf_date(time: Column) -> Column:
+    """A time in UTC as documents of that kind write it; null if it isn't a time."""
+    return F.date_format(F.try_to_timestamp(F.regexp_extract(time, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.[0-9]+)?Z$", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss")), "'D:'yyyyMMddHHmmss'Z'")
+
+
+def doctype(name: Column, public: Column, system: Column) -> Column:
+    """A document type declaration; without a name the usual one."""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    quoted = lambda c: F.concat(F.lit(' "'), c, F.lit('"'))
+    first = F.when(has(public), F.concat(F.lit(" PUBLIC"), quoted(public))).otherwise("")
+    second = F.when(has(system), F.concat(F.when(has(public), "").otherwise(" SYSTEM"), quoted(system))).otherwise("")
+    return F.when(name.isNull(), "<!doctype html>").otherwise(F.concat(F.lit("<!DOCTYPE "), name, first, second, F.lit(">")))
+
+
+def coordinate(text: Column) -> Column:
+    """A finite number from 0 on, else null."""
+    n = text.try_cast("double")
+    return F.when((n >= 0) & (n < float("inf")), n)
+
+
+def dimension(text: Column) -> Column:
+    """A finite number above 0, else null."""
+    n = text.try_cast("double")
+    return F.when((n > 0) & (n < float("inf")), n)
+
+
 def language_tag_valid(tag: Column) -> Column:
     return F.coalesce(tag.rlike(r"^[A-Za-z0-9]{1,8}(-[A-Za-z0-9]{1,8})*$") & (F.length(tag) <= 64), F.lit(False))
 

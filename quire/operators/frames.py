@@ -16,12 +16,11 @@ def processing_order(frames: DataFrame) -> DataFrame:
     A frame's depth is its parent's plus the length of its owner path. Levels
     are found by a recursive query, one round for each level.
     """
-    frames.createOrReplaceTempView("quire_frames")
     depths = frames.sparkSession.sql("""
         WITH RECURSIVE d(page_id, frame_id, depth) AS (
-          SELECT page_id, frame_id, 0 FROM quire_frames WHERE parent_id IS NULL
-          UNION ALL SELECT f.page_id, f.frame_id, d.depth + size(f.path) FROM d JOIN quire_frames f ON f.page_id = d.page_id AND f.parent_id = d.frame_id)
-        SELECT * FROM d""")
+          SELECT page_id, frame_id, 0 FROM {frames} WHERE parent_id IS NULL
+          UNION ALL SELECT f.page_id, f.frame_id, d.depth + size(f.path) FROM d JOIN {frames} f ON f.page_id = d.page_id AND f.parent_id = d.frame_id)
+        SELECT * FROM d""", frames=frames)
     turn = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("depth").desc(), "frame_id"))
     return depths.withColumn("turn", turn)
 
@@ -32,16 +31,14 @@ def retained(frames: DataFrame, owners: DataFrame) -> DataFrame:
     ``owners(page_id, frame_id, original, path)`` maps a frame's owner paths to
     what is left of them; an empty new path drops the frame below it.
     """
-    frames.createOrReplaceTempView("quire_frames")
-    owners.createOrReplaceTempView("quire_owners")
     return frames.sparkSession.sql("""
         WITH RECURSIVE k(page_id, frame_id, path) AS (
-          SELECT page_id, frame_id, path FROM quire_frames WHERE parent_id IS NULL
+          SELECT page_id, frame_id, path FROM {frames} WHERE parent_id IS NULL
           UNION ALL SELECT f.page_id, f.frame_id, o.path FROM k
-            JOIN quire_frames f ON f.page_id = k.page_id AND f.parent_id = k.frame_id
-            JOIN quire_owners o ON o.page_id = f.page_id AND o.frame_id = f.parent_id AND o.original = f.path
+            JOIN {frames} f ON f.page_id = k.page_id AND f.parent_id = k.frame_id
+            JOIN {owners} o ON o.page_id = f.page_id AND o.frame_id = f.parent_id AND o.original = f.path
             WHERE size(o.path) > 0)
-        SELECT * FROM k""")
+        SELECT * FROM k""", frames=frames, owners=owners)
 
 
 def remaining_warnings(warnings: DataFrame, captured: DataFrame) -> DataFrame:

@@ -226,17 +226,69 @@ def sanitized(html: Column, nested: int = 1) -> Column:
     return rewritten(html, change)
 
 
+_CSS_URL = r"""(?i)url\(\s*+(?:"[^"]*+"|'[^']*+'|[^()"'\s]*+)\s*+\)|(?<=@import\s)\s*+(?:"[^"]*+"|'[^']*+')"""
+
+
+def css_rewritten(css: Column, bodies: Column) -> Column:
+    """A style sheet whose URLs are ``bodies[url]`` where the map has one; the rest, comments included, stays as it is."""
+
+    def change(x: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"""(?i)^(?:url\(\s*)?["']?""", ""), r"""["']?\s*\)?$""", ""))
+        new = F.try_element_at(bodies, bare)
+        quoted = F.concat(F.lit('"'), text.css_string_escaped(new), F.lit('"'))
+        return F.when(new.isNull() | (bare == ""), x).when(F.lower(x).startswith("url"), F.concat(F.lit("url("), quoted, F.lit(")"))).otherwise(quoted)
+
+    pattern = rf"(?s)/\*.*?(?:\*/|\z)|{_CSS_URL}"
+    found, between = F.regexp_extract_all(css, F.lit(pattern), 0), F.split(css, pattern, -1)
+    return F.array_join(F.zip_with(between, F.transform(found, lambda x: F.when(x.startswith("/*"), x).otherwise(change(x))), lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
+
+
+def srcset_rewritten(srcset: Column, bodies: Column) -> Column:
+    """A srcset whose candidates' URLs are ``bodies[url]`` where the map has one, with their descriptors."""
+    pattern = r"[\s,]*(\S*[^\s,]),*(?=\s|$)((?:[^,(]++|\([^)]*+(?:\)|$))*+)(?:,|$)"
+    parts = F.arrays_zip(F.regexp_extract_all(srcset, F.lit(pattern), 1).alias("url"), F.regexp_extract_all(srcset, F.lit(pattern), 2).alias("rest"))
+    return F.array_join(F.transform(parts, lambda p: F.trim(F.concat(F.coalesce(F.try_element_at(bodies, p["url"]), p["url"]), F.lit(" "), F.trim(p["rest"])))), ", ")
+
+
 def embedded(html: Column, bodies: Column) -> Column:
-    """A page whose resource attributes point to ``bodies[url]`` (a map of original to data URL) where it has one."""
+    """A page whose resources are ``bodies[url]`` (a map of original to data URL) where it has one.
+
+    Attributes that name a resource, srcsets, style attributes and style elements.
+    """
+
+    def change(token: Column) -> Column:
+        tag = tag_of(token)
+        direct = F.array(*map(F.lit, ("src", "poster", "data", "background")))
+
+        def new(a: Column) -> Column:
+            one = F.try_element_at(bodies, F.trim(a["value"]))
+            named = F.array_contains(direct, a["name"]) | (a["name"].isin("href", "xlink:href") & ~tag.isin("a", "area", "base"))
+            return F.when(named, one).when(a["name"] == "srcset", F.nullif(srcset_rewritten(a["value"], bodies), a["value"])).when(a["name"] == "style", F.nullif(css_rewritten(a["value"], bodies), a["value"]))
+
+        changed = F.transform(written(token), lambda a: urls.let(new(a), lambda v: F.struct(a["name"].alias("name"), v.alias("value"), F.when(v.isNull(), a["raw"]).otherwise(F.concat(a["name"], F.lit('="'), attribute_text(v), F.lit('"'))).alias("raw"))))
+        own = urls.let(changed, lambda c: F.when(F.exists(c, lambda a: a["value"].isNotNull()), rebuilt(token, c)).otherwise(token))
+        style = F.concat(head_of(token), css_rewritten(F.regexp_extract(F.substring(token, F.length(head_of(token)) + 1, F.lit(1 << 30)), r"(?is)^(.*?)(?:</style\s*>)?$", 1), bodies), F.regexp_extract(token, r"(?i)(</style\s*>)$", 1))
+        return F.when(token.startswith("</") | token.startswith("<!"), token).when(tag == "style", style).otherwise(own)
+
+    return rewritten(html, change)
+
+
+def without_attributes(html: Column, prefix: str) -> Column:
+    """A page without the attributes whose names begin with ``prefix``; tags that have none stay as they are."""
 
     def change(token: Column) -> Column:
-        tag, attrs = tag_of(token), attributes(token)
-        hits = F.filter(attrs, lambda a: a["name"].isin("src", "href", "poster", "data", "background") & (tag != "a") & (tag != "area") & F.map_contains_key(bodies, F.coalesce(a["value"], F.lit(""))))
-        return F.when(token.startswith("</"), token).otherwise(F.aggregate(hits, token, lambda t, a: F.replace(t, F.concat(F.lit('"'), a["value"], F.lit('"')), F.concat(F.lit('"'), F.element_at(bodies, a["value"]), F.lit('"')))))
+        left = lambda all_: F.filter(all_, lambda a: ~a["name"].startswith(prefix))
+        return F.when(~token.contains(prefix) | token.startswith("</") | token.startswith("<!"), token).otherwise(urls.let(written(token), lambda w: F.when(F.size(left(w)) == F.size(w), token).otherwise(rebuilt(token, left(w)))))
 
     return rewritten(html, change)
 
 
+def inline_frames(pages: DataFrame) -> DataFrame:
+    """``page_id, pos, srcdoc``: frames that hold their page themselves."""
+    rows = elements(pages).where(F.col("tag").isin("iframe", "frame"))
+    return rows.select("page_id", "pos", attribute(F.col("token"), "srcdoc").alias("srcdoc")).where(F.col("srcdoc").isNotNull())
+
+
 def metadata(pages: DataFrame) -> DataFrame:
     """``page_id, title, description, authors, keywords, lang``: first non-empty of each kind, lists unique and bounded."""
     metas = F.transform(F.filter(F.regexp_extract_all(F.col("html"), F.lit(TOKEN), 0), lambda t: tag_of(t) == "meta"), lambda t: F.struct(F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"), F.lit(""))).alias("name"), text.normalized(F.coalesce(attribute(t, "content"), F.lit("")), 1024).alias("value")))
@@ -254,22 +306,20 @@ def markdown(html: Column) -> Column:
     inline = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "code": "`"}
     blocks = ("p", "article", "section", "main", "header", "footer", "nav", "aside", "div", "ul", "ol", "table", "pre")
 
-    def mark(token: Column, link: Column) -> Column:
+    def mark(token: Column) -> Column:
         tag, closing = tag_of(token), token.startswith("</")
         out = F.when(tag.rlike("^h[1-6]$"), F.when(closing, "\n\n").otherwise(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring(tag, 2, 1).try_cast("int")), F.lit(" "))))
         for name, sign in inline.items():
             out = out.when(tag == name, sign)
         out = out.when(tag == "br", "  \n").when(tag == "hr", "\n\n---\n\n").when((tag == "li") & ~closing, "\n- ").when((tag == "blockquote") & ~closing, "\n\n> ")
-        out = out.when((tag == "a") & ~closing, "[").when(tag == "a", F.concat(F.lit("]("), link, F.lit(")")))
-        out = out.when(tag == "img", F.concat(F.lit("!["), text.markdown_escaped(F.coalesce(attribute(token, "alt"), F.lit(""))), F.lit("]("), F.coalesce(attribute(token, "src"), F.lit("")), F.lit(")")))
+        # a link's target is known where it opens and written where it closes: marks carry it there
+        target = lambda name: text.markdown_destination(F.coalesce(attribute(token, name), F.lit("")))
+        out = out.when((tag == "a") & ~closing, F.concat(F.lit("\x02"), target("href"), F.lit("\x03"))).when(tag == "a", "\x04")
+        out = out.when(tag == "img", F.concat(F.lit("!["), text.markdown_escaped(F.coalesce(attribute(token, "alt"), F.lit(""))), F.lit("]("), target("src"), F.lit(")")))
         return out.when(tag.isin(*blocks), "\n\n").otherwise("")
 
-    steps = F.zip_with(between, found, lambda t, x: F.struct(text.markdown_escaped(text.unescaped(F.regexp_replace(t, r"\s+", " "))).alias("text"), F.coalesce(x, F.lit("")).alias("token")))
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("link"))
-
-    def step(a: Column, s: Column) -> Column:
-        opens = (tag_of(s["token"]) == "a") & ~s["token"].startswith("</")
-        return F.struct(F.concat(a["out"], s["text"], mark(s["token"], a["link"])).alias("out"), F.when(opens, F.coalesce(attribute(s["token"], "href"), F.lit(""))).otherwise(a["link"]).alias("link"))
-
-    folded = F.aggregate(steps, start, step)["out"]
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, r"\n[ ]+", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    clean = lambda t: text.markdown_escaped(F.regexp_replace(text.unescaped(F.regexp_replace(t, r"\s+", " ")), "[\x02-\x04]", ""))
+    folded = F.array_join(F.zip_with(between, found, lambda t, x: F.concat(clean(t), urls.let(F.coalesce(x, F.lit("")), mark))), "")
+    linked = F.regexp_replace(folded, "\x02([^\x03]*+)\x03([^\x02\x04]*+)\x04", r"[$2]($1)")
+    linked = F.regexp_replace(linked, "\x02[^\x03]*+\x03|\x04", "")  # links that don't close, or don't open
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(linked, r"\n[ ]+", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
