@@ -75,10 +75,13 @@ def crawl(edges: DataFrame, seed: str, depth: int = 3, pages: int = 100) -> Data
 
 
 def _shared(spark) -> None:
+    """Checkpoints go to the cluster's ``spark.checkpoint.dir``; where it is unset, only a local master gets a folder of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="quire-checkpoints-")
@@ -86,12 +89,21 @@ def _shared(spark) -> None:
 
 
 def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """``id, path``: of equal paths, and of paths that exist, later ones get ``stem-N.ext`` with the next N."""
-    have = taken.groupBy("path").agg(F.count("*").alias("have"))
+    """``id, path``: of equal paths, and of paths that exist, later ones get ``stem-N.ext`` with the next N that is free.
+
+    A path that is itself of the form ``stem-N.ext`` keeps it; names made for
+    others avoid all that are wanted or taken.
+    """
     rank = F.row_number().over(Window.partitionBy("path").orderBy("id"))
-    rows = wanted.select("id", "path", rank.alias("rank")).join(have, "path", "left").fillna(0, ["have"])
-    n = F.col("rank") - 1 + F.least("have", F.lit(1))
-    return rows.select("id", F.when(n == 0, F.col("path")).otherwise(F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("-"), n.cast("string"), F.regexp_extract("path", r"(\.[^./]*)$", 1))).alias("path"))
+    rows = wanted.select("id", "path", rank.alias("rank"))
+    used = taken.select("path").unionByName(wanted.select("path")).distinct()
+    numbered = r"^(.*)-([1-9][0-9]{0,8})((?:\.[^./]*)?)$"
+    numbers = used.where(F.col("path").rlike(numbered)).select(F.concat(F.regexp_extract("path", numbered, 1), F.regexp_extract("path", numbered, 3)).alias("path"), F.regexp_extract("path", numbered, 2).cast("int").alias("n"))
+    numbers = numbers.groupBy("path").agg(F.array_sort(F.collect_set("n")).alias("numbers"))
+    rows = rows.join(taken.select("path", F.lit(1).alias("have")).distinct(), "path", "left").join(numbers, "path", "left")
+    n = F.col("rank") - 1 + F.coalesce("have", F.lit(0))
+    free = F.aggregate(F.coalesce("numbers", F.array().cast("array<int>")), n, lambda at, used_: F.when(used_ <= at, at + 1).otherwise(at))
+    return rows.select("id", F.when(n == 0, F.col("path")).otherwise(F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("-"), free.cast("string"), F.regexp_extract("path", r"(\.[^./]*)$", 1))).alias("path"))
 
 
 def directory_digest(files: DataFrame, key: str) -> DataFrame:

@@ -35,7 +35,7 @@ def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.job_errors(jobs)
 
 
-_EDGES = "SELECT DISTINCT 'n' || l_suppkey AS source, 'n' || (l_partkey % 211) AS target FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 6"
+_EDGES = "SELECT DISTINCT 'n' || l_suppkey AS source, 'n' || (l_partkey % 211) AS target FROM lineitem"
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), c(url, depth) AS (SELECT 'n1', 0 UNION SELECT e.target, depth + 1 FROM c JOIN e ON e.source = c.url WHERE depth < 2)
@@ -46,7 +46,7 @@ def crawl_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity < 6")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("n"), (F.col("l_partkey") % 211).cast("string")).alias("target")).distinct()
 
 
@@ -58,9 +58,9 @@ def crawl_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.crawl(_edges(spark, sf_dir), "n1", depth=2, pages=20)
 
 
-@query("""WITH i AS (SELECT 'u' || (o_custkey % 400) AS url, 1 + o_custkey % 4 AS depth, min(o_orderkey) AS ordinal FROM orders WHERE o_custkey % 4 > 0 GROUP BY 1, 2) SELECT url, depth, ordinal FROM i WHERE depth = (SELECT min(depth) FROM i) ORDER BY ordinal, url LIMIT 25""")
+@query("""WITH i AS (SELECT 'u' || (o_custkey % 400) AS url, 1 + o_custkey % 4 AS depth, min(o_orderkey) AS ordinal FROM orders GROUP BY 1, 2) SELECT url, depth, ordinal FROM i WHERE depth = (SELECT min(depth) FROM i) ORDER BY ordinal, url LIMIT 25""")
 def frontier_take(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "orders").where("o_custkey % 4 > 0").select(F.concat(F.lit("u"), (F.col("o_custkey") % 400).cast("string")).alias("url"), (F.col("o_custkey") % 4 + 1).alias("depth"), F.col("o_orderkey").alias("ordinal"))
+    items = table(spark, sf_dir, "orders").select(F.concat(F.lit("u"), (F.col("o_custkey") % 400).cast("string")).alias("url"), (F.col("o_custkey") % 4 + 1).alias("depth"), F.col("o_orderkey").alias("ordinal"))
     return S.frontier(items, 25, 100)
 
 

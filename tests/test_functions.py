@@ -114,3 +114,22 @@ def test_references_of_empty_and_null_pages(spark):
 def test_attributes(spark):
     found = values(spark, ["<a B=1 b=2 c='x y' d checked>"], pages.attributes)[0]
     assert [(a["name"], a["value"]) for a in found] == [("b", "1"), ("c", "x y"), ("d", ""), ("checked", "")]
+
+
+def test_names_avoid_those_that_exist(spark):
+    from quire.operators import scheduling
+
+    wanted = spark.createDataFrame([(1, "a.html"), (2, "a.html"), (3, "a.html"), (4, "b"), (5, "b-1"), (6, "b"), (7, "a-2.html")], "id int, path string")
+    taken = spark.createDataFrame([("a.html",), ("a-1.html",), ("c",)], "path string")
+    found = {r["id"]: r["path"] for r in scheduling.unique_names(wanted, taken).collect()}
+    assert found == {1: "a-3.html", 2: "a-4.html", 3: "a-5.html", 4: "b", 5: "b-1", 6: "b-2", 7: "a-2.html"}
+
+
+def test_nested_sheets_and_checks_of_empty_tables(spark):
+    from quire.operators import checks
+
+    none = spark.createDataFrame([], "page_id int, url string, target string")
+    assert checks.nested_sheets(none.select("page_id", "url"), none.select("url", "target"), 3).count() == 0
+    records = spark.createDataFrame([], "page_id int, id int, frame_id int, kind string, digest string, bytes bigint, provenance string")
+    manifests = spark.createDataFrame([(1, 1, 0, 0, 0, 0, 0, 0), (2, 1, 1, 1, 0, 0, 0, 9)], "page_id int, frames int, discovered int, embedded int, external int, omitted int, failed int, embedded_bytes bigint")
+    assert {r["page_id"]: r["error"] for r in checks.record_faults(records, manifests).collect()} == {1: None, 2: "verify.record_count"}
