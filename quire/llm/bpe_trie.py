@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tables import text_or_empty
+from quire.llm.tables import remembering, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a Python worker remembers between batches; then it forgets those that weren't met in the last half of them.
@@ -232,6 +232,7 @@ def encoder(path: str | None = None) -> TrieEncoder:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
+    remembering("words", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = TrieEncoder(path)
     return _ENCODERS[path]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tables import dropped, kept, sample_share, text_or_empty, unused
+from quire.llm.tables import dropped, kept, remembering, sample_share, text_or_empty, unused
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that are learned from, chosen by a hash of their id.
@@ -30,7 +30,7 @@ UNKNOWN = 1e-7
 #: Letters after which running products are scaled anew, and numbers in a part of equally long words.
 RESCALED, CELLS = 8, 1 << 15
 #: Words that a worker remembers, and texts whose new words are scored together.
-REMEMBERED, TEXTS = 300_000, 1000
+REMEMBERED, TEXTS = 300_000, 500
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -267,6 +267,7 @@ def predictor(model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        remembering("languages")
         n, score = len(model.languages), model.scorer()
         known: dict[str, int] = {}
         logs = np.empty((1 << 16, max(1, n)))

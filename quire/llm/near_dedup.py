@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_trie import slices
-from quire.llm.tables import dropped, kept, text_or_empty, unused
+from quire.llm.tables import dropped, kept, remembering, text_or_empty, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 7) ** 32 = 0.9995.
@@ -178,6 +178,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        remembering("duplicates")
         for part in slices(batches, "text", SLICE_BYTES):
             for start in range(0, part.num_rows, 4096):
                 some = part.slice(start, 4096)
@@ -270,6 +271,7 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(left[i])), nodes.take(pa.array(right[j]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("duplicates")
         rest: list[pa.RecordBatch] = []
         last = None
         for batch in batches:

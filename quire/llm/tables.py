@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembering(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called in a Python worker by an operator's task: what other operators left in the worker's memory is forgotten.
+
+    Workers serve one stage after the other, so without this their memories would add up.
+    """
+    for other in [x for x in _MEMORIES if x != owner]:
+        _MEMORIES.pop(other)()
+    _MEMORIES[owner] = forget
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.tables import dropped, kept, sample_share, text_or_empty, unused
+from quire.llm.tables import dropped, kept, remembering, sample_share, text_or_empty, unused
 
 #: Bounds of the training sample, by class, and of the features.
 POSITIVES, NEGATIVES, FEATURES = 3000, 5000, 2048
@@ -220,6 +220,7 @@ def predictor(model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        remembering("toxicity")
         known: dict[str, tuple[str, ...]] = {}
         features = model.features
         used = {f.removesuffix("+") for f in features}
