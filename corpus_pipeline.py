@@ -5,7 +5,8 @@ before it kept, and the folder of the input tables. All but the last return the
 columns of ``docs`` as they are. A stage's result is written as Parquet and read
 again as the next one's input.
 
-1. ``language_id`` drops documents of no language that its model knows.
+1. ``language_id`` drops documents without letters, and those whose language stays undetermined among the ones that its
+   model knows; it can't tell a language that it never learned.
 2. ``toxicity`` drops toxic documents.
 3. ``near_dedup`` keeps one document of each class of near duplicates.
 4. ``secret_scan`` masks secrets in the texts; it keeps every document.
@@ -28,7 +29,7 @@ from quire.llm import near_dedup as duplicates
 from quire.llm import packing as packs
 from quire.llm import secret_scan as secrets
 from quire.llm import toxicity as toxic
-from quire.llm.tables import read, shared_folder
+from quire.llm.tables import delete, read, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,13 +62,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the last stage's pieces.
 
     The tables between the stages stand in the cluster's shared folder, under
-    a name of their own for each run, and can be removed once the result has
+    a name of their own for each run. Each goes when the next one is written;
+    the last one, which the result reads, can be removed once the result has
     been written.
     """
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
