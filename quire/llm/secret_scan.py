@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.tables import text_or_empty, unused
+from quire.llm.tables import kept, text_or_empty, unused
 
 #: Runs of 16 and more key characters that have a digit, or capitals in two places, or stand after ``=`` or ``:`` (``=`` is
 #: padding at the end only, so that a glued name isn't part of its value); else what stands in quotes, without a name that
 #: is glued to it there.
 CANDIDATE = (
-    r"""(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=(?:[a-z+/_-]*+[A-Z]++){2})|(?<=[=:] ?))[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"""
+    r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?:(?=[A-Za-z+/_-]*+[0-9])|(?=(?:[a-z+/_-]*+[A-Z]++){2})|(?<=[=:] ?))[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"""
     r"""|(?<=["'])(?![A-Za-z][A-Za-z0-9_.-]{0,40}=[^="'])[!#-&(-~]{8,}(?=["'])|(?<==)(?<=["'][A-Za-z][A-Za-z0-9_.-]{0,40}=)[!#-&(-~]{8,}(?=["'])"""
 )
 #: Characters of context on either side.
@@ -147,7 +147,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     )
     after = F.when(kind == 15, F.concat(F.lit('": "'), random_hex(8, "q"))).when(before.rlike("\"[^\" ]*=$"), F.lit('" ')).when(before.rlike("'[^' ]*=$"), F.lit("' ")).when(before.rlike('"$'), F.concat(F.lit('"'), noise, F.lit(" "), word("x"))).when(before.rlike("'$"), F.concat(F.lit("' "), word("x"))).otherwise(F.concat(F.lit(" "), word("x")))
     path = F.when(chance("path") < (F.when(secret, 0.1).otherwise(0.3)), F.lit("tests/fixture")).otherwise(F.concat(F.lit("src"), F.pmod(F.col("id"), F.lit(20)).cast("string")))
-    return spark.range(rows).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label"))
+    # a table of its own, so that the features aren't computed from these expressions again and again
+    return kept(spark.range(rows).select(value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("double").alias("label")))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
@@ -226,7 +227,8 @@ def scan(docs: DataFrame, model, text: str = "text", path: str | None = "source"
 
 def findings(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """The secrets that stay, those with a score of ``threshold`` and more: ``doc_id, start, length, value, score``, one row each."""
-    rows = scan(docs, model).select("doc_id", F.explode("findings").alias("f"))
+    # an outer explode: from an inner one Spark infers a filter that computes all findings again, from the texts
+    rows = scan(docs, model).select("doc_id", F.explode_outer("findings").alias("f"))
     return rows.where(F.col("f.score") >= threshold).select("doc_id", F.col("f.start").cast("long").alias("start"), F.length("f.value").cast("long").alias("length"), F.col("f.value").alias("value"), F.round("f.score", 6).alias("score"))
 
 
