@@ -375,3 +375,73 @@ def test_identifier_tokens():
 
 def test_personal_data_of_odd_documents(odd):
     assert pii_bootstrap.digests(odd).count() == odd.count()
+
+
+def test_recall_of_near_duplicates_over_all_pairs(spark):
+    """Of all pairs of texts that are similar enough, those in one class; over the whole table, by exact products."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({r["text"].lower() for r in docs.collect() if r["text"]})
+    found = {r["text"].lower(): r["class_id"] for r in near_dedup.classes(docs).join(docs.select("doc_id", "text"), "doc_id").collect() if r["text"]}
+    keys, counts = near_dedup.shingles(*near_dedup._buffer(pa.array(texts, pa.string())))
+    alike = near_dedup.overlaps(keys, counts, np.arange(len(texts)), np.arange(len(texts))) >= near_dedup.SIMILARITY
+    pairs = [(texts[i], texts[j]) for i, j in zip(*np.nonzero(np.triu(alike, 1)))]
+    assert pairs and all(found[s] == found[t] for s, t in pairs)
+
+
+def test_a_bucket_of_thousands_of_texts(spark):
+    """A hub and thousands of copies of it, many of them too far from it but near each other: classes equal those of all pairs."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    hub = [f"w{rng.randrange(5000)}" for _ in range(120)]
+
+    def copy(changes, of):
+        words = list(of)
+        for _ in range(changes):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return words
+
+    # a change in a word takes five shingles of 116: two leave 0.84, four about 0.7
+    far = [copy(4, hub) for _ in range(200)]
+    texts = [" ".join(hub), *(" ".join(copy(2, hub)) for _ in range(2500)), *(" ".join(f) for f in far), *(" ".join(copy(1, f)) for f in far[:100])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
+    keys, counts = near_dedup.shingles(*near_dedup._buffer(pa.array(texts, pa.string())))
+    alike = near_dedup.overlaps(keys, counts, np.arange(len(texts)), np.arange(len(texts))) >= near_dedup.SIMILARITY
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+        a, b = sorted((top(int(i)), top(int(j))))
+        root[b] = a
+    assert found == {i: top(i) for i in range(len(texts))}
+
+
+def test_results_of_the_registered_queries(spark):
+    """The queries themselves, over whole tables: one row for each document, with what the operators give."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in queries.op3_transport_stream(spark, SF).collect():
+        data = transport_stream.padded(texts[r["doc_id"]].encode())
+        assert (r["payload_sha256"], r["payload_bytes"], r["tail_crc32"]) == (hashlib.sha256(data).hexdigest(), len(data), zlib.crc32(data[-64:]))
+    for r in queries.op4_pii_bootstrap(spark, SF).collect():
+        own = brute_base(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii_bootstrap.KINDS] == [sum(x[0] == i for x in own) for i in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(pii_bootstrap.digest(own).encode()).hexdigest()
+    held(queries.op1_packing(spark, SF).collect(), packing.CAPACITY)
+    assert {r["doc_id"]: r["class_id"] for r in queries.op7_near_dedup(spark, SF).collect()}.keys() == texts.keys()
+    vectors = {r["vec_id"]: np.floor(256 * np.array(r["embedding"], "f8")) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    best = {}
+    for r in queries.op6_va_search(spark, SF).collect():
+        best.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, own in best.items():
+        expected = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:5]
+        assert sorted(own) == [(n, i, -s) for n, (s, i) in enumerate(expected, 1)]
+    assert best.keys() == {i for i in vectors if i % 50 == 0}
