@@ -183,27 +183,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
         query, row, most = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"query": query, "row": row, "most": most})
 
-    near = kept(met(asking, upper, "query long, row long, most double"))
-    order = Window.partitionBy("query").orderBy(F.desc("most"), "row")
-    placed = kept(near.withColumn("place", F.row_number().over(order)))
-    dropped(near)
+    rest = kept(met(asking, upper, "query long, row long, most double"))
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda total, x: total + x)
-    start, end, done, best = 0, PORTION * k, [], None
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("most"), "row"))
+    at = F.struct((-F.col("most")).alias("less"), "row")
+    size, best = PORTION * k, None
     while True:
-        portion = placed.where((F.col("place") > start) & (F.col("place") <= end))
-        if best is not None:  # what no longer can be among the k best isn't read
-            kth = best.groupBy("query").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-            portion = portion.join(kth, "query").where((F.col("n") < k) | (F.col("most") >= 2 * F.col("kth"))).drop("kth", "n")
+        # a row number with a limit: no task keeps more of a query's candidates than a portion
+        portion = kept(rest.withColumn("place", place).where(F.col("place") <= size).drop("place"))
+        if best is not None and portion.isEmpty():
+            break
         read = portion.join(file.select("row", "vec_id", "v"), "row").join(queries.select(F.col("vec_id").alias("query"), F.col("v").alias("q")), "query")
         read = read.select("query", "vec_id", "row", product.alias("score"))
         read = read if best is None else read.unionByName(best)
         ranked = read.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")))
-        new = kept(ranked.where(F.col("rank") <= k).drop("rank"))
-        dropped(*done)
-        best, done, start, end = new, [new], end, end * GROWTH
-        if placed.where(F.col("place") > start).isEmpty():
-            break
+        old, best = best, kept(ranked.where(F.col("rank") <= k).drop("rank"))
+        # what comes after the portion and can still be among the k best
+        last = portion.groupBy("query").agg(F.max(at).alias("last")).join(best.groupBy("query").agg(F.min("score").alias("kth"), F.count("*").alias("n")), "query")
+        left = rest.join(last, "query").where((at > F.col("last")) & ((F.col("n") < k) | (F.col("most") >= 2 * F.col("kth")))).select("query", "row", "most")
+        before, rest, size = rest, kept(left), size * GROWTH
+        dropped(before, portion, *([old] if old is not None else []))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")).cast("int")
     out = kept(best.select(F.col("query").alias("query_id"), rank.alias("rank"), "vec_id", "score"))
-    dropped(best, placed, queries, file)
+    dropped(best, rest, portion, queries, file)
     return out
