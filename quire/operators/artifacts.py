@@ -28,6 +28,7 @@ def script_digest(program: Column) -> Column:
 
 def content_policy(programs: Column) -> Column:
     """The eleven directives that an artifact's pages are bound by; ``programs`` are the scripts that may run."""
+    # Fixed values, in this order.
     allowed = F.when(F.size(programs) == 0, F.lit("script-src 'none'")).otherwise(F.concat(F.lit("script-src "), F.array_join(F.transform(programs, script_digest), " ")))
     before = ("default-src 'none'", "base-uri 'none'", "connect-src 'none'", "font-src data:", "form-action 'none'", "frame-src data: blob:", "img-src data: blob:", "media-src data: blob:", "object-src 'none'")
     return F.concat_ws("; ", *map(F.lit, before), allowed, F.lit("style-src 'unsafe-inline' data:"))
@@ -207,3 +208,9 @@ def bench_statistics(samples: DataFrame, key: str, ms: str, size: str) -> DataFr
     """``least, median, p95, most`` of a case's times and its throughput in bytes a second at the median."""
     stats = samples.groupBy(key).agg(F.min(ms).alias("least"), F.percentile(ms, F.lit(0.5)).alias("median"), F.percentile(ms, F.lit(0.95)).alias("p95"), F.max(ms).alias("most"), F.max(size).alias("bytes"))
     return stats.select(key, "least", "median", "p95", "most", (F.col("bytes") / (F.col("median") / 1000)).alias("throughput"))
+
+
+def corpus_report(outcomes: DataFrame, group: str) -> DataFrame:
+    """``group, attempted, succeeded, failed, total``: a row for each group of ``outcomes(outcome)``, and one of all with ``total`` 1."""
+    rows = outcomes.rollup(group).agg(F.count("*").alias("attempted"), F.count_if(F.col("outcome") == "success").alias("succeeded"), F.count_if(F.col("outcome") == "failure").alias("failed"), F.grouping(group).cast("int").alias("total"))
+    return rows.select(group, "attempted", "succeeded", "failed", "total")

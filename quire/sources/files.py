@@ -1,19 +1,16 @@
-"""Files as tables: bounded reads, strict JSON, bundles, settings; and sinks that commit whole outputs or none."""
+"""Files as tables: bounded reads, strict JSON, bundles, settings; and a table of outputs that takes all of them or none."""
 
 from __future__ import annotations
 
 import os
-import shutil
 import tomllib
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from quire.functions.text import relative_path_valid
+from quire.operators.scheduling import unique_names
 
 MOST_FILE_BYTES, MOST_CONFIG_BYTES, MOST_BUNDLE_FILES = 64 << 20, 1 << 20, 10_001
 
@@ -66,75 +63,42 @@ def settings(user: str | None = None, explicit: str | None = None, environment:
     return rows
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    names: list[str]
+def save_artifacts(artifacts: DataFrame, folder: str, conflict: str = "fail") -> None:
+    """Add ``artifacts(name, body)`` to the Parquet table in ``folder``: all of them, or none.
 
-
-class _Writer(DataSourceWriter):
-    """Tasks write below a staging folder; the commit moves files into place, or nothing if a name stands in the way."""
-
-    def __init__(self, options: dict, overwrite: bool):
-        import uuid
-
-        self.folder, self.replace = options["path"], overwrite or options.get("conflict") == "replace"
-        self.staging = f"{self.folder}/.staging-{uuid.uuid4().hex}"
-
-    def write(self, rows: Iterator[Row]) -> _Written:
-        import hashlib
-
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        own = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        names = []
-        for row in rows:
-            if any(part in ("", ".", "..") for part in row["name"].split("/")):
-                raise ValueError(f"not a portable relative file: {row['name']}")
-            os.makedirs(os.path.dirname(f"{own}/{row['name']}"), exist_ok=True)
-            body = bytes(row["body"])
-            with open(f"{own}/{row['name']}", "wb") as f:
-                f.write(body)
-            with open(f"{own}/{row['name']}", "rb") as f:  # what was written is what was meant
-                if hashlib.sha256(f.read()).digest() != hashlib.sha256(body).digest():
-                    raise OSError(f"{row['name']} changed while it was written")
-            names.append(f"{context.partitionId()}-{context.taskAttemptId()}\0{row['name']}")
-        return _Written(names)
-
-    def commit(self, messages: list[_Written | None]) -> None:
-        files = [x.split("\0") for m in messages if m for x in m.names]
-        targets = [name for _, name in files]
-        taken = [name for name in targets if os.path.exists(f"{self.folder}/{name}")]
-        if len(set(targets)) < len(targets) or (taken and not self.replace) or any(os.path.isdir(f"{self.folder}/{name}") for name in taken):
-            self.abort(messages)
-            raise ValueError(f"outputs are in the way: {sorted(taken)[:3] or 'one name twice'}")
-        for task, name in files:
-            os.makedirs(os.path.dirname(f"{self.folder}/{name}"), exist_ok=True)
-            os.replace(f"{self.staging}/{task}/{name}", f"{self.folder}/{name}")
-        shutil.rmtree(self.staging, ignore_errors=True)
-
-    def abort(self, messages: list[_Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
-
-
-class ArtifactSink(DataSource):
-    """``df.write.format("page-artifacts").mode("append").save(folder)`` for rows ``name, body``; the folder is shared by all executors."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "page-artifacts"
-
-    def schema(self) -> str:
-        return "name string, body binary"
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> _Writer:
-        return _Writer(self.options, overwrite)
-
-
-def save_artifacts(artifacts: DataFrame, folder: str, replace: bool = False) -> None:
-    """Write ``artifacts(name, body)`` as files: all of them, or none. Rows with a name that isn't portable are refused."""
-    artifacts.sparkSession.dataSource.register(ArtifactSink)
+    ``conflict`` says what happens to a name that is there already: ``fail``
+    refuses the whole output, ``replace`` makes the new body the one that is
+    read, ``uniquify`` names it ``stem-N.ext``. Names that aren't portable, and
+    under the first two a name that comes twice, are refused. Every save is one
+    batch that Spark's committer publishes at once; names stay in the cluster.
+    """
+    if conflict not in ("fail", "replace", "uniquify"):
+        raise ValueError(f"conflict: {conflict}")
+    spark = artifacts.sparkSession
     wrong = artifacts.where(~relative_path_valid(F.col("name"))).limit(1)
     if not wrong.isEmpty():
         raise ValueError(f"not a portable relative file: {wrong.first()['name']}")
-    artifacts.select("name", F.col("body").cast("binary").alias("body")).write.format("page-artifacts").mode("overwrite" if replace else "append").option("path", folder).save()
+    rows = artifacts.select("name", F.col("body").cast("binary").alias("body"))
+    have = saved_artifacts(spark, folder)
+    if conflict == "uniquify":
+        own = rows.withColumn("id", F.struct("name", F.sha2("body", 256)))
+        named = unique_names(own.select("id", F.col("name").alias("path")).distinct(), have.select(F.col("name").alias("path")))
+        rows = own.dropDuplicates(["id"]).join(named, "id").select(F.col("path").alias("name"), "body")
+    else:
+        twice = rows.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("name")
+        taken = twice if conflict == "replace" else twice.unionByName(rows.join(have.select("name"), "name", "left_semi").select("name"))
+        if in_the_way := [r["name"] for r in taken.limit(3).collect()]:
+            raise ValueError(f"outputs are in the way: {sorted(in_the_way)}")
+    batch = (have.agg(F.max("batch")).first()[0] or 0) + 1
+    rows.withColumns({"digest": F.sha2("body", 256), "batch": F.lit(batch).cast("long")}).write.mode("append").parquet(folder)
+
+
+def saved_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, body, digest, batch``: of each name what the newest batch has; an empty table where nothing was saved."""
+    schema = "name string, body binary, digest string, batch long"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(folder)
+    last = rows.groupBy("name").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["name", "batch"]).select("name", "body", "digest", "batch")

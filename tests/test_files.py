@@ -40,15 +40,22 @@ def test_settings(tmp_path):
         files.settings(environment={"PAGE_ARCHIVE_NOPE": "1"})
 
 
-def test_sink_commits_all_or_nothing(spark, tmp_path):
-    rows = spark.createDataFrame([("a.html", b"1"), ("d/b.html", b"2")], "name string, body binary")
-    files.save_artifacts(rows, str(tmp_path))
-    assert (tmp_path / "d/b.html").read_bytes() == b"2"
-    more = spark.createDataFrame([("c.html", b"3"), ("a.html", b"4")], "name string, body binary")
-    with pytest.raises(Exception, match="in the way"):
-        files.save_artifacts(more, str(tmp_path))
-    assert not (tmp_path / "c.html").exists() and (tmp_path / "a.html").read_bytes() == b"1" and not [x for x in os.listdir(tmp_path) if x.startswith(".")]
-    files.save_artifacts(more, str(tmp_path), replace=True)
-    assert (tmp_path / "a.html").read_bytes() == b"4"
-    with pytest.raises(ValueError):
-        files.save_artifacts(spark.createDataFrame([("../x", b"")], "name string, body binary"), str(tmp_path))
+def test_sink_takes_all_or_nothing(spark, tmp_path):
+    folder = str(tmp_path / "artifacts")
+    table = lambda *rows: spark.createDataFrame(list(rows), "name string, body binary")
+    there = lambda: {r["name"]: bytes(r["body"]) for r in files.saved_artifacts(spark, folder).collect()}
+    assert there() == {}
+    files.save_artifacts(table(("a.html", b"1"), ("d/b.html", b"2")), folder)
+    more = table(("c.html", b"3"), ("a.html", b"4"))
+    with pytest.raises(ValueError, match="in the way"):
+        files.save_artifacts(more, folder)
+    assert there() == {"a.html": b"1", "d/b.html": b"2"}
+    files.save_artifacts(more, folder, "replace")
+    assert there() == {"a.html": b"4", "d/b.html": b"2", "c.html": b"3"}
+    files.save_artifacts(table(("a.html", b"5"), ("a.html", b"6"), ("e", b"7")), folder, "uniquify")
+    found = there()
+    assert found.keys() == {"a.html", "d/b.html", "c.html", "a-1.html", "a-2.html", "e"} and {found["a-1.html"], found["a-2.html"]} == {b"5", b"6"} and found["a.html"] == b"4"
+    for rows in (table(("../x", b"")), table(("x", b"1"), ("x", b"2"))):
+        with pytest.raises(ValueError):
+            files.save_artifacts(rows, folder)
+    assert {r["digest"] for r in files.saved_artifacts(spark, folder).where("name = 'e'").collect()} == {"7902699be42c8a8e46fbbb4501726517e86b22c56a189f7625a6da49081b2451"}
