@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text, urls
-from quire.operators.pages import TOKEN, attribute, attributes, head_of, is_script_url, rewritten, tag_of
+from quire.operators.pages import TOKEN, active_parts, attribute, attributes, head_of, is_script_url, rewritten, tag_of
 
 MANIFEST_ID, MANIFEST_TYPE, STATE_ID = "pa-manifest", "application/vnd.page-archive.manifest+json", "pa-state"
 #: The program that restores scroll positions when an artifact is opened.
@@ -71,6 +71,8 @@ def verified(artifacts: DataFrame, html: str = "html") -> DataFrame:
     first_in_head = F.get(F.filter(F.transform(opens, lambda t, i: F.struct(t.alias("t"), F.get(opens, i - 1)["tag"].alias("before"))), lambda x: x["before"] == "head"), F.lit(0))["t"]
     scripts = F.exists(opens, lambda t: (t["tag"] == "script") & ~value(t, "id").isin(MANIFEST_ID, STATE_ID) & ~value(t, "type").isin("application/json", "application/ld+json"))
     active = F.exists(opens, lambda t: F.exists(t["attrs"], lambda a: a["name"].startswith("on") | is_script_url(a["value"])) | (t["tag"] == "base"))
+    nested = lambda page: F.exists(F.transform(F.regexp_extract_all(page, F.lit(TOKEN), 0), active_parts), lambda f: f["drop"] | (f["events"] + f["script_urls"] > 0))
+    active |= F.exists(opens, lambda t: F.exists(t["attrs"], lambda a: (a["name"] == "srcdoc") & nested(a["value"])))
     remote = F.exists(opens, lambda t: ~t["tag"].isin("a", "area", "link") & F.exists(t["attrs"], lambda a: a["name"].isin("src", "poster", "data", "background") & (a["value"] != "") & ~a["value"].startswith("data:")))
     scrolls = F.exists(opens, lambda t: F.coalesce(F.get(F.filter(t["attrs"], lambda a: a["name"] == "data-pa-scroll"), F.lit(0))["value"].rlike(r"^-?[0-9.]+,-?[0-9.]+$") == F.lit(False), F.lit(False)))
     error = (

@@ -152,7 +152,7 @@ def references(pages: DataFrame, base: str = "url") -> DataFrame:
     return rows.select("page_id", (F.row_number().over(order) - 1).alias("ref_id"), "pos", "tag", "attribute", "role", "original", urls.join(F.col("base"), F.col("original")).alias("resolved"))
 
 
-def _active(token: Column) -> Column:
+def active_parts(token: Column) -> Column:
     """What a token holds that acts: struct<drop, events, script_urls, frames>; ``frames`` if it holds a page of its own."""
 
     def use(x: Column) -> Column:
@@ -173,7 +173,7 @@ def _active(token: Column) -> Column:
 
 def sanitize_report(pages: DataFrame) -> DataFrame:
     """``page_id, active_elements, event_attributes, script_urls``: what ``sanitized`` removes, one row per page."""
-    found = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), 0), _active)
+    found = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), 0), active_parts)
     rows = pages.select("page_id", F.when(F.col("html").contains("<"), found).alias("f"))
     total = lambda name: F.coalesce(F.aggregate("f", F.lit(0).cast("bigint"), lambda n, x: n + x[name]), F.lit(0).cast("bigint"))
     return rows.select("page_id", F.coalesce(F.size(F.filter("f", lambda x: x["drop"])), F.lit(0)).cast("bigint").alias("active_elements"), total("events").alias("event_attributes"), total("script_urls").alias("script_urls"))
@@ -221,7 +221,7 @@ def sanitized(html: Column, nested: int = 1) -> Column:
         return rebuilt(token, F.transform(left, kept))
 
     def change(token: Column) -> Column:
-        return urls.let(_active(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).when(f["frames"], quiet(token)).otherwise(token))
+        return urls.let(active_parts(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).when(f["frames"], quiet(token)).otherwise(token))
 
     return rewritten(html, change)
 

@@ -86,8 +86,7 @@ def reassembled(chunks: DataFrame, descriptors: DataFrame) -> DataFrame:
     """``transfer, body, error``: chunks put together and held against their descriptor ``(transfer, chunks, bytes, sha256)``."""
     item = F.struct("sequence", "payload", (F.crc32("payload") == F.col("crc32")).alias("fine"))
     rows = chunks.groupBy("transfer").agg(F.array_sort(F.collect_list(item)).alias("parts")).join(descriptors, "transfer", "right")
-    body = F.aggregate(F.transform("parts", lambda p: F.hex(p["payload"])), F.lit(""), lambda a, x: F.concat(a, x))
-    rows = rows.withColumn("body", F.unhex(body))
+    rows = rows.withColumn("body", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), "")))
     error = (
         F.when(F.coalesce(F.size("parts"), F.lit(0)) != F.col("chunks"), "transfer.count")
         .when(F.exists("parts", lambda p: ~p["fine"]), "transfer.crc")

@@ -133,3 +133,11 @@ def test_nested_sheets_and_checks_of_empty_tables(spark):
     records = spark.createDataFrame([], "page_id int, id int, frame_id int, kind string, digest string, bytes bigint, provenance string")
     manifests = spark.createDataFrame([(1, 1, 0, 0, 0, 0, 0, 0), (2, 1, 1, 1, 0, 0, 0, 9)], "page_id int, frames int, discovered int, embedded int, external int, omitted int, failed int, embedded_bytes bigint")
     assert {r["page_id"]: r["error"] for r in checks.record_faults(records, manifests).collect()} == {1: None, 2: "verify.record_count"}
+
+
+def test_verification_looks_into_frames(spark):
+    from quire.operators import artifacts
+
+    pages_ = ["<html><head></head><body><iframe srcdoc=\"<p>fine</p>\"></iframe></body></html>", "<html><head></head><body><iframe srcdoc=\"<p onclick=x>bad</p>\"></iframe></body></html>"]
+    rows = spark.createDataFrame(list(enumerate(pages_)), "page_id int, html string").select("page_id", artifacts.encoded(F.col("html"), F.lit("{}")).alias("html"))
+    assert {r["page_id"]: r["error"] for r in artifacts.verified(rows).collect()} == {0: None, 1: "verify.active_content"}
