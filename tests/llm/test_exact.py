@@ -445,3 +445,12 @@ def test_results_of_the_registered_queries(spark):
         expected = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:5]
         assert sorted(own) == [(n, i, -s) for n, (s, i) in enumerate(expected, 1)]
     assert best.keys() == {i for i in vectors if i % 50 == 0}
+
+
+def test_clashing_names_of_duplicates_and_personal_data(spark):
+    rows = spark.createDataFrame([(2, "one two three four five six", *"abcdef"), (1, "one two three four five six", *"abcdef"), (1, "one two three four five six", *"abcdef"), (None, None, *"abcdef")], "doc_id long, text string, __node string, __rep string, __own string, node string, found string, spans string")
+    kept = near_dedup.deduplicated(rows)
+    assert kept.columns == rows.columns and sorted((r["doc_id"] or 0, r["__node"], r["__rep"], r["__own"], r["node"]) for r in kept.collect()) == [(0, *"abcd"), (1, *"abcd")]
+    found = near_dedup.classes(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["text_copies"]) for r in found) == [(0, 0, 1), (1, 1, 3), (1, 1, 3), (2, 1, 3)]
+    assert pii_bootstrap.digests(rows).count() == 4 and {r["spans"] for r in pii_bootstrap.digests(rows).collect()} == {""}

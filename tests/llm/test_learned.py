@@ -281,3 +281,53 @@ def test_pipeline(spark):
     assert pieces.select("doc_id").distinct().count() == before
     tokens = lambda df: sorted((r["doc_id"], r["n"]) for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())  # noqa: E731  where documents are cut depends on their order
     assert tokens(corpus_pipeline.run(spark, SF)) == tokens(pieces)
+
+
+def test_toxicity_query_by_brute_force(spark):
+    """Every document's probabilities, from the trained weights by plain sums."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    found = {r["doc_id"]: r for r in queries.op5_toxicity(spark, SF).collect()}
+    n, hidden = len(model.features), {f for own in toxicity.CATEGORY_TERMS.values() for w in own for f in (w, f"^{w}+")}
+    assert n and docs.count() == len(found)
+    for r in docs.collect():
+        own = [model.features[f] for f in toxicity.document_features(set(re.findall(r"[^\W\d_]+", (r["text"] or "").lower()))) if f in model.features]
+        chain = []
+        for row in model.weights:
+            x = sum(row[i] for i in own) + sum(w * p for w, p in zip(row[n:-1], chain)) + row[-1]
+            chain.append(1 / (1 + math.exp(-max(-40, min(40, x)))))
+        assert all(abs(found[r["doc_id"]][f"p_{c}"] - p) < 1e-6 for c, p in zip(model.categories, chain))
+        assert found[r["doc_id"]]["is_toxic"] == (chain[-1] >= model.threshold) or abs(chain[-1] - model.threshold) < 1e-6
+    # a category's link doesn't see the words that name it
+    for k, words in enumerate(toxicity.CATEGORY_TERMS.values()):
+        assert all(model.weights[k][model.features[w]] == 0 for w in words if w in model.features)
+
+
+def test_toxicity_of_empty_tables_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i % 50, ("you idiot scum" if i % 2 else "a kind word") + f" w{i % 7}", True, 0.5, "t") for i in range(400)], "doc_id long, text string, is_toxic boolean, p_toxic double, __toxicity string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert toxicity.label_rows(docs, labels).count() == 50
+    model = toxicity.train(docs, labels)
+    found = toxicity.classify(docs, model).collect()
+    assert len(found) == 400 and {r["is_toxic"] for r in found if r["doc_id"] % 2} == {True} and {r["__toxicity"] for r in found} == {"t"}
+    assert toxicity.accepted(docs, model).columns == docs.columns and toxicity.accepted(docs, model).count() == 200
+    assert toxicity.classify(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels.limit(0)).features == {}
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    learned = [(i, t, lang, "s", len(t), "x", "y") for i, (t, lang) in enumerate([("the house and the garden of the town", "en"), ("la casa y el campo de la ciudad", "es")] * 20)]
+    odd = [(100, None, None, None, None, "x", "y"), (101, "", "en", "s", 0, "x", "y"), (102, "12 !?", "en", "s", 5, "x", "y"), (103, "the garden " * 50_000, "en", "s", 0, "x", "y"), (103, "the garden " * 50_000, "en", "s", 0, "x", "y"), (None, "the town of the garden", "en", "s", 0, "x", "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __language string, findings string"
+    for name, rows in (("odd", learned + odd), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        if not rows:
+            assert pieces == []
+            continue
+        kept = {p["doc_id"] for p in pieces}
+        # no letters, no language: gone; of equal and of repeated rows one stays
+        assert kept == {0, 1, 103, None} and sum(p["length"] for p in pieces if p["doc_id"] == 103) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 103)
