@@ -162,7 +162,7 @@ def bands(values, number: int = BANDS):
     return key.view("i8")
 
 
-def _buffer(column: pa.Array):
+def buffer_of(column: pa.Array):
     """An Arrow string column's bytes and offsets, from zero."""
     import numpy as np
 
@@ -182,7 +182,7 @@ def signed(docs: DataFrame) -> DataFrame:
         for part in slices(batches, "text", SLICE_BYTES):
             for start in range(0, part.num_rows, 4096):
                 some = part.slice(start, 4096)
-                values = signatures(*shingles(*_buffer(some.column("text"))), some.num_rows)
+                values = signatures(*shingles(*buffer_of(some.column("text"))), some.num_rows)
                 none, numbers = ~np.isfinite(values[:, 0]), bands(values)
                 ends = pa.array(np.arange(some.num_rows + 1, dtype="i4") * numbers.shape[1])
                 keys = pa.ListArray.from_arrays(ends, pa.array(numbers.reshape(-1)))
@@ -241,11 +241,37 @@ def similarity(left: list[str], right: list[str]) -> list[float]:
 
     out = []
     for s, t in zip(left, right):
-        keys, counts = shingles(*_buffer(pa.array([s.lower(), t.lower()], pa.string())))
+        keys, counts = shingles(*buffer_of(pa.array([s.lower(), t.lower()], pa.string())))
         out.append(float(overlaps(keys, counts, np.array([0]), np.array([1]))[0, 0]) if len(keys) else 0.0)
     return out
 
 
+def by_block(rows: DataFrame, links: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str = "duplicates") -> DataFrame:
+    """``a, b``: what ``links`` finds in each block of ``rows(block, i, j, node, ...)``. A task holds the rows of one block."""
+    dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering(owner)
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            ids, start = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j")))), 0
+            for at, own in enumerate(ids):
+                if own != last:
+                    if at > start:
+                        rest.append(batch.slice(start, at - start))
+                    if rest and (found := links(pa.concat_batches(rest))) is not None:
+                        yield found
+                    rest, start, last = [], at, own
+            if start < len(ids):
+                rest.append(batch.slice(start))
+        if rest and (found := links(pa.concat_batches(rest))) is not None:
+            yield found
+
+    kind = rows.schema["node"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def verified(rows: DataFrame, least: float) -> DataFrame:
     """``a, b``: links between the texts of each block.
 
@@ -253,7 +279,6 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
     texts are compared with its right ones of other roots. A task holds the
     rows of a block and a slice of its matrices.
     """
-    dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
 
     def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
         import numpy as np
@@ -261,7 +286,7 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
         left, right = np.flatnonzero(part.column("is_left").to_numpy(False)), np.flatnonzero(part.column("is_right").to_numpy(False))
         if not len(left) or not len(right):
             return None
-        keys, counts = shingles(*_buffer(part.column("text")))
+        keys, counts = shingles(*buffer_of(part.column("text")))
         if not len(keys):
             return None
         root = np.array(part.column("root").to_pylist(), object)
@@ -270,26 +295,7 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
         nodes = part.column("node")
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(left[i])), nodes.take(pa.array(right[j]))], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembering("duplicates")
-        rest: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            ids, start = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j")))), 0
-            for at, own in enumerate(ids):
-                if own != last:
-                    if at > start:
-                        rest.append(batch.slice(start, at - start))
-                    if rest and (found := links(pa.concat_batches(rest))) is not None:
-                        yield found
-                    rest, start, last = [], at, own
-            if start < len(ids):
-                rest.append(batch.slice(start))
-        if rest and (found := links(pa.concat_batches(rest))) is not None:
-            yield found
-
-    kind = rows.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return by_block(rows.withColumn("text", F.lower("text")), links)
 
 
 def parts_of(texts: Column, size: Column) -> Column:
@@ -324,12 +330,12 @@ def components(links: DataFrame) -> DataFrame:
             return out
 
 
-def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY) -> DataFrame:
+def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILARITY, verify: Callable[[DataFrame, float], DataFrame] = verified) -> DataFrame:
     """Components of near duplicates: ``node, root`` for each node with a link.
 
     ``nodes(node, bytes, keys)``; ``texts_of`` gives ``node, text`` for a table of
-    nodes. All of these may be large; neither they nor links or components pass
-    through the driver.
+    nodes, ``verify`` the links of blocks as ``verified`` does. All of these may
+    be large; neither they nor links or components pass through the driver.
     """
     entries = nodes.where(F.col("keys").isNotNull()).select("node", "bytes", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -340,7 +346,7 @@ def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least:
     texts = kept(texts_of(mates.select("node")))
 
     def compared(blocks: DataFrame) -> DataFrame:
-        return kept(verified(blocks.join(texts, "node").select("block", "i", "j", "node", "root", "is_left", "is_right", F.lower("text").alias("text")), least))
+        return kept(verify(blocks.join(texts, "node").select("block", "i", "j", "node", "root", "is_left", "is_right", "text"), least))
 
     # round 1: a leader stands in each block of its members
     led = kept(entries.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node", "bytes").distinct())

@@ -273,7 +273,7 @@ def test_signatures_estimate_weighted_jaccard():
         right.append(" ".join(w if rng.random() > 0.03 else "zz" for w in own))
     import pyarrow as pa
 
-    sides = [near_dedup.signatures(*near_dedup.shingles(*near_dedup._buffer(pa.array(t))), len(t), 2048) for t in (left, right)]
+    sides = [near_dedup.signatures(*near_dedup.shingles(*near_dedup.buffer_of(pa.array(t))), len(t), 2048) for t in (left, right)]
     off = (sides[0] == sides[1]).mean(axis=1) - near_dedup.similarity(left, right)
     assert abs(off.mean()) < 0.01 and np.sqrt((off**2).mean()) < 0.03
 
@@ -384,7 +384,7 @@ def test_recall_of_near_duplicates_over_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = sorted({r["text"].lower() for r in docs.collect() if r["text"]})
     found = {r["text"].lower(): r["class_id"] for r in near_dedup.classes(docs).join(docs.select("doc_id", "text"), "doc_id").collect() if r["text"]}
-    keys, counts = near_dedup.shingles(*near_dedup._buffer(pa.array(texts, pa.string())))
+    keys, counts = near_dedup.shingles(*near_dedup.buffer_of(pa.array(texts, pa.string())))
     alike = near_dedup.overlaps(keys, counts, np.arange(len(texts)), np.arange(len(texts))) >= near_dedup.SIMILARITY
     pairs = [(texts[i], texts[j]) for i, j in zip(*np.nonzero(np.triu(alike, 1)))]
     assert pairs and all(found[s] == found[t] for s, t in pairs)
@@ -408,7 +408,7 @@ def test_a_bucket_of_thousands_of_texts(spark):
     texts = [" ".join(hub), *(" ".join(copy(2, hub)) for _ in range(2500)), *(" ".join(f) for f in far), *(" ".join(copy(1, f)) for f in far[:100])]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
-    keys, counts = near_dedup.shingles(*near_dedup._buffer(pa.array(texts, pa.string())))
+    keys, counts = near_dedup.shingles(*near_dedup.buffer_of(pa.array(texts, pa.string())))
     alike = near_dedup.overlaps(keys, counts, np.arange(len(texts)), np.arange(len(texts))) >= near_dedup.SIMILARITY
     root = list(range(len(texts)))
 
