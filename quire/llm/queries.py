@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_trie, html_extract, language_id, near_dedup, ngram_join, packing, pii_bootstrap, secret_scan, toxicity, transport_stream, va_search
+from quire.llm import bpe_trie, conversation_repair, conversation_trie, html_extract, language_id, near_dedup, ngram_join, packing, pii_bootstrap, secret_scan, toxicity, transport_stream, va_search
 from quire.llm.tables import read
 
 
@@ -55,12 +55,20 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(read(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_transport_stream, op4_pii_bootstrap, op5_toxicity, op6_va_search, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract, op13_ngram_join)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_transport_stream, op4_pii_bootstrap, op5_toxicity, op6_va_search, op7_near_dedup, op8_bpe_trie, op9_language_id, op10_html_extract, op11_conversation_repair, op12_conversation_trie, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
