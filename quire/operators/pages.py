@@ -203,25 +203,26 @@ def attribute_text(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
 
 
-def sanitized(html: Column, nested: int = 1) -> Column:
+def sanitized(html: Column, nested: int | None = 1) -> Column:
     """A page without scripts, base, refresh and request-triggering elements, event attributes and script URLs.
 
     Pages within ``srcdoc`` attributes are sanitized as well, ``nested`` levels
-    deep; deeper ones are removed.
+    deep; deeper ones are removed. With None they stay as they are:
+    ``nested.deeply_sanitized`` has rewritten them at any depth by then.
     """
 
     def quiet(token: Column) -> Column:
         def kept(a: Column) -> Column:
             if not nested:
-                return a
+                return a  # none is left, or all are done
             inner = F.concat(F.lit('srcdoc="'), attribute_text(sanitized(a["value"], nested - 1)), F.lit('"'))
             return F.struct(a["name"].alias("name"), a["value"].alias("value"), F.when(a["name"] == "srcdoc", inner).otherwise(a["raw"]).alias("raw"))
 
-        left = F.filter(written(token), lambda a: ~acts(a) & ((a["name"] != "srcdoc") if not nested else F.lit(True)))
+        left = F.filter(written(token), lambda a: ~acts(a) & ((a["name"] != "srcdoc") if nested == 0 else F.lit(True)))
         return rebuilt(token, F.transform(left, kept))
 
     def change(token: Column) -> Column:
-        return urls.let(active_parts(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).when(f["frames"], quiet(token)).otherwise(token))
+        return urls.let(active_parts(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).when(f["frames"] if nested is not None else F.lit(False), quiet(token)).otherwise(token))
 
     return rewritten(html, change)
 

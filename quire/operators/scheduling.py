@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.sources.levels import shared_folder
+
 
 def job_errors(jobs: DataFrame) -> DataFrame:
     """``job_id, error`` for jobs that can't be scheduled: ids blank, too long or given twice, no http URL, resumption without a file."""
@@ -56,7 +58,7 @@ def crawl(edges: DataFrame, seed: str, depth: int = 3, pages: int = 100) -> Data
     driver, which learns their sizes only.
     """
     spark = edges.sparkSession
-    _shared(spark)
+    shared_folder(spark)
     seen = spark.createDataFrame([(seed, 0, 0)], "url string, depth int, ordinal bigint")
     level, total = seen, 1
     for d in range(1, depth + 1):
@@ -74,20 +76,6 @@ def crawl(edges: DataFrame, seed: str, depth: int = 3, pages: int = 100) -> Data
     return seen
 
 
-def _shared(spark) -> None:
-    """Checkpoints go to the cluster's ``spark.checkpoint.dir``; where it is unset, only a local master gets a folder of its own."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="quire-checkpoints-")
-        sc.setCheckpointDir(folder)
-
-
 def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """``id, path``: of equal paths, and of paths that exist, later ones get ``stem-N.ext`` with the next N that is free.
 
