@@ -6,8 +6,10 @@ shingle of all its words, one without a word has none). Two texts link when
 100 |A and B| >= 80 |A or B|, which is 9 |A and B| >= 4 (|A| + |B|). The join is
 exact: no link between different sets is lost.
 
-Points: a set's shingles are hashed into ``GROUPS`` groups; the counts of the
-groups are its point. Two sets share at most the sum over the groups of the
+Points: a set's shingles are hashed into groups, one for each eight to sixteen
+of them (but no fewer than ``LEAST_GROUPS`` nor more than ``MOST_GROUPS``); the
+counts of the groups are its point. Linked sets have nearly as many groups, and
+neighbouring groups of the larger one are summed to compare them. Two sets share at most the sum over the groups of the
 lesser count, and a set shares at most the sum of minima with the upper corner
 of a box of points with any point within, so an R-tree of points is descended
 only where that bound and the sizes allow a link. Pairs that reach the leaves
@@ -21,7 +23,8 @@ fixed size that counts all shingles of all texts, so that a passage in very
 many texts deals out none of them. Sets that share such a shingle meet in a
 bucket; buckets with the same members are one. Buckets of all sizes then are
 compared as in ``near_dedup``: the members with a leader, then what is left in
-blocks of bounded size. Each block is an R-tree.
+blocks of bounded size. Each block is an R-tree, and a block's rows are points:
+texts are read for the pairs that no bound excludes, and for these only.
 """
 
 from __future__ import annotations
@@ -35,14 +38,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.bpe_trie import slices
-from quire.llm.near_dedup import buffer_of, by_block, linked, mix
+from quire.llm.near_dedup import buffer_of, by_block, linked, mix, part_of, parts_of
 from quire.llm.tables import dropped, kept, remembering, text_or_empty
 
 SHINGLE = 5
 #: Two sets link when PART * |both| >= WHOLE * (|A| + |B|).
 PART, WHOLE = 9, 4
-#: Groups of shingles, which are the dimensions of the points, and points in a leaf of a tree.
-GROUPS, LEAF = 256, 4
+#: Groups of shingles, which are the dimensions of the points (powers of two), and points in a leaf of a tree.
+LEAST_GROUPS, MOST_GROUPS, LEAF = 64, 4096, 4
+#: Numbers in one step of a tree's bound.
+CELLS = 1 << 20
+#: Texts that may be wanted are told by this many hashed ids before they are shuffled, whatever their number.
+HASHED_IDS = 1 << 20
 #: The sketch: cells that count shingles, whatever the size of the input, and cells in one row of its table.
 CELL_BITS, BLOCK_BITS = 20, 12
 #: A shingle is frequent if its cell counts so much, or so many times the mean.
@@ -143,8 +150,19 @@ def ranks(sketch):
     return rank(sketch), int(rank(np.array([max(OFTEN, TIMES_MEAN * sketch.mean())]))[0])
 
 
+def point_of(own):
+    """The counts of a set's groups."""
+    import numpy as np
+
+    groups = LEAST_GROUPS
+    while groups < MOST_GROUPS and 16 * groups <= len(own):
+        groups *= 2
+    # the first bits tell the group, so that neighbouring groups are one when there are half as many
+    return np.minimum(np.bincount((own >> np.uint64(64 - groups.bit_length() + 1)).astype("i8"), minlength=groups), 65535).astype("<u2")
+
+
 def points(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, n, bytes, rare, often``: each text's set as a digest and a size, and the shingles it is dealt out by."""
+    """``doc_id, digest, n, bytes, point, rare, often``: each text's set as a digest, a size and a point, and the shingles it is dealt out by."""
     import numpy as np
 
     ranked, often = ranks(frequencies(docs))
@@ -161,7 +179,7 @@ def points(docs: DataFrame) -> DataFrame:
         remembering("ngrams")
         rank = np.frombuffer(shared.value, "u1")
         for part in slices(batches, "text", SLICE_BYTES):
-            digests, sizes, rares, oftens = [], [], [], []
+            digests, sizes, own_points, rares, oftens = [], [], [], [], []
             for own in sets_of(part.column("text")):
                 ranks_ = rank[own >> np.uint64(64 - CELL_BITS)]
                 # own ascends, so that equal ranks stand in the order of hashes
@@ -169,11 +187,12 @@ def points(docs: DataFrame) -> DataFrame:
                 common = ranks_[first] >= often
                 digests.append(blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
+                own_points.append(point_of(own).tobytes())
                 rares.append(own[first[~common]])
                 oftens.append(own[first[common]])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pc.binary_length(part.column("text")).cast(pa.int64()), arrays(rares), arrays(oftens)], names=["doc_id", "digest", "n", "bytes", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pc.binary_length(part.column("text")).cast(pa.int64()), pa.array(own_points, pa.binary()), arrays(rares), arrays(oftens)], names=["doc_id", "digest", "n", "bytes", "point", "rare", "often"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n long, bytes long, rare array<long>, often array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n long, bytes long, point binary, rare array<long>, often array<long>")
 
 
 class Tree:
@@ -224,17 +243,46 @@ class Tree:
         fit = (5 * high[node] >= 4 * sizes[query]) & (5 * sizes[query] >= 4 * low[node])
         query, node = query[fit], node[fit]
         keep = np.zeros(len(query), bool)
-        for at in range(0, len(query), 4096):
-            q, p = query[at : at + 4096], node[at : at + 4096]
+        step = max(1, CELLS // vectors.shape[1])
+        for at in range(0, len(query), step):
+            q, p = query[at : at + step], node[at : at + step]
             most = np.minimum(vectors[q], corner[p]).sum(axis=1, dtype="i8")
-            keep[at : at + 4096] = PART * most >= WHOLE * (sizes[q] + low[p])
+            keep[at : at + step] = PART * most >= WHOLE * (sizes[q] + low[p])
         return query[keep], node[keep]
 
 
-def vectors_of(sets: list, groups: int = GROUPS):
+def candidates(points_: list, left, right):
+    """Pairs of the left and right ones that may link, by one R-tree for each number of groups."""
     import numpy as np
 
-    return np.array([np.bincount((s & np.uint64(groups - 1)).astype("i8"), minlength=groups) for s in sets], "i4").reshape(len(sets), groups)
+    groups, sizes = np.array([len(p) for p in points_]), np.array([int(p.sum(dtype="i8")) for p in points_])
+    for level in np.unique(groups):
+        # linked sets differ by no more than one doubling; pairs of the larger level have their own turn
+        sides = [own[(groups[own] == level) | (groups[own] == 2 * level)] for own in (left, right)]
+        if not len(sides[0]) or not len(sides[1]):
+            continue
+        vectors = [np.array([points_[k].astype("i4").reshape(level, -1).sum(axis=1) for k in own]) for own in sides]
+        query, point = Tree(vectors[0], sizes[sides[0]]).search(vectors[1], sizes[sides[1]])
+        a, b = sides[0][point], sides[1][query]
+        lower = (groups[a] == level) | (groups[b] == level)
+        yield from zip(a[lower].tolist(), b[lower].tolist())
+
+
+def near(rows: DataFrame) -> DataFrame:
+    """``a, b``: pairs of the left and the right points (column ``text``) of each block, of different roots, that the block's R-trees don't exclude."""
+
+    def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        import numpy as np
+
+        left, right = (np.flatnonzero(part.column(c).to_numpy(False)) for c in ("is_left", "is_right"))
+        if not len(left) or not len(right):
+            return None
+        roots = part.column("root").to_pylist()
+        found = [(i, j) for i, j in candidates([np.frombuffer(x, "<u2") for x in part.column("text").to_pylist()], left, right) if roots[i] != roots[j]]
+        nodes = part.column("node")
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)], names=["a", "b"]) if found else None
+
+    return by_block(rows, links, "ngrams")
 
 
 def alike(a, b) -> bool:
@@ -244,39 +292,20 @@ def alike(a, b) -> bool:
     return PART * len(np.intersect1d(a, b, assume_unique=True)) >= WHOLE * (len(a) + len(b))
 
 
-def verified(rows: DataFrame, least: float) -> DataFrame:
-    """``a, b``: links between the left and the right texts of each block, found by an R-tree of the left ones.
-
-    Pairs that links of the block connect already aren't verified again.
-    """
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose sets link, by their ``texts(node, bytes, text)``; a task holds one text with a bounded number of others."""
+    sums = pairs.join(texts.select("node", "bytes"), F.col("b") == F.col("node")).groupBy("a").agg(parts_of(F.count("*"), F.sum("bytes")).alias("parts"))
+    others = pairs.join(sums, "a").select(F.col("a").alias("block"), F.lit(0).alias("i"), part_of(F.col("b"), F.col("parts")).alias("j"), F.col("b").alias("node"), F.lit(False).alias("is_left"))
+    heads = sums.select(F.col("a").alias("block"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.col("a").alias("node"), F.lit(True).alias("is_left"))
+    rows = others.unionByName(heads).join(texts.select("node", "text"), "node").select("block", "i", "j", "node", "is_left", "text")
 
     def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
         import numpy as np
 
-        left, right = (np.flatnonzero(part.column(c).to_numpy(False)) for c in ("is_left", "is_right"))
-        if not len(left) or not len(right):
-            return None
-        sets = sets_of(part.column("text"))
-        sizes, vectors = np.array([len(s) for s in sets]), vectors_of(sets)
-        query, point = Tree(vectors[left], sizes[left]).search(vectors[right], sizes[right])
-        found: list[tuple[int, int]] = []
-        top: dict = {}
-
-        def root(x):
-            while x in top:
-                x = top[x]
-            return x
-
-        roots = part.column("root").to_pylist()
-        for i, j in zip(left[point].tolist(), right[query].tolist()):
-            a, b = root(roots[i]), root(roots[j])
-            if a != b and alike(sets[i], sets[j]):
-                top[a] = b
-                found.append((i, j))
-        if not found:
-            return None
-        nodes = part.column("node")
-        return pa.RecordBatch.from_arrays([nodes.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)], names=["a", "b"])
+        sets, is_left, nodes = sets_of(part.column("text")), part.column("is_left").to_numpy(False), part.column("node")
+        head = np.flatnonzero(is_left)
+        found = [int(k) for k in np.flatnonzero(~is_left) if len(head) and alike(sets[head[0]], sets[k])]
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array([int(head[0])] * len(found), pa.int64())), nodes.take(pa.array(found, pa.int64()))], names=["a", "b"]) if found else None
 
     return by_block(rows, links, "ngrams")
 
@@ -307,17 +336,23 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     found = kept(points(docs))
     full = found.where(F.col("n") > 0)
-    heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes")))
+    heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("point").alias("point")))
     shared = kept(_shared(full))
     # buckets with the same members are one
     same = shared.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("own").alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y")).groupBy("n", "x", "y").agg(F.min("token").alias("token"))
     keys = shared.join(same.select("token"), "token").groupBy("own").agg(F.collect_list("token").alias("keys"))
-    nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", "bytes", "keys"))
+    nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", F.col("bytes").alias("size"), F.octet_length("point").cast("long").alias("bytes"), "point", "keys"))
+    temporary = []
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         # a set's text is that of any row with its digest: rows of one id may differ, so the digest decides
-        ids = nodes.select("node", "rep").join(wanted, "node", "left_semi")
-        rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids.select("rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        ids = kept(nodes.select("node", "rep", F.col("size").alias("bytes")).join(wanted, "node", "left_semi"))
+        temporary.append(ids)
+        hashed = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(HASHED_IDS))
+        # no more than HASHED_IDS numbers, which tell most of the other rows before the shuffle
+        some = F.broadcast(ids.select(hashed("rep").alias("hashed")).distinct())
+        rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hashed", hashed("doc_id")).join(some, "hashed", "left_semi").drop("hashed")
+        rows = rows.join(ids.select("rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from hashlib import blake2b
@@ -328,9 +363,16 @@ def classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), part.column("text")], names=["node", "text"])
 
         own = rows.select("text").mapInArrow(run, "node binary, text string")
-        return own.join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        return own.join(ids.select("node", "bytes"), "node").dropDuplicates(["node"])
+
+    def compared(rows: DataFrame, least: float) -> DataFrame:
+        pairs = kept(near(rows).distinct())
+        texts = kept(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
+        temporary.extend([pairs, texts])
+        return verified(pairs, texts)
 
-    roots = linked(nodes.select("node", "bytes", "keys"), texts_of, verify=verified)
+    roots = linked(nodes.select("node", "bytes", "keys"), lambda wanted: nodes.select("node", F.col("point").alias("text")).join(wanted, "node", "left_semi"), verify=compared)
+    dropped(*temporary)
     named = kept(heads.select("digest", "rep").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = kept(named.join(least, "root").select("digest", "component_id"))
