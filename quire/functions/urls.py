@@ -60,16 +60,13 @@ def normalized(url: Column) -> Column:
     """A web URL with its scheme and host in lower case, without its scheme's own port and dot segments, an empty path as ``/``; others as they are."""
 
     def use(x: Column) -> Column:
-        u, own, place = x["url"], x["scheme"], x["authority"]
         known = F.create_map(*[F.lit(y) for pair in DEFAULT_PORTS.items() for y in pair])
-        owner = F.regexp_extract(place, r"^([^@]*@)", 1)
-        number = F.ltrim(F.regexp_extract(place, r":([0-9]*)$", 1), F.lit("0"))
-        spelled = F.when((number == "") | (number == F.try_element_at(known, own).cast("string")), F.lit("")).otherwise(F.concat(F.lit(":"), number))
-        way = F.when(path(u) == "", F.lit("/")).otherwise(_dots(path(u)))
-        whole = F.concat(own, F.lit("://"), owner, host(u), spelled, way, F.regexp_extract(u, _PARTS, 4), F.regexp_extract(u, _PARTS, 5))
-        return F.when(own.isin(*DEFAULT_PORTS) & host(u).isNotNull(), whole).otherwise(u)
+        spelled = let(F.ltrim(F.regexp_extract(x["place"], r":([0-9]*)$", 1), F.lit("0")), lambda n: F.when((n == "") | (n == F.try_element_at(known, x["scheme"]).cast("string")), F.lit("")).otherwise(F.concat(F.lit(":"), n)))
+        way = let(x["path"], lambda p: F.when(p == "", F.lit("/")).otherwise(_dots(p)))
+        return F.concat(x["scheme"], F.lit("://"), F.regexp_extract(x["place"], r"^([^@]*@)", 1), x["host"], spelled, way, F.regexp_extract(x["url"], r"^[^?#]*(.*)$", 1))
 
-    return let(url, lambda u: let(F.struct(u.alias("url"), scheme(u).alias("scheme"), authority(u).alias("authority")), use))
+    parts = lambda u: F.struct(u.alias("url"), scheme(u).alias("scheme"), host(u).alias("host"), authority(u).alias("place"), path(u).alias("path"))
+    return let(url, lambda u: let(parts(u), lambda x: F.when(x["scheme"].isin(*DEFAULT_PORTS) & x["host"].isNotNull(), use(x)).otherwise(x["url"])))
 
 
 def page_url(url: Column) -> Column:
@@ -79,23 +76,21 @@ def page_url(url: Column) -> Column:
 
 def percent_encoded(text: Column) -> Column:
     """Spaces and characters outside ASCII as percent-encoded UTF-8; what is encoded stays."""
-    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"^[!#-;=?-_a-z~\[\]|]$") | (c == ""), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
-    return F.when(text.rlike(r"^[!#-;=?-_a-z~\[\]|]*$"), text).otherwise(F.array_join(each, ""))
+    each = lambda t: F.transform(F.split(t, ""), lambda c: F.when(c.rlike(r"^[!#-;=?-_a-z~\[\]|]$") | (c == ""), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+    return let(text, lambda t: F.when(t.rlike(r"^[!#-;=?-_a-z~\[\]|]*$"), t).otherwise(F.array_join(each(t), "")))
 
 
 def _dots(p: Column) -> Column:
     """Removes ``.`` and ``..`` segments of an absolute path."""
-    parts = F.split(F.substring(p, 2, 1 << 30), "/")
-    last = F.substring_index(p, "/", -1)
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    whole = let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(last.isin(".", "..") & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))))
-    return F.when(p.rlike(r"/\.\.?(/|$)"), whole).otherwise(p)
+    kept = lambda q: F.aggregate(F.split(F.substring(q, 2, 1 << 30), "/"), F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    whole = lambda q: let(kept(q), lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.substring_index(q, "/", -1).isin(".", "..") & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))))
+    return let(p, lambda q: F.when(q.rlike(r"/\.\.?(/|$)"), whole(q)).otherwise(q))
 
 
 def _encoded(ref: Column) -> Column:
     """``percent_encoded`` but for the authority, whose letters stay as they are."""
-    place = F.regexp_extract(ref, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)", 1)
-    return F.concat(place, percent_encoded(F.substring(ref, F.length(place) + 1, F.lit(1 << 30))))
+    place = lambda r: F.regexp_extract(r, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)", 1)
+    return let(ref, lambda r: let(place(r), lambda p: F.concat(p, percent_encoded(F.substring(r, F.length(p) + 1, F.lit(1 << 30))))))
 
 
 def join(base: Column, reference: Column) -> Column:
@@ -103,25 +98,27 @@ def join(base: Column, reference: Column) -> Column:
 
     White space around a reference and line breaks and tabs in it are dropped,
     backslashes of web URLs are slashes; null if either side is null or the
-    base has no scheme.
+    base has no scheme. Arguments and parts are bound once, so that the plan
+    stays small.
     """
     ref = _encoded(F.regexp_replace(F.trim(F.regexp_replace(reference, r"[\t\r\n]", "")), r"\\", "/"))
-    plain = F.struct(ref.alias("ref"), scheme(ref).alias("scheme"), path(ref).alias("path"), F.concat(F.regexp_extract(ref, _PARTS, 4), F.regexp_extract(ref, _PARTS, 5)).alias("rest"))
-    own = F.struct(scheme(base).alias("scheme"), F.concat(scheme(base), F.lit("://"), authority(base)).alias("root"), F.when(path(base) == "", F.lit("/")).otherwise(path(base)).alias("path"), F.regexp_extract(base, _PARTS, 4).alias("query"))
+    plain = lambda r: F.struct(r.alias("ref"), scheme(r).alias("scheme"), path(r).alias("path"), F.regexp_extract(r, r"^[^?#]*(.*)$", 1).alias("rest"))
+    own = lambda b: F.struct(scheme(b).alias("scheme"), authority(b).alias("place"), path(b).alias("path"), F.regexp_extract(b, _PARTS, 4).alias("query"))
 
     def use(x: Column) -> Column:
         b, r = x["b"], x["r"]
-        return normalized(
-            F.when(b["scheme"].isNull(), F.lit(None).cast("string"))
-            .when(r["scheme"].isNotNull(), r["ref"])
-            .when(r["ref"].startswith("//"), F.concat(b["scheme"], F.lit(":"), r["ref"]))
-            .when(r["path"].startswith("/"), F.concat(b["root"], _dots(r["path"]), r["rest"]))
-            .when((r["path"] == "") & r["ref"].startswith("?"), F.concat(b["root"], b["path"], r["rest"]))
-            .when(r["path"] == "", F.concat(b["root"], b["path"], b["query"], r["rest"]))
-            .otherwise(F.concat(b["root"], _dots(F.concat(F.regexp_extract(b["path"], r"^(.*/)", 1), r["path"])), r["rest"]))
+        root = F.concat(b["scheme"], F.lit("://"), b["place"])
+        way = F.when(b["path"] == "", F.lit("/")).otherwise(b["path"])
+        rooted = (
+            F.when(r["path"].startswith("/"), F.concat(_dots(r["path"]), r["rest"]))
+            .when((r["path"] == "") & r["ref"].startswith("?"), F.concat(way, r["rest"]))
+            .when(r["path"] == "", F.concat(way, b["query"], r["rest"]))
+            .otherwise(F.concat(_dots(F.concat(F.regexp_extract(way, r"^(.*/)", 1), r["path"])), r["rest"]))
         )
+        return normalized(F.when(b["scheme"].isNull(), F.lit(None).cast("string")).when(r["scheme"].isNotNull(), r["ref"]).when(r["ref"].startswith("//"), F.concat(b["scheme"], F.lit(":"), r["ref"])).otherwise(F.concat(root, rooted)))
 
-    return F.when(base.isNotNull() & reference.isNotNull(), let(F.struct(own.alias("b"), plain.alias("r")), use))
+    both = lambda x: let(F.struct(let(x["b"], own).alias("b"), let(x["r"], plain).alias("r")), use)
+    return let(F.struct(base.alias("b"), ref.alias("r")), lambda x: F.when(x["b"].isNotNull() & x["r"].isNotNull(), both(x)))
 
 
 def is_secret_key(key: Column) -> Column:

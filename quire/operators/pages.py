@@ -30,8 +30,9 @@ METADATA_TYPES = ("application/json", "application/ld+json")
 PRESENTATION = {name: "svg" for name in ("clip-path", "fill", "filter", "marker", "marker-start", "marker-mid", "marker-end", "mask", "stroke")} | {"cursor": "cursor"}
 ROLES = {
     ("img", "src"): "image", ("input", "src"): "image", ("video", "poster"): "image", ("video", "src"): "media", ("audio", "src"): "media", ("source", "src"): "media", ("track", "src"): "media",
-    ("iframe", "src"): "frame", ("frame", "src"): "frame", ("object", "data"): "other", ("embed", "src"): "other", ("image", "href"): "image", ("image", "xlink:href"): "image", ("feimage", "href"): "image", ("use", "href"): "svg", ("use", "xlink:href"): "svg", ("lineargradient", "href"): "svg", ("pattern", "href"): "svg",
-}
+    ("iframe", "src"): "frame", ("frame", "src"): "frame", ("object", "data"): "other", ("embed", "src"): "other", }
+SVG_ELEMENTS = {"image": "image", "feimage": "image", "cursor": "cursor"} | {name: "svg" for name in ("altglyph", "color-profile", "filter", "font-face-uri", "glyphref", "lineargradient", "mpath", "pattern", "radialgradient", "textpath", "tref", "use")}
+ROLES |= {(tag, name): role for tag, role in SVG_ELEMENTS.items() for name in ("href", "xlink:href")}
 
 
 def tokens(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -101,7 +102,9 @@ def links(pages: DataFrame) -> DataFrame:
     found = pages.select("page_id", "url", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rf"(?is)<a(?:rea)?[\s/]{_TO_END}"), 0)).alias("token"))
     found = found.select("page_id", "url", attribute(F.col("token"), "href").alias("href"), F.coalesce(attribute(F.col("token"), "rel"), F.lit("")).alias("rel"))
     found = found.where(F.col("href").isNotNull() & ~F.array_contains(F.split(F.lower("rel"), r"[ \t\n\f\r]+"), "nofollow"))
-    found = found.select("page_id", "url", urls.page_url(urls.join(urls.without_fragment(F.col("url")), F.col("href"))).alias("link")).where(F.col("link").isNotNull())
+    # the explode keeps conditions on a link from being pushed into its making, which would repeat it
+    link = urls.page_url(urls.join(urls.without_fragment(F.col("url")), F.col("href")))
+    found = found.select("page_id", "url", F.explode(F.filter(F.array(link), lambda x: x.isNotNull())).alias("link"))
     return found.distinct().withColumn("same_origin", urls.same_origin(F.col("url"), F.col("link")))
 
 
@@ -140,7 +143,7 @@ def references(pages: DataFrame, base: str = "url") -> DataFrame:
             F.when(name == "style", F.transform(css_references(value), lambda v: item(F.lit("css"), v, True)))
             .when(F.try_element_at(shown, name).isNotNull(), F.transform(css_references(value), lambda v: item(F.try_element_at(shown, name), v, True)))
             .when(name == "srcset", F.transform(srcset_references(value), lambda v: item(F.lit("image"), v, False)))
-            .when(direct.isNotNull(), F.array(item(direct, value, False)))
+            .when(direct.isNotNull(), F.array(F.struct(direct.alias("role"), F.trim(value).alias("original"), F.col("tag").isin(*SVG_ELEMENTS).alias("local"))))
         )
 
     listed = F.transform("attrs", lambda a: F.struct(a["name"].alias("attribute"), found(a).alias("items")))
@@ -149,7 +152,9 @@ def references(pages: DataFrame, base: str = "url") -> DataFrame:
     rows = rows.select("page_id", "base", "pos", "tag", "at", F.col("a.attribute").alias("attribute"), F.posexplode("a.items").alias("sub", "i")).select("*", "i.*")
     rows = rows.where((F.col("original") != "") & ~(F.col("local") & F.col("original").startswith("#")))
     order = Window.partitionBy("page_id").orderBy("pos", "at", "sub")
-    return rows.select("page_id", (F.row_number().over(order) - 1).alias("ref_id"), "pos", "tag", "attribute", "role", "original", urls.join(F.col("base"), F.col("original")).alias("resolved"))
+    rows = rows.select("page_id", (F.row_number().over(order) - 1).alias("ref_id"), "pos", "tag", "attribute", "role", "original", "base")
+    # as in links: conditions on a URL don't repeat its making
+    return rows.select("page_id", "ref_id", "pos", "tag", "attribute", "role", "original", F.explode(F.array(urls.join(F.col("base"), F.col("original")))).alias("resolved"))
 
 
 def active_parts(token: Column) -> Column:
