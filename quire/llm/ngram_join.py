@@ -44,8 +44,8 @@ from quire.llm.tables import dropped, kept, remembering, text_or_empty
 SHINGLE = 5
 #: Two sets link when PART * |both| >= WHOLE * (|A| + |B|).
 PART, WHOLE = 9, 4
-#: Groups of shingles, which are the dimensions of the points (powers of two), and points in a leaf of a tree.
-LEAST_GROUPS, MOST_GROUPS, LEAF = 64, 4096, 4
+#: Dimensions of boxes (powers of two), and points in a leaf of a tree.
+LEAST_GROUPS, MOST_GROUPS, LEAF = 256, 4096, 4
 #: Numbers in one step of a tree's bound.
 CELLS = 1 << 20
 #: Texts that may be wanted are told by this many hashed ids before they are shuffled, whatever their number.
@@ -122,23 +122,31 @@ def frequencies(docs: DataFrame):
         yield from tables(own)
 
     def tables(own):
-        rows = own.reshape(-1, block)
-        full = np.flatnonzero(rows.any(axis=1))
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype("i4")), pa.array([rows[i].tobytes() for i in full], pa.binary())], names=["block", "counts"])
+        # only cells that count something: a small task's table is small
+        full = np.flatnonzero(own)
+        edges = np.searchsorted(full, np.arange(0, cells + 1, block))
+        rows = [k for k in range(cells // block) if edges[k] < edges[k + 1]]
+        if rows:
+            places, counts = (full % block).astype("<u2"), own[full]
+            parts = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), parts(places), parts(counts)], names=["block", "places", "counts"])
+
+    def added(own, row) -> None:
+        at, places, counts = row
+        own[at * block + np.frombuffer(places, "<u2").astype("i8")] += np.frombuffer(counts, "i8")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(cells, "i8")
         for batch in batches:
-            for at, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                own[at * block : (at + 1) * block] += np.frombuffer(counts, "i8")
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "counts"))):
+                added(own, row)
         yield from tables(own)
 
-    schema = "block int, counts binary"
+    schema = "block int, places binary, counts binary"
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     sketch = np.zeros(cells, "i8")
     for row in parts.collect():
-        sketch[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], "i8")
+        added(sketch, (row["block"], row["places"], row["counts"]))
     return sketch
 
 
@@ -150,15 +158,29 @@ def ranks(sketch):
     return rank(sketch), int(rank(np.array([max(OFTEN, TIMES_MEAN * sketch.mean())]))[0])
 
 
-def point_of(own):
-    """The counts of a set's groups."""
+def point_of(own) -> bytes:
+    """A set's point: the steps between its shingles' groups, which are their first 16 bits; low bytes, then high bytes."""
     import numpy as np
 
-    groups = LEAST_GROUPS
-    while groups < MOST_GROUPS and 16 * groups <= len(own):
-        groups *= 2
-    # the first bits tell the group, so that neighbouring groups are one when there are half as many
-    return np.minimum(np.bincount((own >> np.uint64(64 - groups.bit_length() + 1)).astype("i8"), minlength=groups), 65535).astype("<u2")
+    steps = np.diff((own >> np.uint64(48)).astype("<u2"), prepend=np.uint16(0)).astype("<u2")
+    return (steps & 255).astype("u1").tobytes() + (steps >> 8).astype("u1").tobytes()
+
+
+def groups_of(point: bytes):
+    """The ascending groups of a point."""
+    import numpy as np
+
+    planes = np.frombuffer(point, "u1").reshape(2, -1)
+    return np.cumsum(planes[0].astype("i8") + (planes[1].astype("i8") << 8))
+
+
+def numbered(groups):
+    """Groups made distinct by counting those that repeat, so that common elements are summed minima."""
+    import numpy as np
+
+    first = np.flatnonzero(np.diff(groups, prepend=-1))
+    nth = np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
+    return groups + (nth << 16)
 
 
 def points(docs: DataFrame) -> DataFrame:
@@ -187,7 +209,7 @@ def points(docs: DataFrame) -> DataFrame:
                 common = ranks_[first] >= often
                 digests.append(blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
-                own_points.append(point_of(own).tobytes())
+                own_points.append(point_of(own))
                 rares.append(own[first[~common]])
                 oftens.append(own[first[common]])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pc.binary_length(part.column("text")).cast(pa.int64()), pa.array(own_points, pa.binary()), arrays(rares), arrays(oftens)], names=["doc_id", "digest", "n", "bytes", "point", "rare", "often"])
@@ -251,25 +273,35 @@ class Tree:
         return query[keep], node[keep]
 
 
-def candidates(points_: list, left, right):
-    """Pairs of the left and right ones that may link, by one R-tree for each number of groups."""
+def candidates(points_: list[bytes], left, right, allowed) -> Iterator[tuple[int, int]]:
+    """Pairs of the left and right points that no bound excludes, of those that ``allowed(i, j)`` lets pass."""
     import numpy as np
 
-    groups, sizes = np.array([len(p) for p in points_]), np.array([int(p.sum(dtype="i8")) for p in points_])
-    for level in np.unique(groups):
+    groups = [groups_of(p) for p in points_]
+    sizes = np.array([len(g) for g in groups])
+    levels = np.clip(1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype("i8"), LEAST_GROUPS, MOST_GROUPS)
+    full: dict[int, object] = {}
+    for level in np.unique(levels):
         # linked sets differ by no more than one doubling; pairs of the larger level have their own turn
-        sides = [own[(groups[own] == level) | (groups[own] == 2 * level)] for own in (left, right)]
+        sides = [own[(levels[own] == level) | (levels[own] == 2 * level)] for own in (left, right)]
         if not len(sides[0]) or not len(sides[1]):
             continue
-        vectors = [np.array([points_[k].astype("i4").reshape(level, -1).sum(axis=1) for k in own]) for own in sides]
+        shift = 17 - int(level).bit_length()
+        vectors = [np.array([np.bincount(groups[k] >> shift, minlength=level) for k in own], "i4") for own in sides]
         query, point = Tree(vectors[0], sizes[sides[0]]).search(vectors[1], sizes[sides[1]])
         a, b = sides[0][point], sides[1][query]
-        lower = (groups[a] == level) | (groups[b] == level)
-        yield from zip(a[lower].tolist(), b[lower].tolist())
+        lower = (levels[a] == level) | (levels[b] == level)
+        for i, j in zip(a[lower].tolist(), b[lower].tolist()):
+            if allowed(i, j):
+                for k in (i, j):
+                    if k not in full:
+                        full[k] = numbered(groups[k])
+                if alike(full[i], full[j]):
+                    yield i, j
 
 
 def near(rows: DataFrame) -> DataFrame:
-    """``a, b``: pairs of the left and the right points (column ``text``) of each block, of different roots, that the block's R-trees don't exclude."""
+    """``a, b``: pairs of the left and the right points (column ``text``) of each block, of different roots, that no bound excludes."""
 
     def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
         import numpy as np
@@ -278,7 +310,7 @@ def near(rows: DataFrame) -> DataFrame:
         if not len(left) or not len(right):
             return None
         roots = part.column("root").to_pylist()
-        found = [(i, j) for i, j in candidates([np.frombuffer(x, "<u2") for x in part.column("text").to_pylist()], left, right) if roots[i] != roots[j]]
+        found = list(candidates(part.column("text").to_pylist(), left, right, lambda i, j: roots[i] != roots[j]))
         nodes = part.column("node")
         return pa.RecordBatch.from_arrays([nodes.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)], names=["a", "b"]) if found else None
 
@@ -336,17 +368,17 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     found = kept(points(docs))
     full = found.where(F.col("n") > 0)
-    heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("point").alias("point")))
+    heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes")))
     shared = kept(_shared(full))
     # buckets with the same members are one
     same = shared.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("own").alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y")).groupBy("n", "x", "y").agg(F.min("token").alias("token"))
     keys = shared.join(same.select("token"), "token").groupBy("own").agg(F.collect_list("token").alias("keys"))
-    nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", F.col("bytes").alias("size"), F.octet_length("point").cast("long").alias("bytes"), "point", "keys"))
+    nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", "bytes", "keys"))
     temporary = []
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         # a set's text is that of any row with its digest: rows of one id may differ, so the digest decides
-        ids = kept(nodes.select("node", "rep", F.col("size").alias("bytes")).join(wanted, "node", "left_semi"))
+        ids = kept(nodes.select("node", "rep", "bytes").join(wanted, "node", "left_semi"))
         temporary.append(ids)
         hashed = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(HASHED_IDS))
         # no more than HASHED_IDS numbers, which tell most of the other rows before the shuffle
@@ -371,7 +403,10 @@ def classes(docs: DataFrame) -> DataFrame:
         temporary.extend([pairs, texts])
         return verified(pairs, texts)
 
-    roots = linked(nodes.select("node", "bytes", "keys"), lambda wanted: nodes.select("node", F.col("point").alias("text")).join(wanted, "node", "left_semi"), verify=compared)
+    def points_of(wanted: DataFrame) -> DataFrame:
+        return found.select(F.col("digest").alias("node"), F.col("point").alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    roots = linked(nodes.select("node", "bytes", "keys"), points_of, verify=compared)
     dropped(*temporary)
     named = kept(heads.select("digest", "rep").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
