@@ -6,18 +6,28 @@ number of blocks, which gives two ratios. Paths are smoothed with their
 relatives (the share of the path that they have in common is the weight), the
 two ratios are fused by their product, and paths above the page's threshold are
 content. Text within links doesn't count for a path, but in an article it does.
-Where a page marks its articles, an article is content as a whole if its best
-path is, so that its tables, captions and lists of links stay.
+
+What the ratios select says where the article is, and of the article every
+block stays. Where a page marks its articles, an article is content as a whole
+if its best path is. Elsewhere the content's root is the deepest element that
+holds most of the selected text, and all within it is content: list items,
+cells and captions too. In a page without such an element, what lies between
+selected blocks and isn't mostly links is content.
+
 What HTML itself marks as something else (navigation, forms, asides, and blocks
-that their class or id names as such) isn't content; a class or id alone never
-takes out an article, nor what holds most of the page's text.
+that a word of their class or id names as such) isn't content; a class or id
+alone never takes out an article, nor what holds most of the page's text.
+Elements and paths are numbers with links to their parents, so that time is
+linear in a page's length however deep it is.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from math import log1p
 
@@ -31,6 +41,8 @@ from quire.llm.tables import text_or_empty
 THRESHOLD = 0.2
 #: Share of the page's text from which a class or id doesn't make an element something else.
 MOST = 0.5
+#: Share of the selected text that the content's root holds.
+ROOT = 0.75
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,12 +51,16 @@ _TO_THE_END = frozenset("script style".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics object svg g path circle ellipse rect line polyline polygon text tspan textpath defs use symbol marker mask pattern clippath lineargradient radialgradient stop filter image animate".split())
 _BESIDE = frozenset("nav header footer aside form menu dialog button head".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that hold one block as a rule.
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption pre".split())
 #: Elements that end an open one of the same or a related kind.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl div article section main body td th blockquote".split())
-#: Words that are a class or id, or its leading part, and name what is beside the article; tags mark articles, too ("tag-python").
+#: Classes and ids, as whole words, that name what is beside the article; tags mark articles, too ("tag-python").
 _NAMES = re.compile(
-    r"(?:^|\s)(?:(?:site|global|main|primary|left|right)[_-])?(?:(header)|ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav\w*|newsletter|notices?|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags?(?=$|\s|[_-](?:list|links|cloud)\b)|toolbar|topbar|widget)(?:$|[\s_-])",
+    r"(?:(?:site|global|main|page|primary|secondary|left|right|top|bottom|cookie|post|entry)[_-])?"
+    r"(?:(header)|ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promos?|promotions?|promoted|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|topbar|widget)"
+    r"(?:[_-](?:area|bar|block|box|buttons?|cloud|container|form|icons|inner|items?|links?|list|menu|notice|panel|posts|section|signup|slot|unit|widget|wrap|wrapper|\d+))*|tag[_-](?:list|links|cloud)",
     re.I,
 )
 _OPEN = re.compile(r"<(?:!--|[!?/a-zA-Z])")
@@ -101,13 +117,34 @@ def _closing(tag: str):
     return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
-    """A page's blocks in order: path, whether it is beside the article, text, characters within links."""
-    out: list[tuple[tuple[str, ...], bool, str, int]] = []
-    stack: list[tuple[str, bool, str, int]] = []  # tag, beside the article, step of the path, number if named as beside it
-    named: list[list] = []  # of elements named so: text, whether an article is around and within it
-    within: list[int] = []  # their numbers, from the root
-    ours: list[tuple[int, ...]] = []  # by block
+@dataclass
+class Page:
+    """A page's blocks in order, and its elements and paths: lists by number, whose members know their parents (-1: none)."""
+
+    texts: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)  # characters within links
+    beside: list[bool] = field(default_factory=list)
+    element: list[int] = field(default_factory=list)  # of each block
+    parent: list[int] = field(default_factory=list)  # of each element
+    path: list[int] = field(default_factory=list)  # of each element
+    tag: list[str] = field(default_factory=list)  # of each element
+    above: list[int] = field(default_factory=list)  # of each path
+    depth: list[int] = field(default_factory=list)  # of each path
+
+
+def named(names: str):
+    """The word of a class or id that names what is beside the article, as a match, or None."""
+    return next(filter(None, map(_NAMES.fullmatch, names.split())), None)
+
+
+def blocks(html: str) -> Page:
+    page = Page()
+    paths: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, bool, int, int]] = []  # tag, beside the article, element, number if named as beside it
+    opened: Counter[str] = Counter()
+    marks: list[list] = []  # of elements named so: text, whether an article is around and within it, the mark around it
+    block_marks: list[int] = []  # the innermost mark of each block, or -1
+    within: list[int] = []
     articles = 0
     parts: list[str] = []
     linked = links = 0
@@ -118,17 +155,21 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((tuple(step for _, _, step, _ in stack), beside > 0, text, linked))
-                ours.append(tuple(within))
-                for i in within:
-                    named[i][0] += len(text)
+                page.texts.append(text)
+                page.linked.append(linked)
+                page.beside.append(beside > 0)
+                page.element.append(stack[-1][2] if stack else -1)
+                block_marks.append(within[-1] if within else -1)
+                if within:
+                    marks[within[-1]][0] += len(text)
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal beside
         while len(stack) > to:
-            _, off, _, number = stack.pop()
+            tag, off, _, number = stack.pop()
+            opened[tag] -= 1
             beside -= off
             if number >= 0:
                 within.pop()
@@ -157,85 +198,146 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             continue
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+            if opened[tag]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         for others in ((("p",),) if tag in _CLOSES_P else ()) + ((_ENDS[tag],) if tag in _ENDS else ()):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in others:
-                    pop(i)
-                elif stack[i][0] in _SCOPE and stack[i][0] not in others:
-                    break
+            if any(opened[other] for other in others):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in others:
+                        pop(i)
+                    elif stack[i][0] in _SCOPE and stack[i][0] not in others:
+                        break
         names = " ".join(filter(None, (x for found in _NAMED.findall(rest) for x in found))) if rest else ""
         # an article may have a header of its own: its heading is the article's
-        inside = any(t in ("article", "main") for t, _, _, _ in stack)
+        inside = opened["article"] + opened["main"] > 0
         if tag in ("article", "main"):
             articles += 1
-            for i in within:
-                named[i][2] = True
-        name = _NAMES.search(names) if names and tag not in ("html", "body", "article", "main") else None
+            if within:
+                marks[within[-1]][2] = True
+        name = named(names) if names and tag not in ("html", "body", "article", "main") else None
         off = (tag in _BESIDE and not (tag == "header" and inside)) or bool(rest and _HIDDEN.search(rest))
         number = -1
         if name and not (name[1] and (inside or re.fullmatch("h[1-6]", tag))):
-            number = len(named)
-            named.append([0, inside, False])
+            number = len(marks)
+            marks.append([0, inside, False, within[-1] if within else -1])
             within.append(number)
-        stack.append((tag, off, f"{tag}.{names}" if names and tag in ("div", "section", "td", "ul") else tag, number))
+        around = stack[-1][2] if stack else -1
+        step = (page.path[around] if around >= 0 else -1, f"{tag}.{names}" if names and tag in ("div", "section", "td", "ul") else tag)
+        if step not in paths:
+            paths[step] = len(page.above)
+            page.above.append(step[0])
+            page.depth.append(page.depth[step[0]] + 1 if step[0] >= 0 else 1)
+        page.path.append(paths[step])
+        page.parent.append(around)
+        page.tag.append(tag)
+        stack.append((tag, off, len(page.parent) - 1, number))
+        opened[tag] += 1
         beside += off
     text(html[at:])
     flush()
     # a name doesn't count around an article, nor on what holds most of the text where no article is marked outside of it
-    whole = sum(len(text) for _, off, text, _ in out if not off)
-    wrong = {i for i, (n, inner, around) in enumerate(named) if around or (n > MOST * whole and (inner or not articles))}
-    return [(path, off or any(i not in wrong for i in numbers), text, link) for (path, off, text, link), numbers in zip(out, ours)]
+    whole = sum(len(x) for x, off in zip(page.texts, page.beside) if not off)
+    for n, _, around, outer in reversed(marks):
+        if outer >= 0:
+            marks[outer][0] += n
+            marks[outer][2] |= around
+    off = []
+    for n, inner, around, outer in marks:
+        off.append((outer >= 0 and off[outer]) or not (around or (n > MOST * whole and (inner or not articles))))
+    page.beside = [x or (mark >= 0 and off[mark]) for x, mark in zip(page.beside, block_marks)]
+    return page
+
+
+def fused_ratios(page: Page, kept: list[int], article: list[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Each path's fused ratio, and its text, from the blocks ``kept``; -1 is the path of what stands in no element."""
+    path_of = lambda k: page.path[page.element[k]] if page.element[k] >= 0 else -1
+    sums: dict[int, list[float]] = {}
+    for k in kept:
+        own = sums.setdefault(path_of(k), [0.0, 0.0, 0.0])
+        own[0] += 1
+        own[1] += len(page.texts[k]) - (0 if article[k] >= 0 else page.linked[k])
+        own[2] += len(_PUNCTUATION.findall(page.texts[k]))
+    above = {p: page.above[p] if p >= 0 else -2 for p in sums}
+
+    def smoothed(ratio: dict[int, float]) -> dict[int, float]:
+        """Averaged with the best sibling's and the parent's, weighted by the share of the path in common; headings and last lines need what they gain."""
+        best: dict[int, list[tuple[float, int]]] = {}  # the two best paths of each parent
+        for p, x in ratio.items():
+            best[above[p]] = sorted([*best.get(above[p], []), (x, p)], reverse=True)[:2]
+        out = {}
+        for p, x in ratio.items():
+            depth = page.depth[p] if p >= 0 else 1
+            shared, total, weight = (depth - 1) / depth, x, 1.0
+            sibling = [y for y, q in best[above[p]] if q != p]
+            if sibling:
+                total, weight = total + shared * sibling[0], weight + shared
+            if above[p] in ratio:
+                total, weight = total + shared * ratio[above[p]], weight + shared
+            out[p] = total / weight
+        return out
+
+    length, marks = smoothed({p: n / k for p, (k, n, _) in sums.items()}), smoothed({p: n / k for p, (k, _, n) in sums.items()})
+    return {p: log1p(length[p]) * log1p(1 + marks[p]) for p in sums}, {p: n for p, (_, n, _) in sums.items()}
+
+
+def outermost(page: Page, mark: str) -> list[int]:
+    """Of each element, the outermost element of this tag around it or itself, or -1."""
+    out: list[int] = []
+    for k, up in enumerate(page.parent):
+        out.append(out[up] if up >= 0 and out[up] >= 0 else k if page.tag[k] == mark else -1)
+    return out
+
+
+def root_of(page: Page, chosen: list[int]) -> int:
+    """The deepest element that holds ``ROOT`` of the text of the blocks ``chosen``; -1 if only the body does."""
+    held = [0] * len(page.parent)
+    for k in chosen:
+        if page.element[k] >= 0:
+            held[page.element[k]] += len(page.texts[k])
+    for k in range(len(held) - 1, -1, -1):
+        if page.parent[k] >= 0:
+            held[page.parent[k]] += held[k]
+    most = ROOT * sum(len(page.texts[k]) for k in chosen)
+    # of elements that hold so much, each is within the one before it
+    full = [k for k, n in enumerate(held) if n >= most and page.tag[k] not in ("html", "body")]
+    return full[-1] if full else -1
 
 
 def content(html: str, threshold: float = THRESHOLD) -> list[str]:
     """The texts of a page's content blocks, in page order."""
-    found = [(path, text, link) for path, beside, text, link in blocks(html) if not beside]
-    if not found:
+    page = blocks(html)
+    kept = [k for k, off in enumerate(page.beside) if not off]
+    if not kept:
         return []
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, link in found:
-        own = sums.setdefault(path, [0.0, 0.0, 0.0])
-        own[0] += 1
-        own[1] += len(text) if any(tag.split(".")[0] in ("article", "main") for tag in path) else len(text) - link
-        own[2] += len(_PUNCTUATION.findall(text))
-    length = {p: n / k for p, (k, n, _) in sums.items()}
-    marks = {p: n / k for p, (k, _, n) in sums.items()}
-
-    near: dict[tuple[str, ...], list[tuple[str, ...]]] = {}  # relatives: the paths with the same parent
-    for p in sums:
-        near.setdefault(p[:-1], []).append(p)
-
-    def smooth(ratio: dict, p: tuple[str, ...]) -> float:
-        """A path's ratio averaged with its best sibling's and its parent's, weighted by the share of the path in common; headings and last lines need what they gain."""
-        own, family = len(p) or 1, [q for q in near[p[:-1]] if q != p]
-        shared = (own - 1) / own
-        total, weight = ratio[p], 1.0
-        if family:
-            total += shared * max(ratio[q] for q in family)
-            weight += shared
-        if p[:-1] in ratio:
-            total += shared * ratio[p[:-1]]
-            weight += shared
-        return total / weight
-
-    fused = {p: log1p(smooth(length, p)) * log1p(1 + smooth(marks, p)) for p in sums}
-    whole = sum(own[1] for own in sums.values()) or 1.0
-    mean = sum(fused[p] * own[1] for p, own in sums.items()) / whole
+    of = lambda roots, k: roots[page.element[k]] if page.element[k] >= 0 else -1
+    marked = {mark: outermost(page, mark) for mark in ("article", "main")}
+    article = [max(of(marked["article"], k), of(marked["main"], k)) for k in range(len(page.texts))]
+    fused, sums = fused_ratios(page, kept, article)
+    whole = sum(sums.values()) or 1.0
+    least = threshold * sum(fused[p] * n for p, n in sums.items()) / whole
+    passes = lambda k: fused[page.path[page.element[k]] if page.element[k] >= 0 else -1] >= least
     # where a page says what its articles are, its ratios say which of them are content; of these every block stays
-    for mark in ("article", "main"):
-        roots = {p: p[: i + 1] for p in sums for i, step in enumerate(p) if step.split(".")[0] == mark}
-        best: dict[tuple[str, ...], float] = {}
-        for p, root in roots.items():
-            best[root] = max(best.get(root, 0.0), fused[p])
-        marked = {p for p, root in roots.items() if best[root] >= threshold * mean}
-        if marked:
-            return [text for path, text, _ in found if path in marked]
-    return [text for path, text, _ in found if fused[path] >= threshold * mean]
+    for roots in marked.values():
+        good = {of(roots, k) for k in kept if passes(k)} - {-1}
+        if good:
+            return [page.texts[k] for k in kept if of(roots, k) in good]
+    chosen = [k for k in kept if passes(k)]
+    if not chosen:
+        return []
+    root = root_of(page, chosen)
+    if root < 0:
+        first, last = chosen[0], chosen[-1]
+        return [page.texts[k] for k in kept if passes(k) or (first < k < last and 2 * page.linked[k] <= len(page.texts[k]))]
+    inside = [False] * len(page.parent)
+    for k, up in enumerate(page.parent):
+        inside[k] = k == root or (up >= 0 and inside[up])
+    # a selected block alone is no root: its element's parent is
+    if page.tag[root] in _LEAVES and page.parent[root] >= 0 and page.tag[page.parent[root]] not in ("html", "body"):
+        up = page.parent[root]
+        for k, over in enumerate(page.parent):
+            inside[k] = k == up or (over >= 0 and inside[over])
+    return [page.texts[k] for k in kept if passes(k) or (page.element[k] >= 0 and inside[page.element[k]])]
 
 
 def extract(pages: DataFrame, html: str = "html", threshold: float = THRESHOLD) -> DataFrame:

@@ -332,3 +332,65 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
         kept = {p["doc_id"] for p in pieces}
         # no letters, no language: gone; of equal and of repeated rows one stays
         assert kept == {0, 1, 103, None} and sum(p["length"] for p in pieces if p["doc_id"] == 103) == next(p["doc_tokens"] for p in pieces if p["doc_id"] == 103)
+
+
+def test_every_block_of_a_content_root_stays():
+    prose = "A long sentence, which has commas, and words; it goes on and on. " * 4
+    prose = prose.strip()
+    page = f'<nav><a href=/>Home</a></nav><div id=content><h1>Title</h1><p>{prose}</p><p>Short one<blockquote>Quote it</blockquote><ul><li>alpha<li>beta</ul><table><tr><td>1<td>2</table><pre>code</pre><div><figcaption>Cap</figcaption></div></div><div class="sidebar">x</div>'
+    assert html_extract.content(page) == ["Title", prose, "Short one", "Quote it", "alpha", "beta", "1", "2", "code", "Cap"]
+    for part in ('<p class="share-price">Y</p>', '<p class="ads-free">Y</p>', '<div class="nav-history"><p>Y</p></div>', '<div class="banner-image"><p>Y</p></div>', '<ul class="tag-python"><li>Y</ul>'):
+        assert html_extract.content(f"<article><p>{prose}</p>{part}</article>") == [prose, "Y"]
+    for name in ("share-buttons", "ad", "main-nav", "cookie-notice", "related posts", "comments-area", "newsletter-signup", "x sidebar"):
+        assert html_extract.content(f'<article><p>{prose}</p><div class="{name}">N</div></article>') == [prose]
+    assert html_extract.content(f"<body><ul><li><a href=/a>Home</a></ul><h1>Title</h1><p>{prose}</p><ul><li>item</ul><p>{prose}</p><a href=/b>next</a></body>")[-3:] == [prose, "item", prose]
+
+
+def test_time_is_linear_in_depth_and_paths():
+    n = 50_000
+    start = time.time()
+    for page in ("<div>" * 2 * n + "x", "".join(f"<div>t{i}, a" for i in range(n)), "<div>" * n + "</p>" * n + "<foo><h1>" * n, "<div class=ad>" * n + "x" + "<article>" * 100, "".join(f"<div class=c{i}>t{i}, a</div>" for i in range(n))):
+        html_extract.content(page)
+    assert time.time() - start < 30
+
+
+def plain_ratios(page):
+    """Fused ratios by path, from the definition: paths as tuples, all pairs of relatives."""
+    from math import log1p
+
+    def path(k):
+        out, e = [], page.element[k]
+        while e >= 0:
+            out.append(page.path[e])
+            e = page.parent[e]
+        return tuple(reversed(out))
+
+    kept = [k for k, off in enumerate(page.beside) if not off]
+    rows = {}
+    for k in kept:
+        rows.setdefault(path(k), []).append(k)
+    length = {p: sum(len(page.texts[k]) - page.linked[k] for k in ks) / len(ks) for p, ks in rows.items()}
+    marks = {p: sum(len(html_extract._PUNCTUATION.findall(page.texts[k])) for k in ks) / len(ks) for p, ks in rows.items()}
+
+    def smooth(ratio, p):
+        depth = max(len(p), 1)
+        share, family = (depth - 1) / depth, [ratio[q] for q in rows if q != p and q[:-1] == p[:-1] and q and p]
+        total, weight = ratio[p], 1.0
+        if family:
+            total, weight = total + share * max(family), weight + share
+        if p and p[:-1] in ratio:
+            total, weight = total + share * ratio[p[:-1]], weight + share
+        return total / weight
+
+    return {p[-1] if p else -1: log1p(smooth(length, p)) * log1p(1 + smooth(marks, p)) for p in rows}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_ratios_against_their_definition(seed):
+    import random
+
+    rnd = random.Random(seed)
+    page = html_extract.blocks("".join(rnd.choice(["<div>", "</div>", "<section class=a>", "</section>", "<ul><li>", "</ul>", "<p>", "<h2>", "<a href=x>link</a>", "Some words, and more. ", "x"]) for _ in range(200)))
+    kept = [k for k, off in enumerate(page.beside) if not off]
+    found, _ = html_extract.fused_ratios(page, kept, [-1] * len(page.texts))
+    assert found == pytest.approx(plain_ratios(page))
