@@ -29,6 +29,7 @@ texts are read for the pairs that no bound excludes, and for these only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -355,6 +356,13 @@ def _shared(found: DataFrame) -> DataFrame:
     return rare.unionByName(often.join(several, "token").select("token", "own")).distinct()
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """``buckets(token, own)`` with several members, one of those with the same members."""
+    same = buckets.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("own").alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y"))
+    same = same.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token"))
+    return buckets.join(same.select("token"), "token")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id``.
 
@@ -368,11 +376,13 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     found = kept(points(docs))
     full = found.where(F.col("n") > 0)
-    heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes")))
+    heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("n").alias("n")))
     shared = kept(_shared(full))
-    # buckets with the same members are one
-    same = shared.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("own").alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y")).groupBy("n", "x", "y").agg(F.min("token").alias("token"))
-    keys = shared.join(same.select("token"), "token").groupBy("own").agg(F.collect_list("token").alias("keys"))
+    # sets that link differ in size by a quarter at most: a bucket holds two neighbouring classes of a little more
+    sized = _different(shared).join(heads.select(F.xxhash64("digest").alias("own"), F.floor(F.log(F.col("n")) / math.log(1.26)).cast("int").alias("class")), "own")
+    sized = sized.select("own", F.explode(F.array("class", F.col("class") - 1)).alias("class"), "token").select("own", F.xxhash64("token", "class").alias("token")).distinct()
+    sized = kept(sized)
+    keys = _different(sized).groupBy("own").agg(F.collect_list("token").alias("keys"))
     nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", "bytes", "keys"))
     temporary = []
 
@@ -411,6 +421,6 @@ def classes(docs: DataFrame) -> DataFrame:
     named = kept(heads.select("digest", "rep").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = kept(named.join(least, "root").select("digest", "component_id"))
-    dropped(heads, shared, nodes, roots, named)
+    dropped(heads, shared, sized, nodes, roots, named)
     out = found.select("doc_id", "n", "digest").join(known, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
