@@ -8,6 +8,7 @@ import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import html_extract, language_id, queries, secret_scan, toxicity
 
@@ -394,3 +395,46 @@ def test_ratios_against_their_definition(seed):
     kept = [k for k, off in enumerate(page.beside) if not off]
     found, _ = html_extract.fused_ratios(page, kept, [-1] * len(page.texts))
     assert found == pytest.approx(plain_ratios(page))
+
+
+def test_candidates_against_a_regular_expression(spark, forest):
+    import regex
+
+    given = ["password=Tr0ub4dor&3x", "db_password: hunter2hunter", 'x secret = "correct horse battery 7" y', "api_key = 'a b c d e f'", '"' + "a" * 60 + '=Zm9vYmFyYmF6cXV4MTIzNDU2"', "token=short", "PASSWORD:'!quoted!'", "é日 token=abcdefgh1é"]
+    texts = [*given, *(r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pattern = regex.compile(secret_scan.CANDIDATE)
+    for r in secret_scan.scan(docs, forest).collect():
+        assert [(f["start"], f["value"]) for f in r["findings"]] == [(m.start(), m[0]) for m in pattern.finditer(r["text"] or "")]
+    found = {r["doc_id"]: {f["value"] for f in r["findings"]} for r in secret_scan.scan(docs.where("doc_id < 8"), forest).collect()}
+    assert [found[k] for k in range(8)] == [{"Tr0ub4dor&3x"}, {"hunter2hunter"}, {"correct horse battery 7"}, {"a b c d e f"}, {"Zm9vYmFyYmF6cXV4MTIzNDU2"}, set(), {"!quoted!"}, {"abcdefgh1"}]
+
+
+def test_many_candidates_of_one_text_take_linear_time(spark, forest):
+    import hashlib
+
+    text = "".join(f"commit {hashlib.sha1(str(i).encode()).hexdigest()}\n" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "src")], "doc_id long, text string, source string")
+    secret_scan.findings(docs.limit(0), forest).collect()
+    began = time.time()
+    found = secret_scan.scan(docs, forest).collect()[0]["findings"]
+    assert len(found) == 20_000 and all(text[f["start"] : f["start"] + 40] == f["value"] for f in found)
+    assert time.time() - began < 40
+
+
+def test_secrets_after_their_names(spark, forest):
+    texts = ["my token is 0123456789abcdef0123456789abcdef", "password=Tr0ub4dor&3x", "db_password: hunter2hunter", "password: required", '{"password": "content_type"}', "token=undefined", "authority=localhost"]
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in secret_scan.findings(docs, forest).collect()} == {0, 1, 2}
+
+
+def test_pair_odds_against_their_definition(spark):
+    counts = {}
+    for word in secret_scan.DICTIONARY:
+        for pair in zip(word, word[1:]):
+            counts[pair] = counts.get(pair, 0) + 1
+    whole = sum(counts.values()) + 0.5 * 676
+    odds = lambda a, b: math.log((counts.get((a, b), 0) + 0.5) / whole * 676)
+    for text in ("password", "q9xz-the", "", "é"):
+        want = sum(odds(a, b) for a, b in zip(text, text[1:]) if "a" <= a <= "z" and "a" <= b <= "z")
+        assert spark.range(1).select(secret_scan.odds_of(F.lit(text))).first()[0] == pytest.approx(want)
