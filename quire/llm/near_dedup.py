@@ -246,8 +246,8 @@ def similarity(left: list[str], right: list[str]) -> list[float]:
     return out
 
 
-def by_block(rows: DataFrame, links: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str = "duplicates") -> DataFrame:
-    """``a, b``: what ``links`` finds in each block of ``rows(block, i, j, node, ...)``. A task holds the rows of one block."""
+def by_block(rows: DataFrame, links: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str = "duplicates", schema: str | None = None) -> DataFrame:
+    """What ``links`` finds in each block of ``rows(block, i, j, node, ...)``: ``a, b``, or a schema of its own. A task holds the rows of one block."""
     dealt = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def by_block(rows: DataFrame, links: Callable[[pa.RecordBatch], pa.RecordBatch |
             yield found
 
     kind = rows.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(run, schema or f"a {kind}, b {kind}")
 
 
 def verified(rows: DataFrame, least: float) -> DataFrame:

@@ -6,14 +6,16 @@ shingle of all its words, one without a word has none). Two texts link when
 100 |A and B| >= 80 |A or B|, which is 9 |A and B| >= 4 (|A| + |B|). The join is
 exact: no link between different sets is lost.
 
-Points: a set's shingles are hashed into groups, one for each eight to sixteen
-of them (but no fewer than ``LEAST_GROUPS`` nor more than ``MOST_GROUPS``); the
-counts of the groups are its point. Linked sets have nearly as many groups, and
-neighbouring groups of the larger one are summed to compare them. Two sets share at most the sum over the groups of the
-lesser count, and a set shares at most the sum of minima with the upper corner
-of a box of points with any point within, so an R-tree of points is descended
-only where that bound and the sizes allow a link. Pairs that reach the leaves
-are verified on the sets themselves.
+Points: a set's shingles are hashed into 65,536 groups; the counts of the groups
+are its point, kept as the ascending numbers of its shingles' groups. Two sets
+share at most the sum over the groups of the lesser count, and a set shares at
+most the sum of minima with the upper corner of a box of points with any point
+within, so an R-tree of points is descended only where that bound and the sizes
+allow a link. Trees take fewer dimensions, by summing neighbouring groups: a
+first one has a group for eight to sixteen shingles and tells which points can
+have a partner at all; of these a second one has four to eight groups for each
+shingle. A pair that reaches its leaves is bounded by all groups, and if that
+allows a link, it is verified on the sets themselves.
 
 Spark deals the points out first, since boxes of unrelated texts overlap in so
 many dimensions that a tree of all of them prunes nothing above its leaves. Two
@@ -45,8 +47,8 @@ from quire.llm.tables import dropped, kept, remembering, text_or_empty
 SHINGLE = 5
 #: Two sets link when PART * |both| >= WHOLE * (|A| + |B|).
 PART, WHOLE = 9, 4
-#: Dimensions of boxes (powers of two), and points in a leaf of a tree.
-LEAST_GROUPS, MOST_GROUPS, LEAF = 256, 4096, 4
+#: Dimensions of boxes (powers of two) of the first and the second tree: the least, the most, shingles for each; and points in a leaf.
+FIRST, SECOND, LEAF = (64, 4096, 16), (256, 4096, 1 / 4), 4
 #: Numbers in one step of a tree's bound.
 CELLS = 1 << 20
 #: Texts that may be wanted are told by this many hashed ids before they are shuffled, whatever their number.
@@ -128,13 +130,14 @@ def frequencies(docs: DataFrame):
         edges = np.searchsorted(full, np.arange(0, cells + 1, block))
         rows = [k for k in range(cells // block) if edges[k] < edges[k + 1]]
         if rows:
-            places, counts = (full % block).astype("<u2"), own[full]
+            places, counts = (full % block).astype("<u2"), own[full].astype("<u4" if own.max() < 1 << 32 else "<i8")
             parts = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), parts(places), parts(counts)], names=["block", "places", "counts"])
 
     def added(own, row) -> None:
         at, places, counts = row
-        own[at * block + np.frombuffer(places, "<u2").astype("i8")] += np.frombuffer(counts, "i8")
+        cell = np.frombuffer(places, "<u2").astype("i8")
+        own[at * block + cell] += np.frombuffer(counts, "<u4" if len(counts) == 4 * len(cell) else "<i8").astype("i8")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(cells, "i8")
@@ -175,6 +178,23 @@ def groups_of(point: bytes):
     return np.cumsum(planes[0].astype("i8") + (planes[1].astype("i8") << 8))
 
 
+def dimensions(n, kind: tuple):
+    """How many dimensions sets of so many shingles have in a tree."""
+    import numpy as np
+
+    least, most, each = kind
+    return np.clip(1 << np.ceil(np.log2(np.maximum(np.asarray(n) / each, 1))).astype("i8"), least, most)
+
+
+def coarse_of(own) -> bytes:
+    """A set's counts in the first tree's dimensions: low bytes, then high bytes."""
+    import numpy as np
+
+    size = int(dimensions(len(own), FIRST))
+    counts = np.minimum(np.bincount((own >> np.uint64(65 - size.bit_length())).astype("i8"), minlength=size), 65535)
+    return (counts & 255).astype("u1").tobytes() + (counts >> 8).astype("u1").tobytes()
+
+
 def numbered(groups):
     """Groups made distinct by counting those that repeat, so that common elements are summed minima."""
     import numpy as np
@@ -185,7 +205,7 @@ def numbered(groups):
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, n, bytes, point, rare, often``: each text's set as a digest, a size and a point, and the shingles it is dealt out by."""
+    """``doc_id, digest, n, bytes, coarse, point, rare, often``: each text's set as a digest, a size and a point in two resolutions, and the shingles it is dealt out by."""
     import numpy as np
 
     ranked, often = ranks(frequencies(docs))
@@ -202,7 +222,7 @@ def points(docs: DataFrame) -> DataFrame:
         remembering("ngrams")
         rank = np.frombuffer(shared.value, "u1")
         for part in slices(batches, "text", SLICE_BYTES):
-            digests, sizes, own_points, rares, oftens = [], [], [], [], []
+            digests, sizes, coarse, fine, rares, oftens = [], [], [], [], [], []
             for own in sets_of(part.column("text")):
                 ranks_ = rank[own >> np.uint64(64 - CELL_BITS)]
                 # own ascends, so that equal ranks stand in the order of hashes
@@ -210,12 +230,13 @@ def points(docs: DataFrame) -> DataFrame:
                 common = ranks_[first] >= often
                 digests.append(blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
-                own_points.append(point_of(own))
+                coarse.append(coarse_of(own))
+                fine.append(point_of(own))
                 rares.append(own[first[~common]])
                 oftens.append(own[first[common]])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pc.binary_length(part.column("text")).cast(pa.int64()), pa.array(own_points, pa.binary()), arrays(rares), arrays(oftens)], names=["doc_id", "digest", "n", "bytes", "point", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pc.binary_length(part.column("text")).cast(pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), arrays(rares), arrays(oftens)], names=["doc_id", "digest", "n", "bytes", "coarse", "point", "rare", "often"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n long, bytes long, point binary, rare array<long>, often array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n long, bytes long, coarse binary, point binary, rare array<long>, often array<long>")
 
 
 class Tree:
@@ -274,31 +295,55 @@ class Tree:
         return query[keep], node[keep]
 
 
-def candidates(points_: list[bytes], left, right, allowed) -> Iterator[tuple[int, int]]:
-    """Pairs of the left and right points that no bound excludes, of those that ``allowed(i, j)`` lets pass."""
+def searched(sizes, levels, vectors, left, right) -> Iterator[tuple]:
+    """Arrays of left and of right numbers that trees don't exclude, one pair of arrays for each number of dimensions.
+
+    ``vectors(k, level)`` gives a point in so many dimensions. Linked sets
+    differ by no more than one doubling; pairs of the larger level have their own turn.
+    """
     import numpy as np
 
-    groups = [groups_of(p) for p in points_]
-    sizes = np.array([len(g) for g in groups])
-    levels = np.clip(1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype("i8"), LEAST_GROUPS, MOST_GROUPS)
-    full: dict[int, object] = {}
     for level in np.unique(levels):
-        # linked sets differ by no more than one doubling; pairs of the larger level have their own turn
         sides = [own[(levels[own] == level) | (levels[own] == 2 * level)] for own in (left, right)]
         if not len(sides[0]) or not len(sides[1]):
             continue
-        shift = 17 - int(level).bit_length()
-        vectors = [np.array([np.bincount(groups[k] >> shift, minlength=level) for k in own], "i4") for own in sides]
-        query, point = Tree(vectors[0], sizes[sides[0]]).search(vectors[1], sizes[sides[1]])
+        both = [np.array([vectors(k, int(level)) for k in own], "i4") for own in sides]
+        query, point = Tree(both[0], sizes[sides[0]]).search(both[1], sizes[sides[1]])
         a, b = sides[0][point], sides[1][query]
         lower = (levels[a] == level) | (levels[b] == level)
-        for i, j in zip(a[lower].tolist(), b[lower].tolist()):
-            if allowed(i, j):
-                for k in (i, j):
-                    if k not in full:
-                        full[k] = numbered(groups[k])
-                if alike(full[i], full[j]):
-                    yield i, j
+        yield a[lower], b[lower]
+
+
+def _sides(part: pa.RecordBatch):
+    import numpy as np
+
+    roots = np.unique([repr(x) for x in part.column("root").to_pylist()], return_inverse=True)[1]
+    return *(np.flatnonzero(part.column(c).to_numpy(False)) for c in ("is_left", "is_right")), roots
+
+
+_ROWS = ("block", "i", "j", "node", "root", "is_left", "is_right")
+
+
+def partnered(rows: DataFrame) -> DataFrame:
+    """The rows, without their coarse points (column ``text``), that the first tree of their block leaves a partner of another root."""
+
+    def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        import numpy as np
+
+        left, right, roots = _sides(part)
+        if not len(left) or not len(right):
+            return None
+        counts = []
+        for point in part.column("text").to_pylist():
+            planes = np.frombuffer(point, "u1").reshape(2, -1)
+            counts.append(planes[0].astype("i4") + (planes[1].astype("i4") << 8))
+        keep = np.zeros(part.num_rows, bool)
+        for a, b in searched(np.array([int(c.sum()) for c in counts]), np.array([len(c) for c in counts]), lambda k, level: counts[k].reshape(level, -1).sum(axis=1), left, right):
+            differ = roots[a] != roots[b]
+            keep[a[differ]] = keep[b[differ]] = True
+        return part.filter(pa.array(keep)).select(list(_ROWS)) if keep.any() else None
+
+    return by_block(rows.select(*_ROWS, "text"), links, "ngrams", ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in _ROWS))
 
 
 def near(rows: DataFrame) -> DataFrame:
@@ -307,11 +352,21 @@ def near(rows: DataFrame) -> DataFrame:
     def links(part: pa.RecordBatch) -> pa.RecordBatch | None:
         import numpy as np
 
-        left, right = (np.flatnonzero(part.column(c).to_numpy(False)) for c in ("is_left", "is_right"))
+        left, right, roots = _sides(part)
         if not len(left) or not len(right):
             return None
-        roots = part.column("root").to_pylist()
-        found = list(candidates(part.column("text").to_pylist(), left, right, lambda i, j: roots[i] != roots[j]))
+        groups = [groups_of(p) for p in part.column("text").to_pylist()]
+        sizes = np.array([len(g) for g in groups])
+        full: dict[int, object] = {}
+        found: list[tuple[int, int]] = []
+        for a, b in searched(sizes, dimensions(sizes, SECOND), lambda k, level: np.bincount(groups[k] >> (17 - level.bit_length()), minlength=level), left, right):
+            differ = roots[a] != roots[b]
+            for i, j in zip(a[differ].tolist(), b[differ].tolist()):
+                for k in (i, j):
+                    if k not in full:
+                        full[k] = numbered(groups[k])
+                if alike(full[i], full[j]):
+                    found.append((i, j))
         nodes = part.column("node")
         return pa.RecordBatch.from_arrays([nodes.take(pa.array([x[k] for x in found], pa.int64())) for k in (0, 1)], names=["a", "b"]) if found else None
 
@@ -386,15 +441,18 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", "bytes", "keys"))
     temporary = []
 
+    def only(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+        """``rows`` whose key is in ``wanted``. No more than HASHED_IDS numbers, which a task can hold, tell most of the other rows before they are shuffled."""
+        hashed = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(HASHED_IDS)).alias("hashed")
+        some = F.broadcast(wanted.select(hashed(name)).distinct())
+        rows = rows.withColumn("hashed", hashed(key)).join(some, "hashed", "left_semi").drop("hashed")
+        return rows.join(wanted.select(F.col(name).alias("__wanted")), F.col(key).eqNullSafe(F.col("__wanted")), "left_semi")
+
     def texts_of(wanted: DataFrame) -> DataFrame:
         # a set's text is that of any row with its digest: rows of one id may differ, so the digest decides
         ids = kept(nodes.select("node", "rep", "bytes").join(wanted, "node", "left_semi"))
         temporary.append(ids)
-        hashed = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(HASHED_IDS))
-        # no more than HASHED_IDS numbers, which tell most of the other rows before the shuffle
-        some = F.broadcast(ids.select(hashed("rep").alias("hashed")).distinct())
-        rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hashed", hashed("doc_id")).join(some, "hashed", "left_semi").drop("hashed")
-        rows = rows.join(ids.select("rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        rows = only(docs.select("doc_id", text_or_empty().alias("text")), "doc_id", ids, "rep")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from hashlib import blake2b
@@ -408,13 +466,16 @@ def classes(docs: DataFrame) -> DataFrame:
         return own.join(ids.select("node", "bytes"), "node").dropDuplicates(["node"])
 
     def compared(rows: DataFrame, least: float) -> DataFrame:
-        pairs = kept(near(rows).distinct())
+        left = kept(partnered(rows))
+        wanted = kept(left.select("node").distinct())
+        fine = kept(only(found.select(F.col("digest").alias("node"), F.col("point").alias("text")), "node", wanted, "node").dropDuplicates(["node"]))
+        pairs = kept(near(left.join(fine, "node").select(*_ROWS, "text")).distinct())
         texts = kept(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
-        temporary.extend([pairs, texts])
+        temporary.extend([left, wanted, fine, pairs, texts])
         return verified(pairs, texts)
 
     def points_of(wanted: DataFrame) -> DataFrame:
-        return found.select(F.col("digest").alias("node"), F.col("point").alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return found.select(F.col("digest").alias("node"), F.col("coarse").alias("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     roots = linked(nodes.select("node", "bytes", "keys"), points_of, verify=compared)
     dropped(*temporary)
