@@ -198,7 +198,8 @@ def read(stream: bytes, program: int | None = None) -> Media:
     """Parse a transport stream: tables, continuity, elementary packets, time stamps, clock references, random-access points.
 
     The payload is that of the first stream of ``program``, or of the first
-    program. Of several versions of a table the last one counts.
+    program. Of several versions of a table the last one counts. What doesn't
+    follow the format is counted as a fault, whatever the bytes are.
     """
     import numpy as np
 
@@ -229,6 +230,9 @@ def read(stream: bytes, program: int | None = None) -> Media:
     for map_pid in dict.fromkeys(maps.values()):
         streams: dict[int, list[tuple[int, int]]] = {}
         for section in table(map_pid, 0x02):
+            if len(section) < 12:  # too short for the length of what describes the program
+                media.faults += 1
+                continue
             at, own_streams = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF), []
             while at + 5 <= len(section):
                 kind, to, size = struct.unpack_from(">BHH", section, at)
@@ -268,7 +272,9 @@ def read(stream: bytes, program: int | None = None) -> Media:
             media.faults += 1
             continue
         length, flags, head = struct.unpack_from(">H", data, at + 4)[0], data[at + 7], data[at + 8]
-        if flags & 0x80:
+        if flags & 0x80 and (head < 5 or to - at < 14):  # no room for the time stamp that it claims
+            media.faults += 1
+        elif flags & 0x80:
             a, b, c = struct.unpack_from(">BHH", data, at + 9)
             media.stamps.append((a >> 1 & 7) << 30 | (b >> 1) << 15 | c >> 1)
         if access[i]:

@@ -129,14 +129,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
     query's, or that hold a null or non-finite component take no part; fewer
     candidates give fewer ranks; no queries or no rows give no rows. Repeated
     vec_ids are candidates each for itself; as a query such an id asks once,
-    with the least of its vectors. Scores are exact as long as they
-    stay below 2**52; larger ones are refused. Extra columns are ignored.
+    with the least of its vectors. Scores are exact; components so large
+    that a score may not fit a long are refused. Extra columns are ignored.
     """
     usable = quantised(vectors, scale)
     edges = marks(usable, cells)
+    # what doubles may be off by where twice a score doesn't fit them exactly: bounds are widened by it
+    off: dict[int, float] = {}
     for dim, own in edges.items():
-        if sum(max(abs(low), abs(low + width * cells)) ** 2 for low, width in own) >= 1 << 50:
-            raise ValueError(f"components of vectors of length {dim} are too large for exact scores")
+        largest = sum(max(abs(low), abs(low + width * cells)) ** 2 for low, width in own)
+        if largest >= 1 << 62:
+            raise ValueError(f"components of vectors of length {dim} are too large: scores may not fit a long")
+        off[dim] = largest * max(dim, 128) * 2.0**-51 if largest >= 1 << 50 else 0.0
     file = kept(approximated(enough(usable, k), edges).where(F.col("dim") > 0).withColumn("row", F.monotonically_increasing_id()))
     queries = kept(usable.where(is_query & (F.size("v") > 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     sizes = [file.count(), queries.count()]
@@ -161,7 +165,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
             best[q : q + TILE] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
         slack = np.abs(np.array(own["v"].tolist(), "f8")) @ (np.array(edges[key[0]], "f8")[:, 1] - 1)
         some = np.isfinite(best)
-        return pd.DataFrame({"query": np.repeat(own["vec_id"].to_numpy(), some.sum(axis=1)), "least": (best - slack[:, None])[some]})
+        return pd.DataFrame({"query": np.repeat(own["vec_id"].to_numpy(), some.sum(axis=1)), "least": (best - slack[:, None] - off[key[0]])[some]})
 
     found = met(queries, lower, "query long, least double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("least")))
@@ -177,7 +181,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
             slack = np.abs(np.array(own["v"].tolist(), "f8")) @ (np.array(edges[key[0]], "f8")[:, 1] - 1)
             need, asked, there = own["bound"].to_numpy(), own["vec_id"].to_numpy(), other["row"].to_numpy()
             for q, c, about in tiles(own, other, edges[key[0]]):
-                most = about + slack[q : q + TILE, None]
+                most = about + slack[q : q + TILE, None] + off[key[0]]
                 i, j = np.nonzero((most >= need[q : q + TILE, None]) & np.isfinite(most))
                 out.append((asked[q + i], there[c + j], most[i, j]))
         query, row, most = (np.concatenate(x) for x in zip(*out))

@@ -454,3 +454,30 @@ def test_clashing_names_of_duplicates_and_personal_data(spark):
     found = near_dedup.classes(rows).collect()
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["text_copies"]) for r in found) == [(0, 0, 1), (1, 1, 3), (1, 1, 3), (2, 1, 3)]
     assert pii_bootstrap.digests(rows).count() == 4 and {r["spans"] for r in pii_bootstrap.digests(rows).collect()} == {""}
+
+
+def packet_of(pid, data, start=True):
+    body = (b"\0" if start else b"") + data
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, 0x10]) + body + b"\xff" * (184 - len(body))
+
+
+def test_malformed_streams_are_faults():
+    whole = transport_stream.write(transport_stream.padded(b"some text " * 100))
+    clean = transport_stream.read(whole)
+    # a map that is too short to have anything, with a right checksum
+    for size in range(8, 16):
+        section = bytes([2, 0xB0, size + 1]) + bytes([0, 1, 0xC1, 0, 0, 0, 0, 0, 0, 0][: size - 6])
+        section += struct.pack(">I", transport_stream.crc32_mpeg(section))
+        transport_stream.read(whole + packet_of(clean.map_pid, section))
+    # a last elementary packet that claims a time stamp without room for it
+    for size in range(0, 8):
+        short = b"\0\0\1\xbd\0\0\x84\x80" + bytes([5, 1, 2, 3, 4, 5, 6])[:size]
+        fill = 184 - len(short)
+        last = bytes([0x47, 0x40 | clean.stream_pid >> 8, clean.stream_pid & 255, 0x30, fill - 1, 0]) + b"\xff" * (fill - 2) + short
+        assert transport_stream.read(whole + last).faults > clean.faults
+    rnd = random.Random(5)
+    for _ in range(400):
+        broken = bytearray(whole)
+        for _ in range(rnd.choice([1, 5, 50])):
+            broken[rnd.randrange(len(broken))] = rnd.randrange(256)
+        transport_stream.read(bytes(broken[: rnd.randrange(len(broken))]))
