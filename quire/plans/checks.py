@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import media, text
@@ -186,3 +186,40 @@ def inline_frame_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.expr("""concat('<div data-pa-scroll="1,', p_size, '" class="', p_brand, '">x<iframe data-pa-x', if(p_size % 2 = 0, concat(' srcdoc="<p>', p_name, '</p>"'), ''), '></iframe></div>')""")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     return P.inline_frames(rows).join(rows.select("page_id", P.without_attributes(F.col("html"), "data-pa-").alias("html")), "page_id")
+
+
+#: An address of either kind for each customer, and a range for each supplier; as numbers, what SQL compares.
+_NETS = """a AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS six, CASE WHEN c_custkey % 2 = 0 THEN (CAST(536939960 AS HUGEINT) << 96) + (CAST(c_custkey % 16 AS HUGEINT) << 80) + c_custkey ELSE CAST(167772160 + c_custkey * 37 AS HUGEINT) END AS n FROM customer),
+r AS (SELECT s_suppkey AS s, s_suppkey % 2 = 0 AS six, CASE WHEN s_suppkey % 2 = 0 THEN 33 + s_suppkey % 90 ELSE 9 + s_suppkey % 24 END AS bits, CASE WHEN s_suppkey % 2 = 0 THEN (CAST(536939960 AS HUGEINT) << 96) + (CAST(s_suppkey % 16 AS HUGEINT) << 80) + s_suppkey ELSE CAST(167772160 + s_suppkey * 37 AS HUGEINT) END AS n FROM supplier),
+m AS (SELECT k, s FROM a JOIN r ON a.six = r.six AND (a.n >> CASE WHEN r.six THEN 128 - bits ELSE 32 - bits END) = (r.n >> CASE WHEN r.six THEN 128 - bits ELSE 32 - bits END))"""
+
+
+def _address(k: Column) -> Column:
+    """The address of a number: 2001:db8:(k % 16)::k, or 10.0.0.0 and 37 times the number."""
+    n = k * 37
+    low = F.concat_ws(".", *[(F.floor(n / (1 << bits)) % 256).cast("string") for bits in (16, 8, 0)])
+    return F.when(k % 2 == 0, F.concat(F.lit("2001:DB8:"), F.lower(F.hex(k % 16)), F.lit("::"), F.when(k < 65536, F.hex(k)).otherwise(F.concat(F.hex(F.floor(k / 65536)), F.lit(":"), F.hex(k % 65536))))).otherwise(F.concat(F.lit("10."), low))
+
+
+def _networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    addresses = table(spark, sf_dir, "customer").select(k.alias("k"), _address(k).alias("address"))
+    bits = F.when(s % 2 == 0, s % 90 + 33).otherwise(s % 24 + 9).cast("string")
+    return addresses, table(spark, sf_dir, "supplier").select(s.alias("s"), F.concat_ws("/", _address(s), bits).alias("cidr"))
+
+
+@query(f"WITH {_NETS} SELECT k, s FROM m")
+def range_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds in ranges of all lengths, by prefix."""
+    addresses, ranges = _networks(spark, sf_dir)
+    return C.in_ranges(addresses, ranges).join(addresses, "address").join(ranges, "cidr").select("k", "s")
+
+
+@query(f"""WITH {_NETS}, h AS (SELECT k % 40 AS host, k, k % 5 = 0 AS wide, EXISTS (SELECT 1 FROM m WHERE m.k = a.k) AS inside FROM a)
+SELECT 'h' || host AS host, count(*) AS addresses, count(*) FILTER (NOT inside AND NOT wide AND host <> 7 AND k % 2 = 0) AS blocked FROM h GROUP BY host""")
+def hosts_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts under custom rules: one named, ranges, private addresses let pass."""
+    addresses, ranges = _networks(spark, sf_dir)
+    k = F.col("k")
+    rows = addresses.select(F.concat(F.lit("h"), (k % 40).cast("string")).alias("host"), F.when(k % 5 == 0, F.concat(F.lit("2606:4700::"), F.hex(F.floor(k / 65536)), F.lit(":"), F.hex(k % 65536))).otherwise(F.col("address")).alias("address"))
+    return C.hosts_allowed_by_rules(rows, ranges, ("H7",), private=True)
