@@ -9,8 +9,9 @@ conversation is an array of integers. Buckets of conversations with a common
 prefix are partitioned by their next integer, most significant (first) turn
 first: one grouping, pre-aggregated, and one join a round for all large buckets
 at once, however many members one of them has. A bucket with at most ``LOCAL``
-turns left goes to a task that finishes it by multikey quicksort, whose
-recursion emits the nodes. Subtree sums are carried up the rounds at the end.
+turns left, or with ``FEW`` conversations, goes to a task that finishes it by
+multikey quicksort, whose recursion emits the nodes. Subtree sums are carried up
+the rounds at the end.
 
 There are as many rounds as the deepest prefix has turns which so many
 conversations share that it isn't local. Conversations of more than a few
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.tables import dropped, kept, remembering
 
-#: Turns of a bucket that one task finishes.
-LOCAL = 65_536
+#: Turns, and conversations of whatever length, of a bucket that one task finishes.
+LOCAL, FEW = 65_536, 64
 COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 _SCHEMA = ", ".join(f"{c} {'string' if c == 'ends_sha256' else 'long'}" for c in COLUMNS)
 
@@ -152,7 +153,7 @@ def _ends(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "top long, depth int, ends_sha256 string")
 
 
-def trie(rows: DataFrame, local: int = LOCAL) -> DataFrame:
+def trie(rows: DataFrame, local: int = LOCAL, few: int = FEW) -> DataFrame:
     """All nodes of the trie of ``rows(c, ids, chars)``, one row per conversation: ``COLUMNS``."""
     spark = rows.sparkSession
     root = rows.agg(F.min("c").alias("top"), F.count("*").alias("n")).first()
@@ -168,12 +169,13 @@ def trie(rows: DataFrame, local: int = LOCAL) -> DataFrame:
         levels.append(large)
         groups_of.append(groups)
         ended.append(live.where("next IS NULL").select("top", F.lit(depth).alias("depth"), "c"))
-        children = groups.where("next IS NOT NULL").select("top", "next", "child", "last", (F.col("turns") > local).alias("large"))
+        many = (F.col("turns") > local) & (F.col("n") > few)
+        children = groups.where("next IS NOT NULL").select("top", "next", "child", "last", many.alias("large"))
         members = live.join(children, ["top", "next"]).select("c", F.col("child").alias("top"), F.col("top").alias("parent"), "last", "large", *[F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))).alias(x) for x in ("ids", "chars")])
         members = kept(members)
         temporary += [members]
         finished.append(members.where("NOT large").withColumn("depth", F.lit(depth + 1)))
-        large = groups.where(F.col("next").isNotNull() & (F.col("turns") > local)).select(F.col("child").alias("top"), F.col("top").alias("parent"), "n", "last")
+        large = groups.where(F.col("next").isNotNull() & many).select(F.col("child").alias("top"), F.col("top").alias("parent"), "n", "last")
         if large.isEmpty():
             break
         live, depth = members.where("large").select("c", "top", "ids", "chars"), depth + 1
@@ -197,7 +199,7 @@ def trie(rows: DataFrame, local: int = LOCAL) -> DataFrame:
     return union([small.select(*COLUMNS), *(x.select(*COLUMNS) for x in out)])
 
 
-def prefix_trie(conversations: DataFrame, rebuild: bool = True, local: int = LOCAL) -> DataFrame:
+def prefix_trie(conversations: DataFrame, rebuild: bool = True, local: int = LOCAL, few: int = FEW) -> DataFrame:
     """One row per node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``.
 
     With ``rebuild``, conversations first get the first turns of the first one
@@ -209,6 +211,6 @@ def prefix_trie(conversations: DataFrame, rebuild: bool = True, local: int = LOC
     """
     own = encoded(conversations)
     rows = kept(rebuilt(own)) if rebuild else own
-    found = trie(rows, local)
+    found = trie(rows, local, few)
     dropped(own, rows)
     return found

@@ -157,10 +157,10 @@ def test_conversations_without_rows(spark):
     assert [tuple(r) for r in row] == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
 
 
-@pytest.mark.parametrize("local", [65_536, 20])
-def test_trie_against_all_prefixes(spark, odd, local):
+@pytest.mark.parametrize("local,few", [(65_536, 64), (20, 2)])
+def test_trie_against_all_prefixes(spark, odd, local, few):
     want = trie_by_brute_force(odd_conversations())
-    assert {(r[0], r[1]): tuple(r)[2:] for r in conversation_trie.prefix_trie(odd, local=local).collect()} == want
+    assert {(r[0], r[1]): tuple(r)[2:] for r in conversation_trie.prefix_trie(odd, local=local, few=few).collect()} == want
 
 
 def set_of(text):
