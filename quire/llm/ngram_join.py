@@ -398,24 +398,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return by_block(rows, links, "ngrams")
 
 
+def _together(rows: DataFrame) -> DataFrame:
+    """``token, own`` of buckets of several members, each known by a hash of its members: those with the same ones are one.
+
+    One shuffle by token serves all of it. A hash that two buckets share makes one larger bucket of them, which loses nothing.
+    """
+    one = Window.partitionBy("token")
+    rows = rows.repartition("token").select("token", "own", F.min("own").over(one).alias("least"), F.max("own").over(one).alias("most")).where("least <> most").select("token", "own").distinct()
+    members = F.xxhash64(F.count("*").over(one), F.bit_xor("own").over(one), F.bit_xor(F.xxhash64("own", F.lit(1))).over(one))
+    return rows.select(members.alias("token"), "own").distinct()
+
+
 def _shared(found: DataFrame) -> DataFrame:
-    """``token, own``: for shingles that several sets are dealt out by, and those sets (as hashes of their digests)."""
+    """``token, own``: buckets of sets (as hashes of their digests) that are dealt out by the same shingles."""
     own = F.xxhash64("digest")
-    rare = found.select(F.explode("rare").alias("token"), own.alias("own"))
-    # a rare shingle has a bounded share of all rows: one shuffle brings a bucket together
-    both = Window.partitionBy("token")
-    rare = rare.select("token", "own", F.min("own").over(both).alias("least"), F.max("own").over(both).alias("most")).where("least <> most").select("token", "own")
-    # of frequent ones any share of the sets may be dealt out: pre-aggregated, then a join that Spark can split
-    often = found.select(F.explode("often").alias("token"), own.alias("own"))
+    # a rare shingle has a bounded share of all rows
+    rare = _together(found.select(F.explode("rare").alias("token"), own.alias("own")))
+    often = found.where(F.size("often") > 0).select(F.explode("often").alias("token"), own.alias("own"))
+    if often.isEmpty():
+        return rare
+    # of frequent ones any share of the sets may be dealt out: pre-aggregated, then joins that Spark can split
     several = often.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("token")
-    return rare.unionByName(often.join(several, "token").select("token", "own")).distinct()
-
-
-def _different(buckets: DataFrame) -> DataFrame:
-    """``buckets(token, own)`` with several members, one of those with the same members."""
-    same = buckets.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("own").alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y"))
-    same = same.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token"))
-    return buckets.join(same.select("token"), "token")
+    often = often.join(several, "token").distinct()
+    members = often.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("own").alias("x"), F.bit_xor(F.xxhash64("own", F.lit(1))).alias("y"))
+    often = often.join(members, "token").select(F.xxhash64("n", "x", "y").alias("token"), "own").distinct()
+    return rare.unionByName(often).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -434,10 +441,9 @@ def classes(docs: DataFrame) -> DataFrame:
     heads = kept(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("n").alias("n")))
     shared = kept(_shared(full))
     # sets that link differ in size by a quarter at most: a bucket holds two neighbouring classes of a little more
-    sized = _different(shared).join(heads.select(F.xxhash64("digest").alias("own"), F.floor(F.log(F.col("n")) / math.log(1.26)).cast("int").alias("class")), "own")
-    sized = sized.select("own", F.explode(F.array("class", F.col("class") - 1)).alias("class"), "token").select("own", F.xxhash64("token", "class").alias("token")).distinct()
-    sized = kept(sized)
-    keys = _different(sized).groupBy("own").agg(F.collect_list("token").alias("keys"))
+    sized = shared.join(heads.select(F.xxhash64("digest").alias("own"), F.floor(F.log(F.col("n")) / math.log(1.26)).cast("int").alias("class")), "own")
+    sized = sized.select("own", F.explode(F.array("class", F.col("class") - 1)).alias("class"), "token").select("own", F.xxhash64("token", "class").alias("token"))
+    keys = _together(sized).groupBy("own").agg(F.collect_list("token").alias("keys"))
     nodes = kept(heads.withColumn("own", F.xxhash64("digest")).join(keys, "own").select(F.col("digest").alias("node"), "rep", "bytes", "keys"))
     temporary = []
 
@@ -482,6 +488,6 @@ def classes(docs: DataFrame) -> DataFrame:
     named = kept(heads.select("digest", "rep").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root")))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = kept(named.join(least, "root").select("digest", "component_id"))
-    dropped(heads, shared, sized, nodes, roots, named)
+    dropped(heads, shared, nodes, roots, named)
     out = found.select("doc_id", "n", "digest").join(known, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
