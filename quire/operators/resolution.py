@@ -31,7 +31,12 @@ DEEPEST = 8
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).hint("merge")
+
+
+def _kinds(documents: DataFrame) -> set[str]:
+    """Which of the kinds that are opened occur, so that a round plans no work for others."""
+    return {r["kind"] for r in documents.where("kind IS NOT NULL").select("kind").distinct().collect()}
 
 
 def loaded(documents: DataFrame, resources: DataFrame) -> DataFrame:
@@ -46,10 +51,10 @@ def loaded(documents: DataFrame, resources: DataFrame) -> DataFrame:
 def edges_of(documents: DataFrame) -> DataFrame:
     """``page_id, url, pos, original, target, fragment, role``: what opened documents ask for, in order."""
     css = documents.where("kind = 'css'").select(*KEY, F.posexplode(css_references(F.col("text"))).alias("pos", "original"))
-    css = css.select(*KEY, "pos", "original", urls.join(F.col("url"), F.col("original")).alias("resolved"), F.lit("other").alias("role"))
-    pages = documents.where("kind IN ('svg', 'html')").select(F.struct(*KEY).alias("page_id"), "url", F.col("text").alias("html"))
-    marked = references(pages).select("page_id.page_id", "page_id.url", F.col("ref_id").cast("int").alias("pos"), "original", "resolved", "role")
-    found = css.unionByName(marked)
+    found = css.select(*KEY, "pos", "original", urls.join(F.col("url"), F.col("original")).alias("resolved"), F.lit("other").alias("role"))
+    if _kinds(documents) & {"svg", "html"}:
+        pages = documents.where("kind IN ('svg', 'html')").select(F.struct(*KEY).alias("page_id"), "url", F.col("text").alias("html"))
+        found = found.unionByName(references(pages).select("page_id.page_id", "page_id.url", F.col("ref_id").cast("int").alias("pos"), "original", "resolved", "role"))
     fragment = F.when(F.col("resolved").contains("#"), F.concat(F.lit("#"), F.substring_index("resolved", "#", -1))).otherwise(F.lit(""))
     return found.select(*KEY, "pos", "original", urls.without_fragment(F.coalesce("resolved", F.concat(F.lit("invalid:"), "original"))).alias("target"), fragment.alias("fragment"), "role")
 
@@ -75,12 +80,17 @@ def met(top: DataFrame, resources: DataFrame, deepest: int, tables: Levels) -> t
         known = tables.kept(known.join(changed.select(*KEY), KEY, "left_anti").unionByName(changed.drop("new")))
 
 
-def _rewritten(ready: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of ``ready(page_id, url, kind, text, bodies)`` with the bodies in place; embedded pages sanitized and frozen as well."""
-    text = F.when(F.col("bodies").isNull(), F.col("text")).when(F.col("kind") == "css", css_rewritten(F.col("text"), F.col("bodies"))).otherwise(embedded(F.col("text"), F.col("bodies")))
-    plain = ready.where("kind <> 'html'").select(*KEY, text.alias("text"))
-    pages = ready.where("kind = 'html'").select(F.struct(*KEY).alias("page_id"), F.array().cast("array<int>").alias("path"), sanitized(text, None).alias("html"))
-    return plain.unionByName(frozen(pages).select("page_id.page_id", "page_id.url", F.col("html").alias("text")))
+def _rewritten(ready: DataFrame, kinds: set[str]) -> DataFrame:
+    """``page_id, url, text`` of ``ready(page_id, url, kind, text, bodies)`` of these kinds with the bodies in place; embedded pages sanitized and frozen as well."""
+    given = lambda new: F.when(F.col("bodies").isNull(), F.col("text")).otherwise(new)
+    marked = lambda: given(embedded(F.col("text"), F.col("bodies")))
+    parts = [ready.where("kind = 'css'").select(*KEY, given(css_rewritten(F.col("text"), F.col("bodies"))).alias("text"))]
+    if "svg" in kinds:
+        parts.append(ready.where("kind = 'svg'").select(*KEY, marked().alias("text")))
+    if "html" in kinds:
+        pages = ready.where("kind = 'html'").select(F.struct(*KEY).alias("page_id"), F.array().cast("array<int>").alias("path"), sanitized(marked(), None).alias("html"))
+        parts.append(frozen(pages).select("page_id.page_id", "page_id.url", F.col("html").alias("text")))
+    return _union(parts)
 
 
 def resolved(top: DataFrame, resources: DataFrame, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
@@ -113,6 +123,7 @@ def resolved(top: DataFrame, resources: DataFrame, deepest: int = DEEPEST) -> tu
     ways = tables.kept(ways.select(*KEY, "kind", "pos", "original", "target", "fragment", "role", back.alias("back")))
 
     todo = tables.kept(opened.select(*KEY, "kind", "text", "media_type"))
+    kinds = _kinds(todo)
     done = [nodes.where("kind IS NULL OR error IS NOT NULL").select(*KEY, "data_url", F.lit(None).cast("string").alias("text"))]
     while not todo.isEmpty():
         waits = ways.where("NOT back").join(todo.select("page_id", F.col("url").alias("target")), ["page_id", "target"], "left_semi").select(*KEY).distinct()
@@ -121,7 +132,7 @@ def resolved(top: DataFrame, resources: DataFrame, deepest: int = DEEPEST) -> tu
         body = F.when(F.col("back") | F.col("data_url").isNull(), media.empty_fallback(F.col("role"))).otherwise(F.concat("data_url", "fragment"))
         each = got.groupBy(*KEY, "original").agg(F.min_by(body, "pos").alias("body"))
         maps = each.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("original", "body"))).alias("bodies"))
-        new = _rewritten(ready.join(maps, KEY, "left")).join(ready.select(*KEY, "media_type"), KEY)
+        new = _rewritten(ready.join(maps, KEY, "left"), kinds).join(ready.select(*KEY, "media_type"), KEY)
         done.append(tables.kept(new.select(*KEY, media.data_url(F.col("media_type"), F.col("text").cast("binary")).alias("data_url"), "text")))
         todo = tables.kept(todo.join(done[-1].select(*KEY), KEY, "left_anti"))
 

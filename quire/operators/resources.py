@@ -18,7 +18,8 @@ def outcomes(references: DataFrame, resources: DataFrame, largest: int = 64 << 2
     resource at all is a failure, for which an empty stand-in by role is given.
     """
     own = references.withColumn("key", urls.without_fragment(F.col("resolved")))
-    table = resources.select(F.col("page_id").alias("r_page"), urls.without_fragment(F.col("url")).alias("r_url"), "status", F.col("media_type").alias("r_type"), "body")
+    # merged: resources made by an explode look as small to Spark as what they were made of, and would pass through the driver
+    table = resources.select(F.col("page_id").alias("r_page"), urls.without_fragment(F.col("url")).alias("r_url"), "status", F.col("media_type").alias("r_type"), "body").hint("merge")
     rows = own.join(table, (F.col("page_id") == F.col("r_page")) & (F.col("key") == F.col("r_url")) & (urls.scheme(F.col("resolved")) != "data"), "left")
     inline = media.decoded(F.col("resolved"))
     scheme = urls.scheme(F.col("resolved"))

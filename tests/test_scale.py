@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chains
+from quire.operators import chains, resources
 from quire.sources.levels import Levels
 
 
@@ -21,3 +21,10 @@ def test_kept_tables_are_merged_not_broadcast(spark):
     frames = spark.createDataFrame([(0, 0, None, *[1.0] * 6), (0, 1, 0, *[1.0] * 6)], "page_id long, frame_id long, parent_id long, x double, y double, scale_x double, scale_y double, scroll_x double, scroll_y double")
     rects = frames.select("page_id", "frame_id", F.lit(1).alias("id"), "x", "y", F.lit(1.0).alias("width"), F.lit(1.0).alias("height"))
     assert "Broadcast" not in plan(chains.clips(rects, frames))
+
+
+def test_resources_made_by_an_explode_are_not_broadcast(spark):
+    rows = spark.range(10).select(F.col("id").alias("page_id"))
+    body = rows.select("page_id", F.explode(F.array(F.lit("https://h/a"), F.lit("https://h/b"))).alias("url")).select("page_id", "url", F.lit(200).alias("status"), F.lit("text/css").alias("media_type"), F.lit(b"x").alias("body"))
+    found = resources.outcomes(rows.select("page_id", F.lit("other").alias("role"), F.lit("https://h/a").alias("resolved")), body)
+    assert "Broadcast" not in plan(found) and found.where("kind = 'embedded'").count() == 10
