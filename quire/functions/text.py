@@ -60,10 +60,10 @@ def clamped(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(utf8_left(text, most), F.lit("…")))
 
 
-def file_stem(text: Column) -> Column:
-    """A portable file stem: lower case, other characters as one hyphen, 96 bytes at most, never reserved or empty."""
+def file_stem(text: Column, most: int | None = STEM_BYTES) -> Column:
+    """A portable file stem: lower case, other characters as one hyphen, ``most`` bytes at most (None: whole), never reserved or empty."""
     words = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_-]+", "-"), r"^-+(?=[^-]|$)", "")
-    stem = F.regexp_replace(utf8_left(words, STEM_BYTES), r"^[-. ]+|[-. ]+$", "")
+    stem = F.regexp_replace(words if most is None else utf8_left(words, most), r"^[-. ]+|[-. ]+$", "")
     return F.when((stem == "") | stem.isin(*RESERVED_STEMS) | stem.isNull(), F.lit("capture")).otherwise(stem)
 
 

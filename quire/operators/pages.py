@@ -82,8 +82,9 @@ def first_text(html: Column, tag: str) -> Column:
     return text.collapsed(text.unescaped(F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>([^<]*)</{tag}\s*>", 1)))
 
 
-def suggested_name(html: Column, url: Column) -> Column:
-    return text.file_stem(F.coalesce(F.nullif(first_text(html, "title"), F.lit("")), urls.host(url), F.lit("capture")))
+def suggested_name(html: Column, url: Column, most: int | None = text.STEM_BYTES) -> Column:
+    """A page's title, else its host, as a file stem of at most ``most`` bytes (None: whole)."""
+    return text.file_stem(F.coalesce(F.nullif(first_text(html, "title"), F.lit("")), urls.host(url), F.lit("capture")), most)
 
 
 def link_relation(rel: Column) -> Column:

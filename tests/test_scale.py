@@ -28,3 +28,11 @@ def test_resources_made_by_an_explode_are_not_broadcast(spark):
     body = rows.select("page_id", F.explode(F.array(F.lit("https://h/a"), F.lit("https://h/b"))).alias("url")).select("page_id", "url", F.lit(200).alias("status"), F.lit("text/css").alias("media_type"), F.lit(b"x").alias("body"))
     found = resources.outcomes(rows.select("page_id", F.lit("other").alias("role"), F.lit("https://h/a").alias("resolved")), body)
     assert "Broadcast" not in plan(found) and found.where("kind = 'embedded'").count() == 10
+
+
+def test_suggested_names_are_whole(spark, tmp_path):
+    from quire.plans import QUERIES
+
+    spark.createDataFrame([(1, "https://h/", f"<title>{'Üü ' * 40}</title>"), (2, "https://h/", "<title>A b</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = dict(map(tuple, QUERIES["suggested_names"](spark, str(tmp_path)).collect()))
+    assert found == {1: "-".join(["üü"] * 40), 2: "a-b"}
