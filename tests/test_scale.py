@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chains, resources
+from quire.operators import chains, checks, resources
 from quire.sources.levels import Levels
 
 
@@ -36,3 +36,16 @@ def test_suggested_names_are_whole(spark, tmp_path):
     spark.createDataFrame([(1, "https://h/", f"<title>{'Üü ' * 40}</title>"), (2, "https://h/", "<title>A b</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = dict(map(tuple, QUERIES["suggested_names"](spark, str(tmp_path)).collect()))
     assert found == {1: "-".join(["üü"] * 40), 2: "a-b"}
+
+
+def test_ranges_join_once_and_beyond_one_octet(spark):
+    from quire.plans.checks import _address
+
+    given = spark.createDataFrame([(1, "10.0.0.1"), (2, "10.0.0.1"), (3, "no")], "k long, address string")
+    known = spark.createDataFrame([(7, "10.0.0.0/8"), (8, "10.0.0.0/8"), (9, "11.0.0.0/8")], "s long, cidr string")
+    found = checks.rows_in_ranges(given, known)
+    assert sorted(map(tuple, found.select("k", "s").collect())) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+    joins = plan(found)
+    assert sum(joins.count(j) for j in ("SortMergeJoin", "BroadcastHashJoin")) == 1
+    number = spark.createDataFrame([(453_439,), (900_001,)], "k long")
+    assert [r[0] for r in number.select(_address(F.col("k"))).collect()] == ["11.0.0.27", "11.252.30.69"]
