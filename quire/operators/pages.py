@@ -20,6 +20,7 @@ from quire.functions import media, text, urls
 _TO_END = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\z|["'][^>]*+(?:>|\z))"""
 TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|xmp|noframes)(?=[\s/>]){_TO_END}.*?(?:</\1\s*+>|\z)|</?[a-z]{_TO_END}|<![^>]*+(?:>|\z)"
 _HEAD = rf"(?s)^(</?[a-zA-Z]{_TO_END})"
+_WRITTEN = "array<struct<name:string,value:string,raw:string>>"
 _ATTRIBUTE = r"""([^\s=>"'/]++)(\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?"""
 
 # Link relations, URL attributes, metadata types, and which attribute holds which role of resource.
@@ -52,19 +53,28 @@ def head_of(token: Column) -> Column:
 
 def written(token: Column) -> Column:
     """array<struct<name, value, raw>>: all attributes in source order, also repeated ones, with their own text. Names may follow ``/`` or a quote."""
-    inner = F.regexp_replace(head_of(token), r"^</?[a-zA-Z][^\s/>]*+", "")
-    names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 1), F.lower)
-    values = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 3), lambda v: text.unescaped(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
-    return F.arrays_zip(names.alias("name"), values.alias("value"), F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 0).alias("raw"))
+
+    def all_(inner: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 1), F.lower)
+        values = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 3), lambda v: text.unescaped(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
+        return F.arrays_zip(names.alias("name"), values.alias("value"), F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 0).alias("raw"))
+
+    # most tags are bare
+    return F.when(token.rlike(r"^(?:[^<]|</?[a-zA-Z][^\s/>]*+>|<[!?]|\z)"), F.array().cast(_WRITTEN)).otherwise(urls.let(F.regexp_replace(head_of(token), r"^</?[a-zA-Z][^\s/>]*+", ""), all_))
 
 
 def attributes(token: Column) -> Column:
     """array<struct<name, value>> in source order; of names that repeat, the first stays."""
-    # by name and place, so that a tag of many attributes takes no time that grows with their square
-    named = F.array_sort(F.transform(written(token), lambda a, i: F.struct(a["name"].alias("name"), i.alias("i"), a["value"].alias("value"))))
-    first = lambda all_: F.filter(all_, lambda x, k: (k == 0) | (F.get(all_, k - 1)["name"] != x["name"]))
-    placed = F.array_sort(F.transform(urls.let(named, first), lambda x: F.struct(x["i"].alias("i"), x["name"].alias("name"), x["value"].alias("value"))))
-    return F.transform(placed, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    plain = lambda all_: F.transform(all_, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+
+    def unique(all_: Column) -> Column:
+        # by name and place, so that a tag of many attributes takes no time that grows with their square
+        named = F.array_sort(F.transform(all_, lambda a, i: F.struct(a["name"].alias("name"), i.alias("i"), a["value"].alias("value"))))
+        first = lambda sorted_: F.filter(sorted_, lambda x, k: (k == 0) | (F.get(sorted_, k - 1)["name"] != x["name"]))
+        return plain(F.array_sort(F.transform(urls.let(named, first), lambda x: F.struct(x["i"].alias("i"), x["name"].alias("name"), x["value"].alias("value")))))
+
+    # few tags repeat a name
+    return urls.let(written(token), lambda all_: F.when(F.size(F.array_distinct(F.transform(all_, lambda a: a["name"]))) == F.size(all_), plain(all_)).otherwise(unique(all_)))
 
 
 def attribute(token: Column, name: str) -> Column:

@@ -169,7 +169,7 @@ def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitized_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event attributes after a slash and a quote, script URLs in character references, a page within a page."""
     parts = F.expr("""concat('<svg/onload="f(', p_partkey, ')"><a href="/p/', p_size, '"onclick="y()">', p_name, '</a><a href="&#x6A;avascript:z()" title="', p_brand, '">x</a><iframe srcdoc="<script>s(', p_size, ')</script><b>', p_type, '</b>"></iframe><p on-x=', p_size, ' x=', p_size, '>')""")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), P.sanitized(parts).alias("html"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), P.sanitized(parts).alias("html"))
 
 
 @query("""SELECT p_partkey AS page_id, '<img src="data:A' || p_partkey || '" srcset="data:A' || p_partkey || ' 1x, z.png 2x"><div title="' || p_brand || '" style="background:url(&quot;data:B' || p_size || '&quot;)"></div><a href="a.png">' || p_name || '</a><style>/* url(a.png) */ @import "data:C"; x{y:url("data:A' || p_partkey || '")}</style><link href="data:C">' AS html FROM part""")
@@ -177,7 +177,7 @@ def embedded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data URLs put into sources, srcsets, style attributes and style elements; links, comments and unknown URLs stay."""
     html = F.expr(r"""concat('<img src="a.png" srcset="a.png 1x, z.png 2x"><div title="', p_brand, '" style="background:url(\'b.png\')"></div><a href="a.png">', p_name, '</a><style>/* url(a.png) */ @import "c.css"; x{y:url( a.png )}</style><link href=c.css>')""")
     bodies = F.create_map(F.lit("a.png"), F.concat(F.lit("data:A"), F.col("p_partkey").cast("string")), F.lit("b.png"), F.concat(F.lit("data:B"), F.col("p_size").cast("string")), F.lit("c.css"), F.lit("data:C"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), P.embedded(html, bodies).alias("html"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), P.embedded(html, bodies).alias("html"))
 
 
 @query("""SELECT p_partkey AS page_id, 1 AS pos, '<p>' || p_name || '</p>' AS srcdoc, '<div class="' || p_brand || '">x<iframe' || CASE WHEN p_size % 2 = 0 THEN ' srcdoc="<p>' || p_name || '</p>"' ELSE '' END || '></iframe></div>' AS html FROM part WHERE p_size % 2 = 0""")

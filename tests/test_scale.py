@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chains, checks, resources
+from quire.operators import chains, checks, pages, resources
 from quire.sources.levels import Levels
 
 
@@ -49,3 +49,20 @@ def test_ranges_join_once_and_beyond_one_octet(spark):
     assert sum(joins.count(j) for j in ("SortMergeJoin", "BroadcastHashJoin")) == 1
     number = spark.createDataFrame([(453_439,), (900_001,)], "k long")
     assert [r[0] for r in number.select(_address(F.col("k"))).collect()] == ["11.0.0.27", "11.252.30.69"]
+
+
+def test_heavy_rows_are_dealt(spark):
+    from quire.plans import QUERIES
+
+    for name in ("discovered_references", "embedded_pages", "sanitized_attacks", "markdown_export", "page_metadata", "sanitized_html", "sanitize_report_wild", "range_matches"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_bare_tags_and_repeated_names(spark):
+    tokens = {
+        "<p>": [], "</p>": [], "</p x=1>": [("x", "1")], "<br/>": [], "<p/x>": [("x", "")], "<!-- <a b=c> -->": [], "<!doctype html>": [], "text <a b=c>": [], "": [], "<p\n>": [],
+        "<script>a='<b c=d>'</script>": [], '<a B=1 b=2 c="&amp;">': [("b", "1"), ("c", "&")], "<a c=1 b=2 c=3 b=4>": [("c", "1"), ("b", "2")], None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string")
+    found = {r["t"]: r["a"] and [tuple(x) for x in r["a"]] for r in rows.select("t", pages.attributes(F.col("t")).alias("a")).collect()}
+    assert found == tokens
