@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 RESERVED_STEMS = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 STEM_BYTES = 96
 _REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;)"
+_USUAL = {"&amp;": "&", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&#39;": "'"}
 
 
 def _all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -31,8 +32,14 @@ def unescaped(text: Column) -> Column:
         number = F.when(valid, F.decode(F.unhex(code), "UTF-32")).otherwise("\ufffd")
         return F.when(inner.startswith("#"), number).otherwise(F.coalesce(F.try_element_at(names, inner), x))
 
-    found, between = F.regexp_extract_all(text, F.lit(_REFERENCE), 0), F.split(text, _REFERENCE, -1)
-    return F.when(text.contains("&"), F.array_join(F.zip_with(between, F.transform(found, decoded), lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")).otherwise(text)
+    def one(piece: Column) -> Column:
+        # most references are these few
+        out = F.when(~piece.startswith("&") | (piece == "&"), piece)
+        for written, meant in _USUAL.items():
+            out = out.when(piece == written, meant)
+        return out.otherwise(F.coalesce(decoded(piece), F.lit("")))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(rf"{_REFERENCE}|[^&]++|&"), 0), one), "")).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:

@@ -14,15 +14,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quire.operators.pages import TOKEN, attribute, attribute_text, head_of, rebuilt, sanitize_report, sanitized, tag_of, written
+from quire.functions import urls
+from quire.operators.pages import TOKEN, attribute, attribute_text, head_of, is_token, pieces, rebuilt, sanitize_report, sanitized, written
 from quire.sources.levels import Levels
 
 DEEPEST = 64
 # What keeps a captured page from moving.
 FREEZE_CSS = "*,*::before,*::after{animation-play-state:paused!important;transition:none!important;caret-color:transparent!important}"
 FREEZE_ATTRIBUTE, BASE_ATTRIBUTE, FALLBACK_ATTRIBUTE = "data-pa-freeze", "data-pa-frame-base", "data-pa-visual-fallback"
+# Tags by which a document's parts are known.
+_PAGE_TAG, _TEMPLATE = r"(?i)^<(/head|body|html)(?=[\s/>]|\z)", r"(?i)^</?template(?=[\s/>]|\z)"
 _FREEZE = f'<style {FREEZE_ATTRIBUTE}="">{FREEZE_CSS}</style>'
 
 
@@ -39,29 +41,29 @@ def _framed(html: Column) -> Column:
 
 
 def replaced_at(html: Column, change: Callable[[Column, Column], Column]) -> Column:
-    """A page with each token replaced by ``change(token, place)``."""
-    between = F.split(html, TOKEN, -1)
-    return F.array_join(F.zip_with(between, F.transform(_tokens(html), change), lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
+    """A page with each token replaced by ``change(token, place)``; the place is that among the page's ``pieces``."""
+    return F.array_join(F.transform(pieces(html), lambda p, i: F.when(is_token(p), F.coalesce(change(p, i), F.lit(""))).otherwise(p)), "")
 
 
 def inner_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The documents directly within ``docs(page_id, path, html, ...)``, with their own paths; ``keep`` are columns that they inherit."""
-    rows = docs.where(_framed(F.col("html"))).select("page_id", "path", *keep, F.posexplode(_tokens(F.col("html"))).alias("pos", "token"))
-    rows = rows.where(_framed(F.col("token")) & _opens(F.col("token")))
-    rows = rows.select("page_id", F.concat("path", F.array("pos")).alias("path"), attribute(F.col("token"), "srcdoc").alias("html"), *keep)
-    return rows.where(F.col("html").isNotNull())
+    # found before the explode, so that a condition on what it gives doesn't repeat its making
+    own = lambda p, i: F.when(_framed(p) & _opens(p), F.struct(i.alias("pos"), attribute(p, "srcdoc").alias("html")))
+    found = F.filter(F.transform(pieces(F.col("html")), own), lambda x: x["html"].isNotNull())
+    rows = docs.where(_framed(F.col("html"))).select("page_id", "path", *keep, F.explode(found).alias("x"))
+    return rows.select("page_id", F.concat("path", F.array("x.pos")).alias("path"), F.col("x.html").alias("html"), *keep)
 
 
 def _filled(html: Column, inner: Column) -> Column:
     """A document whose frames at the places of the map ``inner`` hold its values instead."""
 
     def own(token: Column, place: Column) -> Column:
-        attrs = written(token)
+        attrs = written(token, ())
         first = F.array_position(F.transform(attrs, lambda a: a["name"]), "srcdoc") - 1
         new = F.concat(F.lit('srcdoc="'), attribute_text(F.try_element_at(inner, place)), F.lit('"'))
         kept = F.filter(attrs, lambda a, i: ((a["name"] != "srcdoc") | (i == first)) & (a["name"] != BASE_ATTRIBUTE))
         kept = F.transform(kept, lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), F.when(a["name"] == "srcdoc", new).otherwise(a["raw"]).alias("raw")))
-        return F.when(F.map_contains_key(inner, place), rebuilt(token, kept)).otherwise(token)
+        return F.when(_framed(token) & F.map_contains_key(inner, place), rebuilt(token, kept)).otherwise(token)
 
     return F.when(inner.isNull(), html).otherwise(replaced_at(html, own))
 
@@ -85,7 +87,7 @@ def leaf_first(pages: DataFrame, change: Callable[[DataFrame], DataFrame], keep:
     deeper than ``deepest`` has the error ``frame.depth`` and no html. A null
     html stays null; ids of ``pages`` are unique.
     """
-    tables = Levels(pages.sparkSession)
+    tables, parts = Levels(pages.sparkSession), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     framed = pages.where(_framed(F.col("html")))
     levels, refused = levels_of(framed, keep, deepest, tables)
     # the tables of the levels have the numbers 1, 2, ...; the last one found is empty or refused
@@ -93,8 +95,12 @@ def leaf_first(pages: DataFrame, change: Callable[[DataFrame], DataFrame], keep:
     for number, level in deepest_first:
         own = level
         if inner is not None:
-            maps = inner.groupBy("page_id", F.slice("path", 1, F.size("path") - 1).alias("path")).agg(F.map_from_entries(F.collect_list(F.struct(F.element_at("path", -1).alias("pos"), "html"))).alias("__inner"))
-            own = level.join(maps, ["page_id", "path"], "left").withColumn("html", _filled(F.col("html"), F.col("__inner"))).drop("__inner")
+            # a page has one document at the top, whose empty path isn't anything to deal by
+            keys = ["page_id", "path"] if number else ["page_id"]
+            placed = inner.select("page_id", F.slice("path", 1, F.size("path") - 1).alias("path"), F.struct(F.element_at("path", -1).alias("pos"), "html").alias("x"))
+            maps = placed.groupBy(*keys).agg(F.map_from_entries(F.collect_list("x")).alias("__inner"))
+            # small rows of much work: as many tasks as the cluster has, not as few as their bytes would fill
+            own = level.repartition(parts, *keys).join(maps, keys, "left").withColumn("html", _filled(F.col("html"), F.col("__inner"))).drop("__inner")
         inner = change(own).select("page_id", "path", "html")
         if number:
             inner = tables.kept(inner)
@@ -109,46 +115,57 @@ def leaf_first(pages: DataFrame, change: Callable[[DataFrame], DataFrame], keep:
     return whole.unionByName(change(plain).select("page_id", "html", F.lit(None).cast("string").alias("error")))
 
 
-def _shadow_ends(docs: DataFrame) -> DataFrame:
-    """``page_id, path, ends``: the places of the end tags of templates that are shadow roots (the number of tokens if one isn't closed).
+def _shadow_ends(found: Column) -> Column:
+    """The places among a document's ``pieces`` of the end tags of templates that are shadow roots (the number of pieces if one isn't closed).
 
     A start tag and its end tag are neighbours among the template tags of their
-    depth, which a running sum gives.
+    depth, a running sum. That is made by doubling: sums over 1, 2, 4, ... tags.
     """
-    rows = docs.where(F.lower("html").contains("shadowrootmode")).select("page_id", "path", F.posexplode(_tokens(F.col("html"))).alias("pos", "token"), F.size(_tokens(F.col("html"))).alias("n"))
-    rows = rows.where(tag_of(F.col("token")) == "template").withColumn("closing", F.col("token").startswith("</"))
-    order = Window.partitionBy("page_id", "path").orderBy("pos")
-    depth = F.sum(F.when(F.col("closing"), -1).otherwise(1)).over(order)
-    rows = rows.withColumn("depth", depth + F.col("closing").cast("int"))
-    ends = F.coalesce(F.lead("pos").over(Window.partitionBy("page_id", "path", "depth").orderBy("pos")), F.col("n"))
-    rows = rows.withColumn("end", ends).where(~F.col("closing") & attribute(F.col("token"), "shadowrootmode").isNotNull())
-    return rows.groupBy("page_id", "path").agg(F.collect_list("end").alias("ends"))
+    n = F.size(found)
+    root = lambda t: _opens(t) & F.lower(t).contains("shadowrootmode") & attribute(t, "shadowrootmode").isNotNull()
+    tags = F.filter(F.transform(found, lambda t, i: F.when(t.rlike(_TEMPLATE), F.struct(i.alias("pos"), t.startswith("</").alias("closing"), root(t).alias("root")))), lambda x: x.isNotNull())
 
+    def depths(own: Column) -> Column:
+        steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda w: w < F.size(own))
+        sums = F.aggregate(steps, F.transform(own, lambda x: F.when(x["closing"], -1).otherwise(1)), lambda sums, w: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - w), F.lit(0))))
+        return F.sort_array(F.zip_with(own, sums, lambda x, d: F.struct((d + x["closing"].cast("int")).alias("depth"), x["pos"].alias("pos"), x["root"].alias("root"))))
+
+    def ends(by_depth: Column) -> Column:
+        end = lambda x, after: F.when(after["depth"] == x["depth"], after["pos"]).otherwise(n)
+        return F.filter(F.transform(by_depth, lambda x, k: F.when(x["root"], end(x, F.get(by_depth, k + 1)))), lambda e: e.isNotNull())
+
+    return urls.let(urls.let(tags, depths), ends)
 
-def frozen(docs: DataFrame) -> DataFrame:
-    """``docs(page_id, path, html, ...)`` with one style that stops motion, last in the head and in each declarative shadow root.
+
+def freezing(html: Column) -> Column:
+    """A document with one style that stops motion, last in the head and in each declarative shadow root.
 
     Nothing is added where such a style is in the document already. A page
     without a head's end tag has it before the body, else after the html tag,
     else after the doctype.
     """
-    html = F.col("html")
-    found = F.transform(_tokens(html), lambda t: F.struct(tag_of(t).alias("tag"), t.startswith("</").alias("closing"), (t.startswith("<style") & F.coalesce(head_of(t).contains(FREEZE_ATTRIBUTE), F.lit(False))).alias("done")))
     shadowed = F.coalesce(F.lower(html).contains("shadowrootmode"), F.lit(False))
-    rooted = docs.where(shadowed)
-    # only documents with shadow roots are joined
-    marked = docs.where(~shadowed).withColumn("ends", F.lit(None).cast("array<int>")).unionByName(rooted.join(_shadow_ends(rooted), ["page_id", "path"], "left")).withColumn("__t", found)
-    first = lambda tag, closing: F.array_position(F.transform("__t", lambda x: (x["tag"] == tag) & (x["closing"] == closing)), True) - 1
-    doctype = F.when(html.rlike(r"(?i)^\s*<!doctype"), 0).otherwise(-1)
-    before = F.when(first("head", True) >= 0, first("head", True)).otherwise(first("body", False))
-    after = F.when(before >= 0, -1).when(first("html", False) >= 0, first("html", False)).otherwise(doctype)
-    marked = marked.withColumns({"__before": before.cast("int"), "__after": after.cast("int"), "__ends": F.coalesce("ends", F.array().cast("array<int>")), "__n": F.size("__t")})
-    roots = lambda which: F.repeat(F.lit(_FREEZE), F.size(F.filter("__ends", which)))
-    one = lambda there: F.when(there, _FREEZE).otherwise("")
-    new = replaced_at(html, lambda token, place: F.concat(one(place == F.col("__before")), roots(lambda e: e == place), token, one(place == F.col("__after"))))
-    new = F.concat(one((F.col("__before") < 0) & (F.col("__after") < 0)), new, roots(lambda e: e >= F.col("__n")))
-    done = F.exists("__t", lambda x: x["done"])
-    return marked.withColumn("html", F.when(done | html.isNull(), html).otherwise(new)).drop("__t", "__before", "__after", "__ends", "__n", "ends")
+
+    def use(found: Column) -> Column:
+        def place(tags: Column) -> Column:
+            first = lambda tag: F.array_position(tags, tag) - 1
+            # white space may stand before the doctype
+            doctype = F.when(html.rlike(r"(?i)^\s*<!doctype"), F.when(html.startswith("<"), 1).otherwise(2)).otherwise(0)
+            return F.when(first("/head") >= 0, first("/head")).when(first("body") >= 0, first("body")).when(first("html") >= 0, first("html") + 1).otherwise(doctype)
+
+        own = urls.let(F.transform(found, lambda t: F.lower(F.regexp_extract(t, _PAGE_TAG, 1))), place).cast("int")
+        places = F.sort_array(F.concat(F.array(own), F.when(shadowed, _shadow_ends(found)).otherwise(F.array().cast("array<int>"))))
+        start, stop = lambda at, k: F.coalesce(F.get(at, k - 1), F.lit(0)), lambda at, k: F.coalesce(F.get(at, k), F.size(found))
+        parts = lambda at: F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: F.array_join(F.slice(found, start(at, k) + 1, stop(at, k) - start(at, k)), ""))
+        done = F.exists(found, lambda t: t.startswith("<style") & head_of(t).contains(FREEZE_ATTRIBUTE))
+        return F.when(done, html).otherwise(urls.let(places, lambda at: F.array_join(parts(at), _FREEZE)))
+
+    return F.when(html.isNotNull(), urls.let(pieces(html), use))
+
+
+def frozen(docs: DataFrame) -> DataFrame:
+    """``docs(page_id, path, html, ...)``, each ``freezing``."""
+    return docs.withColumn("html", freezing(F.col("html")))
 
 
 def safe_static(pages: DataFrame, deepest: int = DEEPEST) -> DataFrame:

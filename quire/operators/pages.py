@@ -18,7 +18,9 @@ from quire.functions import media, text, urls
 # All runs are possessive, so that tags of any length neither recurse nor are tried twice. What doesn't end goes on to
 # the end of the page; a quote that doesn't close is none.
 _TO_END = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\z|["'][^>]*+(?:>|\z))"""
-TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|xmp|noframes)(?=[\s/>]){_TO_END}.*?(?:</\1\s*+>|\z)|</?[a-z]{_TO_END}|<![^>]*+(?:>|\z)"
+TOKEN = rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style|textarea|xmp|noframes)(?=[\s/>]){_TO_END}.*?(?:</\1\s*+>|\z)|/?[a-z]{_TO_END}|![^>]*+(?:>|\z))"
+# A token or what stands between two; together the pieces are the page.
+_PIECE = rf"{TOKEN}|[^<]++|<"
 _HEAD = rf"(?s)^(</?[a-zA-Z]{_TO_END})"
 _WRITTEN = "array<struct<name:string,value:string,raw:string>>"
 _ATTRIBUTE = r"""([^\s=>"'/]++)(\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?"""
@@ -28,6 +30,9 @@ REQUEST_RELATIONS = ("compression-dictionary", "dns-prefetch", "import", "manife
 ICON_RELATIONS = ("icon", "apple-touch-icon", "apple-touch-icon-precomposed", "mask-icon")
 URL_ATTRIBUTES = ("action", "cite", "data", "formaction", "href", "poster", "src", "xlink:href")
 METADATA_TYPES = ("application/json", "application/ld+json")
+# Of which attributes the values say whether an element acts, and which tokens can act at all: tags that are so by their name or aren't bare.
+_TELLING = ("type", "http-equiv", "rel", *URL_ATTRIBUTES)
+_MAY_ACT = r"^<(?:(?i:script|base)(?=[\s/>]|\z)|[a-zA-Z][^\s/>]*+(?!>))"
 PRESENTATION = {name: "svg" for name in ("clip-path", "fill", "filter", "marker", "marker-start", "marker-mid", "marker-end", "mask", "stroke")} | {"cursor": "cursor"}
 ROLES = {
     ("img", "src"): "image", ("input", "src"): "image", ("video", "poster"): "image", ("video", "src"): "media", ("audio", "src"): "media", ("source", "src"): "media", ("track", "src"): "media",
@@ -51,13 +56,31 @@ def head_of(token: Column) -> Column:
     return F.regexp_extract(token, _HEAD, 1)
 
 
-def written(token: Column) -> Column:
-    """array<struct<name, value, raw>>: all attributes in source order, also repeated ones, with their own text. Names may follow ``/`` or a quote."""
+def pieces(html: Column) -> Column:
+    """A page's tokens and the texts between them in page order, found in one go; ``is_token`` tells them apart."""
+    return F.regexp_extract_all(html, F.lit(_PIECE), 0)
+
+
+def is_token(piece: Column) -> Column:
+    return piece.startswith("<") & (piece != "<")
+
+
+def written(token: Column, values: tuple[str, ...] | None = None) -> Column:
+    """array<struct<name, value, raw>>: all attributes in source order, also repeated ones, with their own text. Names may follow ``/`` or a quote.
+
+    ``values``: only attributes of these names get a value, the others null; decoding those that nobody reads takes most of the time where pages are within pages.
+    """
 
     def all_(inner: Column) -> Column:
         names = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 1), F.lower)
-        values = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 3), lambda v: text.unescaped(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
-        return F.arrays_zip(names.alias("name"), values.alias("value"), F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 0).alias("raw"))
+        raw = F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 0)
+        decoded = lambda v: text.unescaped(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2"))
+        if values is None:
+            return F.arrays_zip(names.alias("name"), F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 3), decoded).alias("value"), raw.alias("raw"))
+        if not values:
+            return F.zip_with(names, raw, lambda n, r: F.struct(n.alias("name"), F.lit(None).cast("string").alias("value"), r.alias("raw")))
+        some = lambda n: F.zip_with(n, F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), 3), lambda x, v: F.when(x.isin(*values), decoded(v)))
+        return urls.let(names, lambda n: F.arrays_zip(n.alias("name"), some(n).alias("value"), raw.alias("raw")))
 
     # most tags are bare
     return F.when(token.rlike(r"^(?:[^<]|</?[a-zA-Z][^\s/>]*+>|<[!?]|\z)"), F.array().cast(_WRITTEN)).otherwise(urls.let(F.regexp_replace(head_of(token), r"^</?[a-zA-Z][^\s/>]*+", ""), all_))
@@ -79,7 +102,7 @@ def attributes(token: Column) -> Column:
 
 def attribute(token: Column, name: str) -> Column:
     """The value of one attribute, or null."""
-    return F.get(F.filter(written(token), lambda a: a["name"] == name), F.lit(0))["value"]
+    return F.get(F.filter(written(token, (name,)), lambda a: a["name"] == name), F.lit(0))["value"]
 
 
 def elements(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -170,21 +193,21 @@ def references(pages: DataFrame, base: str = "url") -> DataFrame:
 
 def active_parts(token: Column) -> Column:
     """What a token holds that acts: struct<drop, events, script_urls, frames>; ``frames`` if it holds a page of its own."""
+    own = F.struct(tag_of(token).alias("tag"), written(token, _TELLING).alias("attrs"), (token.startswith("<") & ~token.startswith("</") & ~token.startswith("<!")).alias("open"))
+    return urls.let(own, lambda x: _active_parts(x["tag"], x["attrs"], x["open"]))
 
-    def use(x: Column) -> Column:
-        tag, attrs, open_ = x["tag"], x["attrs"], x["open"]
-        value = lambda name: F.lower(F.coalesce(F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"], F.lit("")))
-        script = (tag == "script") & ~media.essence(value("type")).isin(*METADATA_TYPES)
-        refresh = (tag == "meta") & value("http-equiv").isin("refresh", "content-security-policy")
-        request = (tag == "link") & (link_relation(value("rel")) == "request")
-        events = F.size(F.filter(attrs, lambda a: a["name"].startswith("on")))
-        scripts = F.size(F.filter(attrs, lambda a: a["name"].isin(*URL_ATTRIBUTES) & is_script_url(a["value"])))
-        frames = open_ & F.exists(attrs, lambda a: a["name"] == "srcdoc")
-        none = F.lit(0)
-        return F.struct((open_ & (script | (tag == "base") | refresh | request)).alias("drop"), F.when(open_, events).otherwise(none).alias("events"), F.when(open_, scripts).otherwise(none).alias("script_urls"), frames.alias("frames"))
 
-    own = F.struct(tag_of(token).alias("tag"), written(token).alias("attrs"), (token.startswith("<") & ~token.startswith("</") & ~token.startswith("<!")).alias("open"))
-    return urls.let(own, use)
+def _active_parts(tag: Column, attrs: Column, open_: Column) -> Column:
+    """``active_parts`` of a token whose tag and attributes (``written``) are known."""
+    value = lambda name: F.lower(F.coalesce(F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"], F.lit("")))
+    script = (tag == "script") & ~media.essence(value("type")).isin(*METADATA_TYPES)
+    refresh = (tag == "meta") & value("http-equiv").isin("refresh", "content-security-policy")
+    request = (tag == "link") & (link_relation(value("rel")) == "request")
+    events = F.size(F.filter(attrs, lambda a: a["name"].startswith("on")))
+    scripts = F.size(F.filter(attrs, lambda a: a["name"].isin(*URL_ATTRIBUTES) & is_script_url(a["value"])))
+    frames = open_ & F.exists(attrs, lambda a: a["name"] == "srcdoc")
+    none = F.lit(0)
+    return F.struct((open_ & (script | (tag == "base") | refresh | request)).alias("drop"), F.when(open_, events).otherwise(none).alias("events"), F.when(open_, scripts).otherwise(none).alias("script_urls"), frames.alias("frames"))
 
 
 def sanitize_report(pages: DataFrame) -> DataFrame:
@@ -197,8 +220,7 @@ def sanitize_report(pages: DataFrame) -> DataFrame:
 
 def rewritten(html: Column, change) -> Column:
     """A page with each token replaced by ``change(token)``; text between tokens stays."""
-    found, between = F.regexp_extract_all(html, F.lit(TOKEN), 0), F.split(html, TOKEN, -1)
-    return F.array_join(F.zip_with(between, F.transform(found, change), lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), "")
+    return F.array_join(F.transform(pieces(html), lambda p: F.when(is_token(p), F.coalesce(change(p), F.lit(""))).otherwise(p)), "")
 
 
 def acts(a: Column) -> Column:
@@ -227,18 +249,22 @@ def sanitized(html: Column, nested: int | None = 1) -> Column:
     ``nested.deeply_sanitized`` has rewritten them at any depth by then.
     """
 
-    def quiet(token: Column) -> Column:
+    def quiet(token: Column, attrs: Column) -> Column:
         def kept(a: Column) -> Column:
             if not nested:
                 return a  # none is left, or all are done
             inner = F.concat(F.lit('srcdoc="'), attribute_text(sanitized(a["value"], nested - 1)), F.lit('"'))
             return F.struct(a["name"].alias("name"), a["value"].alias("value"), F.when(a["name"] == "srcdoc", inner).otherwise(a["raw"]).alias("raw"))
 
-        left = F.filter(written(token), lambda a: ~acts(a) & ((a["name"] != "srcdoc") if nested == 0 else F.lit(True)))
+        left = F.filter(attrs, lambda a: ~acts(a) & ((a["name"] != "srcdoc") if nested == 0 else F.lit(True)))
         return rebuilt(token, F.transform(left, kept))
 
     def change(token: Column) -> Column:
-        return urls.let(active_parts(token), lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token)).when(f["frames"] if nested is not None else F.lit(False), quiet(token)).otherwise(token))
+        def use(attrs: Column) -> Column:
+            new = lambda f: F.when(f["drop"], F.lit("")).when((f["events"] + f["script_urls"]) > 0, quiet(token, attrs))
+            return urls.let(_active_parts(tag_of(token), attrs, F.lit(True)), lambda f: (new(f) if nested is None else new(f).when(f["frames"], quiet(token, attrs))).otherwise(token))
+
+        return F.when(token.rlike(_MAY_ACT), urls.let(written(token, (*_TELLING, "srcdoc") if nested else _TELLING), use)).otherwise(token)
 
     return rewritten(html, change)
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import html as entities
 
+from pyspark.sql import functions as F
+
 from quire.operators import nested as N
+from quire.operators import pages as P
 
 SCHEMA = "page_id long, html string"
 
@@ -79,3 +82,36 @@ def test_reports_and_fallbacks_by_depth(spark):
     assert {(r["id"], r["depth"], r["error"]) for r in N.fallback_outcomes(rows(spark, page), pictures).collect()} == {("k", 2, None), ("none", None, "transform.visual_fallback")}
     empty = spark.createDataFrame([], SCHEMA)
     assert N.safe_static(empty).collect() == [] and N.document_reports(empty).collect() == []
+
+
+def test_pieces_are_the_page_and_only_read_values_are_decoded(spark):
+    pages = ["", "a < b <p>c<", "<<p>x</p", "<script>'<b>'</script ><!-- <p>", "<!doctype html>\n<p a='>'>&amp;<"]
+    found = spark.createDataFrame([(p,) for p in pages], "html string").select("html", P.pieces(F.col("html")).alias("p")).collect()
+    assert all("".join(r["p"]) == r["html"] for r in found)
+    assert found[1]["p"] == ["a ", "<", " b ", "<p>", "c", "<"] and found[3]["p"] == ["<script>'<b>'</script >", "<!-- <p>"]
+    token = spark.createDataFrame([('<a B="&quot;" c=&amp;>',)], "t string").select(*[P.written(F.col("t"), *v).alias(k) for k, v in {"all_": (), "b": (("b",),), "none": ((),)}.items()]).first()
+    assert [tuple(a) for a in token["all_"]] == [("b", '"', 'B="&quot;"'), ("c", "&", "c=&amp;")]
+    assert [a["value"] for a in token["b"]] == ['"', None] and [a["value"] for a in token["none"]] == [None, None]
+    assert all([(a["name"], a["raw"]) for a in token[k]] == [(a["name"], a["raw"]) for a in token["all_"]] for k in ("b", "none"))
+
+
+def test_many_shadow_roots_in_one_document(spark):
+    opening, style = '<template shadowrootmode="open">', N._FREEZE
+    pages = {
+        opening * 4_000 + "x" + "</template>" * 4_000: style + opening * 4_000 + "x" + f"{style}</template>" * 4_000,
+        (opening + "</template>") * 4_000: style + (opening + style + "</template>") * 4_000,
+        f"</template>{opening}<template>a</template></template></template>{opening}b": f"{style}</template>{opening}<template>a</template>{style}</template></template>{opening}b{style}",
+    }
+    found = by_id(N.safe_static(rows(spark, *pages)))
+    assert [found[k]["html"] for k in range(len(pages))] == list(pages.values())
+
+
+def test_freezing_is_a_projection_and_levels_are_dealt(spark):
+    from quire.plans import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = rows(spark, "<p>").select("page_id", F.array().cast("array<int>").alias("path"), "html")
+    assert not any(x in plan(N.frozen(docs)) for x in ("Exchange", "Join", "Window", "Union"))
+    whole = plan(QUERIES["safe_static_pages"](spark, "/root/testdata/sf0.001"))
+    # one join puts the level below into the pages, which are dealt once
+    assert whole.count("SortMergeJoin") == 1 and whole.count("Exchange") == 2 and whole.count("REPARTITION_BY_NUM") == 1
