@@ -66,3 +66,45 @@ def test_bare_tags_and_repeated_names(spark):
     rows = spark.createDataFrame([(t,) for t in tokens], "t string")
     found = {r["t"]: r["a"] and [tuple(x) for x in r["a"]] for r in rows.select("t", pages.attributes(F.col("t")).alias("a")).collect()}
     assert found == tokens
+
+
+def test_crowds_meet_ranges_in_tiles(spark, monkeypatch):
+    import ipaddress
+    import random
+
+    rnd = random.Random(9)
+    four = [f"10.{rnd.randrange(2)}.{rnd.randrange(2)}.{rnd.randrange(256)}" for _ in range(150)] + [f"{n}.1.2.3" for n in range(20, 30)]
+    six = [f"2001:db8:{rnd.randrange(3):x}::{rnd.randrange(64):x}" for _ in range(150)] + ["fe80::1"]
+    given = [(k, a) for k, a in enumerate([*four, *six, "no", None, ":"])] + [(7, four[7])] * 20
+    cidrs = [f"{rnd.choice(four)}/{rnd.choice((0, 7, 8, 16, 23, 24, 30, 32))}" for _ in range(60)] + [f"{rnd.choice(six)}/{rnd.choice((0, 20, 47, 48, 100, 125, 128))}" for _ in range(60)]
+    known = [(s, c) for s, c in enumerate([*cidrs, "10.0.0.0/33", "x", None])] + [(3, cidrs[3])] * 9
+    nets = [(s, ipaddress.ip_network(c, strict=False)) for s, c in known if c in cidrs]
+    want = sorted((k, s) for k, a in given if a in four or a in six for s, n in nets if ipaddress.ip_address(a) in n)
+    addresses, ranges = spark.createDataFrame(given, "k long, address string"), spark.createDataFrame(known, "s long, cidr string")
+    for crowd, tall, wide, rows, block in ((5, 16, 8, 3, 2), (20, 7, 3, 4, 5), (40, 1000, 1000, 100, 100), (100_000, 8, 8, 2, 2)):
+        for name, n in (("CROWD", crowd), ("TALL", tall), ("WIDE", wide), ("BLOCK_ROWS", rows), ("BLOCK_RANGES", block)):
+            monkeypatch.setattr(checks, name, n)
+        found = checks.rows_in_ranges(addresses, ranges)
+        assert sorted(map(tuple, found.select("k", "s").collect())) == want, crowd
+        assert ("__rows" in plan(found)) == (crowd < 100_000)
+        none = checks.rows_in_ranges(addresses, ranges.where("cidr LIKE '%/128'"))  # nothing wide: no crowd has a range of its own length
+        assert sorted(map(tuple, none.select("k", "s").collect())) == sorted((k, s) for k, s in want if dict(known)[s].endswith("/128"))
+
+
+def test_many_pairs_are_few_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(checks, "CROWD", 100, raising=False)
+    net = F.concat(F.lit("2001:db8:"), (F.col("id") % 8).cast("int").cast("string"), F.lit("::"))
+    given = spark.range(4_000).repartition(4, "id").select(F.col("id").alias("k"), F.concat(net, F.hex("id")).alias("address"))
+    known = spark.range(16_000).select(F.col("id").alias("s"), F.concat(net, F.lit("/"), (F.col("id") / 8 % 50 + 50).cast("int").cast("string")).alias("cidr"))
+    checks.rows_in_ranges(given, known).select("k", "s").write.parquet(f"{tmp_path}/pairs")
+    assert tuple(spark.read.parquet(f"{tmp_path}/pairs").agg(F.count("*"), F.sum("k"), F.sum("s")).first()) == (8_000_000, 2_000 * sum(range(4_000)), 500 * sum(range(16_000)))
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 8_000_000 // 2
+
+
+def test_hosts_ask_for_prefixes_not_for_ranges(spark):
+    given = spark.createDataFrame([("a", "10.0.0.1"), ("a", "10.0.0.1"), ("b", "11.0.0.1"), ("b", "10.0.0.2"), ("c", None), ("d", "2001:db8::1")], "host string, address string")
+    known = spark.range(3000).select(F.concat(F.lit("10.0."), (F.col("id") / 256 % 256).cast("int").cast("string"), F.lit("."), (F.col("id") % 256).cast("string"), F.lit("/8")).alias("cidr")).union(spark.sql("SELECT '2001:db8::/32'"))
+    assert sorted(r[0] for r in checks.within(given, known).collect()) == ["10.0.0.1", "10.0.0.2", "2001:db8::1"]
+    assert checks._prefixes(known).select(*checks.PREFIX).distinct().count() == 2
+    rows = checks.hosts_allowed_by_rules(given, known).collect()
+    assert {r["host"]: (r["addresses"], r["blocked"]) for r in rows} == {"a": (1, 0), "b": (2, 0), "c": (1, 1), "d": (1, 0)}
